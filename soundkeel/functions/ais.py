@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -66,6 +68,34 @@ def sbits(bits: Column, i: int, j: int) -> Column:
     return F.when(value >= 2 ** (j - i - 1), value - 2 ** (j - i)).otherwise(value)
 
 
+# The armour is a 6-bit code like base64 with another alphabet.
+_ARMOUR = "".join(map(chr, [*range(48, 88), *range(96, 120)]))
+_BASE64 = string.ascii_uppercase + string.ascii_lowercase + string.digits + "+/"
+
+# Characters and bytes that hold every field of a position report.
+_CHARS = -(-max(j for _, j in FIELDS.values()) // 6)
+_PADDED = -(-_CHARS // 4) * 4
+
+
+def payload_bytes(payload: Column) -> Column:
+    """Leading payload characters as bytes; NULL when the report is too short."""
+    head = F.translate(F.rpad(F.substring(payload, 1, _PADDED), _PADDED, "0"), _ARMOUR, _BASE64)
+    return F.when(F.length(payload) >= _CHARS, F.unbase64(head))
+
+
+def byte_ubits(data: Column, i: int, j: int) -> Column:
+    """Unsigned value of bits [i, j) of a byte string (at most 56 bits)."""
+    first, last = i // 8, (j - 1) // 8
+    value = F.conv(F.hex(F.substring(data, first + 1, last - first + 1)), 16, 10).cast("long")
+    return F.shiftright(value, 8 * (last + 1) - j).bitwiseAND(F.lit((1 << (j - i)) - 1).cast("long"))
+
+
+def byte_sbits(data: Column, i: int, j: int) -> Column:
+    """Two's complement value: the top bit is flipped, then its weight removed."""
+    top = 1 << (j - i - 1)
+    return byte_ubits(data, i, j).bitwiseXOR(F.lit(top).cast("long")) - top
+
+
 def payload_ubits(payload: Column, i: int, j: int) -> Column:
     """Unsigned value of bits [i, j) straight from the payload characters.
 
@@ -93,20 +123,6 @@ def to_bits(value: Column, width: int) -> Column:
     return F.lpad(F.bin(wrapped), width, "0")
 
 
-def armour(bits: Column) -> Column:
-    """Bit string (length a multiple of six) to payload characters."""
-
-    def char(code: Column) -> Column:
-        return F.char(F.when(code >= 40, code + 56).otherwise(code + 48))
-
-    def pack(b: Column) -> Column:
-        places = F.sequence(F.lit(0), (F.length(b) / 6).cast("int") - 1)
-        codes = F.transform(places, lambda i: F.conv(F.substring(b, i * 6 + 1, F.lit(6)), 2, 10).cast("int"))
-        return F.array_join(F.transform(codes, char), "")
-
-    return let(bits, pack)
-
-
 def nav_status(code: Column) -> Column:
     table = F.array(*[F.lit(t) for t in NAV_STATUS])
     return F.try_element_at(table, (code + 1).cast("int"))
@@ -129,9 +145,9 @@ def decode_ais(df: DataFrame, line: str = "line") -> DataFrame:
     keep = [c for c in df.columns if c != line]
     # ``inline`` makes a computed value a plain column: later filters and
     # expressions read it instead of computing it again.
-    cut = df.filter(is_position(F.col(line))).select(*keep, F.inline(F.array(F.struct(payload.alias("_payload")))))
+    cut = df.filter(is_position(F.col(line))).select(*keep, F.inline(F.array(F.struct(payload_bytes(payload).alias("_data")))))
     fields = {
-        n: (payload_sbits if n in ("lon", "lat") else payload_ubits)(F.col("_payload"), *at) for n, at in FIELDS.items()
+        n: (byte_sbits if n in ("lon", "lat") else byte_ubits)(F.col("_data"), *at) for n, at in FIELDS.items()
     }
     raw = cut.select(*keep, F.inline(F.array(F.struct(*[v.alias(n) for n, v in fields.items()]))))
     return raw.select(
@@ -160,14 +176,18 @@ def with_geometry(positions: DataFrame) -> DataFrame:
     )
 
 
-def encode_position(
-    msg_type: Column, mmsi: Column, nav_code: Column, sog10: Column,
-    lon600k: Column, lat600k: Column, cog10: Column, heading: Column,
-) -> Column:
-    """A type 1-3 sentence from raw integer fields (used to test the decoder)."""
-    bits = F.concat(
-        to_bits(msg_type, 6), F.lit("00"), to_bits(mmsi, 30), to_bits(nav_code, 4), F.lit("0" * 8),
-        to_bits(sog10, 10), F.lit("0"), to_bits(lon600k, 28), to_bits(lat600k, 27),
-        to_bits(cog10, 12), to_bits(heading, 9), F.lit("0" * 31),
-    )
-    return F.concat(F.lit("!AIVDM,1,1,,A,"), armour(bits), F.lit(",0*00"))
+def encode_position(**raw: Column) -> Column:
+    """A type 1-3 sentence from raw integer fields, named as in ``FIELDS`` (used to
+    test the decoder).  Three 48-bit words are put together from the parts of the
+    fields they overlap."""
+    words = []
+    for at in range(0, 6 * _PADDED, 48):
+        word = F.lit(0).cast("long")
+        for name, (i, j) in FIELDS.items():
+            lo, hi = max(i, at), min(j, at + 48)
+            if lo < hi:
+                part = F.shiftright(raw[name].cast("long"), j - hi).bitwiseAND(F.lit((1 << (hi - lo)) - 1).cast("long"))
+                word = word + part * (1 << (at + 48 - hi))
+        words.append(F.lpad(F.hex(word), 12, "0"))
+    payload = F.translate(F.base64(F.unhex(F.concat(*words))), _BASE64, _ARMOUR)
+    return F.concat(F.lit("!AIVDM,1,1,,A,"), payload, F.lit("0000,0*00"))

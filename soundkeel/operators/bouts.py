@@ -8,11 +8,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geo import db
-from ..plans.ordered import Running, previous, scan
+from ..plans.ordered import Running, Sizes, measure, previous, scan
 
 
 def runs(
-    rows: DataFrame, keys: Sequence[str], pos: Column, order: Sequence[Column], flag: Column, limit: int | None = None
+    rows: DataFrame, keys: Sequence[str], pos: Column, order: Sequence[Column], flag: Column, limit: int | None = None,
+    sizes: Sizes | None = None,
 ) -> DataFrame:
     """Number the runs of flagged rows.
 
@@ -21,7 +22,7 @@ def runs(
     """
     marked = rows.withColumn("flag", F.coalesce(flag, F.lit(False)))
     quiet_before = Running((~F.col("flag")).cast("long"), "sum", inclusive=False)
-    return scan(marked, keys, pos, order, {"run": quiet_before}, limit)
+    return scan(marked, keys, pos, order, {"run": quiet_before}, limit, sizes)
 
 
 def segment_calls(
@@ -83,9 +84,10 @@ def bout_report(
     The thresholds are one row per recorder, joined back.
     """
     spark_keys = list(keys)
+    sizes = measure(levels, keys, pos, limit)
     loud = levels.groupBy(*spark_keys).agg((F.avg(level) + n_sigma * F.stddev_pop(level)).alias("_thr"))
     rows = levels.join(loud, spark_keys).withColumn("_level", level).withColumn("_at", at)
-    numbered = runs(rows, spark_keys, pos, order, F.col("_level") > F.col("_thr"), limit)
+    numbered = runs(rows, spark_keys, pos, order, F.col("_level") > F.col("_thr"), limit, sizes)
     on = F.col("flag")
     out = numbered.groupBy(*spark_keys, "run").agg(
         F.min(F.when(on, F.col("_at"))).alias("start"),
@@ -104,9 +106,10 @@ def merge_segments(
 ) -> DataFrame:
     """Merge neighbours with equal labels into segments (label must not be null)."""
     rows = rows.withColumn("_at", at)
-    seen = scan(rows, keys, pos, order, {"_prev": previous(F.col(label))}, limit)
+    sizes = measure(rows, keys, pos, limit)
+    seen = scan(rows, keys, pos, order, {"_prev": previous(F.col(label))}, limit, sizes)
     changed = (F.col("_prev").isNull() | (F.col("_prev") != F.col(label))).cast("long")
-    numbered = scan(seen.withColumn("_new", changed), keys, pos, order, {"_seg": Running(F.col("_new"))}, limit)
+    numbered = scan(seen.withColumn("_new", changed), keys, pos, order, {"_seg": Running(F.col("_new"))}, limit, sizes)
     return (
         numbered.groupBy(*keys, "_seg", label)
         .agg(F.min("_at").alias("start"), F.max("_at").alias("stop"), F.count(F.lit(1)).alias("n"))
@@ -118,6 +121,18 @@ def strong_calls(calls: DataFrame, min_len: float, min_peak: float) -> DataFrame
     return calls.filter((F.col("lencall") >= min_len) & (F.col("mean_peak") >= min_peak))
 
 
+def got_signal(
+    n_good: Column, good_share: Column, n_contours: Column, area: Column, min_share: float, max_contours: int, min_area: float
+) -> Column:
+    """Blob statistics that look like a call."""
+    return (n_good > 0) & (good_share > min_share) & (n_contours < max_contours) & (area > min_area)
+
+
+def got_background(n_good: Column, good_share: Column, n_contours: Column, max_share: float, min_contours: int) -> Column:
+    """Blob statistics that look like background."""
+    return (n_good > 0) & (good_share < max_share) & (n_contours > min_contours)
+
+
 def detection_series(frames: DataFrame, calls: DataFrame, keys: Sequence[str] = ("file",)) -> DataFrame:
     """Per frame: peaks, and length and peak of the call that ends there; each
     scaled to its maximum per recording."""

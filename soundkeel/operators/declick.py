@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.ordered import Running, following, previous, scan
+from ..plans.ordered import Running, following, measure, previous, scan
 
 # Fixed value: standard deviations above the mean that start a click.
 TRIGGER_SIGMAS = 6.0
@@ -27,9 +27,10 @@ def declick(
     ``index`` numbers the samples of a key and is unique.
     """
     i, a = F.col(index), F.abs(F.col(x))
+    sizes = measure(samples, keys, i, limit)
     stats = samples.groupBy(*keys).agg(F.avg(a).alias("_ave"), F.stddev_pop(a).alias("_std"))
     rows = samples.join(stats, list(keys)).withColumn("_a", a)
-    rows = scan(rows, keys, i, [i], {"_l": previous(F.col("_a")), "_r": following(F.col("_a"))}, limit)
+    rows = scan(rows, keys, i, [i], {"_l": previous(F.col("_a")), "_r": following(F.col("_a"))}, limit, sizes)
     thresh = F.col("_ave") + F.col("_std")
     quiet_peak = F.coalesce(
         (F.col("_a") > F.col("_l")) & (F.col("_a") > F.col("_r")) & (F.col("_a") < thresh), F.lit(False)
@@ -41,7 +42,7 @@ def declick(
             "is_trigger": F.col("_a") > F.col("_ave") + sigmas * F.col("_std"),
         }
     ).drop("_l", "_r", "_ave", "_std")
-    rows = scan(rows, keys, i, [i], {"_region": Running(F.col("_quiet").cast("long"))}, limit)
+    rows = scan(rows, keys, i, [i], {"_region": Running(F.col("_quiet").cast("long"))}, limit, sizes)
     # A region starts at a quiet peak (inclusive) and ends before the next one.
     regions = (
         rows.groupBy(*keys, "_region")

@@ -16,6 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.draws import unit
 from ..plans.halo import drop_halo, halo_window, with_halo
 
 # Window and hop (samples) of the framing profiles; hop 0 means
@@ -126,7 +127,6 @@ def jittered_windows(labels: DataFrame, n: int, max_shift_s: float, seed: int, l
 
     The shift is a hash of (label, copy, seed): the same on every run and retry.
     """
-    unit = F.pmod(F.xxhash64(F.col(label_id), F.col("copy"), F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
     copies = labels.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(n))))
-    shifted = copies.withColumn("shift_s", (2 * unit - 1) * max_shift_s)
+    shifted = copies.withColumn("shift_s", (2 * unit([F.col(label_id), F.col("copy")], seed) - 1) * max_shift_s)
     return shifted.withColumn("start_s", F.greatest(F.col("start_s") + F.col("shift_s"), F.lit(0.0)))

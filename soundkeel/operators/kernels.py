@@ -213,17 +213,22 @@ def first_peaks(spec: np.ndarray, prominence: float, widths: tuple[float, float]
     return by_width, by_prom
 
 
-def tone_bins(spec: Column, prominence: float = 2.0, widths: tuple[float, float] = (1.0, 2.0)) -> Column:
-    """Bins of the first peak by the width rule and by the prominence rule."""
+def tone_measure(x: Column, nfft: int, prominence: float = 2.0, widths: tuple[float, float] = (1.0, 2.0)) -> Column:
+    """First spectral peak of a tapered tone by the width rule and by the
+    prominence rule, and the mean square of the tapered samples."""
 
-    @arrow_udf("struct<by_width: int, by_prominence: int>")
+    @arrow_udf("struct<by_width: int, by_prominence: int, mean_square: double>")
     def kernel(v: pa.Array) -> pa.Array:
         values, off = flat(v)
-        found = [
-            first_peaks(values[a:b], prominence, widths) if b - a > 2 else (-1, -1)
-            for a, b in zip(off[:-1], off[1:], strict=True)
-        ]
+        found, power = [], []
+        for a, b in zip(off[:-1], off[1:], strict=True):
+            y = values[a:b] * window("hamming", b - a)
+            spec = np.abs(np.fft.rfft(y, n=nfft)) if b > a else np.empty(0)
+            found.append(first_peaks(spec, prominence, widths) if len(spec) > 2 else (-1, -1))
+            power.append(float(np.mean(y * y)) if b > a else None)
         cols = [pa.array([None if f[k] < 0 else f[k] for f in found], pa.int32()) for k in (0, 1)]
-        return pa.StructArray.from_arrays(cols, ["by_width", "by_prominence"])
+        return pa.StructArray.from_arrays(
+            [*cols, pa.array(power, pa.float64())], ["by_width", "by_prominence", "mean_square"]
+        )
 
-    return kernel(spec)
+    return kernel(x)

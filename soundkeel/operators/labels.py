@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.ordered import Running, previous, scan
+from ..plans.ordered import Running, measure, previous, scan
 from ..plans.rangejoin import point_in_interval
 
 # Training split of a recording (s), shortest usable label (s).
@@ -102,13 +102,14 @@ def merged_spans(
 ) -> DataFrame:
     """Union of overlapping or touching intervals per key."""
     order = [F.col(start), F.col(end)]
+    sizes = measure(labels, keys, F.col(start), limit)
     seen = scan(
-        labels, keys, F.col(start), order, {"_reach": Running(F.col(end), "max", inclusive=False)}, limit
+        labels, keys, F.col(start), order, {"_reach": Running(F.col(end), "max", inclusive=False)}, limit, sizes
     )
     fresh = (F.col("_reach").isNull() | (F.col("_reach") < F.col(start))).cast("long")
     numbered = scan(
         seen.withColumn("_fresh", fresh), keys, F.col(start), [*order, -F.col("_fresh")],
-        {"_span": Running(F.col("_fresh"))}, limit,
+        {"_span": Running(F.col("_fresh"))}, limit, sizes,
     )
     return (
         numbered.groupBy(*keys, "_span")

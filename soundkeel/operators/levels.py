@@ -103,19 +103,11 @@ def calibrated_recordings(tone: DataFrame, measured: DataFrame, fs: str = "sampl
     after the tone.  Files whose tone is not near 1 kHz are dropped.  The tone is
     tapered before its spectrum and its level are taken.
     """
-    from ..functions.arrays import taper
-
     hz = lambda c: F.col(c) * F.col(fs) / TONE_NFFT
-    tapered = tone.withColumn("x", taper(F.col("x"), "hamming"))
-    found = tapered.select(
-        "file",
-        fs,
-        kernels.tone_bins(kernels.amplitude_spectrum(F.col("x"), nfft=TONE_NFFT)).alias("t"),
-        kernels.level_sums(F.col("x")).alias("s"),
-    )
+    found = tone.select("file", fs, kernels.tone_measure(F.col("x"), TONE_NFFT).alias("t"))
     found = found.withColumn("tone_hz", (hz("t.by_width") + hz("t.by_prominence")) / 2)
     good = found.filter(F.col("tone_hz").between(*TONE_HZ)).select(
-        "file", "tone_hz", (F.lit(TONE_LEVEL_DB) - db(F.col("s.s2") / F.col("s.n"))).alias("cal_db")
+        "file", "tone_hz", (F.lit(TONE_LEVEL_DB) - db(F.col("t.mean_square"))).alias("cal_db")
     )
     levels = chunk_levels(measured)
     return good.join(levels, "file").select(

@@ -8,23 +8,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.draws import unit
+
 # Sample size of the evaluation and its seed; arrays per file.
 SAMPLE_SIZE = 20_000
 SAMPLE_SEED = 999
 MAX_ARRAYS = 10
 
 
-def _key(ids: Sequence[str], seed: int) -> Column:
-    return F.xxhash64(*[F.col(c) for c in ids], F.lit(seed))
+def _draw(ids: Sequence[str], seed: int) -> Column:
+    return unit([F.col(c) for c in ids], seed)
 
 
 def sample_n(df: DataFrame, ids: Sequence[str], n: int = SAMPLE_SIZE, seed: int = SAMPLE_SEED) -> DataFrame:
-    """n rows without replacement, the same on every run: a top-n by hash."""
-    return df.orderBy(_key(ids, seed), *ids).limit(n)
+    """n rows without replacement, the same on every run: a top-n by draw."""
+    return df.orderBy(_draw(ids, seed), *ids).limit(n)
 
 
 def shuffled(df: DataFrame, ids: Sequence[str], seed: int) -> DataFrame:
-    return df.orderBy(_key(ids, seed), *ids)
+    """Rows in random order, with the draw that orders them."""
+    return df.withColumn("draw", _draw(ids, seed)).orderBy("draw", *ids)
 
 
 def first_per_file(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int = MAX_ARRAYS) -> DataFrame:

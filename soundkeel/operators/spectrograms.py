@@ -33,10 +33,11 @@ def _edges(lo: float, hi: float, n: int, log: bool = False) -> list[float]:
     return [lo + (hi - lo) * i / n for i in range(n + 1)]
 
 
-def stft_db(chunks: DataFrame, n_bins: int = 512) -> DataFrame:
+def stft_db(
+    chunks: DataFrame, n_bins: int = 512, win: int = PROFILES["annotator"][0], hop: int = PROFILES["annotator"][1]
+) -> DataFrame:
     """Decibel spectrogram over the recording's maximum: 2048 samples every 256,
     lowest ``n_bins`` bins."""
-    win, hop = PROFILES["annotator"]
     spec = frames(chunks, win, hop).select(
         "file", "frame", clip_bins(kernels.amplitude_spectrum(F.col("x")), 0, n_bins).alias("a")
     )
@@ -195,18 +196,19 @@ def training_windows(
     from .framing import cut_clips
     from .labels import presence
     from ..functions.arrays import l2_normalise, resample_linear
+    from ..functions.draws import unit
 
     own = F.col("n_own") if "n_own" in chunks.columns else F.size("samples")
     lengths = chunks.groupBy("file").agg(F.max(F.col("start_sample") + own).alias("_len"))
 
-    def unit(tag: int):
-        return F.pmod(F.xxhash64(F.col("file"), F.col("example"), F.lit(seed), F.lit(tag)), F.lit(1 << 30)) / float(1 << 30)
+    def draw(tag: str):
+        return unit([F.col("file"), F.col("example")], seed, tag)
 
     n = F.floor(F.col("_len") / stride).cast("long")
     centres = lengths.filter(n > 0).withColumn("example", F.explode(F.sequence(F.lit(0).cast("long"), n - 1)))
-    s = F.col("example") * stride + (F.floor(unit(1) * stride).cast("long") if translate else F.lit(0))
-    shift = F.floor((2 * unit(2) - 1) * semitones).cast("double") if semitones else F.lit(0.0)
-    shift = shift + (2 * unit(3) - 1) * jitter if jitter else shift
+    s = F.col("example") * stride + (F.floor(draw("s") * stride).cast("long") if translate else F.lit(0))
+    shift = F.floor((2 * draw("p") - 1) * semitones).cast("double") if semitones else F.lit(0.0)
+    shift = shift + (2 * draw("j") - 1) * jitter if jitter else shift
     centres = centres.withColumn("s", s).withColumn("shift", shift)
     centres = centres.withColumn("scale", F.pow(F.lit(2.0), F.col("shift") / 12))
     half = F.floor(F.floor(F.col("scale") * window) / 2).cast("long")

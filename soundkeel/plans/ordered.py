@@ -27,6 +27,7 @@ from ..session import group_rows
 _CHUNK = "_chunk"
 _HOT = "_hot"
 _POS = "_pos"
+_ALL = "_all"
 # Histogram cells per chunk: cells are what chunks are assembled from, so a
 # chunk overshoots the limit by at most one cell.
 _CELLS_PER_CHUNK = 32
@@ -42,29 +43,16 @@ class Running:
     backward: bool = False
 
 
-def _hot_cells(df: DataFrame, keys: Sequence[str], limit: int) -> DataFrame | None:
-    """(key, lo, width, cell, chunk) of the keys above ``limit`` rows, or None."""
-    stats = (
-        df.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_n"), F.min(_POS).alias("_lo"), F.max(_POS).alias("_hi"))
-        .filter(F.col("_n") > limit)
-    )
-    # At most rows/limit keys can pass the filter, so the list is short.
-    rows = stats.collect()
-    if not rows:
-        return None
-    spark = df.sparkSession
-    hot = spark.createDataFrame(rows, stats.schema).select(
-        *keys,
-        F.col("_lo").cast("double").alias("_lo"),
-        (F.greatest(F.col("_hi") - F.col("_lo"), F.lit(1e-9)).cast("double")
-         / (F.ceil(F.col("_n") / F.lit(limit)) * _CELLS_PER_CHUNK)).alias("_width"),
-    )
-    return hot
+@dataclass(frozen=True)
+class Sizes:
+    """Which keys are above the row limit, and how they are cut.
 
+    ``hot``: key, start and width of the key's histogram cells.  ``cells``: key,
+    cell, chunk.  Both are None when every key is below the limit.
+    """
 
-def _cell() -> Column:
-    return F.floor((F.col(_POS).cast("double") - F.col("_lo")) / F.col("_width")).cast("long")
+    hot: DataFrame | None = None
+    cells: DataFrame | None = None
 
 
 def _join_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
@@ -80,35 +68,55 @@ def _join_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str)
     return left.join(renamed, cond, how).drop(*[f"_r_{k}" for k in keys])
 
 
-def split_hot_keys(df: DataFrame, keys: Sequence[str], pos: Column, limit: int) -> DataFrame | None:
-    """Add chunk numbers that cut hot keys along ``pos``; None when no key is hot."""
+def _keyed(df: DataFrame, keys: Sequence[str], pos: Column) -> tuple[DataFrame, list[str]]:
+    """Position column, and a constant key where the whole table is one group."""
     df = df.withColumn(_POS, pos)
-    key_cols = list(keys)
-    measured = df.select(*key_cols, _POS)
-    if not key_cols:
-        # A single global group: give it a constant key so the same plan applies.
-        df = df.withColumn("_all", F.lit(0))
-        measured = measured.withColumn("_all", F.lit(0))
-        key_cols = ["_all"]
-    hot = _hot_cells(measured, key_cols, limit)
-    if hot is None:
-        return None
-    hot = F.broadcast(hot)  # at most rows/limit entries, counted above
-    cells = (
-        _join_keys(measured, hot, key_cols, "inner")
+    return (df, list(keys)) if keys else (df.withColumn(_ALL, F.lit(0)), [_ALL])
+
+
+def _cell() -> Column:
+    return F.floor((F.col(_POS).cast("double") - F.col("_lo")) / F.col("_width")).cast("long")
+
+
+def measure(df: DataFrame, keys: Sequence[str], pos: Column, limit: int | None = None) -> Sizes:
+    """Count the rows per key and cut the keys above ``limit`` along ``pos``.
+
+    May be called on a cheaper DataFrame than the one that is scanned, as long as
+    that one adds no rows per key: a chunk depends on key and position only.
+    """
+    limit = limit or group_rows(df.sparkSession)
+    df, key_cols = _keyed(df, keys, pos)
+    df = df.select(*key_cols, _POS)
+    stats = (
+        df.groupBy(*key_cols)
+        .agg(F.count(F.lit(1)).alias("_n"), F.min(_POS).alias("_lo"), F.max(_POS).alias("_hi"))
+        .filter(F.col("_n") > limit)
+    )
+    rows = stats.collect()  # at most rows/limit keys pass the filter
+    if not rows:
+        return Sizes()
+    span = F.greatest((F.col("_hi") - F.col("_lo")).cast("double"), F.lit(1e-9))
+    hot = df.sparkSession.createDataFrame(rows, stats.schema).select(
+        *key_cols,
+        F.col("_lo").cast("double").alias("_lo"),
+        (span / (F.ceil(F.col("_n") / F.lit(limit)) * _CELLS_PER_CHUNK)).alias("_width"),
+    )
+    counted = (
+        _join_keys(df, F.broadcast(hot), key_cols, "inner")
         .withColumn("_cell", _cell())
         .groupBy(*key_cols, "_cell")
         .agg(F.count(F.lit(1)).alias("_n"))
     )
     w = Window.partitionBy(*key_cols).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
-    cells = cells.select(
-        *key_cols,
-        "_cell",
-        F.floor(F.coalesce(F.sum("_n").over(w), F.lit(0)) / F.lit(limit)).cast("long").alias(_CHUNK),
-    )
-    df = _join_keys(df, hot, key_cols, "left")
+    before = F.coalesce(F.sum("_n").over(w), F.lit(0))
+    cells = counted.select(*key_cols, "_cell", F.floor(before / F.lit(limit)).cast("long").alias(_CHUNK))
+    return Sizes(hot, cells)
+
+
+def _assign(df: DataFrame, key_cols: Sequence[str], sizes: Sizes) -> DataFrame:
+    df = _join_keys(df, F.broadcast(sizes.hot), key_cols, "left")
     df = df.withColumn("_cell", _cell()).withColumn(_HOT, F.col("_lo").isNotNull())
-    df = _join_keys(df, cells, [*key_cols, "_cell"], "left")
+    df = _join_keys(df, sizes.cells, [*key_cols, "_cell"], "left")
     return df.withColumn(_CHUNK, F.coalesce(_CHUNK, F.lit(0).cast("long"))).drop("_cell", "_lo", "_width")
 
 
@@ -139,19 +147,21 @@ def scan(
     order: Sequence[Column],
     running: Mapping[str, Running],
     limit: int | None = None,
+    sizes: Sizes | None = None,
 ) -> DataFrame:
     """Add running values per key.
 
     ``pos`` is a numeric column that never decreases along ``order``; ``order``
     has to be unique per key for results that do not depend on row arrival.
+    ``sizes`` is the result of ``measure`` when several scans share it.
     """
-    limit = limit or group_rows(df.sparkSession)
-    split = split_hot_keys(df, keys, pos, limit)
-    if split is None:
+    sizes = sizes or measure(df, keys, pos, limit)
+    if sizes.hot is None:
         part = list(keys) or [F.lit(0)]
         return df.withColumns({n: _local(s, part, order) for n, s in running.items()})
 
-    key_cols = list(keys) or ["_all"]
+    split, key_cols = _keyed(df, keys, pos)
+    split = _assign(split, key_cols, sizes)
     part = [*key_cols, _CHUNK]
     local = split.withColumns({n: _local(s, part, order) for n, s in running.items()})
     totals = (
@@ -176,9 +186,7 @@ def scan(
             combined[n] = F.coalesce(mine, before)
         else:
             combined[n] = (F.greatest if s.how == "max" else F.least)(mine, before)
-    return out.withColumns(combined).drop(
-        _CHUNK, _HOT, _POS, "_all", *[f"_c_{n}" for n in running]
-    )
+    return out.withColumns(combined).drop(_CHUNK, _HOT, _POS, _ALL, *[f"_c_{n}" for n in running])
 
 
 def previous(value: Column) -> Running:

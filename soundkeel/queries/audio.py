@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import bouts as B
 from ..operators import detect as D
 from ..operators import framing as FR
 from ..operators import levels as LV
@@ -145,7 +146,7 @@ def catalog_spectrograms(spark, sf):
 
 
 def stft_db(spark, sf):
-    return long_form(SG.stft_db(_tailed(spark, sf, 2047))).withColumn("v", r("v", 5))
+    return long_form(SG.stft_db(_tailed(spark, sf, 255), 16, 256, 128)).withColumn("v", r("v", 5))
 
 
 def clip_spectrogram(spark, sf):
@@ -167,10 +168,49 @@ def array_manifest(spark, sf):
 
 def label_spectrogram(spark, sf):
     lab = _labels(spark, sf)
-    out = SG.label_spectrogram(chunks(spark, sf), lab, FS, CHUNK, 8, 8, 100.0, 1500.0, 0.5, 256)
+    out = SG.label_spectrogram(chunks(spark, sf), lab, FS, CHUNK, 4, 2, 100.0, 400.0, 0.5, 256)
     return long_form(out).withColumn("v", r("v", 4))
 
 
+def label_spectrogram_log(spark, sf):
+    """The same on geometric bands."""
+    lab = _labels(spark, sf)
+    out = SG.label_spectrogram(chunks(spark, sf), lab, FS, CHUNK, 4, 2, 100.0, 400.0, 0.5, 256, log=True)
+    return long_form(out).withColumn("v", r("v", 4))
+
+
+def tone_levels(spark, sf):
+    """Calibrated level of a recording per supplier: a tone near 1 kHz from its
+    balance, then its order quantities as the measured part."""
+    sup = table(spark, sf, "supplier")
+    hz = 930 + F.abs(F.col("s_acctbal")) % 140
+    i = F.sequence(F.lit(0), F.lit(19199))
+    tone = sup.select(
+        F.col("s_suppkey").cast("string").alias("file"), F.lit(96000).alias("sample_rate"),
+        F.transform(i, lambda k: 1000 * F.sin(2 * 3.141592653589793 * hz * k / 96000)).alias("x"),
+    )
+    li = table(spark, sf, "lineitem")
+    measured = li.groupBy(F.col("l_suppkey").cast("string").alias("file"), F.col("l_linenumber").alias("chunk_no")).agg(
+        F.collect_list("l_quantity").alias("samples")
+    )
+    out = LV.calibrated_recordings(tone, measured)
+    return out.select("file", r("tone_hz", 3).alias("tone_hz"), *[r(c, 3).alias(c) for c in ("cal_db", "level_db", "spread_db")])
+
+
+def blob_classes(spark, sf):
+    """Signal and background rules on per-order statistics."""
+    o = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(
+        F.count_if(F.col("l_returnflag") != "R").alias("good"), F.count(F.lit(1)).alias("n"),
+        F.countDistinct("l_suppkey").alias("contours"), F.max("l_quantity").alias("area"),
+    )
+    good, share = F.col("good"), F.col("good") / F.col("n")
+    return o.select(
+        "l_orderkey",
+        B.got_signal(good, share, F.col("contours"), F.col("area"), 0.5, 6, 30.0).alias("signal"),
+        B.got_background(good, share, F.col("contours"), 0.6, 3).alias("background"),
+    )
+
+
 def spectrogram_records(spark, sf):
     """Background and call clips with their matrix and record."""
     calls = _labels(spark, sf).withColumn("object_class", F.lit("KW"))
@@ -202,7 +242,7 @@ def augmented_windows(spark, sf):
     out = SG.training_windows(
         chunks(spark, sf), lab, 256, 512, CHUNK, classes=1, translate=True, semitones=2, jitter=0.5, seed=3
     )
-    return out.select("file", "example", "s", r("shift").alias("shift"), F.size("x").alias("n"), F.get("y", F.lit(0)).alias("y"))
+    return out.select("file", "example", "s", r("shift").alias("shift"), F.size("x").alias("n"), F.get("y", F.lit(0)).cast("int").alias("y"))
 
 
 def declick(spark, sf):
@@ -244,7 +284,7 @@ def sample_n(spark, sf):
 
 
 def shuffled(spark, sf):
-    return sampling.shuffled(levels(spark, sf).select("event_id"), ["event_id"], 5)
+    return sampling.shuffled(levels(spark, sf).select("event_id"), ["event_id"], 5).select("event_id", r("draw").alias("draw"))
 
 
 _FRAMED = f"""WITH {SAMPLES_SQL}, len AS (SELECT file, max(idx) + 1 AS n FROM smp GROUP BY 1)"""
@@ -257,6 +297,31 @@ def _frames_cte(win: int, hop: int) -> str:
 _CLIP_SQL = """clip AS (SELECT (vec_id // 256)::VARCHAR AS file, vec_id AS clip_id, (vec_id * 131) % 7000 AS lo,
   (vec_id * 131) % 7000 + 50 + vec_id % 100 AS hi FROM embeddings)"""
 
+def _draw(ids: str, seed) -> str:
+    """SQL of a repeatable draw."""
+    return f"(('0x' || substr(md5({ids} || '|{seed}'), 1, 13))::BIGINT / {16**13}.0::DOUBLE)"
+
+
+def _label_sql(edges: list[int], curve: str) -> str:
+    """Spectrograms of 2 slices and 4 bands from 20 frames of 24 bins."""
+    band = " ".join(f"WHEN k < {8 + e} THEN {i}" for i, e in enumerate(edges[1:]))
+    scale = "(v - min(v) OVER w) / (max(v) OVER w - min(v) OVER w) + 0.01::DOUBLE"
+    return f"""WITH {SAMPLES_SQL}, {_CLIP_SQL},
+win AS (SELECT file, clip_id, greatest(trunc((lo / {FS}.0::DOUBLE + (hi - lo) / {FS}.0::DOUBLE / 2) * {FS})::BIGINT - 800, 0) AS st FROM clip),
+fr AS (SELECT file, clip_id, s, st + s * 80 AS st FROM win, range(0, 20) t(s)),
+uq AS (SELECT DISTINCT file, st FROM fr),
+y AS (SELECT uq.file, st, idx - st AS i, x FROM uq JOIN smp ON smp.file = uq.file AND idx >= st AND idx < st + 256),
+z AS (SELECT *, (x - avg(x) OVER (PARTITION BY file, st)) * (0.5 - 0.5 * cos(2 * pi() * i / 256)) AS v FROM y),
+tw AS (SELECT k, i, cos(2 * pi() * k * i / 256) AS c, sin(2 * pi() * k * i / 256) AS d FROM range(8, 32) a(k), range(0, 256) b(i)),
+p AS (SELECT file, st, k, (pow(sum(v * c), 2) + pow(sum(v * d), 2)) * 2 / 16384 AS v FROM z JOIN tw USING (i) GROUP BY 1, 2, 3),
+r AS (SELECT clip_id, s, k, v FROM fr JOIN p USING (file, st)),
+m AS (SELECT clip_id, s, k, {scale} AS v FROM r WINDOW w AS (PARTITION BY clip_id)),
+c AS (SELECT clip_id, s // 10 AS slice, CASE {band} END AS band, sum(v) / 10 AS v FROM m GROUP BY 1, 2, 3),
+d1 AS (SELECT clip_id, slice, band, 10 * log10({scale}) AS v FROM c WINDOW w AS (PARTITION BY clip_id)),
+d2 AS (SELECT clip_id, slice, band, {scale} AS v FROM d1 WINDOW w AS (PARTITION BY clip_id))
+SELECT clip_id, slice, band, round({curve}, 4) AS v FROM d2"""
+
+
 QUERIES = {
     "level_db": (level_db, """SELECT l_suppkey AS file, count(*) AS n, round(10 * log10(avg(l_quantity * l_quantity)) + 20, 6) AS level_db,
 round(stddev_pop(10 * log10(l_quantity * l_quantity + 1)), 6) AS spread_db FROM lineitem GROUP BY 1"""),
@@ -286,7 +351,10 @@ SELECT fr.file, f AS frame, count(*) AS n, round(sum(x), 6) + 0.0 AS total FROM
 SELECT clip.file, clip_id, count(*) AS n, round(sum(x), 6) + 0.0 AS total FROM clip JOIN smp ON smp.file = clip.file AND idx >= lo AND idx < hi GROUP BY 1, 2"""),
     "centred_windows": (centred_windows, f"""WITH {_CLIP_SQL}, m AS (SELECT clip_id, greatest(trunc((lo / {FS}.0::DOUBLE + (hi - lo) / {FS}.0::DOUBLE / 2) * {FS})::BIGINT - 400, 0) AS s FROM clip)
 SELECT clip_id, s AS start_idx, s + 800 AS end_idx FROM m"""),
-    "jittered_windows": (jittered_windows, None),
+    "jittered_windows": (jittered_windows, f"""WITH {_CLIP_SQL}, d AS (SELECT clip_id, c AS copy, lo / {FS}.0::DOUBLE AS s, (hi - lo) / {FS}.0::DOUBLE AS dur,
+  (2 * {_draw("clip_id || '|' || c", 7)} - 1) * 0.1::DOUBLE AS shift FROM clip, range(1, 4) t(c)),
+w AS (SELECT *, greatest(trunc((greatest(s + shift, 0) + dur / 2) * {FS})::BIGINT - 400, 0) AS st FROM d)
+SELECT clip_id, copy, round(shift, 6) + 0.0 AS shift_s, st AS start_idx, st + 800 AS end_idx FROM w"""),
     "stft_norm": (stft_norm, f"""{_FRAMED}, {_frames_cte(128, 42)},
 y AS (SELECT fr.file, f, idx - st AS i, x / (2 * top) * (0.5 - 0.5 * cos(2 * pi() * (idx - st) / 127)) AS v
   FROM fr JOIN smp ON smp.file = fr.file AND idx >= st AND idx < st + 128 JOIN (SELECT file, max(x) AS top FROM smp GROUP BY 1) m ON m.file = fr.file),
@@ -299,7 +367,11 @@ y AS (SELECT fr.file, f, idx - st AS i, x FROM fr JOIN smp ON smp.file = fr.file
 z AS (SELECT file, f, i, (x - avg(x) OVER (PARTITION BY file, f)) * (0.5 - 0.5 * cos(2 * pi() * i / 256)) AS v FROM y),
 a AS (SELECT file, f, k, pow(sum(v * cos(2 * pi() * k * i / 256)), 2) + pow(sum(v * sin(2 * pi() * k * i / 256)), 2) AS p FROM z, range(0, 129) t(k) GROUP BY 1, 2, 3)
 SELECT file, f AS slice, k AS band, round(1e6 * p * CASE WHEN k IN (0, 128) THEN 1 ELSE 2 END / (44100 * 96), 5) + 0.0 AS v FROM a"""),
-    "stft_db": (stft_db, None),
+    "stft_db": (stft_db, f"""{_FRAMED}, {_frames_cte(256, 128)},
+y AS (SELECT fr.file, f, idx - st AS i, x AS v FROM fr JOIN smp ON smp.file = fr.file AND idx >= st AND idx < st + 256),
+a AS (SELECT file, f, k, 10 * log10(sqrt(pow(sum(v * cos(2 * pi() * k * i / 256)), 2) + pow(sum(v * sin(2 * pi() * k * i / 256)), 2))) AS v
+  FROM y, range(0, 16) t(k) GROUP BY 1, 2, 3)
+SELECT file, f AS frame, k AS band, round(v / greatest(max(v) OVER (PARTITION BY file), 0), 5) + 0.0 AS v FROM a"""),
     "clip_spectrogram": (clip_spectrogram, f"""{_FRAMED}, {_frames_cte(128, 32)},
 y AS (SELECT fr.file, f, idx - st AS i, x AS v FROM fr JOIN smp ON smp.file = fr.file AND idx >= st AND idx < st + 128),
 a AS (SELECT file, f, k, sqrt(pow(sum(v * cos(2 * pi() * k * i / 128)), 2) + pow(sum(v * sin(2 * pi() * k * i / 128)), 2)) AS v FROM y, range(0, 65) t(k) GROUP BY 1, 2, 3)
@@ -316,8 +388,16 @@ u AS (SELECT file, f, st, s, b + 1 AS band, v FROM q UNION ALL SELECT file, f, s
 SELECT file, f AS "window", st / 400.0::DOUBLE AS start_s, st / 400.0::DOUBLE + 3 AS end_s, s AS slice, band, round(v * 1000, 6) AS v FROM u"""),
     "array_manifest": (array_manifest, f"""{_FRAMED}, {_frames_cte(1200, 400)}
 SELECT file, count(*) AS n_arrays, min(st / 400.0::DOUBLE) AS first_s, max(st / 400.0::DOUBLE + 3) AS last_s FROM fr GROUP BY 1"""),
-    "label_spectrogram": (label_spectrogram, None),
-    "spectrogram_records": (spectrogram_records, None),
+    "label_spectrogram": (label_spectrogram, _label_sql([0, 6, 12, 18, 24], "sqrt(sqrt(v))")),
+    "label_spectrogram_log": (label_spectrogram_log, _label_sql([0, 4, 8, 15, 24], "v * v")),
+    "spectrogram_records": (spectrogram_records, f"""WITH {_CLIP_SQL},
+u AS (SELECT clip_id, 'KW' AS object_class, lo / {FS}.0::DOUBLE AS s, (hi - lo) / {FS}.0::DOUBLE AS d FROM clip
+  UNION ALL SELECT -clip_id - 1, 'Background', lo / {FS}.0::DOUBLE + 0.2::DOUBLE, (hi - lo) / {FS}.0::DOUBLE FROM clip),
+w AS (SELECT *, greatest(trunc((s + d / 2) * {FS})::BIGINT - 800, 0) AS st FROM u)
+SELECT clip_id, 8 AS n_slices, object_class, st AS window_start_idx, st + 1600 AS window_stop_idx FROM w"""),
+    "tone_levels": (tone_levels, None),
+    "blob_classes": (blob_classes, """WITH o AS (SELECT l_orderkey, count(*) FILTER (l_returnflag <> 'R') AS good, count(*) AS n, count(DISTINCT l_suppkey) AS c, max(l_quantity) AS a
+  FROM lineitem GROUP BY 1) SELECT l_orderkey, good > 0 AND good / n > 0.5 AND c < 6 AND a > 30 AS signal, good > 0 AND good / n < 0.6::DOUBLE AND c > 3 AS background FROM o"""),
     "training_windows": (training_windows, f"""WITH {SAMPLES_SQL}, {_CLIP_SQL}, len AS (SELECT file, max(idx) + 1 AS n FROM smp GROUP BY 1),
 ex AS (SELECT file, e, e * 512 AS s FROM len, range(0, 1000) t(e) WHERE e < n // 512),
 nr AS (SELECT ex.file, e, sqrt(sum(x * x)) + 1e-7::DOUBLE AS nr FROM ex JOIN smp ON smp.file = ex.file AND idx >= s - 128 AND idx < s + 128 GROUP BY 1, 2),
@@ -325,7 +405,12 @@ y AS (SELECT ex.file, e, coalesce(max((clip_id % 3 = 0)::INT), 0) AS y0, coalesc
   FROM ex LEFT JOIN clip ON clip.file = ex.file AND lo <= s AND s < hi GROUP BY 1, 2)
 SELECT ex.file, ex.e AS example, s, round(coalesce(a.x, 0) / nr, 6) + 0.0 AS x100, round(coalesce(b.x, 0) / nr, 6) + 0.0 AS x200, y0, y1, y2
 FROM ex JOIN nr USING (file, e) JOIN y USING (file, e) LEFT JOIN smp a ON a.file = ex.file AND a.idx = s - 28 LEFT JOIN smp b ON b.file = ex.file AND b.idx = s + 72"""),
-    "augmented_windows": (augmented_windows, None),
+    "augmented_windows": (augmented_windows, f"""WITH {SAMPLES_SQL}, {_CLIP_SQL}, len AS (SELECT file, max(idx) + 1 AS n FROM smp GROUP BY 1),
+ex AS (SELECT file, e, e * 512 + floor({_draw("file || '|' || e", "3s")} * 512)::BIGINT AS s,
+  floor((2 * {_draw("file || '|' || e", "3p")} - 1) * 2) + (2 * {_draw("file || '|' || e", "3j")} - 1) * 0.5 AS shift
+  FROM len, range(0, 1000) t(e) WHERE e < n // 512)
+SELECT file, e AS example, s, round(shift, 6) + 0.0 AS shift, 256 AS n,
+  EXISTS (SELECT 1 FROM clip WHERE clip.file = ex.file AND lo <= s AND s < hi)::INT AS y FROM ex"""),
     "declick": (declick, """WITH s AS (SELECT user_id, event_id AS i, value - 50 AS x, abs(value - 50) AS a FROM events),
 t AS (SELECT *, avg(a) OVER u AS ave, stddev_pop(a) OVER u AS sd, lag(a) OVER o AS l, lead(a) OVER o AS n FROM s
       WINDOW u AS (PARTITION BY user_id), o AS (PARTITION BY user_id ORDER BY i)),
@@ -340,6 +425,6 @@ SELECT i AS event_id, trig AS is_trigger, round(gain, 6) AS gain, round(x * gain
     "detect_calls": (detect_calls, None),
     "scan_status": (scan_status, f"""WITH {SAMPLES_SQL} SELECT file, count(*) AS n_samples, CASE WHEN count(*) >= 10000 THEN 'ok' ELSE 'too short' END AS status FROM smp GROUP BY 1"""),
     "first_arrays": (first_arrays, """SELECT user_id, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) <= 10"""),
-    "sample_n": (sample_n, None),
-    "shuffled": (shuffled, None),
+    "sample_n": (sample_n, f"SELECT event_id, value FROM events ORDER BY {_draw('event_id', 999)}, event_id LIMIT 500"),
+    "shuffled": (shuffled, f"SELECT event_id, round({_draw('event_id', 5)}, 6) AS draw FROM events"),
 }

@@ -15,24 +15,22 @@ def sentences(spark, sf):
     """Events as position sentences: raw fields from the event, then armoured."""
     e, v = F.col("event_id"), F.col("value")
     ev = levels(spark, sf)
-    line = (
-        ais.encode_position(
-            e % 3 + 1,
-            200_000_000 + F.col("user_id"),
-            e % 16,
-            (v * 2).cast("long"),
-            -123 * 600_000 - (e * 7919) % 300_000,
-            48 * 600_000 + (e * 104_729) % 600_000,
-            (e * 37) % 3_700,
-            (e * 13) % 512,
-        )
+    line = ais.encode_position(
+        msg_type=e % 3 + 1,
+        mmsi=200_000_000 + F.col("user_id"),
+        nav_code=e % 16,
+        sog=F.least((v * 2).cast("long"), F.lit(1022)),
+        lon=-123 * 600_000 - (e * 7919) % 300_000,
+        lat=48 * 600_000 + (e * 104_729) % 600_000,
+        cog=(e * 37) % 3_700,
+        heading=(e * 13) % 512,
     )
     return ev.select("event_id", "t", F.inline(F.array(F.struct(line.alias("line")))))
 
 
 RAW_SQL = """raw AS (
   SELECT event_id, epoch_us(ts) AS t, 200000000 + user_id AS mmsi, event_id % 3 + 1 AS msg_type, event_id % 16 AS nav,
-         trunc(value * 2)::BIGINT / 10.0::DOUBLE AS sog, (-123 * 600000 - (event_id * 7919) % 300000) / 600000.0::DOUBLE AS lon,
+         least(trunc(value * 2)::BIGINT, 1022) / 10.0::DOUBLE AS sog, (-123 * 600000 - (event_id * 7919) % 300000) / 600000.0::DOUBLE AS lon,
          (48 * 600000 + (event_id * 104729) % 600000) / 600000.0::DOUBLE AS lat,
          CASE WHEN (event_id * 37) % 3700 < 3600 THEN (event_id * 37) % 3700 / 10.0::DOUBLE END AS cog,
          CASE WHEN (event_id * 13) % 512 < 360 THEN ((event_id * 13) % 512)::DOUBLE END AS heading

@@ -12,19 +12,11 @@ from pyspark.sql import DataFrame, SparkSession
 GROUP_ROWS_KEY = "spark.soundkeel.groupRows"
 DEFAULT_GROUP_ROWS = 1_000_000
 
-# Rows of a dimension that may be broadcast once it has been counted.
-BROADCAST_ROWS_KEY = "spark.soundkeel.broadcastRows"
-DEFAULT_BROADCAST_ROWS = 200_000
-
 
 def group_rows(spark: SparkSession) -> int:
     return int(spark.conf.get(GROUP_ROWS_KEY, str(DEFAULT_GROUP_ROWS)))
 
 
-def broadcast_rows(spark: SparkSession) -> int:
-    return int(spark.conf.get(BROADCAST_ROWS_KEY, str(DEFAULT_BROADCAST_ROWS)))
-
-
 def pin_utc(spark: SparkSession) -> SparkSession:
     """All time arithmetic here is in UTC."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
