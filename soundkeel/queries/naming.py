@@ -34,7 +34,7 @@ def hls_parts(spark, sf):
 
 
 def hls_between_hours(spark, sf):
-    out = C.between_hours(C.segments(_keys(spark, sf)), 10.0, 6.0, 12.0)
+    out = C.between_hours(C.segments(_keys(spark, sf)), 10.0, 1.0, 2.5)
     return out.select("event_id", "node", "seq")
 
 
@@ -143,7 +143,7 @@ def call_codes(spark, sf):
 
 QUERIES = {
     "hls_parts": (hls_parts, f"""WITH {_KEYS} SELECT event_id, node, folder, seq, lpad(seq::VARCHAR, 4, '0') AS padded FROM k"""),
-    "hls_between_hours": (hls_between_hours, f"WITH {_KEYS} SELECT event_id, node, seq FROM k WHERE seq * 10.0 / 3600 >= 6 AND seq * 10.0 / 3600 < 12"),
+    "hls_between_hours": (hls_between_hours, f"WITH {_KEYS} SELECT event_id, node, seq FROM k WHERE seq * 10.0 / 3600 >= 1 AND seq * 10.0 / 3600 < 2.5"),
     "hls_order": (hls_order, f"""WITH {_KEYS} SELECT node, folder, string_agg(DISTINCT lpad(seq::VARCHAR, 4, '0'), ',' ORDER BY lpad(seq::VARCHAR, 4, '0')) AS seqs FROM k GROUP BY 1, 2"""),
     "recording_times": (recording_times, """SELECT event_id, 'OS_' || strftime(ts, '%m_%d_%Y_%H_%M_%S') || '_' AS base, epoch_us(ts) // 1000000 AS taken,
 (epoch_us(ts) // 1000000) * 1000000 + round(1000 * 1000000 / 44100.0::DOUBLE)::BIGINT AS frame_us FROM events"""),
