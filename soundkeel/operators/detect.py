@@ -106,22 +106,39 @@ def gate_frames(spectra: DataFrame, background: DataFrame, bin_hz: float, adapti
     return found.withColumn("peak", F.when(~F.isnan("peak"), F.col("peak")))
 
 
-def detector_frames(chunks: DataFrame, fs: float, adaptive: bool = False, smooth: bool = False) -> DataFrame:
+def detector_frames(
+    chunks: DataFrame, fs: float, adaptive: bool = False, smooth: bool = False, heads: DataFrame | None = None
+) -> DataFrame:
     """Gated frames of chunks that carry a tail of ``WIN - 1`` samples.
 
     Frames cut by the end of the recording are kept from one hop upwards.
+    ``heads``: the chunks with the first samples of each recording, when they can
+    be read on their own.
     """
     from .spectra import smooth_spectrum
 
     framed = frames(chunks, WIN, HOP, min_len=HOP)
     psd = kernels.welch(F.col("x"), fs, SEGMENT)
     spectra = framed.select("file", "frame", "start_sample", (smooth_spectrum(psd) if smooth else psd).alias("psd"))
-    return gate_frames(spectra, initial_background(chunks, fs), fs / SEGMENT, adaptive)
+    return gate_frames(spectra, initial_background(chunks if heads is None else heads, fs), fs / SEGMENT, adaptive)
 
 
 def detect_calls(chunks: DataFrame, fs: float, adaptive: bool = False, smooth: bool = False,
-                 keep_open: bool = False) -> DataFrame:
-    return segment_calls(detector_frames(chunks, fs, adaptive, smooth), keep_open=keep_open)
+                 keep_open: bool = False, heads: DataFrame | None = None) -> DataFrame:
+    return segment_calls(detector_frames(chunks, fs, adaptive, smooth, heads), keep_open=keep_open)
+
+
+def scan_folder(spark, path: str, fs: float, chunk_samples: int = 1 << 16, **options) -> DataFrame:
+    """Calls in all recordings of a folder.
+
+    Frames need no shuffle (chunks are read with their tails) and the starting
+    backgrounds come from a second, small read of the first chunks.
+    """
+    from ..sources.wav import first_channel, read_wav
+
+    chunks = first_channel(read_wav(spark, path, chunk_samples, WIN - 1))
+    heads = first_channel(read_wav(spark, path, chunk_samples, stop=BACKGROUND_TO))
+    return detect_calls(chunks, fs, heads=heads, **options)
 
 
 def scan_status(chunks: DataFrame) -> DataFrame:

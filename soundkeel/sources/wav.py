@@ -3,8 +3,10 @@
 ``spark.read.format("wav_chunks").option("path", folder).load()`` plans one input
 partition per byte range, so one long recording is read by many tasks.  With
 ``tail`` a chunk row also carries the samples that follow it, which lets frames
-be cut without a shuffle.  Filters on ``file`` and ``start_sample`` select byte
-ranges before anything is read.
+be cut without a shuffle.  The options ``files``, ``fromSample`` and ``toSample``
+select byte ranges before anything is read.  (They are options, not pushed
+filters: Spark keeps pushed filters on the loaded relation, so two differently
+filtered branches of one DataFrame would see each other's.)
 
 The path has to be mounted on every executor.  For object stores without a
 mount, ``decode_recordings`` works on the rows of Spark's binary file reader.
@@ -22,17 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import (
-    DataSource,
-    DataSourceReader,
-    EqualTo,
-    GreaterThan,
-    GreaterThanOrEqual,
-    In,
-    InputPartition,
-    LessThan,
-    LessThanOrEqual,
-)
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 CHUNK_SAMPLES = 1 << 16
 CHUNKS_PER_PARTITION = 64
@@ -138,22 +130,9 @@ class WavReader(DataSourceReader):
         self.chunk = int(options.get("chunksamples", CHUNK_SAMPLES))
         self.tail = int(options.get("tail", 0))
         self.per_partition = int(options.get("chunksperpartition", CHUNKS_PER_PARTITION))
-        self.files: set[str] | None = None
-        self.lo, self.hi = 0, None
-
-    def pushFilters(self, filters):
-        for f in filters:
-            name = f.attribute[0] if len(f.attribute) == 1 else None
-            if name == "file" and isinstance(f, (EqualTo, In)):
-                wanted = {f.value} if isinstance(f, EqualTo) else set(f.value)
-                self.files = wanted if self.files is None else self.files & wanted
-            elif name == "start_sample" and isinstance(f, (GreaterThan, GreaterThanOrEqual)):
-                self.lo = max(self.lo, f.value)
-            elif name == "start_sample" and isinstance(f, (LessThan, LessThanOrEqual)):
-                stop = f.value + (1 if isinstance(f, LessThanOrEqual) else 0)
-                self.hi = stop if self.hi is None else min(self.hi, stop)
-            # Every filter is also left to Spark: pruning here is only coarse.
-            yield f
+        self.files = set(options["files"].split("|")) if "files" in options else None
+        self.lo = int(options.get("fromsample", 0))
+        self.hi = int(options["tosample"]) if "tosample" in options else None
 
     def _paths(self) -> list[str]:
         if os.path.isdir(self.path):
@@ -202,14 +181,27 @@ class WavChunks(DataSource):
 
 
 def register(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(WavChunks)
 
 
-def read_wav(spark: SparkSession, path: str, chunk_samples: int = CHUNK_SAMPLES, tail: int = 0) -> DataFrame:
-    """Chunks of all recordings under ``path`` with their channels."""
+def read_wav(
+    spark: SparkSession, path: str, chunk_samples: int = CHUNK_SAMPLES, tail: int = 0, files: list[str] | None = None,
+    start: int = 0, stop: int | None = None,
+) -> DataFrame:
+    """Chunks of the recordings under ``path`` with their channels.
+
+    ``files`` names recordings; ``start`` and ``stop`` limit the read to chunks
+    that touch these samples.
+    """
     register(spark)
-    return spark.read.format("wav_chunks").option("chunkSamples", chunk_samples).option("tail", tail).load(path)
+    reader = (
+        spark.read.format("wav_chunks").option("chunkSamples", chunk_samples).option("tail", tail).option("fromSample", start)
+    )
+    if files is not None:
+        reader = reader.option("files", "|".join(files))
+    if stop is not None:
+        reader = reader.option("toSample", stop)
+    return reader.load(path)
 
 
 def first_channel(chunks: DataFrame, k: int = 0) -> DataFrame:
