@@ -31,6 +31,7 @@ def segment_calls(
     frame: str = "start_sample",
     keep_open: bool = False,
     limit: int | None = None,
+    sizes: Sizes | None = None,
 ) -> DataFrame:
     """Calls from per-frame detections (``n_peaks, f0, peak``).
 
@@ -38,7 +39,7 @@ def segment_calls(
     still open at the end of the recording is left out unless ``keep_open``.
     """
     at = F.col(frame)
-    numbered = runs(frames, keys, at, [at], F.col("n_peaks") > 0, limit)
+    numbered = runs(frames, keys, at, [at], F.col("n_peaks") > 0, limit, sizes)
     on = F.col("flag")
     n = F.count_if(on)
     std = F.stddev_pop(F.when(on, F.col("peak")))
@@ -102,11 +103,11 @@ def bout_report(
 
 def merge_segments(
     rows: DataFrame, keys: Sequence[str], pos: Column, order: Sequence[Column], label: str, at: Column,
-    limit: int | None = None,
+    limit: int | None = None, sizes: Sizes | None = None,
 ) -> DataFrame:
     """Merge neighbours with equal labels into segments (label must not be null)."""
     rows = rows.withColumn("_at", at)
-    sizes = measure(rows, keys, pos, limit)
+    sizes = sizes or measure(rows, keys, pos, limit)
     seen = scan(rows, keys, pos, order, {"_prev": previous(F.col(label))}, limit, sizes)
     changed = (F.col("_prev").isNull() | (F.col("_prev") != F.col(label))).cast("long")
     numbered = scan(seen.withColumn("_new", changed), keys, pos, order, {"_seg": Running(F.col("_new"))}, limit, sizes)

@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.ordered import Sizes
 from . import kernels
 from .bouts import segment_calls
 from .framing import frames
@@ -125,7 +126,10 @@ def detector_frames(
 
 def detect_calls(chunks: DataFrame, fs: float, adaptive: bool = False, smooth: bool = False,
                  keep_open: bool = False, heads: DataFrame | None = None) -> DataFrame:
-    return segment_calls(detector_frames(chunks, fs, adaptive, smooth, heads), keep_open=keep_open)
+    # A file of at most 4 GiB has at most 2.1 million frames, so no recording needs
+    # cutting, and counting the frames first would run the whole detector twice.
+    found = detector_frames(chunks, fs, adaptive, smooth, heads)
+    return segment_calls(found, keep_open=keep_open, sizes=Sizes())
 
 
 def scan_folder(spark, path: str, fs: float, chunk_samples: int = 1 << 16, **options) -> DataFrame:

@@ -17,7 +17,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.draws import unit
-from ..plans.halo import drop_halo, halo_window, with_halo
 
 # Window and hop (samples) of the framing profiles; hop 0 means
 # "from the sample rate" and is given by the caller.
@@ -31,19 +30,37 @@ PROFILES = {
 
 
 def with_tail(chunks: DataFrame, tail: int, chunk_len: int, keys: Sequence[str] = ("file",)) -> DataFrame:
-    """Append up to ``tail`` following samples to each chunk.
+    """Chunks with up to ``tail`` following samples.
 
-    Chunks are numbered densely and hold ``chunk_len`` samples except the last.
+    Input chunks are numbered densely and hold ``chunk_len`` samples except the
+    last.  Short ones are joined into blocks of at least four tails; a block also
+    receives the first samples of the chunks after it.  One shuffle, and at most
+    a quarter of the samples is copied.
     """
-    reach = math.ceil(tail / chunk_len)
-    size = max(64, reach * 4)
-    w = halo_window(keys, "chunk_no").rowsBetween(0, reach)
-    halo = with_halo(chunks, "chunk_no", size, before=0, after=reach)
-    joined = halo.withColumn("n_own", F.size("samples")).withColumn(
-        "samples",
-        F.slice(F.flatten(F.collect_list("samples").over(w)), F.lit(1), F.col("n_own") + F.lit(tail)),
+    per_block = max(1, math.ceil(4 * tail / chunk_len))
+    own_block = F.floor(F.col("chunk_no") / per_block).cast("long")
+    first_block = F.floor((F.col("chunk_no") - math.ceil(tail / chunk_len)) / per_block).cast("long")
+    spread = chunks.withColumn("_own", own_block).withColumn(
+        "_block", F.explode(F.sequence(F.greatest(first_block, F.lit(0)), F.col("_own")))
+    )
+    own = F.col("_block") == F.col("_own")
+    piece = F.when(own, F.col("samples")).otherwise(F.slice("samples", 1, min(tail, chunk_len)))
+    rest = [c for c in chunks.columns if c not in (*keys, "chunk_no", "start_sample", "samples", "n_own")]
+    pieces = F.array_sort(F.collect_list(F.struct("chunk_no", piece.alias("piece"))))
+    blocks = spread.groupBy(*keys, "_block").agg(
+        F.min(F.when(own, F.col("start_sample"))).alias("start_sample"),
+        F.sum(F.when(own, F.size("samples")).otherwise(0)).cast("int").alias("n_own"),
+        F.flatten(F.transform(pieces, lambda p: p["piece"])).alias("samples"),
+        *[F.first(c).alias(c) for c in rest],
+    )
+    return blocks.filter("n_own > 0").select(
+        *keys,
+        *rest,
+        F.col("_block").alias("chunk_no"),
+        "start_sample",
+        "n_own",
+        F.slice("samples", F.lit(1), F.col("n_own") + F.lit(tail)).alias("samples"),
     )
-    return drop_halo(joined)
 
 
 def frames(chunks: DataFrame, win: int, hop: int, min_len: int | None = None) -> DataFrame:

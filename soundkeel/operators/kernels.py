@@ -215,7 +215,11 @@ def first_peaks(spec: np.ndarray, prominence: float, widths: tuple[float, float]
 
 def tone_measure(x: Column, nfft: int, prominence: float = 2.0, widths: tuple[float, float] = (1.0, 2.0)) -> Column:
     """First spectral peak of a tapered tone by the width rule and by the
-    prominence rule, and the mean square of the tapered samples."""
+    prominence rule, and the mean square of the tapered samples.
+
+    Marked as not repeatable so that a filter on the result does not make Spark
+    evaluate the kernel a second time below it.
+    """
 
     @arrow_udf("struct<by_width: int, by_prominence: int, mean_square: double>")
     def kernel(v: pa.Array) -> pa.Array:
@@ -231,4 +235,4 @@ def tone_measure(x: Column, nfft: int, prominence: float = 2.0, widths: tuple[fl
             [*cols, pa.array(power, pa.float64())], ["by_width", "by_prominence", "mean_square"]
         )
 
-    return kernel(x)
+    return kernel.asNondeterministic()(x)

@@ -182,7 +182,8 @@ def label_spectrogram_log(spark, sf):
 def tone_levels(spark, sf):
     """Calibrated level of a recording per supplier: a tone near 1 kHz from its
     balance, then its order quantities as the measured part."""
-    sup = table(spark, sf, "supplier")
+    # Few rows with much work in each: a fixed number of tasks, not merged again.
+    sup = table(spark, sf, "supplier").repartition(spark.sparkContext.defaultParallelism, "s_suppkey")
     hz = 930 + F.abs(F.col("s_acctbal")) % 140
     i = F.sequence(F.lit(0), F.lit(19199))
     tone = sup.select(

@@ -8,6 +8,7 @@ from ..functions.arrays import l2_normalise
 from ..operators import bouts as B
 from ..operators import knn as N
 from ..operators import scores as S
+from ..plans.ordered import measure
 from .common import HOPS_SQL, SCORES_SQL, VECTORS_PER_FILE, hops, r, scores, table
 
 BLOCK = 4
@@ -97,11 +98,13 @@ def knn_classify(spark, sf):
 
 def segment_classify(spark, sf):
     """Windows of each recording classified, equal neighbours merged."""
-    q = F.col("query_id")
-    rows = _classified(spark, sf).select(
-        F.floor(q / VECTORS_PER_FILE).alias("file"), (q % VECTORS_PER_FILE).alias("win"), "label"
-    )
-    return B.merge_segments(rows, ["file"], F.col("win"), [F.col("win")], "label", F.col("win"))
+    def place(df, key):
+        return df.withColumns({"file": F.floor(F.col(key) / VECTORS_PER_FILE), "win": F.col(key) % VECTORS_PER_FILE})
+
+    # Measured on the table, not on the classified rows, which are dear to compute.
+    sizes = measure(place(table(spark, sf, "embeddings").select("vec_id"), "vec_id"), ["file"], F.col("win"))
+    rows = place(_classified(spark, sf), "query_id").select("file", "win", "label")
+    return B.merge_segments(rows, ["file"], F.col("win"), [F.col("win")], "label", F.col("win"), sizes=sizes)
 
 
 _TRAIN = f"""{HOPS_SQL.format(n=BLOCK)},
