@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.bands import geo_bands
 from ..functions.geo import db
 from . import kernels
-from .framing import PROFILES, centred_windows, frames
+from .framing import PROFILES, centred_windows, cut_clips, frames
 from .levels import peak_norm
 from .spectra import (
     CLIP_FLOOR,
@@ -111,21 +111,51 @@ def window_arrays(
     ).withColumn("broadband_db", db(F.get("x", F.lit(0)), cal_db))
 
 
-def label_windows(chunks: DataFrame, labels: DataFrame, fs: int, delta_t: float, chunk_len: int, extra: int) -> DataFrame:
+def label_windows(
+    chunks: DataFrame, labels: DataFrame, fs: int, delta_t: float, chunk_len: int, extra: int,
+    lengths: DataFrame | None = None,
+) -> DataFrame:
     """Samples of the centred window of each label, with ``extra`` samples after
-    it for the frames that reach over its end."""
-    from .framing import cut_clips
+    it for the frames that reach over its end.
 
-    spans = centred_windows(labels, fs, delta_t)
-    reach = spans.withColumn("end_idx", F.col("end_idx") + extra)
-    cut = cut_clips(chunks, reach.select("file", "clip_id", "start_idx", "end_idx"), chunk_len)
-    return cut.withColumn("end_idx", F.col("end_idx") - extra)
+    ``lengths`` (file, n_samples): recordings shorter than the window are first
+    put in the middle of a silent window; without it they are left as they are.
+    """
+    width = int(delta_t * fs)
+    spans = centred_windows(labels, fs, delta_t).select("file", "clip_id", F.col("start_idx").alias("_lo"))
+    if lengths is None:
+        spans = spans.withColumn("_n", F.lit(width).cast("long"))
+    else:
+        spans = spans.join(lengths.select("file", F.col("n_samples").cast("long").alias("_n")), "file")
+    short = F.col("_n") < width
+    wanted = spans.withColumns(
+        {
+            "start_idx": F.when(short, F.lit(0)).otherwise(F.col("_lo")),
+            "end_idx": F.when(short, F.col("_n")).otherwise(F.col("_lo") + width + extra),
+        }
+    )
+    cut = cut_clips(chunks, wanted.select("file", "clip_id", "start_idx", "end_idx"), chunk_len)
+    if lengths is None:
+        return cut.withColumn("end_idx", F.col("start_idx") + width)
+    half = F.floor(F.col("_n") / 2).cast("int")
+    silence = lambda n: F.array_repeat(F.lit(0.0).cast("float"), n)
+    padded = F.concat(
+        silence(width // 2 - half),
+        F.slice(F.col("samples").cast("array<float>"), F.lit(1), 2 * half),
+        silence(width + 1 - (width // 2 + half)),
+    )
+    placed = F.slice(padded, (F.col("_lo") + 1).cast("int"), F.lit(width + extra))
+    joined = cut.drop("start_idx", "end_idx").join(spans, ["file", "clip_id"])
+    return joined.select(
+        "file", "clip_id", F.col("_lo").alias("start_idx"), (F.col("_lo") + width).alias("end_idx"),
+        F.when(short, placed).otherwise(F.col("samples").cast("array<float>")).alias("samples"),
+    )
 
 
 def label_spectrogram(
     chunks: DataFrame, labels: DataFrame, fs: int, chunk_len: int, n_bands: int = 80, n_slices: int = 80,
     lo: float = 400.0, hi: float = 10000.0, delta_t: float = 3.0, nfft: int = 512, log: bool = False,
-    per_row_division: bool = False,
+    per_row_division: bool = False, lengths: DataFrame | None = None,
 ) -> DataFrame:
     """Scaled ``n_bands x n_slices`` spectrogram per label (``clip_id``).
 
@@ -138,7 +168,7 @@ def label_spectrogram(
     width = int(delta_t * fs)
     step = width // n_raw
     reach = int(max(1.25 * nfft, step))
-    clips = label_windows(chunks, labels, fs, delta_t, chunk_len, reach)
+    clips = label_windows(chunks, labels, fs, delta_t, chunk_len, reach, lengths)
     first, last = -int(-lo * nfft // fs), -int(-hi * nfft // fs)
     n_bins = last - first
 
@@ -193,7 +223,6 @@ def training_windows(
     the ends, unit length, resampled to ``window`` samples.  All random draws are
     hashes of (file, example, seed), so a retried task draws the same.
     """
-    from .framing import cut_clips
     from .labels import presence
     from ..functions.arrays import l2_normalise, resample_linear
     from ..functions.draws import unit

@@ -74,10 +74,17 @@ def read_annotation_log(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, schema=ANNOTATION_LOG)
 
 
-def read_ais(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
-    """Sentence lines with the time they were read, as a batch or a stream."""
-    reader = spark.readStream if stream else spark.read
-    return reader.format("text").load(path).select(F.col("value").alias("line"), F.current_timestamp().alias("recv_ts"))
+def read_ais(
+    spark: SparkSession, path: str | None = None, stream: bool = False, source: str = "text", **options: str
+) -> DataFrame:
+    """Sentence lines with the time they were read, as a batch or a stream.
+
+    ``source`` is any Spark source with a ``value`` column (text, kafka, socket);
+    ``options`` are its options.
+    """
+    reader = (spark.readStream if stream else spark.read).format(source).options(**options)
+    raw = reader.load(path) if path else reader.load()
+    return raw.select(F.col("value").cast("string").alias("line"), F.current_timestamp().alias("recv_ts"))
 
 
 def read_range_report(spark: SparkSession, path: str) -> DataFrame:

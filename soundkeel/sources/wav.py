@@ -204,6 +204,27 @@ def read_wav(
     return reader.load(path)
 
 
+def read_headers(files: DataFrame, path: str) -> DataFrame:
+    """Rate, channels, encoding and length of each recording in ``files`` (column
+    ``file``, names below ``path``); only headers are read."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for name in b.column(0).to_pylist():
+                with open(os.path.join(path, name), "rb") as f:
+                    h = read_header(f)
+                rows.append({"file": name, "sample_rate": h.sample_rate, "channels": h.channels,
+                             "subtype": h.subtype, "n_samples": h.n_samples})
+            schema = pa.schema([("file", pa.string()), ("sample_rate", pa.int32()), ("channels", pa.int32()),
+                                ("subtype", pa.string()), ("n_samples", pa.int64())])
+            yield pa.RecordBatch.from_pylist(rows, schema)
+
+    return files.select("file").mapInArrow(
+        read, "file string, sample_rate int, channels int, subtype string, n_samples long"
+    )
+
+
 def first_channel(chunks: DataFrame, k: int = 0) -> DataFrame:
     return chunks.withColumn("samples", F.get("ch", F.lit(k))).drop("ch")
 

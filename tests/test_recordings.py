@@ -219,6 +219,20 @@ def test_short_file_windows_are_marked(spark, folder):
     assert got[0] == (5001 - 256) // 224 + 1 and got[1] == 129
 
 
+def test_short_recordings_are_centred(spark, folder):
+    c = wav.first_channel(wav.read_wav(spark, str(folder), 512))
+    files = spark.createDataFrame([("b_mono.wav",), ("a_stereo.WAV",)], "file string")
+    heads = wav.read_headers(files, str(folder))
+    assert {r["file"]: (r["n_samples"], r["channels"]) for r in heads.collect()} == {"b_mono.wav": (5001, 1), "a_stereo.WAV": (700, 2)}
+    lab = [("b_mono.wav", 1, 2000 / FS, 0.0), ("a_stereo.WAV", 2, 600 / FS, 0.0)]
+    labels = spark.createDataFrame(lab, "file string, clip_id long, start_s double, duration_s double")
+    got = {r["clip_id"]: r for r in spectrograms.label_windows(c, labels, FS, 1000 / FS, 512, 64, heads).collect()}
+    assert got[1]["samples"] == samples(folder, "b_mono.wav")[1500:2564, 0].tolist()
+    p = np.zeros(1001, np.float32)
+    p[150:850] = samples(folder, "a_stereo.WAV")[:, 0]
+    assert got[2]["samples"] == p[100:1164].tolist() and (got[2]["start_idx"], got[2]["end_idx"]) == (100, 1100)
+
+
 def test_declick_leaves_quiet_recordings_alone(spark):
     rng = np.random.default_rng(9)
     x = rng.normal(0, 1, 2000)
