@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import simhash
+from . import mixing, rules, shards, simhash, winnow
 from .common import table
 
 
@@ -12,6 +12,27 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards.shard_documents(table(spark, sf_dir, "documents"))
+
+
+def op8_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.judge(table(spark, sf_dir, "documents"))
+
+
+def op9_winnow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = winnow.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.drop("spans")
+
+
+def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_documents(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op2_simhash": (op2_simhash, None),
+    "op5_kd_shards": (op5_kd_shards, None),
+    "op8_rules": (op8_rules, None),
+    "op9_winnow": (op9_winnow, None),
+    "op10_mix": (op10_mix, None),
 }
