@@ -2,16 +2,26 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, rules, shards, simhash, winnow
+from . import mixing, rules, shards, simhash, tokens, warc, winnow
 from .common import table
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    return tokens.round_trip(table(spark, sf_dir, "documents"), str(path))
+
+
 def op5_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.shard_documents(table(spark, sf_dir, "documents"))
 
@@ -30,7 +40,9 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_warc": (op1_warc, None),
     "op2_simhash": (op2_simhash, None),
+    "op3_tokens": (op3_tokens, None),
     "op5_kd_shards": (op5_kd_shards, None),
     "op8_rules": (op8_rules, None),
     "op9_winnow": (op9_winnow, None),
