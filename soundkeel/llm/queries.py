@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import mixing, rules, shards, simhash, tokens, warc, winnow
+from . import mixing, quality_cnn, rules, secrets, shards, simhash, tokens, urls, warc, winnow
 from .common import table
 
 
@@ -22,10 +23,24 @@ def op3_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.round_trip(table(spark, sf_dir, "documents"), str(path))
 
 
+def op4_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels are those of the document with the page's number: bad is quality 0."""
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), (1 - F.col("quality")).alias("bad"))
+    return urls.judge(table(spark, sf_dir, "pages"), labels)
+
+
 def op5_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.find_secrets(table(spark, sf_dir, "documents"))
+
+
+def op7_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_cnn.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judge(table(spark, sf_dir, "documents"))
 
@@ -43,7 +58,10 @@ QUERIES = {
     "op1_warc": (op1_warc, None),
     "op2_simhash": (op2_simhash, None),
     "op3_tokens": (op3_tokens, None),
+    "op4_urls": (op4_urls, None),
     "op5_kd_shards": (op5_kd_shards, None),
+    "op6_secrets": (op6_secrets, None),
+    "op7_cnn": (op7_cnn, None),
     "op8_rules": (op8_rules, None),
     "op9_winnow": (op9_winnow, None),
     "op10_mix": (op10_mix, None),
