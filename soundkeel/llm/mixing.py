@@ -80,23 +80,6 @@ def _mixed(d: DataFrame, weights: Sequence[float], max_epochs: int) -> DataFrame
     return d.drop("_range", "_s", "_r", "_ahead", "_inside", "n_docs")
 
 
-def mix(
-    df: DataFrame, size: str, source: str, keys: Sequence[str], weights: Sequence[float] = WEIGHTS,
-    max_epochs: int = MAX_EPOCHS, seed: int = 42,
-) -> DataFrame:
-    """Adds source_size, target and taken (the size units that the mix takes of a row).
-
-    ``size``: long column, not negative.  ``keys``: columns that tell rows apart; their hash
-    with the seed is the random order, so reruns agree.  Rows with equal keys are
-    ordered by size.  ``df`` is read three times and should be a stored table.
-    """
-    d = df.withColumns({
-        "_source": F.col(source), "_key": _order([F.col(k) for k in keys], seed), "_size": F.col(size).cast("long"),
-    })
-    out = _mixed(d, weights, max_epochs).withColumn("taken", F.col("_epochs") * F.col("_size") + F.col("_part"))
-    return out.drop("_source", "_key", "_size", "_epochs", "_part")
-
-
 def mix_documents(
     df: DataFrame, text: str = "text", source: str = "source", id_col: str = "doc_id",
     weights: Sequence[float] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: int = 42,
