@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import geo
-from .arrays import let
+
 
 # Navigation status texts, code 0 to 15.
 NAV_STATUS = (
@@ -43,31 +43,6 @@ FIELDS = {
 }
 
 
-def ais_bits(payload: Column) -> Column:
-    """Armoured payload to a string of 0 and 1, six bits per character."""
-
-    def six(code: Column) -> Column:
-        return F.lpad(F.bin(F.when(code > 40, code - 8).otherwise(code)), 6, "0")
-
-    def unpack(p: Column) -> Column:
-        chars = F.transform(F.sequence(F.lit(1), F.length(p)), lambda i: F.ascii(F.substring(p, i, F.lit(1))) - 48)
-        return F.when(F.length(p) > 0, F.array_join(F.transform(chars, six), ""))
-
-    return let(payload, unpack)
-
-
-def ubits(bits: Column, i: int, j: int) -> Column:
-    """Unsigned value of bits [i, j); NULL when the message is too short."""
-    field = F.substring(bits, i + 1, j - i)
-    return F.when(F.length(field) == j - i, F.conv(field, 2, 10).cast("long"))
-
-
-def sbits(bits: Column, i: int, j: int) -> Column:
-    """Two's complement value of bits [i, j)."""
-    value = ubits(bits, i, j)
-    return F.when(value >= 2 ** (j - i - 1), value - 2 ** (j - i)).otherwise(value)
-
-
 # The armour is a 6-bit code like base64 with another alphabet.
 _ARMOUR = "".join(map(chr, [*range(48, 88), *range(96, 120)]))
 _BASE64 = string.ascii_uppercase + string.ascii_lowercase + string.digits + "+/"
@@ -96,33 +71,6 @@ def byte_sbits(data: Column, i: int, j: int) -> Column:
     return byte_ubits(data, i, j).bitwiseXOR(F.lit(top).cast("long")) - top
 
 
-def payload_ubits(payload: Column, i: int, j: int) -> Column:
-    """Unsigned value of bits [i, j) straight from the payload characters.
-
-    Only the characters the field touches are looked at, as plain integer
-    arithmetic that compiles into the scan's generated code.
-    """
-    first, last = i // 6, (j - 1) // 6
-    value = None
-    for k in range(first, last + 1):
-        code = F.ascii(F.substring(payload, k + 1, 1)) - 48
-        code = F.when(code > 40, code - 8).otherwise(code).cast("long")
-        value = code if value is None else value * 64 + code
-    value = F.shiftright(value, 6 * (last + 1) - j).bitwiseAND(F.lit((1 << (j - i)) - 1).cast("long"))
-    return F.when(F.length(payload) > last, value)
-
-
-def payload_sbits(payload: Column, i: int, j: int) -> Column:
-    value = payload_ubits(payload, i, j)
-    return F.when(value >= 2 ** (j - i - 1), value - 2 ** (j - i)).otherwise(value)
-
-
-def to_bits(value: Column, width: int) -> Column:
-    """Bit string of a (possibly negative) integer; inverse of ubits/sbits."""
-    wrapped = F.when(value < 0, value + 2**width).otherwise(value).cast("long")
-    return F.lpad(F.bin(wrapped), width, "0")
-
-
 def nav_status(code: Column) -> Column:
     table = F.array(*[F.lit(t) for t in NAV_STATUS])
     return F.try_element_at(table, (code + 1).cast("int"))
@@ -132,11 +80,13 @@ def is_position(line: Column) -> Column:
     """Sentence with a position report: AIVDM and message type 1, 2 or 3.
 
     The first payload character carries the type, so most sentences are dropped
-    before any bit is unpacked.
+    before any bit is unpacked.  Truncated payloads and payloads with characters
+    outside the armour are no positions.
     """
     part = F.split(line, ",")
-    first = F.substring(F.try_element_at(part, F.lit(6)), 1, 1)
-    return (F.try_element_at(part, F.lit(1)) == "!AIVDM") & first.isin("0", "1", "2", "3")
+    payload = F.try_element_at(part, F.lit(6))
+    whole = payload.rlike(f"^[0-3][0-W`-w]{{{_CHARS - 1},}}$")
+    return (F.try_element_at(part, F.lit(1)) == "!AIVDM") & F.coalesce(whole, F.lit(False))
 
 
 def decode_ais(df: DataFrame, line: str = "line") -> DataFrame:

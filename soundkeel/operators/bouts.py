@@ -8,13 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geo import db
-from ..plans.ordered import Running, Sizes, measure, previous, scan
+from ..plans.ordered import Running, cut, previous, scan, uncut
+from ..plans.sizes import join_small
 
 
-def runs(
-    rows: DataFrame, keys: Sequence[str], pos: Column, order: Sequence[Column], flag: Column, limit: int | None = None,
-    sizes: Sizes | None = None,
-) -> DataFrame:
+def runs(rows: DataFrame, keys: Sequence[str], order: Sequence[Column], flag: Column) -> DataFrame:
     """Number the runs of flagged rows.
 
     ``run`` counts the unflagged rows before a row, so a run and the unflagged
@@ -22,7 +20,7 @@ def runs(
     """
     marked = rows.withColumn("flag", F.coalesce(flag, F.lit(False)))
     quiet_before = Running((~F.col("flag")).cast("long"), "sum", inclusive=False)
-    return scan(marked, keys, pos, order, {"run": quiet_before}, limit, sizes)
+    return uncut(scan(cut(marked, keys, order), order, {"run": quiet_before}))
 
 
 def segment_calls(
@@ -30,8 +28,6 @@ def segment_calls(
     keys: Sequence[str] = ("file",),
     frame: str = "start_sample",
     keep_open: bool = False,
-    limit: int | None = None,
-    sizes: Sizes | None = None,
 ) -> DataFrame:
     """Calls from per-frame detections (``n_peaks, f0, peak``).
 
@@ -39,7 +35,7 @@ def segment_calls(
     still open at the end of the recording is left out unless ``keep_open``.
     """
     at = F.col(frame)
-    numbered = runs(frames, keys, at, [at], F.col("n_peaks") > 0, limit, sizes)
+    numbered = runs(frames, keys, [at], F.col("n_peaks") > 0)
     on = F.col("flag")
     n = F.count_if(on)
     std = F.stddev_pop(F.when(on, F.col("peak")))
@@ -73,22 +69,19 @@ def segment_calls(
 def bout_report(
     levels: DataFrame,
     keys: Sequence[str],
-    pos: Column,
     order: Sequence[Column],
     level: Column,
     at: Column,
     n_sigma: float = 1.0,
-    limit: int | None = None,
 ) -> DataFrame:
     """Runs louder than mean + n sigma of their recorder, ended by a quiet row.
 
     The thresholds are one row per recorder, joined back.
     """
     spark_keys = list(keys)
-    sizes = measure(levels, keys, pos, limit)
     loud = levels.groupBy(*spark_keys).agg((F.avg(level) + n_sigma * F.stddev_pop(level)).alias("_thr"))
-    rows = levels.join(loud, spark_keys).withColumn("_level", level).withColumn("_at", at)
-    numbered = runs(rows, spark_keys, pos, order, F.col("_level") > F.col("_thr"), limit, sizes)
+    rows = join_small(levels, loud, spark_keys, order).withColumn("_level", level).withColumn("_at", at)
+    numbered = runs(rows, spark_keys, order, F.col("_level") > F.col("_thr"))
     on = F.col("flag")
     out = numbered.groupBy(*spark_keys, "run").agg(
         F.min(F.when(on, F.col("_at"))).alias("start"),
@@ -102,15 +95,13 @@ def bout_report(
 
 
 def merge_segments(
-    rows: DataFrame, keys: Sequence[str], pos: Column, order: Sequence[Column], label: str, at: Column,
-    limit: int | None = None, sizes: Sizes | None = None,
+    rows: DataFrame, keys: Sequence[str], order: Sequence[Column], label: str, at: Column
 ) -> DataFrame:
     """Merge neighbours with equal labels into segments (label must not be null)."""
-    rows = rows.withColumn("_at", at)
-    sizes = sizes or measure(rows, keys, pos, limit)
-    seen = scan(rows, keys, pos, order, {"_prev": previous(F.col(label))}, limit, sizes)
+    rows = cut(rows.withColumn("_at", at), keys, order)
+    seen = scan(rows, order, {"_prev": previous(F.col(label))})
     changed = (F.col("_prev").isNull() | (F.col("_prev") != F.col(label))).cast("long")
-    numbered = scan(seen.withColumn("_new", changed), keys, pos, order, {"_seg": Running(F.col("_new"))}, limit, sizes)
+    numbered = scan(seen.withColumn("_new", changed), order, {"_seg": Running(F.col("_new"))})
     return (
         numbered.groupBy(*keys, "_seg", label)
         .agg(F.min("_at").alias("start"), F.max("_at").alias("stop"), F.count(F.lit(1)).alias("n"))

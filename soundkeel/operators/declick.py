@@ -13,24 +13,24 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.ordered import Running, following, measure, previous, scan
+from ..plans.ordered import Running, cut, following, previous, scan
+from ..plans.sizes import join_small
 
 # Fixed value: standard deviations above the mean that start a click.
 TRIGGER_SIGMAS = 6.0
 
 
 def declick(
-    samples: DataFrame, keys: Sequence[str], index: str, x: str, sigmas: float = TRIGGER_SIGMAS, limit: int | None = None
+    samples: DataFrame, keys: Sequence[str], index: str, x: str, sigmas: float = TRIGGER_SIGMAS
 ) -> DataFrame:
     """Adds ``gain`` (1 outside clicks), ``y`` (scaled sample) and ``is_trigger``.
 
     ``index`` numbers the samples of a key and is unique.
     """
     i, a = F.col(index), F.abs(F.col(x))
-    sizes = measure(samples, keys, i, limit)
     stats = samples.groupBy(*keys).agg(F.avg(a).alias("_ave"), F.stddev_pop(a).alias("_std"))
-    rows = samples.join(stats, list(keys)).withColumn("_a", a)
-    rows = scan(rows, keys, i, [i], {"_l": previous(F.col("_a")), "_r": following(F.col("_a"))}, limit, sizes)
+    rows = cut(join_small(samples, stats, list(keys), [i]).withColumn("_a", a), keys, [i])
+    rows = scan(rows, [i], {"_l": previous(F.col("_a")), "_r": following(F.col("_a"))})
     thresh = F.col("_ave") + F.col("_std")
     quiet_peak = F.coalesce(
         (F.col("_a") > F.col("_l")) & (F.col("_a") > F.col("_r")) & (F.col("_a") < thresh), F.lit(False)
@@ -42,7 +42,7 @@ def declick(
             "is_trigger": F.col("_a") > F.col("_ave") + sigmas * F.col("_std"),
         }
     ).drop("_l", "_r", "_ave", "_std")
-    rows = scan(rows, keys, i, [i], {"_region": Running(F.col("_quiet").cast("long"))}, limit, sizes)
+    rows = scan(rows, [i], {"_region": Running(F.col("_quiet").cast("long"))})
     # A region starts at a quiet peak (inclusive) and ends before the next one.
     regions = (
         rows.groupBy(*keys, "_region")
@@ -56,7 +56,8 @@ def declick(
         .filter("_click")
         .drop("_click")
     )
-    out = rows.join(regions, [*keys, "_region"], "left")
+    # most regions hold no click, so the clicks are the small side
+    out = join_small(rows, regions, [*keys, "_region"], [i], "left")
     drop_ = F.col("_top") - F.col("_thresh")
     rising = F.col("_top") - (F.col("_at") - i) * F.try_divide(drop_, F.col("_at") - F.col("_lo"))
     falling = F.col("_top") + (i - F.col("_at")) * F.try_divide(drop_, F.col("_hi") - F.col("_at"))

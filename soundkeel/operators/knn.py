@@ -1,69 +1,68 @@
-"""Exact k-nearest-neighbour classification without listing pairs.
+"""Nearest-neighbour classification against a bounded set of labelled vectors.
 
-Training vectors are cut into blocks of bounded size, queries into salts of
-bounded size; each (block, salt) pair of groups meets in one task, where a matrix
-product finds the k best per query.  Only those k rows per query and block leave
-the task, and a grouped merge keeps the overall best.
+The labelled set is fitted on at most ``train_rows`` rows, drawn by a hash of their ids, so it
+is small enough to go to every task.  Queries are scored where they are read, in one pass: a matrix
+product per Arrow batch, no copies and no shuffle of queries.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TRAIN_BLOCK = 8192
-QUERY_BLOCK = 65536
+from ..functions.draws import unit
+
+TRAIN_SEED = 17
+_BLOCK = 2048  # queries that are compared at once
 
 
-def nearest(train: DataFrame, query: DataFrame, k: int, train_block: int = TRAIN_BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
+def nearest(train: DataFrame, query: DataFrame, k: int, train_rows: int, others: bool = False) -> DataFrame:
     """``query_id, near`` with the k nearest (distance, train id, label), nearest
-    first.  ``train``: id, x, label; ``query``: id, x; ids are unique."""
-    blocks = max(1, -(-train.count() // train_block))
-    salts = max(1, -(-query.count() // query_block))
-    t = train.select(
-        F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block"),
-        F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), "id", "x", "label",
-    )
-    q = query.select(
-        F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"),
-        F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int").alias("salt"), "id", "x",
-    )
+    first, equal distances by id.  ``train``: id, x, label; ``query``: id, x; ids are unique.
 
-    def meet(qs: pd.DataFrame, ts: pd.DataFrame) -> pd.DataFrame:
-        cols = ["query_id", "dist", "train_id", "label"]
-        if qs.empty or ts.empty:
-            return pd.DataFrame(columns=cols)
-        ts = ts.sort_values("id")
-        b = np.stack(ts["x"].to_numpy()).astype(float)
-        ids, labels = ts["id"].to_numpy(), ts["label"].to_numpy()
-        parts = []
-        for i in range(0, len(qs), 2048):
-            part = qs.iloc[i : i + 2048]
-            a = np.stack(part["x"].to_numpy()).astype(float)
-            d = (a * a).sum(1)[:, None] - 2 * a @ b.T + (b * b).sum(1)[None, :]
-            best = np.argsort(d, axis=1, kind="stable")[:, :k]
-            rows = np.repeat(np.arange(len(part)), best.shape[1])
-            at = best.ravel()
-            exact = np.sqrt(((a[rows] - b[at]) ** 2).sum(1))
-            parts.append(
-                pd.DataFrame({"query_id": part["id"].to_numpy()[rows], "dist": exact, "train_id": ids[at], "label": labels[at]})
-            )
-        return pd.concat(parts)[cols]
+    ``train_rows`` bounds the labelled rows.  ``others``: a query is not its own neighbour.
+    """
+    drawn = train.select("id", "x", "label").orderBy(unit([F.col("id")], TRAIN_SEED), "id").limit(train_rows)
+    rows = sorted(drawn.collect(), key=lambda r: r["id"])  # at most train_rows
+    ids = np.array([r["id"] for r in rows], dtype=np.int64)
+    labels = np.array([r["label"] for r in rows])
+    vectors = np.array([r["x"] for r in rows], dtype=float)
 
-    found = (
-        q.groupBy("block", "salt")
-        .cogroup(t.groupBy("block", "salt"))
-        .applyInPandas(meet, "query_id long, dist double, train_id long, label int")
-    )
-    best = F.array_sort(F.collect_list(F.struct("dist", "train_id", "label")))
-    return found.groupBy("query_id").agg(F.slice(best, 1, k).alias("near"))
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        square = (vectors * vectors).sum(axis=1) if len(ids) else None
+        for pdf in batches:
+            if not len(ids):
+                continue
+            for i in range(0, len(pdf), _BLOCK):
+                part = pdf.iloc[i : i + _BLOCK]
+                a, own = np.stack(part["x"].to_numpy()).astype(float), part["id"].to_numpy()
+                d = (a * a).sum(axis=1)[:, None] - 2 * a @ vectors.T + square[None, :]
+                if others:
+                    d[own[:, None] == ids[None, :]] = np.inf
+                # a few more by the quick form, whose rounding may swap near ties, then exactly
+                most = min(k + 8, len(ids))
+                at = np.argpartition(d, most - 1, axis=1)[:, :most]
+                exact = np.sqrt(((a[:, None, :] - vectors[at]) ** 2).sum(axis=2))
+                if others:
+                    exact[own[:, None] == ids[at]] = np.inf
+                order = np.lexsort((ids[at], exact), axis=1)[:, :k]
+                at, exact = np.take_along_axis(at, order, 1), np.take_along_axis(exact, order, 1)
+                near = [
+                    [{"dist": float(x), "train_id": int(ids[j]), "label": int(labels[j])} for x, j in zip(xs, js) if np.isfinite(x)]
+                    for xs, js in zip(exact, at)
+                ]
+                yield pd.DataFrame({"query_id": own, "near": near})
+
+    return query.select("id", "x").mapInPandas(run, "query_id long, near array<struct<dist:double,train_id:long,label:int>>")
 
 
-def knn_classify(train: DataFrame, query: DataFrame, k: int, **blocks: int) -> DataFrame:
+def knn_classify(train: DataFrame, query: DataFrame, k: int, train_rows: int, others: bool = False) -> DataFrame:
     """Majority label of the k nearest; ties go to the label with the nearest vote."""
-    near = nearest(train, query, k, **blocks)
+    near = nearest(train, query, k, train_rows, others)
     votes = F.transform(
         F.array_distinct(F.transform("near", lambda n: n["label"])),
         lambda lab: F.struct(

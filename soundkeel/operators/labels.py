@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.ordered import Running, measure, previous, scan
+from ..plans.ordered import Running, cut, previous, running, scan
 from ..plans.rangejoin import point_in_interval
 
 # Training split of a recording (s), shortest usable label (s).
@@ -20,11 +20,11 @@ def usable(labels: DataFrame, min_s: float = MIN_LABEL_S) -> DataFrame:
 
 
 def with_prior(
-    labels: DataFrame, keys: Sequence[str], order: Sequence[Column], start: str, duration: str, limit: int | None = None
+    labels: DataFrame, keys: Sequence[str], order: Sequence[Column], start: str, duration: str
 ) -> DataFrame:
     """Start and duration of the label before in the same file (NULL for the first)."""
     prior = F.struct(F.col(start).alias("start"), F.col(duration).alias("duration"))
-    out = scan(labels, keys, F.col(start), order, {"_prior": previous(prior)}, limit)
+    out = running(labels, keys, order, {"_prior": previous(prior)})
     return out.select(
         *labels.columns,
         F.col("_prior.start").alias("prior_start"),
@@ -33,8 +33,7 @@ def with_prior(
 
 
 def background_intervals(
-    labels: DataFrame, keys: Sequence[str], order: Sequence[Column], start: str, duration: str, dt: float,
-    limit: int | None = None,
+    labels: DataFrame, keys: Sequence[str], order: Sequence[Column], start: str, duration: str, dt: float
 ) -> DataFrame:
     """Background windows between neighbouring labels.
 
@@ -42,7 +41,7 @@ def background_intervals(
     and stops one window before this one.  Gaps longer than 0.75 window give
     windows every half window, starting a quarter window in.
     """
-    prior = with_prior(labels, keys, order, start, duration, limit)
+    prior = with_prior(labels, keys, order, start, duration)
     lo = F.coalesce(F.col("prior_start") + F.col("prior_duration") + dt, F.lit(0.0))
     gaps = prior.select(*keys, lo.alias("_lo"), (F.col(start) - dt).alias("_hi"))
     gaps = gaps.filter(F.col("_hi") - F.col("_lo") > 0.75 * dt)
@@ -97,20 +96,13 @@ def coverage(
     )
 
 
-def merged_spans(
-    labels: DataFrame, keys: Sequence[str], start: str, end: str, limit: int | None = None
-) -> DataFrame:
+def merged_spans(labels: DataFrame, keys: Sequence[str], start: str, end: str) -> DataFrame:
     """Union of overlapping or touching intervals per key."""
     order = [F.col(start), F.col(end)]
-    sizes = measure(labels, keys, F.col(start), limit)
-    seen = scan(
-        labels, keys, F.col(start), order, {"_reach": Running(F.col(end), "max", inclusive=False)}, limit, sizes
-    )
+    seen = scan(cut(labels, keys, order), order, {"_reach": Running(F.col(end), "max", inclusive=False)})
     fresh = (F.col("_reach").isNull() | (F.col("_reach") < F.col(start))).cast("long")
-    numbered = scan(
-        seen.withColumn("_fresh", fresh), keys, F.col(start), [*order, -F.col("_fresh")],
-        {"_span": Running(F.col("_fresh"))}, limit, sizes,
-    )
+    # of equal intervals one is fresh: it comes first
+    numbered = scan(seen.withColumn("_fresh", fresh), [*order, -F.col("_fresh")], {"_span": Running(F.col("_fresh"))})
     return (
         numbered.groupBy(*keys, "_span")
         .agg(F.min(start).alias(start), F.max(end).alias(end), F.count(F.lit(1)).alias("n_labels"))
@@ -128,7 +120,6 @@ def presence(
     width: int = 0,
     classes: Sequence[int] | None = None,
     label: str | None = None,
-    limit: int | None = None,
 ) -> DataFrame:
     """Does any label touch each point, or each window ``[pos, pos + width)``?
 
@@ -161,13 +152,11 @@ def presence(
         *ends,
     )
     merged = p.unionByName(lab)
-    seen = scan(
+    seen = running(
         merged,
         keys,
-        F.col("_at"),
         [F.col("_at"), F.col("_rank")],
         {f"_reach_{n}": Running(F.col(f"_end_{n}"), "max") for n in names},
-        limit,
     ).filter(F.col("_point").isNotNull())
     return seen.select(
         "_point.*",
@@ -176,26 +165,23 @@ def presence(
 
 
 def label_at(
-    points: DataFrame, labels: DataFrame, keys: Sequence[str], pos: str, start: str, end: str, bucket: int,
-    limit: int | None = None,
+    points: DataFrame, labels: DataFrame, keys: Sequence[str], pos: str, start: str, end: str, bucket: int
 ) -> DataFrame:
     """Every (point, label) pair with ``start <= pos < end``."""
-    return point_in_interval(points, labels, keys, pos, start, end, bucket, limit=limit)
+    return point_in_interval(points, labels, keys, pos, start, end, bucket)
 
 
-def example_counts(files: DataFrame, key: str, length: str, stride: int, limit: int | None = None) -> DataFrame:
+def example_counts(files: DataFrame, key: str, length: str, stride: int) -> DataFrame:
     """Examples per file and the running number of the file's first example."""
     n = F.floor(F.col(length) / stride).cast("long")
     counted = files.select(key, n.alias("n"))
-    return scan(
-        counted, [], F.col(key), [F.col(key)], {"base": Running(F.col("n"), "sum", inclusive=False)}, limit
-    )
+    return running(counted, [], [F.col(key)], {"base": Running(F.col("n"), "sum", inclusive=False)})
 
 
-def locate(examples: DataFrame, bases: DataFrame, index: str, stride: int, limit: int | None = None) -> DataFrame:
+def locate(examples: DataFrame, bases: DataFrame, index: str, stride: int) -> DataFrame:
     """Global example numbers to (file, sample): ``base <= i < base + n``."""
     spans = bases.withColumn("_stop", F.col("base") + F.col("n"))
-    hit = point_in_interval(examples, spans, [], index, "base", "_stop", 4096, limit=limit)
+    hit = point_in_interval(examples, spans, [], index, "base", "_stop", 4096)
     return hit.withColumn("sample", (F.col(index) - F.col("base")) * stride).drop("base", "n", "_stop")
 
 

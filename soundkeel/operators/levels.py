@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geo import db, safediv
 from ..functions.text import label_class
+from ..plans.sizes import join_small
 from . import kernels
 
 # Received level of the calibration tone (dB), tone interval and
@@ -45,7 +46,7 @@ def pick_louder(chunks: DataFrame, keys: Sequence[str] = ("file",)) -> DataFrame
     )
     best = sums.groupBy(*keys).agg(F.sum("a.s_abs").alias("s0"), F.sum("b.s_abs").alias("s1"), F.sum("b.n").alias("n1"))
     best = best.select(*keys, F.when((F.col("n1") > 0) & (F.col("s1") >= F.col("s0")), 1).otherwise(0).alias("channel"))
-    return chunks.join(best, list(keys)).withColumn("samples", F.get("ch", F.col("channel"))).drop("ch")
+    return join_small(chunks, best, list(keys)).withColumn("samples", F.get("ch", F.col("channel"))).drop("ch")
 
 
 def level_db(samples: DataFrame, keys: Sequence[str], x: Column, cal: Column | float = 0.0) -> DataFrame:
@@ -124,7 +125,7 @@ def describe(samples: DataFrame, keys: Sequence[str], x: Column) -> DataFrame:
 def scaled_to_max(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
     """Each column divided by its maximum per key (unchanged when that is 0)."""
     tops = df.groupBy(*keys).agg(*[F.max(c).alias(f"_top_{c}") for c in columns])
-    out = df.join(tops, list(keys))
+    out = join_small(df, tops, list(keys))
     return out.withColumns({c: safediv(F.col(c), F.col(f"_top_{c}")) for c in columns}).drop(
         *[f"_top_{c}" for c in columns]
     )
@@ -134,7 +135,7 @@ def peak_norm(chunks: DataFrame, keys: Sequence[str] = ("file",)) -> DataFrame:
     """Samples divided by twice the recording's maximum."""
     tops = chunks.groupBy(*keys).agg(F.max(F.array_max("samples")).alias("_top"))
     return (
-        chunks.join(tops, list(keys))
+        join_small(chunks, tops, list(keys))
         .withColumn("_half", 1 / (2 * F.col("_top").cast("double")))
         .withColumn("samples", F.transform("samples", lambda v: v * F.col("_half")))
         .drop("_top", "_half")

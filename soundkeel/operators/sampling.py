@@ -10,17 +10,15 @@ from pyspark.sql.window import Window
 
 from ..functions.draws import unit
 
-# Sample size of the evaluation and its seed; arrays per file.
-SAMPLE_SIZE = 20_000
+# Fixed value: seed of the evaluation sample.
 SAMPLE_SEED = 999
-MAX_ARRAYS = 10
 
 
 def _draw(ids: Sequence[str], seed: int) -> Column:
     return unit([F.col(c) for c in ids], seed)
 
 
-def sample_n(df: DataFrame, ids: Sequence[str], n: int = SAMPLE_SIZE, seed: int = SAMPLE_SEED) -> DataFrame:
+def sample_n(df: DataFrame, ids: Sequence[str], n: int, seed: int = SAMPLE_SEED) -> DataFrame:
     """n rows without replacement, the same on every run: a top-n by draw."""
     return df.orderBy(_draw(ids, seed), *ids).limit(n)
 
@@ -30,7 +28,7 @@ def shuffled(df: DataFrame, ids: Sequence[str], seed: int) -> DataFrame:
     return df.withColumn("draw", _draw(ids, seed)).orderBy("draw", *ids)
 
 
-def first_per_file(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int = MAX_ARRAYS) -> DataFrame:
+def first_per_file(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int) -> DataFrame:
     """First n rows per key.  Spark limits the ranks before the shuffle, so a task
     keeps at most n rows per key and input partition."""
     w = Window.partitionBy(*keys).orderBy(*order)

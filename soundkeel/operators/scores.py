@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.halo import OWN, halo_window, with_halo
-from ..plans.ordered import Running, scan
+from ..plans.ordered import Running, running
+from ..plans.sizes import join_small
 
 # Histogram bins, added count, smallest logarithm in the loss,
 # default prior.
@@ -99,13 +100,8 @@ def nb_predict(
         score_bin(F.col("yhat")).alias("bin"),
     )
     lengths = scores.groupBy(*keys).agg((F.max("hop") + 1).alias("_len"))
-    blocks = (
-        rows.join(wide, ["offset", "bin"])
-        .groupBy(*keys, "block")
-        .agg(F.sum("lp").alias("log_pos"), F.sum("ln").alias("log_neg"))
-        .join(lengths, list(keys))
-        .filter(F.col("block") * n < F.col("_len") - n)
-    )
+    summed = rows.join(wide, ["offset", "bin"]).groupBy(*keys, "block").agg(F.sum("lp").alias("log_pos"), F.sum("ln").alias("log_neg"))
+    blocks = join_small(summed, lengths, list(keys), ["block"]).filter(F.col("block") * n < F.col("_len") - n)
     log_pos = F.col("log_pos") + F.log(F.lit(prior))
     log_neg = F.col("log_neg") + F.log(F.lit(1 - prior))
     return blocks.select(
@@ -146,26 +142,26 @@ def prf(scores: DataFrame, threshold: float) -> DataFrame:
     return c.select("tp", "fp", "fn", p.alias("precision"), r.alias("recall"), f1.alias("f1"))
 
 
-def pr_counts(scores: DataFrame, limit: int | None = None) -> DataFrame:
+def pr_counts(scores: DataFrame) -> DataFrame:
     """Per distinct score, highest first: rows and positives at or above it."""
     by_score = scores.groupBy("yhat").agg(F.sum(F.col("y").cast("long")).alias("pos"), F.count(F.lit(1)).alias("n"))
     down = -F.col("yhat")
-    return scan(by_score, [], down, [down], {"tp": Running(F.col("pos")), "seen": Running(F.col("n"))}, limit)
+    return running(by_score, [], [down], {"tp": Running(F.col("pos")), "seen": Running(F.col("n"))})
 
 
-def pr_curve(scores: DataFrame, limit: int | None = None) -> DataFrame:
+def pr_curve(scores: DataFrame) -> DataFrame:
     """Precision and recall at every score threshold."""
     positives = scores.agg(F.sum(F.col("y").cast("long"))).scalar()
-    return pr_counts(scores, limit).select(
+    return pr_counts(scores).select(
         F.col("yhat").alias("threshold"),
         (F.col("tp") / F.col("seen")).alias("precision"),
         F.try_divide(F.col("tp"), positives).alias("recall"),
     )
 
 
-def average_precision(scores: DataFrame, limit: int | None = None) -> DataFrame:
+def average_precision(scores: DataFrame) -> DataFrame:
     """Sum over thresholds of recall gained times precision."""
-    c = pr_counts(scores, limit)
+    c = pr_counts(scores)
     return c.agg(
         F.try_divide(F.sum(F.col("pos") * F.col("tp") / F.col("seen")), F.sum("pos")).alias("average_precision")
     )

@@ -9,6 +9,7 @@ neighbourhood window of bounded size.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +20,7 @@ from pyspark.sql.window import Window
 
 from ..functions.arrays import let, mean, std_pop
 from ..plans.halo import drop_halo, halo_window, with_halo
+from ..plans.sizes import join_small
 from .kernels import by_length
 
 # First bin kept by the high pass, smallest peak spacing (Hz),
@@ -213,7 +215,7 @@ def minmax(spec: DataFrame, keys: Sequence[str] = ("clip_id",), bounded: bool =
             {"lo": F.min(F.array_min("x")).over(w), "hi": F.max(F.array_max("x")).over(w)}
         )
     else:
-        with_ends = spec.join(extent(spec, keys), list(keys))
+        with_ends = join_small(spec, extent(spec, keys), list(keys))
     span = F.col("hi") - F.col("lo")
     scaled = F.transform("x", lambda v: (v - F.col("lo")) / span + MINMAX_FLOOR)
     return with_ends.withColumn("x", F.when(span == 0, F.col("x")).otherwise(scaled)).drop("lo", "hi")
@@ -221,10 +223,18 @@ def minmax(spec: DataFrame, keys: Sequence[str] = ("clip_id",), bounded: bool =
 
 def display_curve(spec: DataFrame, kind: str, keys: Sequence[str] = ("clip_id",), bounded: bool = False) -> DataFrame:
     """Min-max scale, decibels, min-max scale, then a curve: ``root4`` (double
-    square root) or ``square``."""
+    square root) or ``square``.
+
+    The first scaling leaves [0.01, 1.01] and decibels keep the order, so the
+    second extent is known; a clip that the first left unchanged is constant.
+    """
     curve = {"root4": lambda v: F.sqrt(F.sqrt(v)), "square": lambda v: v * v, "none": lambda v: v}[kind]
-    in_db = minmax(spec, keys, bounded).withColumn("x", F.transform("x", lambda v: 10 * F.log10(v)))
-    return minmax(in_db, keys, bounded).withColumn("x", F.transform("x", curve))
+    lo, hi = 10 * F.log10(F.lit(MINMAX_FLOOR)), 10 * F.log10(F.lit(1.0) + MINMAX_FLOOR)
+    once = minmax(spec.withColumn("_x", F.col("x")), keys, bounded)
+    db_ = F.transform("x", lambda v: 10 * F.log10(v))
+    flat = F.col("x") == F.col("_x")
+    again = F.transform(db_, lambda v: (v - lo) / (hi - lo) + MINMAX_FLOOR)
+    return once.withColumn("x", F.transform(F.when(flat, db_).otherwise(again), curve)).drop("_x")
 
 
 def zmask(spec: DataFrame, k: float, keys: Sequence[str] = ("clip_id",)) -> DataFrame:
@@ -240,7 +250,7 @@ def zmask(spec: DataFrame, k: float, keys: Sequence[str] = ("clip_id",)) -> Data
     x = F.col("x")
     row_limit = let(mean(x) + k * std_pop(x), lambda r: F.zip_with(
         x, F.col("_band_limit"), lambda v, b: ((v > r) & (v > b)).cast("int")))
-    return spec.join(limits, list(keys)).withColumn("x", row_limit).drop("_band_limit")
+    return join_small(spec, limits, list(keys)).withColumn("x", row_limit).drop("_band_limit")
 
 
 def _morph(spec: DataFrame, k: int, n: int, keys: Sequence[str], grow: bool) -> DataFrame:
@@ -293,17 +303,27 @@ SMOOTH_WEIGHTS = (-36, 9, 44, 69, 84, 89, 84, 69, 44, 9, -36)
 SMOOTH_DIVISOR = 429
 
 
-def _smooth_matrix(n: int) -> np.ndarray:
-    """Rows of smoothing weights; edge rows evaluate the cubic fitted to the
-    first or last 11 points."""
-    s = np.zeros((n, n))
-    for i in range(5, n - 5):
-        s[i, i - 5 : i + 6] = np.array(SMOOTH_WEIGHTS) / SMOOTH_DIVISOR
+@lru_cache(maxsize=8)
+def _edge_fit() -> np.ndarray:
+    """The cubic fitted to 11 points, evaluated at them."""
     basis = np.vander(np.arange(11.0) - 5, 4)
-    fit = basis @ np.linalg.pinv(basis)
-    s[:5, :11] = fit[:5]
-    s[n - 5 :, n - 11 :] = fit[6:]
-    return s
+    return basis @ np.linalg.pinv(basis)
+
+
+def _smooth(m: np.ndarray) -> np.ndarray:
+    """Sliding weights; the first and last 5 bins evaluate the cubic of the 11 at that end."""
+    n = m.shape[1]
+    out = np.zeros_like(m)
+    for i, w in enumerate(SMOOTH_WEIGHTS):
+        out[:, 5 : n - 5] += w / SMOOTH_DIVISOR * m[:, i : n - 10 + i]
+    out[:, :5] = m[:, :11] @ _edge_fit()[:5].T
+    out[:, n - 5 :] = m[:, n - 11 :] @ _edge_fit()[6:].T
+    return out
+
+
+def _detrended(m: np.ndarray) -> np.ndarray:
+    at = np.arange(m.shape[1]) - (m.shape[1] - 1) / 2
+    return m - m.mean(axis=1, keepdims=True) - (m @ at / (at @ at))[:, None] * at
 
 
 def smooth_spectrum(psd: Column) -> Column:
@@ -312,14 +332,9 @@ def smooth_spectrum(psd: Column) -> Column:
     @arrow_udf("array<double>")
     def kernel(v: pa.Array) -> pa.Array:
         def fn(m: np.ndarray) -> np.ndarray:
-            n = m.shape[1]
-            if n < 11:
-                return m
-            s = _smooth_matrix(n)
-            line = np.vander(np.arange(float(n)), 2)
-            y = m @ s.T
-            y = y - y @ np.linalg.pinv(line).T @ line.T
-            return y @ s.T
+            if m.shape[1] < 11:
+                raise ValueError("a spectrum needs 11 bins to be smoothed")
+            return _smooth(_detrended(_smooth(m)))
 
         return by_length(v, fn)
 

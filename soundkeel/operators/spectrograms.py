@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from ..functions.bands import geo_bands
 from ..functions.geo import db
+from ..plans.sizes import join_small
+from ..session import shared_dir
 from . import kernels
 from .framing import PROFILES, centred_windows, cut_clips, frames
 from .levels import peak_norm
@@ -42,8 +44,11 @@ def stft_db(
         "file", "frame", clip_bins(kernels.amplitude_spectrum(F.col("x")), 0, n_bins).alias("a")
     )
     in_db = spec.select("file", "frame", F.transform("a", lambda v: db(v)).alias("x"))
+    path = shared_dir(chunks.sparkSession, "stft")  # written once: the transforms are not run again for the maximum
+    in_db.write.parquet(path)
+    in_db = chunks.sparkSession.read.schema(in_db.schema).parquet(path)
     top = in_db.groupBy("file").agg(F.greatest(F.max(F.array_max("x")), F.lit(0.0)).alias("_top"))
-    return in_db.join(top, "file").select(
+    return join_small(in_db, top, ["file"]).select(
         "file", "frame", F.transform("x", lambda v: F.when(F.col("_top") == 0, v).otherwise(v / F.col("_top"))).alias("x")
     )
 

@@ -34,11 +34,11 @@ def missing_specs(ships: DataFrame, specs: DataFrame, key: str = "mmsi") -> Data
 
 
 def photo_for(ships: DataFrame, photos: DataFrame, key: str = "mmsi", photo: str = "key", pattern: str = r"(\d+)") -> DataFrame:
-    """Ship to its last photo key.  The id is cut out of the key once, so this is
-    an equi-join of one row per id."""
+    """Ship to its last photo key that holds its id anywhere, as a whole run of digits.
+
+    Every run of digits of a key is one row, so this is an equi-join of one row per id."""
     last = (
-        photos.withColumn("_id", F.regexp_extract(photo, pattern, 1))
-        .filter("_id != ''")
+        photos.withColumn("_id", F.explode(F.array_distinct(F.regexp_extract_all(photo, F.lit(pattern), F.lit(1)))))
         .groupBy("_id")
         .agg(F.max(photo).alias("photo"))
     )
@@ -46,9 +46,13 @@ def photo_for(ships: DataFrame, photos: DataFrame, key: str = "mmsi", photo: str
 
 
 def valid_specs(specs: DataFrame, required: list[str]) -> DataFrame:
-    """Specification rows with every required field; one row per ship."""
+    """Specification rows with every required field; one row per ship: of several the
+    greatest by all other columns, so that reruns agree."""
     ok = specs.dropna(subset=required)
-    return ok.dropDuplicates(["mmsi"]) if "mmsi" in specs.columns else ok
+    if "mmsi" not in specs.columns:
+        return ok
+    rest = F.struct(*[c for c in specs.columns if c != "mmsi"])
+    return ok.groupBy("mmsi").agg(F.max(rest).alias("_s")).select("mmsi", "_s.*").select(*specs.columns)
 
 
 def round_specs(specs: DataFrame, columns: list[str]) -> DataFrame:

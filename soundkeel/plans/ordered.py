@@ -1,16 +1,17 @@
 """Ordered scans (running sum / max / last value) that survive hot keys.
 
-A window over ``key ORDER BY position`` puts all rows of a key in one task.
-``scan`` first measures the keys.  While every key is below the row limit the
-plain window is the best plan and is used.  Otherwise the hot keys are cut along
-the position axis into chunks of bounded size:
-
-    1. the window runs per (key, chunk), many tasks per hot key;
-    2. one small row per chunk holds the chunk's total, and a running total over
-       those rows gives each chunk the value carried in from its predecessors;
-    3. the carried value is joined back and combined.
-
-Sum, max, min and last-non-null are associative, so the result is the same.
+A window over ``key ORDER BY position`` puts all rows of a key in one task.  Here the rows
+are cut along (key, order) first, whatever their number:
+
+    1. Spark's range partitioning cuts at quantiles of the whole (key, order, row id) tuple, so that
+       outliers, equal positions, text keys and any number of hot keys give chunks of
+       about equal size; the cut rows are written once, which fixes the chunks;
+    2. the window runs per (key, chunk), many tasks per hot key;
+    3. one small row per (key, chunk) holds the chunk's total, and a running total over those
+       rows, at most one per chunk of a key, gives each chunk the value carried in;
+    4. the carried value is joined back on (key, chunk) and combined.
+
+Sum, max, min and last-non-null are associative, so the result is that of the plain window.
 """
 
 from __future__ import annotations
@@ -22,15 +23,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..session import group_rows
+from ..session import range_chunks, shared_dir
 
-_CHUNK = "_chunk"
-_HOT = "_hot"
-_POS = "_pos"
-_ALL = "_all"
-# Histogram cells per chunk: cells are what chunks are assembled from, so a
-# chunk overshoots the limit by at most one cell.
-_CELLS_PER_CHUNK = 32
+CHUNK = "_chunk"
+KEY = "_key"
+_TIE = "_tie"
 
 
 @dataclass(frozen=True)
@@ -43,81 +40,20 @@ class Running:
     backward: bool = False
 
 
-@dataclass(frozen=True)
-class Sizes:
-    """Which keys are above the row limit, and how they are cut.
-
-    ``hot``: key, start and width of the key's histogram cells.  ``cells``: key,
-    cell, chunk.  Both are None when every key is below the limit.
-    """
-
-    hot: DataFrame | None = None
-    cells: DataFrame | None = None
-
-
-def _join_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
-    """Null-safe equi-join that keeps the left key columns once."""
-    renamed = right.select(
-        *[F.col(k).alias(f"_r_{k}") for k in keys],
-        *[c for c in right.columns if c not in keys],
-    )
-    cond = None
-    for k in keys:
-        c = F.col(k).eqNullSafe(F.col(f"_r_{k}"))
-        cond = c if cond is None else cond & c
-    return left.join(renamed, cond, how).drop(*[f"_r_{k}" for k in keys])
-
-
-def _keyed(df: DataFrame, keys: Sequence[str], pos: Column) -> tuple[DataFrame, list[str]]:
-    """Position column, and a constant key where the whole table is one group."""
-    df = df.withColumn(_POS, pos)
-    return (df, list(keys)) if keys else (df.withColumn(_ALL, F.lit(0)), [_ALL])
-
-
-def _cell() -> Column:
-    return F.floor((F.col(_POS).cast("double") - F.col("_lo")) / F.col("_width")).cast("long")
+def cut(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
+    """Rows with their chunk, stored; ``scan`` takes them, and several scans can share them.
 
-
-def measure(df: DataFrame, keys: Sequence[str], pos: Column, limit: int | None = None) -> Sizes:
-    """Count the rows per key and cut the keys above ``limit`` along ``pos``.
-
-    May be called on a cheaper DataFrame than the one that is scanned, as long as
-    that one adds no rows per key: a chunk depends on key and position only.
+    Chunk numbers grow along ``order`` within a key.  Null keys are a key of their own.
     """
-    limit = limit or group_rows(df.sparkSession)
-    df, key_cols = _keyed(df, keys, pos)
-    df = df.select(*key_cols, _POS)
-    stats = (
-        df.groupBy(*key_cols)
-        .agg(F.count(F.lit(1)).alias("_n"), F.min(_POS).alias("_lo"), F.max(_POS).alias("_hi"))
-        .filter(F.col("_n") > limit)
-    )
-    rows = stats.collect()  # at most rows/limit keys pass the filter
-    if not rows:
-        return Sizes()
-    span = F.greatest((F.col("_hi") - F.col("_lo")).cast("double"), F.lit(1e-9))
-    hot = df.sparkSession.createDataFrame(rows, stats.schema).select(
-        *key_cols,
-        F.col("_lo").cast("double").alias("_lo"),
-        (span / (F.ceil(F.col("_n") / F.lit(limit)) * _CELLS_PER_CHUNK)).alias("_width"),
-    )
-    counted = (
-        _join_keys(df, F.broadcast(hot), key_cols, "inner")
-        .withColumn("_cell", _cell())
-        .groupBy(*key_cols, "_cell")
-        .agg(F.count(F.lit(1)).alias("_n"))
-    )
-    w = Window.partitionBy(*key_cols).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
-    before = F.coalesce(F.sum("_n").over(w), F.lit(0))
-    cells = counted.select(*key_cols, "_cell", F.floor(before / F.lit(limit)).cast("long").alias(_CHUNK))
-    return Sizes(hot, cells)
-
-
-def _assign(df: DataFrame, key_cols: Sequence[str], sizes: Sizes) -> DataFrame:
-    df = _join_keys(df, F.broadcast(sizes.hot), key_cols, "left")
-    df = df.withColumn("_cell", _cell()).withColumn(_HOT, F.col("_lo").isNotNull())
-    df = _join_keys(df, sizes.cells, [*key_cols, "_cell"], "left")
-    return df.withColumn(_CHUNK, F.coalesce(_CHUNK, F.lit(0).cast("long"))).drop("_cell", "_lo", "_width")
+    spark = df.sparkSession
+    # a struct is never null, and equal where its fields are equal or both null
+    key = F.struct(*[F.col(k) for k in keys]) if keys else F.struct(F.lit(0).alias("all"))
+    rows = df.withColumn(KEY, key).withColumn(_TIE, F.monotonically_increasing_id())
+    by = [KEY, *order, F.col(_TIE)]
+    rows = rows.repartitionByRange(range_chunks(spark), *by).drop(_TIE).withColumn(CHUNK, F.spark_partition_id())
+    path = shared_dir(spark, "ordered")
+    rows.write.parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
 
 
 def _local(spec: Running, partition: Sequence[Column | str], order: Sequence[Column]) -> Column:
@@ -140,43 +76,24 @@ def _total(spec: Running, order: Sequence[Column]) -> Column:
     return {"max": F.max, "min": F.min}[spec.how](spec.value)
 
 
-def scan(
-    df: DataFrame,
-    keys: Sequence[str],
-    pos: Column,
-    order: Sequence[Column],
-    running: Mapping[str, Running],
-    limit: int | None = None,
-    sizes: Sizes | None = None,
-) -> DataFrame:
-    """Add running values per key.
-
-    ``pos`` is a numeric column that never decreases along ``order``; ``order``
-    has to be unique per key for results that do not depend on row arrival.
-    ``sizes`` is the result of ``measure`` when several scans share it.
+def scan(rows: DataFrame, order: Sequence[Column], running: Mapping[str, Running]) -> DataFrame:
+    """Add running values per key to cut rows; the chunk stays for further scans.
+
+    ``order`` has to be unique per key for results that do not depend on row arrival.
+    Rows may have been added columns since the cut, but none may be new.
     """
-    sizes = sizes or measure(df, keys, pos, limit)
-    if sizes.hot is None:
-        part = list(keys) or [F.lit(0)]
-        return df.withColumns({n: _local(s, part, order) for n, s in running.items()})
-
-    split, key_cols = _keyed(df, keys, pos)
-    split = _assign(split, key_cols, sizes)
-    part = [*key_cols, _CHUNK]
-    local = split.withColumns({n: _local(s, part, order) for n, s in running.items()})
-    totals = (
-        split.filter(_HOT)
-        .groupBy(*part)
-        .agg(*[_total(s, order).alias(f"_t_{n}") for n, s in running.items()])
-    )
+    part = [KEY, CHUNK]
+    local = rows.withColumns({n: _local(s, part, order) for n, s in running.items()})
+    totals = rows.groupBy(*part).agg(*[_total(s, order).alias(f"_t_{n}") for n, s in running.items()])
     carried = totals.select(
-        *part,
+        F.col(KEY).alias("_c_key"),
+        F.col(CHUNK).alias("_c_chunk"),
         *[
-            _local(Running(F.col(f"_t_{n}"), s.how, False, s.backward), key_cols, [F.col(_CHUNK)]).alias(f"_c_{n}")
+            _local(Running(F.col(f"_t_{n}"), s.how, False, s.backward), [KEY], [F.col(CHUNK)]).alias(f"_c_{n}")
             for n, s in running.items()
         ],
     )
-    out = _join_keys(local, carried, part, "left")
+    out = local.join(carried, (F.col(KEY) == F.col("_c_key")) & (F.col(CHUNK) == F.col("_c_chunk")))
     combined = {}
     for n, s in running.items():
         mine, before = F.col(n), F.col(f"_c_{n}")
@@ -186,7 +103,16 @@ def scan(
             combined[n] = F.coalesce(mine, before)
         else:
             combined[n] = (F.greatest if s.how == "max" else F.least)(mine, before)
-    return out.withColumns(combined).drop(_CHUNK, _HOT, _POS, _ALL, *[f"_c_{n}" for n in running])
+    return out.withColumns(combined).drop("_c_key", "_c_chunk", *[f"_c_{n}" for n in running])
+
+
+def uncut(rows: DataFrame) -> DataFrame:
+    return rows.drop(KEY, CHUNK)
+
+
+def running(df: DataFrame, keys: Sequence[str], order: Sequence[Column], values: Mapping[str, Running]) -> DataFrame:
+    """Cut, scan once, and drop the chunk."""
+    return uncut(scan(cut(df, keys, order), order, values))
 
 
 def previous(value: Column) -> Running:

@@ -2,8 +2,8 @@
 
 Each interval is listed under every bucket it touches, each point under its own
 bucket; the remaining predicate is checked after the equi-join.  Spark plans a
-sort-merge or hash join instead of comparing every pair.  Buckets with too many
-points are salted: points take one of n salts, intervals all n.
+sort-merge or hash join instead of comparing every pair, and adaptive execution
+splits the partitions of buckets that hold many points or many intervals.
 """
 
 from __future__ import annotations
@@ -13,56 +13,21 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import group_rows
-
-
-def _salts(points: DataFrame, on: list[str], limit: int) -> DataFrame | None:
-    hot = (
-        points.groupBy(*on)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .filter(F.col("_n") > limit)
-        .select(*on, F.ceil(F.col("_n") / F.lit(limit)).cast("int").alias("_salts"))
-    )
-    rows = hot.collect()  # at most rows/limit buckets
-    if not rows:
-        return None
-    return F.broadcast(points.sparkSession.createDataFrame(rows, hot.schema))
-
 
 def point_in_interval(
-    points: DataFrame,
-    intervals: DataFrame,
-    keys: Sequence[str],
-    pos: str,
-    start: str,
-    end: str,
-    bucket: int,
-    how: str = "inner",
-    limit: int | None = None,
+    points: DataFrame, intervals: DataFrame, keys: Sequence[str], pos: str, start: str, end: str, bucket: int, how: str = "inner"
 ) -> DataFrame:
     """Pairs with ``start <= pos < end`` on equal keys; integer positions.
 
     ``bucket`` is about the length of a typical interval.
     """
-    limit = limit or group_rows(points.sparkSession)
     b = F.lit(int(bucket))
     on = [*keys, "_bucket"]
     p = points.withColumn("_bucket", F.floor(F.col(pos) / b).cast("long"))
-    i = intervals.filter(F.col(end) > F.col(start)).withColumn(
-        "_bucket",
-        F.explode(F.sequence(F.floor(F.col(start) / b).cast("long"), F.floor((F.col(end) - 1) / b).cast("long"))),
-    )
-    salts = _salts(p.select(*on), on, limit)
-    if salts is not None:
-        p = p.join(salts, on, "left").withColumn("_salts", F.coalesce("_salts", F.lit(1)))
-        p = p.withColumn("_salt", F.pmod(F.xxhash64(*[c for c in points.columns]), F.col("_salts")).cast("int"))
-        i = i.join(salts, on, "left").withColumn(
-            "_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))
-        )
-        p, i = p.drop("_salts"), i.drop("_salts")
-        on = [*on, "_salt"]
+    touched = F.sequence(F.floor(F.col(start) / b).cast("long"), F.floor((F.col(end) - 1) / b).cast("long"))
+    i = intervals.filter(F.col(end) > F.col(start)).withColumn("_bucket", F.explode(touched))
     i = i.select(*[F.col(c).alias(f"_i_{c}") for c in on], *[c for c in i.columns if c not in on])
     cond: Column = (F.col(pos) >= F.col(start)) & (F.col(pos) < F.col(end))
     for c in on:
         cond = cond & (F.col(c) == F.col(f"_i_{c}"))
-    return p.join(i, cond, how).drop("_bucket", "_salt", *[f"_i_{c}" for c in on])
+    return p.join(i, cond, how).drop("_bucket", *[f"_i_{c}" for c in on])

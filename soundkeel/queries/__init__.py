@@ -2,21 +2,15 @@
 
 from __future__ import annotations
 
-import importlib
+from . import audio, bouts, feeds, labelling, matrices, naming, scoring, vessels
 
-MODULES = ("bouts", "labelling", "vessels", "audio", "matrices", "scoring", "naming", "feeds")
+MODULES = (bouts, labelling, vessels, audio, matrices, scoring, naming, feeds)
 
 
 def registry() -> dict:
     """name -> (query, sql or None)"""
     out = {}
-    for m in MODULES:
-        try:
-            mod = importlib.import_module(f"{__name__}.{m}")
-        except ModuleNotFoundError as e:
-            if e.name != f"{__name__}.{m}":
-                raise
-            continue
+    for mod in MODULES:
         for name, pair in mod.QUERIES.items():
             if name in out:
                 raise ValueError(f"query {name} is defined twice")

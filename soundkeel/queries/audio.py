@@ -12,7 +12,7 @@ from ..operators import sampling
 from ..operators import spectrograms as SG
 from ..operators.declick import declick as remove_clicks
 from ..operators.spectra import long_form
-from .common import CHUNK, SAMPLES_SQL, VECTORS_PER_FILE, chunks, levels, r, table
+from .common import CHUNK, SAMPLES_SQL, VECTORS_PER_FILE, chunks, draw_sql, levels, r, table
 
 FS = 3200
 
@@ -276,7 +276,7 @@ def scan_status(spark, sf):
 
 def first_arrays(spark, sf):
     """First ten products of each recording."""
-    out = sampling.first_per_file(levels(spark, sf), ["user_id"], [F.col("t"), F.col("event_id")], sampling.MAX_ARRAYS)
+    out = sampling.first_per_file(levels(spark, sf), ["user_id"], [F.col("t"), F.col("event_id")], 10)
     return out.select("user_id", "event_id")
 
 
@@ -298,11 +298,6 @@ def _frames_cte(win: int, hop: int) -> str:
 _CLIP_SQL = """clip AS (SELECT (vec_id // 256)::VARCHAR AS file, vec_id AS clip_id, (vec_id * 131) % 7000 AS lo,
   (vec_id * 131) % 7000 + 50 + vec_id % 100 AS hi FROM embeddings)"""
 
-def _draw(ids: str, seed) -> str:
-    """SQL of a repeatable draw."""
-    return f"(('0x' || substr(md5({ids} || '|{seed}'), 1, 13))::BIGINT / {16**13}.0::DOUBLE)"
-
-
 def _label_sql(edges: list[int], curve: str) -> str:
     """Spectrograms of 2 slices and 4 bands from 20 frames of 24 bins."""
     band = " ".join(f"WHEN k < {8 + e} THEN {i}" for i, e in enumerate(edges[1:]))
@@ -353,7 +348,7 @@ SELECT clip.file, clip_id, count(*) AS n, round(sum(x), 6) + 0.0 AS total FROM c
     "centred_windows": (centred_windows, f"""WITH {_CLIP_SQL}, m AS (SELECT clip_id, greatest(trunc((lo / {FS}.0::DOUBLE + (hi - lo) / {FS}.0::DOUBLE / 2) * {FS})::BIGINT - 400, 0) AS s FROM clip)
 SELECT clip_id, s AS start_idx, s + 800 AS end_idx FROM m"""),
     "jittered_windows": (jittered_windows, f"""WITH {_CLIP_SQL}, d AS (SELECT clip_id, c AS copy, lo / {FS}.0::DOUBLE AS s, (hi - lo) / {FS}.0::DOUBLE AS dur,
-  (2 * {_draw("clip_id || '|' || c", 7)} - 1) * 0.1::DOUBLE AS shift FROM clip, range(1, 4) t(c)),
+  (2 * {draw_sql("clip_id || '|' || c", 7)} - 1) * 0.1::DOUBLE AS shift FROM clip, range(1, 4) t(c)),
 w AS (SELECT *, greatest(trunc((greatest(s + shift, 0) + dur / 2) * {FS})::BIGINT - 400, 0) AS st FROM d)
 SELECT clip_id, copy, round(shift, 6) + 0.0 AS shift_s, st AS start_idx, st + 800 AS end_idx FROM w"""),
     "stft_norm": (stft_norm, f"""{_FRAMED}, {_frames_cte(128, 42)},
@@ -407,8 +402,8 @@ y AS (SELECT ex.file, e, coalesce(max((clip_id % 3 = 0)::INT), 0) AS y0, coalesc
 SELECT ex.file, ex.e AS example, s, round(coalesce(a.x, 0) / nr, 6) + 0.0 AS x100, round(coalesce(b.x, 0) / nr, 6) + 0.0 AS x200, y0, y1, y2
 FROM ex JOIN nr USING (file, e) JOIN y USING (file, e) LEFT JOIN smp a ON a.file = ex.file AND a.idx = s - 28 LEFT JOIN smp b ON b.file = ex.file AND b.idx = s + 72"""),
     "augmented_windows": (augmented_windows, f"""WITH {SAMPLES_SQL}, {_CLIP_SQL}, len AS (SELECT file, max(idx) + 1 AS n FROM smp GROUP BY 1),
-ex AS (SELECT file, e, e * 512 + floor({_draw("file || '|' || e", "3s")} * 512)::BIGINT AS s,
-  floor((2 * {_draw("file || '|' || e", "3p")} - 1) * 2) + (2 * {_draw("file || '|' || e", "3j")} - 1) * 0.5 AS shift
+ex AS (SELECT file, e, e * 512 + floor({draw_sql("file || '|' || e", "3s")} * 512)::BIGINT AS s,
+  floor((2 * {draw_sql("file || '|' || e", "3p")} - 1) * 2) + (2 * {draw_sql("file || '|' || e", "3j")} - 1) * 0.5 AS shift
   FROM len, range(0, 1000) t(e) WHERE e < n // 512)
 SELECT file, e AS example, s, round(shift, 6) + 0.0 AS shift, 256 AS n,
   EXISTS (SELECT 1 FROM clip WHERE clip.file = ex.file AND lo <= s AND s < hi)::INT AS y FROM ex"""),
@@ -426,6 +421,6 @@ SELECT i AS event_id, trig AS is_trigger, round(gain, 6) AS gain, round(x * gain
     "detect_calls": (detect_calls, None),
     "scan_status": (scan_status, f"""WITH {SAMPLES_SQL} SELECT file, count(*) AS n_samples, CASE WHEN count(*) >= 10000 THEN 'ok' ELSE 'too short' END AS status FROM smp GROUP BY 1"""),
     "first_arrays": (first_arrays, """SELECT user_id, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) <= 10"""),
-    "sample_n": (sample_n, f"SELECT event_id, value FROM events ORDER BY {_draw('event_id', 999)}, event_id LIMIT 500"),
-    "shuffled": (shuffled, f"SELECT event_id, round({_draw('event_id', 5)}, 6) AS draw FROM events"),
+    "sample_n": (sample_n, f"SELECT event_id, value FROM events ORDER BY {draw_sql('event_id', 999)}, event_id LIMIT 500"),
+    "shuffled": (shuffled, f"SELECT event_id, round({draw_sql('event_id', 5)}, 6) AS draw FROM events"),
 }

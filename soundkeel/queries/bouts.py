@@ -11,7 +11,7 @@ from .common import levels, r, table
 
 def _bouts(spark, sf):
     return B.bout_report(
-        levels(spark, sf), ["user_id"], F.col("t"), [F.col("t"), F.col("event_id")], F.col("value"), F.col("t")
+        levels(spark, sf), ["user_id"], [F.col("t"), F.col("event_id")], F.col("value"), F.col("t")
     )
 
 
@@ -93,14 +93,14 @@ def detection_series(spark, sf):
 def merge_segments(spark, sf):
     ev = levels(spark, sf)
     return B.merge_segments(
-        ev, ["user_id"], F.col("t"), [F.col("t"), F.col("event_id")], "event_type", F.col("t")
+        ev, ["user_id"], [F.col("t"), F.col("event_id")], "event_type", F.col("t")
     )
 
 
 def merge_turns(spark, sf):
     """Segments of equal speaker role per conversation."""
     turns = table(spark, sf, "conversations").select("conv_id", "turn", "role")
-    return B.merge_segments(turns, ["conv_id"], F.col("turn"), [F.col("turn"), F.col("role")], "role", F.col("turn"))
+    return B.merge_segments(turns, ["conv_id"], [F.col("turn"), F.col("role")], "role", F.col("turn"))
 
 
 def _merged_sql(src: str, key: str, order: str, label: str, at: str) -> str:

@@ -24,6 +24,11 @@ def r(x: Column | str, digits: int = 6) -> Column:
     return F.round(F.col(x) if isinstance(x, str) else x, digits) + F.lit(0.0)
 
 
+def draw_sql(ids: str, seed) -> str:
+    """SQL of a repeatable draw (functions.draws.unit)."""
+    return f"(('0x' || substr(md5({ids} || '|{seed}'), 1, 13))::BIGINT / {16**13}.0::DOUBLE)"
+
+
 def levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as a level per recorder and time."""
     return table(spark, sf_dir, "events").select(

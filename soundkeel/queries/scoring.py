@@ -8,10 +8,11 @@ from ..functions.arrays import l2_normalise
 from ..operators import bouts as B
 from ..operators import knn as N
 from ..operators import scores as S
-from ..plans.ordered import measure
-from .common import HOPS_SQL, SCORES_SQL, VECTORS_PER_FILE, hops, r, scores, table
+from .common import HOPS_SQL, SCORES_SQL, VECTORS_PER_FILE, draw_sql, hops, r, scores, table
 
 BLOCK = 4
+# Bound of the labelled rows that the neighbour classifier is fitted on.
+TRAIN_ROWS = 2048
 WEIGHTS = [(i - 31.5) / 8 for i in range(64)]
 
 
@@ -83,13 +84,9 @@ def fit_linear(spark, sf):
 
 
 def _classified(spark, sf):
-    """Prototypes: the mean vector of each label, one for each sign of the first
-    component, so their number depends on the labels alone."""
-    v = _vectors(spark, sf).withColumn("half", (F.get("x", F.lit(0)) >= 0).cast("int"))
-    protos = N.class_prototypes(v, ["label", "half"], "x").select(
-        (F.col("label") * 2 + F.col("half")).cast("long").alias("id"), "x", "label"
-    )
-    return N.knn_classify(protos, v.select("id", "x"), 3)
+    """Every vector against labelled vectors other than itself."""
+    v = _vectors(spark, sf)
+    return N.knn_classify(v, v.select("id", "x"), 3, train_rows=TRAIN_ROWS, others=True)
 
 
 def knn_classify(spark, sf):
@@ -101,10 +98,8 @@ def segment_classify(spark, sf):
     def place(df, key):
         return df.withColumns({"file": F.floor(F.col(key) / VECTORS_PER_FILE), "win": F.col(key) % VECTORS_PER_FILE})
 
-    # Measured on the table, not on the classified rows, which are dear to compute.
-    sizes = measure(place(table(spark, sf, "embeddings").select("vec_id"), "vec_id"), ["file"], F.col("win"))
     rows = place(_classified(spark, sf), "query_id").select("file", "win", "label")
-    return B.merge_segments(rows, ["file"], F.col("win"), [F.col("win")], "label", F.col("win"), sizes=sizes)
+    return B.merge_segments(rows, ["file"], [F.col("win")], "label", F.col("win"))
 
 
 _TRAIN = f"""{HOPS_SQL.format(n=BLOCK)},
@@ -119,9 +114,11 @@ sums AS (SELECT hop // {BLOCK} AS block, ln(0.2::DOUBLE) + sum(ln(a.p)) AS log_p
   FROM hop JOIN model a ON a."offset" = hop % {BLOCK} AND a.bin = hop.bin AND a.is_pos
   JOIN model b ON b."offset" = hop % {BLOCK} AND b.bin = hop.bin AND NOT b.is_pos GROUP BY 1),
 pred AS (SELECT block, log_pos, log_neg, (log_pos > log_neg)::INT AS yes FROM sums WHERE block * {BLOCK} < (SELECT count(*) FROM events) - {BLOCK})"""
-_KNN = """v AS (SELECT vec_id, label, i, embedding[i]::DOUBLE AS x, (embedding[1] >= 0)::INT AS half FROM embeddings, range(1, 65) t(i)),
-p AS (SELECT label * 2 + half AS pid, label, i, avg(x) AS x FROM v GROUP BY 1, 2, 3),
-d AS (SELECT vec_id, pid, p.label, sqrt(sum(pow(v.x - p.x, 2))) AS d FROM v JOIN p USING (i) GROUP BY 1, 2, 3),
+_KNN = f"""tr AS (SELECT vec_id, embedding, label FROM embeddings
+  ORDER BY {draw_sql("vec_id", 17)}, vec_id LIMIT {TRAIN_ROWS}),
+d AS (SELECT e.vec_id, t.vec_id AS pid, t.label,
+             list_distance(e.embedding::DOUBLE[], t.embedding::DOUBLE[]) AS d
+      FROM embeddings e, tr t WHERE e.vec_id <> t.vec_id),
 n AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY d, pid) <= 3),
 g AS (SELECT vec_id, label, count(*) AS c, min(d) AS d FROM n GROUP BY 1, 2),
 knn AS (SELECT g.vec_id, label, min(d) OVER (PARTITION BY g.vec_id) AS nearest FROM g

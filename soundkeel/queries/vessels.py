@@ -50,8 +50,20 @@ pos AS (
   FROM geo)"""
 
 
+def feed(spark, sf):
+    """The sentences as a receiver hears them: some foreign, cut off, damaged or of another type."""
+    e, line = F.col("event_id"), F.col("line")
+    heard = F.when(e % 11 == 3, F.regexp_replace(line, "^!AIVDM", "!BSVDM")).when(e % 13 == 5, F.substring(line, 1, 30))
+    heard = heard.when(e % 17 == 7, F.concat(F.substring(line, 1, 20), F.lit("X"), F.substring(line, 22, 100)))
+    heard = heard.when(e % 19 == 2, F.regexp_replace(line, "A,[0-3]", "A,5")).when(e % 23 == 1, F.lit("")).otherwise(line)
+    return sentences(spark, sf).withColumn("line", heard)
+
+
+HEARD_SQL = "NOT (event_id % 11 = 3 OR event_id % 13 = 5 OR event_id % 17 = 7 OR event_id % 19 = 2 OR event_id % 23 = 1)"
+
+
 def ais_decode(spark, sf):
-    out = ais.decode_ais(sentences(spark, sf).select("event_id", "line"))
+    out = ais.decode_ais(feed(spark, sf).select("event_id", "line"))
     return out.withColumns({c: r(c) for c in ("lon", "lat")})
 
 
@@ -88,12 +100,28 @@ def _specs(spark, sf):
     )
 
 
+def _full_specs(spark, sf):
+    """Customers as specification rows of 16 fields, some incomplete, some twice."""
+    key = F.col("c_custkey")
+    flags = table(spark, sf, "nation").select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("flag"))
+    c = table(spark, sf, "customer").filter("c_acctbal > 0").join(F.broadcast(flags), "c_nationkey", "left")  # 25 nations
+    rows = c.select(
+        key.alias("id"), key.alias("mmsi"), F.col("c_name").alias("shipname"), F.col("c_mktsegment").alias("shiptype"),
+        F.when(key % 7 != 0, 1950 + key % 70).alias("yearbuild"), (key % 300).alias("shiplength"), (key % 40).alias("shipwidth"),
+        (key * 10).alias("deadweight"), (F.col("c_acctbal") / 100).alias("maxspeed"), F.col("c_acctbal").alias("avespeed"), "flag",
+        F.concat(F.lit("C"), key).alias("callsign"), F.when(key % 13 != 0, key + 9_000_000).alias("imo"), (key % 12).alias("draught"),
+        (key % 20).alias("draughtmax"), F.concat(F.lit("ship_"), key, F.lit(".jpg")).alias("photo"),
+    )
+    again = rows.filter("mmsi % 5 = 0").withColumns({"id": F.col("id") + 1_000_000, "shiptype": F.lit("REFIT")})
+    return rows.unionByName(again)
+
+
 def ship_lookup(spark, sf):
-    """Ships in the feed with specification and flag; missing stay NULL."""
-    flags = table(spark, sf, "nation").select(F.col("n_nationkey").alias("nationkey"), F.col("n_name").alias("flag"))
-    specs = T.valid_specs(_specs(spark, sf), ["shipname"]).join(flags, "nationkey", "left")
-    return T.with_specs(_ships(spark, sf), T.round_specs(specs, ["avespeed"])).select(
-        "mmsi", "shipname", "shiptype", "flag", "avespeed"
+    """Ships in the feed with specification and flag; missing and incomplete ones stay NULL."""
+    specs = _full_specs(spark, sf)
+    specs = T.valid_specs(specs, specs.columns)
+    return T.with_specs(_ships(spark, sf), T.round_specs(specs, ["maxspeed", "avespeed"])).select(
+        "mmsi", "id", "shipname", "shiptype", "yearbuild", "maxspeed", "flag", "avespeed", "imo"
     )
 
 
@@ -112,13 +140,14 @@ def ship_counts(spark, sf):
 
 def photo_contains(spark, sf):
     ships = table(spark, sf, "customer").select(F.col("c_custkey").alias("mmsi"))
-    photos = table(spark, sf, "pages").select(F.col("url").alias("key"))
-    return T.photo_for(ships, photos, pattern=r"/(\d+)")
+    album = F.concat(F.lit("album_"), F.col("page_id") % 50, F.lit("/"), F.col("url"))
+    return T.photo_for(ships, table(spark, sf, "pages").select(album.alias("key")))
 
 
 QUERIES = {
     "ais_decode": (ais_decode, f"""WITH {RAW_SQL}
-SELECT event_id, mmsi, msg_type, {NAV_SQL} AS nav_status, sog, round(lon, 6) AS lon, round(lat, 6) AS lat, cog, heading FROM raw"""),
+SELECT event_id, mmsi, msg_type, {NAV_SQL} AS nav_status, sog, round(lon, 6) AS lon, round(lat, 6) AS lat, cog, heading FROM raw
+WHERE {HEARD_SQL}"""),
     "ship_geometry": (ship_geometry, f"""WITH {RAW_SQL}, {GEO_SQL}
 SELECT event_id, round(range_m, 4) AS range_m, round(bearing_deg, 4) AS bearing_deg, round(lane_range_m, 4) AS lane_range_m,
        round(lane_minutes, 4) AS lane_minutes FROM pos"""),
@@ -130,13 +159,17 @@ WHERE lane_range_m < 20000"""),
 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1"""),
     "in_range_registry": (in_range_registry, f"""WITH q AS (SELECT user_id, event_id, event_type, value, epoch_us(ts) AS t FROM events WHERE value <> {LIMIT}
 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1) SELECT * FROM q WHERE value < {LIMIT}"""),
-    "ship_lookup": (ship_lookup, """SELECT s.mmsi, c_name AS shipname, c_mktsegment AS shiptype, n_name AS flag, round(c_acctbal, 2) AS avespeed
-FROM (SELECT DISTINCT user_id AS mmsi FROM events) s LEFT JOIN (SELECT * FROM customer WHERE c_acctbal > 0) c ON c.c_custkey = s.mmsi
-LEFT JOIN nation ON n_nationkey = c_nationkey"""),
+    "ship_lookup": (ship_lookup, """SELECT s.mmsi, c_custkey + CASE WHEN c_custkey % 5 = 0 THEN 1000000 ELSE 0 END AS id, c_name AS shipname,
+  CASE WHEN c_custkey % 5 = 0 THEN 'REFIT' ELSE c_mktsegment END AS shiptype, 1950 + c_custkey % 70 AS yearbuild, round(c_acctbal / 100, 2) AS maxspeed,
+  n_name AS flag, round(c_acctbal, 2) AS avespeed, c_custkey + 9000000 AS imo
+FROM (SELECT DISTINCT user_id AS mmsi FROM events) s
+LEFT JOIN (SELECT * FROM customer JOIN nation ON n_nationkey = c_nationkey
+           WHERE c_acctbal > 0 AND c_custkey % 7 <> 0 AND c_custkey % 13 <> 0) c ON c.c_custkey = s.mmsi"""),
     "ship_missing": (ship_missing, """SELECT DISTINCT user_id AS mmsi FROM events
 WHERE user_id NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)"""),
     "ship_counts": (ship_counts, """SELECT c_mktsegment AS shiptype, count(*) AS reports, count(DISTINCT user_id) AS ships
 FROM events LEFT JOIN customer ON c_custkey = user_id AND c_acctbal > 0 GROUP BY 1"""),
-    "photo_contains": (photo_contains, """WITH p AS (SELECT regexp_extract(url, '/(\\d+)', 1) AS id, max(url) AS photo FROM pages GROUP BY 1)
-SELECT c_custkey AS mmsi, photo FROM customer LEFT JOIN p ON p.id <> '' AND p.id = c_custkey::VARCHAR"""),
+    "photo_contains": (photo_contains, """WITH k AS (SELECT 'album_' || (page_id % 50) || '/' || url AS key FROM pages),
+p AS (SELECT id, max(key) AS photo FROM (SELECT key, unnest(regexp_extract_all(key, '\\d+')) AS id FROM k) GROUP BY 1)
+SELECT c_custkey AS mmsi, photo FROM customer LEFT JOIN p ON p.id = c_custkey::VARCHAR"""),
 }

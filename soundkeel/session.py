@@ -6,13 +6,19 @@ import uuid
 
 from pyspark.sql import SparkSession
 
-# Rows that one ordered group may hold before it is split into chunks.
-GROUP_ROWS_KEY = "spark.soundkeel.groupRows"
-DEFAULT_GROUP_ROWS = 1_000_000
+# Chunks that ordered rows are cut into; the session's shuffle partitions where unset.
+RANGE_CHUNKS_KEY = "spark.soundkeel.rangeChunks"
+# Bytes that a side may have to be hinted for a broadcast.
+BROADCAST_BYTES_KEY = "spark.soundkeel.broadcastBytes"
+DEFAULT_BROADCAST_BYTES = 8 << 20
 
 
-def group_rows(spark: SparkSession) -> int:
-    return int(spark.conf.get(GROUP_ROWS_KEY, str(DEFAULT_GROUP_ROWS)))
+def range_chunks(spark: SparkSession) -> int:
+    return int(spark.conf.get(RANGE_CHUNKS_KEY, None) or spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def broadcast_bytes(spark: SparkSession) -> int:
+    return int(spark.conf.get(BROADCAST_BYTES_KEY, None) or DEFAULT_BROADCAST_BYTES)
 
 
 def pin_utc(spark: SparkSession) -> SparkSession:

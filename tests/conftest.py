@@ -15,7 +15,7 @@ TABLES = (
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     session = (
         SparkSession.builder.master("local[*]")
         .appName("tests")
@@ -23,6 +23,7 @@ def spark():
         .config("spark.ui.enabled", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "8g")
+        .config("spark.sql.warehouse.dir", str(tmp_path_factory.mktemp("warehouse")))
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
@@ -32,10 +33,13 @@ def spark():
 
 @pytest.fixture
 def small_groups(spark):
-    """Every key above 20 rows is treated as hot."""
-    spark.conf.set("spark.soundkeel.groupRows", "20")
+    """Ordered rows are cut into many chunks, and no table is small enough to broadcast."""
+    spark.conf.set("spark.soundkeel.rangeChunks", "40")
+    spark.conf.set("spark.soundkeel.broadcastBytes", "0")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     yield
-    spark.conf.unset("spark.soundkeel.groupRows")
+    for key in ("spark.soundkeel.rangeChunks", "spark.soundkeel.broadcastBytes", "spark.sql.adaptive.coalescePartitions.enabled"):
+        spark.conf.unset(key)
 
 
 @pytest.fixture(scope="session")

@@ -8,7 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from soundkeel.plans.halo import drop_halo, halo_window, with_halo
-from soundkeel.plans.ordered import Running, following, measure, previous, scan
+from soundkeel.plans.ordered import CHUNK, KEY, Running, cut, following, previous, running
+from soundkeel.plans.sizes import join_small
 from soundkeel.plans.rangejoin import point_in_interval
 
 
@@ -16,19 +17,28 @@ def rows_of(seed, n=400, skew=True):
     rng = random.Random(seed)
     out = []
     for i in range(n):
-        key = "hot" if skew and rng.random() < 0.6 else rng.choice("abc")
+        key = "hot" if skew and rng.random() < 0.6 else rng.choice(["a", "b", None])
         pos = rng.choice([rng.randint(0, 50), rng.randint(0, 10**6)])
         out.append((key, pos, i, rng.choice([None, rng.randint(-5, 9)])))
     return out
 
 
-@pytest.mark.parametrize("limit", [7, 50, 10_000])
+@pytest.fixture
+def chunks(spark, request):
+    spark.conf.set("spark.soundkeel.rangeChunks", str(request.param))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield request.param
+    spark.conf.unset("spark.soundkeel.rangeChunks")
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+@pytest.mark.parametrize("chunks", [1, 7, 60], indirect=True)
 @pytest.mark.parametrize("keys", [["k"], []])
-def test_scan_is_exact(spark, limit, keys):
-    rows = rows_of(limit + len(keys))
+def test_scan_is_exact(spark, chunks, keys):
+    rows = rows_of(chunks + len(keys))
     df = spark.createDataFrame(rows, "k string, pos long, id long, v int")
-    got = scan(
-        df, keys, F.col("pos"), [F.col("pos"), F.col("id")],
+    got = running(
+        df, keys, [F.col("pos"), F.col("id")],
         {
             "s": Running(F.coalesce("v", F.lit(0))),
             "sx": Running(F.coalesce("v", F.lit(0)), inclusive=False),
@@ -37,7 +47,6 @@ def test_scan_is_exact(spark, limit, keys):
             "prev": previous(F.col("v")),
             "next": following(F.col("v")),
         },
-        limit,
     )
     assert set(got.columns) == {"k", "pos", "id", "v", "s", "sx", "hi", "lo", "prev", "next"}
     found = {r["id"]: r for r in got.collect()}
@@ -56,13 +65,32 @@ def test_scan_is_exact(spark, limit, keys):
             assert (r["prev"], r["next"]) == (before[-1] if before else None, after[0] if after else None)
 
 
-def test_measure_cuts_only_hot_keys(spark):
-    df = spark.createDataFrame([("a", i) for i in range(1000)] + [("b", 1)], "k string, pos long")
-    assert measure(df, ["k"], F.col("pos"), 2000).hot is None
-    sizes = measure(df, ["k"], F.col("pos"), 100)
-    assert [r["k"] for r in sizes.hot.collect()] == ["a"]
-    chunk_rows = sizes.cells.select(F.countDistinct("_chunk")).head()[0]
-    assert 8 <= chunk_rows <= 12
+def largest(df, keys, order):
+    return cut(df, keys, order).groupBy(KEY, CHUNK).count().agg(F.max("count")).head()[0]
+
+
+@pytest.mark.parametrize("chunks", [20], indirect=True)
+def test_chunks_are_even_whatever_the_positions(spark, chunks):
+    """An outlier, equal positions, text keys and many hot keys give no large chunk."""
+    outlier = spark.createDataFrame([("a", i if i else 10**12) for i in range(2000)], "k string, pos long")
+    assert largest(outlier, ["k"], [F.col("pos")]) <= 300
+    equal = spark.createDataFrame([("a", 5)] * 2000, "k string, pos long")
+    assert largest(equal, ["k"], [F.col("pos")]) <= 300
+    text = spark.createDataFrame([("all", f"file_{i * 7919 % 2000}.wav") for i in range(2000)], "k string, pos string")
+    assert largest(text, [], [F.col("pos")]) <= 300
+    many = spark.createDataFrame([(f"k{i % 8}", i) for i in range(4000)], "k string, pos long")
+    assert largest(many, ["k"], [F.col("pos")]) <= 500
+
+
+@pytest.mark.parametrize("limit", [0, 1 << 20])
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_join_with_statistics(spark, limit, how):
+    big = spark.createDataFrame([("hot" if i % 3 else f"k{i}", i) for i in range(300)], "k string, v long")
+    small = big.filter("v < 200").groupBy("k").agg(F.max("v").alias("top"))
+    got = join_small(big, small, ["k"], how=how, limit=limit)
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, big.join(small, "k", how).collect()), key=repr)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert ("_salt" in plan) == (limit == 0) and ("BroadcastHashJoin" in plan or limit == 0)
 
 
 def test_halo_equals_plain_window(spark):
@@ -76,14 +104,13 @@ def test_halo_equals_plain_window(spark):
     assert got.count() == n
 
 
-@pytest.mark.parametrize("limit", [10, 100_000])
-def test_range_join_equals_all_pairs(spark, limit):
+def test_range_join_equals_all_pairs(spark):
     rng = random.Random(3)
     pts = [("x" if rng.random() < 0.7 else "y", rng.randint(0, 500), i) for i in range(300)]
     ivs = [(rng.choice("xy"), s, s + rng.randint(0, 90), i) for i, s in enumerate(rng.randint(0, 480) for _ in range(60))]
     p = spark.createDataFrame(pts, "k string, pos long, pid long")
     i = spark.createDataFrame(ivs, "k string, s long, e long, iid long")
-    got = {(r["pid"], r["iid"]) for r in point_in_interval(p, i, ["k"], "pos", "s", "e", 40, limit=limit).collect()}
+    got = {(r["pid"], r["iid"]) for r in point_in_interval(p, i, ["k"], "pos", "s", "e", 40).collect()}
     want = {(p_[2], i_[3]) for p_ in pts for i_ in ivs if p_[0] == i_[0] and i_[1] <= p_[1] < i_[2]}
     assert got == want
 

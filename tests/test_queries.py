@@ -11,11 +11,11 @@ from soundkeel.queries import registry
 
 REGISTRY = registry()
 
-# Queries whose plan changes when a key is above the row limit.
+# Queries whose rows are cut into chunks or joined with statistics per key.
 ORDERED = (
     "bout_report", "segment_calls", "merge_segments", "merge_turns", "with_prior", "background_intervals", "label_at_points",
     "window_has_label", "class_at_points", "merged_spans", "example_counts", "index_to_location", "declick", "pr_curve",
-    "average_precision", "training_windows", "segment_classify",
+    "average_precision", "training_windows", "segment_classify", "nb_predict", "zmask", "stft_db", "peak_norm", "stereo_pick",
 )
 
 

@@ -18,16 +18,15 @@ from soundkeel.streaming import registry
 def test_known_sentence(spark):
     line = "!AIVDM,1,1,,A,15M67FC000G?ufbE`FepT@3n00Sa,0*5C"
     other = "!AIVDM,2,1,3,A,55P5TL01VIaAL@7WKO@mBplU@<PDhh000000001S;AJ::4A80?4i@E53,0*3E"
-    df = spark.createDataFrame([(line,), (other,), ("$GPGGA,1",), ("!AIVDM,1,1,,A,15M6,0*00",), ("",)], "line string")
+    df = spark.createDataFrame(
+        [(line,), (other,), ("$GPGGA,1",), ("!AIVDM,1,1,,A,15M6,0*00",), ("",), (line.replace("ufb", "uXb"),), (None,)],
+        "line string",
+    )
     got = ais.decode_ais(df).collect()
-    full = [r for r in got if r["mmsi"] is not None]
-    assert len(full) == 1
-    r = full[0]
+    assert len(got) == 1, "truncated and damaged payloads are dropped"
+    r = got[0]
     assert (r["mmsi"], r["msg_type"]) == (366053209, 1)
     assert r["lon"] == pytest.approx(-122.341618, abs=1e-5) and r["lat"] == pytest.approx(37.802118, abs=1e-5)
-    bits = df.limit(1).select(ais.ais_bits(F.lit(line.split(",")[5])).alias("b"))
-    u = bits.select(ais.ubits(F.col("b"), 8, 38), ais.sbits(F.col("b"), 61, 89), ais.ubits(F.col("b"), 200, 230)).head()
-    assert u[0] == 366053209 and u[1] == round(r["lon"] * 600000) and u[2] is None
 
 
 def test_geometry(spark):
@@ -54,19 +53,20 @@ def test_registry_rules(spark, tmp_path):
 
 def test_photo_and_specs(spark):
     ships = spark.createDataFrame([(11,), (12,)], "mmsi long")
-    photos = spark.createDataFrame([("ship_photos/ship_11.jpg",), ("ship_photos/ship_11_b.jpg",), ("x",)], "key string")
+    photos = spark.createDataFrame([("album_7/ship_11.jpg",), ("album_7/ship_11_b.jpg",), ("x",), ("album_120/x",)], "key string")
     got = {r["mmsi"]: r["photo"] for r in tracks.photo_for(ships, photos).collect()}
-    assert got == {11: "ship_photos/ship_11_b.jpg", 12: None}
+    assert got == {11: "album_7/ship_11_b.jpg", 12: None}
+    specs = spark.createDataFrame([(11, "b", 2), (11, "a", 3), (12, None, 1)], "mmsi long, name string, n int")
+    assert [tuple(r) for r in tracks.valid_specs(specs, ["name"]).collect()] == [(11, "b", 2)]
 
 
-@pytest.mark.parametrize("blocks", [dict(train_block=7, query_block=9), {}])
-def test_knn_equals_brute_force(spark, blocks):
+def test_knn_equals_brute_force(spark):
     rng = np.random.default_rng(7)
     t, q = rng.normal(size=(60, 8)), rng.normal(size=(40, 8))
     lab = rng.integers(0, 4, 60)
     train = spark.createDataFrame([(i, t[i].tolist(), int(lab[i])) for i in range(60)], "id long, x array<double>, label int")
     query = spark.createDataFrame([(i, q[i].tolist()) for i in range(40)], "id long, x array<double>")
-    got = {r["query_id"]: r for r in knn.knn_classify(train, query, 5, **blocks).collect()}
+    got = {r["query_id"]: r for r in knn.knn_classify(train, query, 5, train_rows=1000).collect()}
     for i in range(40):
         d = np.sqrt(((t - q[i]) ** 2).sum(1))
         best = np.argsort(d)[:5]
@@ -76,6 +76,10 @@ def test_knn_equals_brute_force(spark, blocks):
             votes[lab[b]] = (n + 1, min(m, d[b]))
         want = min(votes, key=lambda k: (-votes[k][0], votes[k][1]))
         assert got[i]["label"] == want and got[i]["nearest"] == pytest.approx(d[best[0]])
+    few = knn.nearest(train, query, 5, train_rows=3).collect()
+    assert {n["train_id"] for r in few for n in r["near"]} <= set(range(60)) and all(len(r["near"]) == 3 for r in few)
+    own = knn.nearest(train, train.drop("label"), 1, train_rows=1000, others=True).collect()
+    assert len(own) == 60 and all(r["near"][0]["train_id"] != r["query_id"] for r in own)
 
 
 def test_score_rules(spark):
