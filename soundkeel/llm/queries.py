@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, quality_cnn, rules, secrets, shards, simhash, tokens, urls, warc, winnow
+from . import mixing, quality_cnn, rules, secrets, shards, simhash, sql, tokens, urls, warc, winnow
 from .common import table
 
 
@@ -26,7 +26,7 @@ def op3_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels are those of the document with the page's number: bad is quality 0."""
     labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), (1 - F.col("quality")).alias("bad"))
-    return urls.judge(table(spark, sf_dir, "pages"), labels)
+    return urls.judge(table(spark, sf_dir, "pages"), labels).withColumn("rate", F.round("rate", 9))
 
 
 def op5_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,14 +55,14 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "op1_warc": (op1_warc, None),
+    "op1_warc": (op1_warc, sql.WARC),
     "op2_simhash": (op2_simhash, None),
     "op3_tokens": (op3_tokens, None),
-    "op4_urls": (op4_urls, None),
+    "op4_urls": (op4_urls, sql.URLS),
     "op5_kd_shards": (op5_kd_shards, None),
     "op6_secrets": (op6_secrets, None),
     "op7_cnn": (op7_cnn, None),
-    "op8_rules": (op8_rules, None),
-    "op9_winnow": (op9_winnow, None),
-    "op10_mix": (op10_mix, None),
+    "op8_rules": (op8_rules, sql.RULES),
+    "op9_winnow": (op9_winnow, sql.WINNOW),
+    "op10_mix": (op10_mix, sql.MIX),
 }
