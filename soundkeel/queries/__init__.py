@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import audio, bouts, feeds, labelling, matrices, naming, scoring, vessels
+from . import audio, bouts, feeds, labelling, matrices, naming, recordings, scoring, vessels
 
-MODULES = (bouts, labelling, vessels, audio, matrices, scoring, naming, feeds)
+MODULES = (bouts, labelling, vessels, audio, matrices, scoring, naming, feeds, recordings)
 
 
 def registry() -> dict:

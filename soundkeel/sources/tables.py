@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import is_audio
 from ..operators.catalog import segments
+from .files import relative_to
 
 EXPERT_LABELS = "wav_filename STRING, start_time_s DOUBLE, duration_s DOUBLE, location STRING, date STRING, master STRING"
 LABEL_TRACK = "start STRING, end STRING, label STRING"
@@ -27,19 +28,18 @@ SHIP_SPECS = (
 
 
 def list_audio(spark: SparkSession, path: str) -> DataFrame:
-    """Audio files under a folder or object-store prefix, by name.
+    """Audio files under a folder or object-store prefix, by their name below it; extensions in any case.
 
     Only listing columns are selected, so no content is read.
     """
     files = (
         spark.read.format("binaryFile")
-        .option("pathGlobFilter", "*.{wav,WAV,flac}")
+        .option("pathGlobFilter", "*.{[wW][aA][vV],[fF][lL][aA][cC]}")
         .option("recursiveFileLookup", True)
         .load(path)
         .select("path", "length", "modificationTime")
     )
-    name = F.substring_index("path", "/", -1)
-    return files.withColumn("file", name).filter(is_audio(name)).orderBy("file")
+    return files.withColumn("file", relative_to(F.col("path"), path)).filter(is_audio(F.col("file"))).orderBy("file")
 
 
 def list_keys(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:

@@ -8,13 +8,12 @@ select byte ranges before anything is read.  (They are options, not pushed
 filters: Spark keeps pushed filters on the loaded relation, so two differently
 filtered branches of one DataFrame would see each other's.)
 
-The path has to be mounted on every executor.  For object stores without a
-mount, ``decode_recordings`` works on the rows of Spark's binary file reader.
+Files are listed and read through Arrow's file systems, so a path may be local, in an
+object store or on HDFS.  A recording is named by its path below the folder.
 """
 
 from __future__ import annotations
 
-import glob
 import os
 import struct
 from collections.abc import Iterator
@@ -22,12 +21,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from .files import file_system, relative_name
+
 CHUNK_SAMPLES = 1 << 16
 CHUNKS_PER_PARTITION = 64
+# Requests within this time share a task; samples that a batch of requests holds.
+STRETCH_S = 600.0
+MOST_SAMPLES = 1 << 22
 
 SCHEMA = (
     "file string, sample_rate int, channels int, subtype string, chunk_no long, "
@@ -117,11 +122,12 @@ def _batch(file: str, h: Header, chunk_nos: list[int], chunk: int, blocks: list[
 @dataclass
 class ChunkRange(InputPartition):
     path: str
+    name: str
     first: int
     last: int
 
-    def __init__(self, path: str, first: int, last: int):
-        self.path, self.first, self.last = path, first, last
+    def __init__(self, path: str, name: str, first: int, last: int):
+        self.path, self.name, self.first, self.last = path, name, first, last
 
 
 class WavReader(DataSourceReader):
@@ -134,33 +140,35 @@ class WavReader(DataSourceReader):
         self.lo = int(options.get("fromsample", 0))
         self.hi = int(options["tosample"]) if "tosample" in options else None
 
-    def _paths(self) -> list[str]:
-        if os.path.isdir(self.path):
-            found = [
-                os.path.join(d, n) for d, _, names in os.walk(self.path) for n in names if n.lower().endswith(".wav")
-            ]
+    def _files(self) -> list[tuple[str, str, int]]:
+        """Path, name and bytes of the recordings: one listing, sizes included."""
+        system, root = file_system(self.path)
+        info = system.get_file_info(root)
+        if info.type == fs.FileType.Directory:
+            found = system.get_file_info(fs.FileSelector(root, recursive=True))
         else:
-            found = glob.glob(self.path)
-        return sorted(p for p in found if self.files is None or os.path.basename(p) in self.files)
+            found = [info]
+        named = [(i.path, relative_name(i.path, root), i.size) for i in found if i.is_file and i.path.lower().endswith(".wav")]
+        return sorted(x for x in named if self.files is None or x[1] in self.files)
 
     def partitions(self):
         """Byte ranges from the file sizes; headers are read by the tasks."""
         parts = []
-        for p in self._paths():
-            most = os.path.getsize(p) // 2 + 1  # one int16 channel at most
+        for path, name, size in self._files():
+            most = size // 2 + 1  # one int16 channel at most
             if self.hi is not None:
                 most = min(most, self.hi)
             n_chunks = -(-most // self.chunk)
             for first in range(self.lo // self.chunk, n_chunks, self.per_partition):
-                parts.append(ChunkRange(p, first, min(first + self.per_partition, n_chunks)))
-        return parts or [ChunkRange("", 0, 0)]
+                parts.append(ChunkRange(path, name, first, min(first + self.per_partition, n_chunks)))
+        return parts or [ChunkRange("", "", 0, 0)]
 
     def read(self, partition: ChunkRange) -> Iterator[pa.RecordBatch]:
         if not partition.path:
             return
-        with open(partition.path, "rb") as f:
+        with file_system(self.path)[0].open_input_file(partition.path) as f:
             h = read_header(f)
-            name = os.path.basename(partition.path)
+            name = partition.name
             for c in range(partition.first, partition.last):
                 start = c * self.chunk
                 if start >= h.n_samples:
@@ -204,6 +212,11 @@ def read_wav(
     return reader.load(path)
 
 
+def _opened(root: str, name: str):
+    system, at = file_system(root)
+    return system.open_input_file(f"{at.rstrip('/')}/{name}")
+
+
 def read_headers(files: DataFrame, path: str) -> DataFrame:
     """Rate, channels, encoding and length of each recording in ``files`` (column
     ``file``, names below ``path``); only headers are read."""
@@ -212,7 +225,7 @@ def read_headers(files: DataFrame, path: str) -> DataFrame:
         for b in batches:
             rows = []
             for name in b.column(0).to_pylist():
-                with open(os.path.join(path, name), "rb") as f:
+                with _opened(path, name) as f:
                     h = read_header(f)
                 rows.append({"file": name, "sample_rate": h.sample_rate, "channels": h.channels,
                              "subtype": h.subtype, "n_samples": h.n_samples})
@@ -232,30 +245,86 @@ def first_channel(chunks: DataFrame, k: int = 0) -> DataFrame:
 def read_segments(requests: DataFrame, path: str) -> DataFrame:
     """Samples of each request ``(file, start_s, n)``.
 
-    Requests are spread over tasks by file and start, each seeks to its own
-    bytes; no recording is read whole.  A request past the end gives fewer
-    samples.
+    Requests are spread over tasks by file and stretches of time; a task opens a
+    file once, reads its header once and seeks to the bytes of each request, so no
+    recording is read whole.  A request past the end gives fewer samples.
     """
-    spread = requests.select("file", "start_s", "n").repartition("file", "start_s")
+    typed = requests.select(F.col("file").cast("string"), F.col("start_s").cast("double"), F.col("n").cast("long"))
+    stretch = F.floor(F.col("start_s") / STRETCH_S)
+    spread = typed.repartition("file", stretch).sortWithinPartitions("file", "start_s")
+
+    def flush(rows: list[dict], rates: list[int], blocks: list[np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array([r["file"] for r in rows]), pa.array([r["start_s"] for r in rows], pa.float64()),
+                pa.array([r["n"] for r in rows], pa.int64()), pa.array(rates, pa.int32()), _nested(blocks),
+            ],
+            names=["file", "start_s", "n", "sample_rate", "ch"],
+        )
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, f, h = None, None, None
         for b in batches:
-            rows = sorted(b.to_pylist(), key=lambda r: (r["file"], r["start_s"]))
-            for r in rows:
-                with open(os.path.join(path, r["file"]), "rb") as f:
+            rows, rates, blocks, held = [], [], [], 0
+            for r in b.to_pylist():
+                if r["file"] != name:
+                    if f is not None:
+                        f.close()
+                    name, f = r["file"], _opened(path, r["file"])
                     h = read_header(f)
-                    start = max(int(r["start_s"] * h.sample_rate), 0)
-                    block = read_block(f, h, min(start, h.n_samples), r["n"])
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([r["file"]]), pa.array([r["start_s"]], pa.float64()), pa.array([r["n"]], pa.int64()),
-                        pa.array([h.sample_rate], pa.int32()), _nested([block]),
-                    ],
-                    names=["file", "start_s", "n", "sample_rate", "ch"],
-                )
-
-    typed = spread.select(F.col("file").cast("string"), F.col("start_s").cast("double"), F.col("n").cast("long"))
-    return typed.mapInArrow(read, "file string, start_s double, n long, sample_rate int, ch array<array<float>>")
+                start = max(int(r["start_s"] * h.sample_rate), 0)
+                blocks.append(read_block(f, h, min(start, h.n_samples), r["n"]))
+                rows.append(r)
+                rates.append(h.sample_rate)
+                held += blocks[-1].size
+                if held > MOST_SAMPLES:
+                    yield flush(rows, rates, blocks)
+                    rows, rates, blocks, held = [], [], [], 0
+            if rows:
+                yield flush(rows, rates, blocks)
+        if f is not None:
+            f.close()
+
+    return spread.mapInArrow(read, "file string, start_s double, n long, sample_rate int, ch array<array<float>>")
+
+
+def write_recordings(chunks: DataFrame, path: str) -> DataFrame:
+    """Writes each recording to ``path``; returns (file, n_bytes).
+
+    ``chunks``: file (name below path), sample_rate, subtype, n_samples (of the recording),
+    chunk_no, ch.  A recording is one file, written by one task chunk by chunk.
+    """
+    ordered = chunks.select("file", "sample_rate", "subtype", "n_samples", "chunk_no", "ch").repartition("file")
+    ordered = ordered.sortWithinPartitions("file", "chunk_no")
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, root = file_system(path)
+        name, out, done, size = None, None, [], 0
+        for b in batches:
+            for r in b.to_pylist():
+                x = np.array(r["ch"], np.float32).T
+                if r["file"] != name:
+                    if out is not None:
+                        out.close()
+                        done.append({"file": name, "n_bytes": size})
+                    name = r["file"]
+                    at = f"{root.rstrip('/')}/{name}"
+                    system.create_dir(at.rsplit("/", 1)[0], recursive=True)
+                    out, size = system.open_output_stream(at, compression=None), 0
+                    pcm = r["subtype"] == "PCM_16"
+                    width = (2 if pcm else 4) * x.shape[1]
+                    fmt = struct.pack("<HHIIHH", 1 if pcm else 3, x.shape[1], r["sample_rate"], r["sample_rate"] * width, width, 16 if pcm else 32)
+                    data = r["n_samples"] * width
+                    head = b"RIFF" + struct.pack("<I", 36 + data) + b"WAVEfmt " + struct.pack("<I", 16) + fmt + b"data" + struct.pack("<I", data)
+                    size += out.write(head)
+                block = np.round(x * 32767).clip(-32768, 32767).astype("<i2") if r["subtype"] == "PCM_16" else x.astype("<f4")
+                size += out.write(block.tobytes())
+        if out is not None:
+            out.close()
+            done.append({"file": name, "n_bytes": size})
+        yield pa.RecordBatch.from_pylist(done, pa.schema([("file", pa.string()), ("n_bytes", pa.int64())]))
+
+    return ordered.mapInArrow(write, "file string, n_bytes long")
 
 
 def decode_recordings(files: DataFrame, chunk_samples: int = CHUNK_SAMPLES, tail: int = 0) -> DataFrame:

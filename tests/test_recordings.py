@@ -264,3 +264,20 @@ def test_written_tables(spark, tmp_path):
     assert where.endswith("80x80_400to10000_3.0sec_logF") and spark.read.parquet(where).count() == 1
     empty = spark.createDataFrame([], "mmsi long, ts timestamp")
     assert not sinks.write_range_snapshot(empty, str(tmp_path / "none"))
+
+
+def test_equal_base_names_in_folders_stay_apart(spark, tmp_path):
+    rng = np.random.default_rng(6)
+    for site in ("a", "b/deep"):
+        (tmp_path / site).mkdir(parents=True)
+        write_wav(tmp_path / site / "x.wav", rng.integers(-900, 900, 500 if site == "a" else 700))
+    got = wav.read_wav(spark, str(tmp_path), 100).groupBy("file").agg(F.sum("n_own").alias("n"), F.count("*").alias("c")).collect()
+    assert {(r["file"], r["n"], r["c"]) for r in got} == {("a/x.wav", 500, 5), ("b/deep/x.wav", 700, 7)}
+    listed = tables.list_audio(spark, str(tmp_path))
+    assert [r["file"] for r in listed.collect()] == ["a/x.wav", "b/deep/x.wav"]
+    heads = {r["file"]: r["n_samples"] for r in wav.read_headers(listed, f"file://{tmp_path}").collect()}
+    assert heads == {"a/x.wav": 500, "b/deep/x.wav": 700}
+    req = spark.createDataFrame([("b/deep/x.wav", 0.0, 9), ("a/x.wav", 0.001, 9)], "file string, start_s double, n long")
+    want = samples(tmp_path, "b/deep/x.wav")[:9, 0]
+    read = {r["file"]: r["ch"][0] for r in wav.read_segments(req, str(tmp_path)).collect()}
+    assert np.array_equal(np.array(read["b/deep/x.wav"], np.float32), want) and len(read["a/x.wav"]) == 9
