@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions import arrays as A
@@ -122,12 +123,9 @@ def centred_slice(spark, sf):
 
 
 def taper(spark, sf):
-    kinds = [A.taper(F.col("x"), k) for k in ("hann", "hamming", "mask")]
-    parts = [
-        _cells(_vectors(spark, sf).select("vec_id", F.lit(n).alias("kind"), x.alias("x")))
-        for n, x in zip(("hann", "hamming", "mask"), kinds, strict=True)
-    ]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    """Three tapers of every vector in one scan."""
+    kinds = [F.struct(F.lit(k).alias("kind"), A.taper(F.col("x"), k).alias("x")) for k in ("hann", "hamming", "mask")]
+    return _cells(_vectors(spark, sf).select("vec_id", F.inline(F.array(*kinds))))
 
 
 def dft_power(spark, sf):
@@ -150,6 +148,17 @@ def filterbank_power(spark, sf):
     return _cells(_vectors(spark, sf).select("vec_id", K.filterbank(F.col("x"), 8, 32, 16, 2000.0, 6000.0, 44000.0, True).alias("x")))
 
 
+def _smooth_rows(n: int = 64) -> str:
+    """Smoothing weights as (out, in, weight): 11 in the middle; at the ends the values of the least-squares cubic."""
+    at = np.arange(11.0) - 5
+    cubic = np.stack([at**k for k in range(4)], axis=1)
+    ends = cubic @ np.linalg.solve(cubic.T @ cubic, cubic.T)
+    rows = [(i, i - 5 + k, w / S.SMOOTH_DIVISOR) for i in range(5, n - 5) for k, w in enumerate(S.SMOOTH_WEIGHTS)]
+    rows += [(i, k, ends[i, k]) for i in range(5) for k in range(11)]
+    rows += [(n - 5 + i, n - 11 + k, ends[6 + i, k]) for i in range(5) for k in range(11)]
+    return ", ".join(f"({o}, {i}, {float(w)!r}::DOUBLE)" for o, i, w in rows)
+
+
 def smooth_spectrum(spark, sf):
     return _cells(_vectors(spark, sf).select("vec_id", S.smooth_spectrum(F.col("x")).alias("x")))
 
@@ -243,7 +252,12 @@ FROM a, range(0, 65) t(k) GROUP BY 1, 2"""),
   FROM (SELECT f, i, 2000 * 32 / 44000.0::DOUBLE * exp(f * ln(3.0::DOUBLE) / 8) * 2 * pi() * i / 32 AS a FROM range(0, 8) x(f), range(0, 32) y(i)))
 SELECT vec_id, h * 8 + f AS band, round(ln(1 + pow(sum(embedding[h * 16 + i + 1]::DOUBLE * s), 2) + pow(sum(embedding[h * 16 + i + 1]::DOUBLE * c), 2)), 6) AS v
 FROM embeddings, range(0, 3) t(h), b GROUP BY vec_id, h, f"""),
-    "smooth_spectrum": (smooth_spectrum, None),
+    "smooth_spectrum": (smooth_spectrum, f"""WITH k(o, i, w) AS (VALUES {_smooth_rows()}),
+x AS (SELECT vec_id, i - 1 AS band, embedding[i]::DOUBLE AS v FROM embeddings, range(1, 65) t(i)),
+a AS (SELECT vec_id, o AS band, sum(w * v) AS v FROM x JOIN k ON k.i = band GROUP BY 1, 2),
+l AS (SELECT vec_id, regr_slope(v, band) AS m, regr_intercept(v, band) AS c FROM a GROUP BY 1),
+d AS (SELECT vec_id, band, v - (m * band + c) AS v FROM a JOIN l USING (vec_id))
+SELECT vec_id, o AS band, round(sum(w * v), 6) AS v FROM d JOIN k ON k.i = band GROUP BY 1, 2"""),
     "decibels": (decibels, """WITH a AS (SELECT l_orderkey, sum(l_quantity) AS q, round(sum(l_discount), 2) AS d, list_distinct(list(l_linenumber - 1)) AS c FROM lineitem GROUP BY 1)
 SELECT l_orderkey, round(10 * log10(q) + 12.5, 6) AS level, round(CASE WHEN d = 0 THEN q ELSE q / d END, 6) AS ratio,
        array_to_string([CASE WHEN list_contains(c, i) THEN '1' ELSE '0' END FOR i IN range(0, 7)], '') AS hot FROM a"""),

@@ -56,7 +56,9 @@ def range_report(ships: DataFrame) -> DataFrame:
 
 def write_range_snapshot(ships: DataFrame, path: str) -> bool:
     """Overwrite the report; an empty registry leaves the last one in place."""
-    if ships.isEmpty():
-        return False
-    ships.write.mode("overwrite").csv(path, header=True)
-    return True
+    ships = ships.persist()  # evaluated once for the test and the write
+    some = not ships.isEmpty()
+    if some:
+        ships.write.mode("overwrite").csv(path, header=True)
+    ships.unpersist()
+    return some

@@ -1,13 +1,16 @@
 """Call detection on a stream of spectra, one state per recorder.
 
-State: background spectrum, threshold, and the open call's sums.  Rows of one
-recorder are handled in frame order within a trigger; triggers must arrive in
-order.  The first row of a recorder is its starting background (``frame = -1``).
-Limit the rows per trigger at the source (``maxFilesPerTrigger``).
+State: background spectrum, threshold, the next frame and the open call's sums.
+Rows of one recorder are handled in frame order, block by block as they come: only
+frames that arrive before their predecessors wait, so memory follows the disorder
+within a trigger, not its length.  Frames missing at the end of a trigger are passed
+over; triggers must arrive in order.  The first row of a recorder is its starting
+background (``frame = -1``).
 """
 
 from __future__ import annotations
 
+import heapq
 import math
 from collections.abc import Iterator
 
@@ -23,7 +26,8 @@ OUTPUT = (
     "mean_peak double, sigma_peak double"
 )
 STATE = (
-    "background array<double>, threshold double, start long, n long, f0 double, f0_sq double, peak double, peak_sq double"
+    "background array<double>, threshold double, start long, n long, f0 double, f0_sq double, peak double, peak_sq double, "
+    "due long"
 )
 
 
@@ -31,6 +35,23 @@ def _db(v: float) -> float | None:
     return 10 * math.log10(v) if v > 0 else None
 
 
+def _in_order(blocks: Iterator[pd.DataFrame], due: int) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(frame, start_sample, psd) by frame; a frame waits until those before it have come or the blocks end."""
+    early: list[tuple[int, int, int, np.ndarray]] = []
+    turn = 0  # keeps equal frames in their order of arrival
+    for pdf in blocks:
+        for frame, at, psd in zip(pdf["frame"], pdf["start_sample"], pdf["psd"], strict=True):
+            heapq.heappush(early, (int(frame), turn, int(at), psd))
+            turn += 1
+            while early and early[0][0] <= due:
+                f, _, a, p = heapq.heappop(early)
+                due = max(due, f + 1)
+                yield f, a, p
+    while early:
+        f, _, a, p = heapq.heappop(early)
+        yield f, a, p
+
+
 class CallDetector(StatefulProcessor):
     def __init__(self, bin_hz: float, adaptive: bool = False):
         self.bin_hz = bin_hz
@@ -40,14 +61,14 @@ class CallDetector(StatefulProcessor):
         self.state = handle.getValueState("detector", STATE)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(rows)).sort_values("frame", kind="stable")
         saved = self.state.get() if self.state.exists() else None
-        gate, start, n, f0, f0_sq, peak, peak_sq = None, -1, 0, 0.0, 0.0, 0.0, 0.0
+        gate, start, n, f0, f0_sq, peak, peak_sq, due = None, -1, 0, 0.0, 0.0, 0.0, 0.0, -1
         if saved:
             gate = Gate(np.array(saved[0], dtype=float), self.bin_hz, saved[1], self.adaptive)
-            start, n, f0, f0_sq, peak, peak_sq = saved[2:]
+            start, n, f0, f0_sq, peak, peak_sq, due = saved[2:]
         out = []
-        for frame, at, psd in zip(pdf["frame"], pdf["start_sample"], pdf["psd"], strict=True):
+        for frame, at, psd in _in_order(rows, due):
+            due = max(due, frame + 1)
             psd = np.array(psd, dtype=float)
             if frame < 0:
                 gate = Gate(psd, self.bin_hz, adaptive=self.adaptive)
@@ -67,7 +88,7 @@ class CallDetector(StatefulProcessor):
                 out.append((key[0], start, int(at), int(at) - start, n, mf, sd_f, _db(mp), 0.0 if n == 1 else _db(sd_p)))
                 start, n, f0, f0_sq, peak, peak_sq = -1, 0, 0.0, 0.0, 0.0, 0.0
         if gate is not None:
-            self.state.update((gate.background.tolist(), gate.threshold, start, n, f0, f0_sq, peak, peak_sq))
+            self.state.update((gate.background.tolist(), gate.threshold, start, n, f0, f0_sq, peak, peak_sq, due))
         yield pd.DataFrame(
             out,
             columns=["file", "startidx", "stopidx", "lencall", "n_frames", "f0", "sigma_f0", "mean_peak", "sigma_peak"],

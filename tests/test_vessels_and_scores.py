@@ -147,3 +147,35 @@ def test_bands(spark):
     assert g[-1]["f_hi"] == pytest.approx(22050) and all(a["bin_hi"] == b["bin_lo"] for a, b in zip(g, g[1:], strict=False))
     with pytest.raises(ValueError):
         geo_bands(spark, 10, 1000, 200, 256, 44100)
+
+
+def test_registry_over_triggers_keeps_few_snapshots(spark, tmp_path):
+    """Enter, refresh, at the limit, leave and enter again, one report a trigger."""
+    steps = [(1, 1, 5.0), (1, 2, 4.0), (1, 3, 10.0), (1, 4, 20.0), (2, 5, 1.0), (1, 6, 3.0), (2, 7, 30.0)]
+    df = spark.createDataFrame(steps, "mmsi long, t long, d double")
+    src, out = tmp_path / "in", tmp_path / "out"
+    for _, t, _ in steps:
+        df.filter(F.col("t") == t).coalesce(1).write.mode("append").parquet(str(src))
+        stream = spark.readStream.schema(df.schema).parquet(str(src))
+        reg = registry.ships_in_range(stream, "mmsi", [F.col("t")], "d", 10.0)
+        registry.snapshot(reg, str(out), str(tmp_path / "state"), every=None, keep=2).awaitTermination()
+        last = {}
+        for m, s, d in steps[:t]:
+            if d != 10.0:
+                last[m] = d
+        want = {m for m, d in last.items() if d < 10}
+        if want:
+            assert {r["mmsi"] for r in registry.latest_snapshot(spark, str(out)).collect()} == want
+    assert len(list(out.glob("batch=*"))) == 2
+
+
+def test_frames_wait_for_their_predecessors():
+    import pandas as pd
+
+    from soundkeel.streaming.calls import _in_order
+
+    def block(*frames):
+        return pd.DataFrame({"frame": frames, "start_sample": [f * 10 for f in frames], "psd": [[float(f)] for f in frames]})
+
+    got = [f for f, _, _ in _in_order(iter([block(2, -1, 0), block(1, 3), block(7, 5)]), -1)]
+    assert got == [-1, 0, 1, 2, 3, 5, 7]
