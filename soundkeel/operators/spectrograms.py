@@ -177,16 +177,7 @@ def label_spectrogram(
     first, last = -int(-lo * nfft // fs), -int(-hi * nfft // fs)
     n_bins = last - first
 
-    spans = clips.select(
-        "clip_id",
-        F.posexplode(
-            F.transform(F.sequence(F.lit(0), F.lit(n_raw - 1)), lambda i: F.slice("samples", i * step + 1, F.lit(reach)))
-        ).alias("slice", "y"),
-    )
-    long_enough = F.size("y") >= nfft
-    psd = spans.withColumn("psd", kernels.welch(F.when(long_enough, F.col("y")), fs, 256, nfft, "spectrum"))
-    zeros = F.array_repeat(F.lit(0.0), n_bins)
-    raw = psd.select("clip_id", "slice", F.when(long_enough, clip_bins(F.col("psd"), first, last)).otherwise(zeros).alias("x"))
+    raw = kernels.strided_spectra(clips, "clip_id", "samples", fs, nfft, step, reach, n_raw, (first, last))
     edges = None
     if log:
         table = geo_bands(chunks.sparkSession, lo, hi, n_bands, nfft, fs).orderBy("band").collect()  # n_bands rows

@@ -155,8 +155,9 @@ def clip_spectrogram(spark, sf):
 
 
 def window_arrays(spark, sf):
-    out = SG.window_arrays(_tailed(spark, sf, 1199), 400, 3.0, 10, 1.0, 12, 20.0, 180.0, 128)
-    return long_form(out.drop("broadband_db")).withColumn("v", r(F.col("v") * 1e3, 6))
+    """Windows with their broadband level, calibrated by 12.5 dB."""
+    out = SG.window_arrays(_tailed(spark, sf, 1199), 400, 3.0, 10, 1.0, 12, 20.0, 180.0, 128, cal_db=12.5)
+    return long_form(out).withColumns({"v": r(F.col("v") * 1e3, 6), "broadband_db": r("broadband_db", 5)})
 
 
 def array_manifest(spark, sf):
@@ -233,8 +234,9 @@ def training_windows(spark, sf):
     out = SG.training_windows(chunks(spark, sf), lab, 256, 512, CHUNK, collapse=False)
     return out.select(
         "file", "example", "s", r(F.get("x", F.lit(100))).alias("x100"), r(F.get("x", F.lit(200))).alias("x200"),
+        r(F.aggregate(F.transform("x", lambda v, i: v * (i + 1)), F.lit(0.0), lambda a, v: a + v), 5).alias("weighted"),
         F.transform("y", lambda v: v.cast("int")).alias("y"),
-    ).select("file", "example", "s", "x100", "x200", *[F.get("y", F.lit(k)).alias(f"y{k}") for k in range(3)])
+    ).select("file", "example", "s", "x100", "x200", "weighted", *[F.get("y", F.lit(k)).alias(f"y{k}") for k in range(3)])
 
 
 def augmented_windows(spark, sf):
@@ -381,7 +383,9 @@ a AS (SELECT file, f, st, s, k, (pow(sum(v * cos(2 * pi() * k * i / 128)), 2) +
 e AS (SELECT b, (20 + b * 160 / 12.0::DOUBLE) / 3.125::DOUBLE AS lo, (20 + (b + 1) * 160 / 12.0::DOUBLE) / 3.125::DOUBLE AS hi FROM range(0, 12) t(b)),
 q AS (SELECT file, f, st, s, b, sum(p * greatest(least(k + 0.5, hi) - greatest(k - 0.5, lo), 0)) AS v FROM a, e GROUP BY 1, 2, 3, 4, 5),
 u AS (SELECT file, f, st, s, b + 1 AS band, v FROM q UNION ALL SELECT file, f, st, s, 0, sum(v) FROM q GROUP BY 1, 2, 3, 4)
-SELECT file, f AS "window", st / 400.0::DOUBLE AS start_s, st / 400.0::DOUBLE + 3 AS end_s, s AS slice, band, round(v * 1000, 6) AS v FROM u"""),
+SELECT file, f AS "window", st / 400.0::DOUBLE AS start_s, st / 400.0::DOUBLE + 3 AS end_s, s AS slice, band, round(v * 1000, 6) AS v,
+  round(CASE WHEN v0 > 0 THEN 10 * log10(v0) + 12.5::DOUBLE END, 5) AS broadband_db
+FROM (SELECT *, max(v) FILTER (band = 0) OVER (PARTITION BY file, f, s) AS v0 FROM u)"""),
     "array_manifest": (array_manifest, f"""{_FRAMED}, {_frames_cte(1200, 400)}
 SELECT file, count(*) AS n_arrays, min(st / 400.0::DOUBLE) AS first_s, max(st / 400.0::DOUBLE + 3) AS last_s FROM fr GROUP BY 1"""),
     "label_spectrogram": (label_spectrogram, _label_sql([0, 6, 12, 18, 24], "sqrt(sqrt(v))")),
@@ -396,10 +400,11 @@ SELECT clip_id, 8 AS n_slices, object_class, st AS window_start_idx, st + 1600 A
   FROM lineitem GROUP BY 1) SELECT l_orderkey, good > 0 AND good / n > 0.5 AND c < 6 AND a > 30 AS signal, good > 0 AND good / n < 0.6::DOUBLE AND c > 3 AS background FROM o"""),
     "training_windows": (training_windows, f"""WITH {SAMPLES_SQL}, {_CLIP_SQL}, len AS (SELECT file, max(idx) + 1 AS n FROM smp GROUP BY 1),
 ex AS (SELECT file, e, e * 512 AS s FROM len, range(0, 1000) t(e) WHERE e < n // 512),
-nr AS (SELECT ex.file, e, sqrt(sum(x * x)) + 1e-7::DOUBLE AS nr FROM ex JOIN smp ON smp.file = ex.file AND idx >= s - 128 AND idx < s + 128 GROUP BY 1, 2),
+nr AS (SELECT ex.file, e, sqrt(sum(x * x)) + 1e-7::DOUBLE AS nr, sum(x * (idx - s + 129)) AS wx FROM ex JOIN smp ON smp.file = ex.file AND idx >= s - 128 AND idx < s + 128 GROUP BY 1, 2),
 y AS (SELECT ex.file, e, coalesce(max((clip_id % 3 = 0)::INT), 0) AS y0, coalesce(max((clip_id % 3 = 1)::INT), 0) AS y1, coalesce(max((clip_id % 3 = 2)::INT), 0) AS y2
   FROM ex LEFT JOIN clip ON clip.file = ex.file AND lo <= s AND s < hi GROUP BY 1, 2)
-SELECT ex.file, ex.e AS example, s, round(coalesce(a.x, 0) / nr, 6) + 0.0 AS x100, round(coalesce(b.x, 0) / nr, 6) + 0.0 AS x200, y0, y1, y2
+SELECT ex.file, ex.e AS example, s, round(coalesce(a.x, 0) / nr, 6) + 0.0 AS x100, round(coalesce(b.x, 0) / nr, 6) + 0.0 AS x200,
+  round(wx / nr, 5) + 0.0 AS weighted, y0, y1, y2
 FROM ex JOIN nr USING (file, e) JOIN y USING (file, e) LEFT JOIN smp a ON a.file = ex.file AND a.idx = s - 28 LEFT JOIN smp b ON b.file = ex.file AND b.idx = s + 72"""),
     "augmented_windows": (augmented_windows, f"""WITH {SAMPLES_SQL}, {_CLIP_SQL}, len AS (SELECT file, max(idx) + 1 AS n FROM smp GROUP BY 1),
 ex AS (SELECT file, e, e * 512 + floor({draw_sql("file || '|' || e", "3s")} * 512)::BIGINT AS s,

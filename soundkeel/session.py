@@ -28,7 +28,7 @@ def pin_utc(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession, purpose: str) -> str:
-    """A new folder under the cluster's shared checkpoint folder.
+    """A new folder under the cluster's shared checkpoint folder, in one folder per application.
 
     Where ``spark.checkpoint.dir`` is unset, as in tests, the folder lies below the
     session's warehouse, which every executor shares as well.
@@ -36,4 +36,5 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/checkpoints"
-    return f"{base.rstrip('/')}/soundkeel/{purpose}-{uuid.uuid4().hex}"
+    application = spark.sparkContext.applicationId
+    return f"{base.rstrip('/')}/soundkeel/{application}/{purpose}-{uuid.uuid4().hex}"
