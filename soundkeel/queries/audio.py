@@ -12,6 +12,7 @@ from ..operators import sampling
 from ..operators import spectrograms as SG
 from ..operators.declick import declick as remove_clicks
 from ..operators.spectra import long_form
+from . import detector_sql
 from .common import CHUNK, SAMPLES_SQL, VECTORS_PER_FILE, chunks, draw_sql, levels, r, table
 
 FS = 3200
@@ -422,8 +423,8 @@ r AS (SELECT user_id, g, min(i) AS lo, max(i) + 1 AS hi, max(a) AS top, min(i) F
 z AS (SELECT q.*, CASE WHEN pk IS NULL THEN 1 WHEN i < pk THEN (ave + sd) / (top - (pk - i) * (top - (ave + sd)) / (pk - lo))
         ELSE (ave + sd) / (top + (i - pk) * (top - (ave + sd)) / (hi - pk)) END AS gain FROM q LEFT JOIN r USING (user_id, g))
 SELECT i AS event_id, trig AS is_trigger, round(gain, 6) AS gain, round(x * gain, 6) + 0.0 AS y FROM z"""),
-    "detector_frames": (detector_frames, None),
-    "detect_calls": (detect_calls, None),
+    "detector_frames": (detector_frames, detector_sql.FRAMES),
+    "detect_calls": (detect_calls, detector_sql.CALLS),
     "scan_status": (scan_status, f"""WITH {SAMPLES_SQL} SELECT file, count(*) AS n_samples, CASE WHEN count(*) >= 10000 THEN 'ok' ELSE 'too short' END AS status FROM smp GROUP BY 1"""),
     "first_arrays": (first_arrays, """SELECT user_id, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) <= 10"""),
     "sample_n": (sample_n, f"SELECT event_id, value FROM events ORDER BY {draw_sql('event_id', 999)}, event_id LIMIT 500"),

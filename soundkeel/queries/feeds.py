@@ -13,7 +13,7 @@ from ..sources import sinks, tables, wav
 from ..streaming import calls as SC
 from ..streaming import registry as REG
 from ..session import pin_utc, shared_dir
-from . import audio, vessels
+from . import audio, detector_sql, vessels
 from .bouts import CALLS_CTE
 from .common import DAY0_US, SAMPLES_SQL, chunks, levels, r, table
 
@@ -225,7 +225,7 @@ QUERIES = {
     "stream_enriched": (stream_enriched, _REG + f""" SELECT user_id, event_id, c_name AS shipname FROM q
 LEFT JOIN customer ON c_custkey = user_id AND c_acctbal > 0 WHERE value < {vessels.LIMIT}"""),
     "stream_decode": (stream_decode, f"""WITH {vessels.RAW_SQL} SELECT mmsi, count(*) AS n, round(max(lat), 6) AS lat, max(sog) AS sog FROM raw GROUP BY 1"""),
-    "stream_calls": (stream_calls, None),
+    "stream_calls": (stream_calls, detector_sql.CLOSED_CALLS),
     "wav_decode": (wav_decode, f"""WITH {SAMPLES_SQL}, len AS (SELECT file, max(idx) + 1 AS n FROM smp GROUP BY 1),
 fr AS (SELECT file, f, f * 200 AS st FROM len, range(0, 100000) t(f) WHERE f * 200 + 256 <= n)
 SELECT fr.file || '.wav' AS file, 44100 AS sample_rate, f AS frame, count(*) AS n, round(sum(round(x * 32767)) / 32768, 5) + 0.0 AS total
