@@ -89,8 +89,12 @@ def is_position(line: Column) -> Column:
     return (F.try_element_at(part, F.lit(1)) == "!AIVDM") & F.coalesce(whole, F.lit(False))
 
 
-def decode_ais(df: DataFrame, line: str = "line") -> DataFrame:
-    """Sentences to positions; batch or streaming, no shuffle."""
+def decode_ais(df: DataFrame, line: str = "line", wrap: bool = False) -> DataFrame:
+    """Sentences to positions; batch or streaming, no shuffle.
+
+    Courses and headings that are not available are NULL; with ``wrap`` they are
+    kept as sent, those above 360 less a full turn.
+    """
     payload = F.try_element_at(F.split(F.col(line), ","), F.lit(6))
     keep = [c for c in df.columns if c != line]
     # ``inline`` makes a computed value a plain column: later filters and
@@ -108,8 +112,9 @@ def decode_ais(df: DataFrame, line: str = "line") -> DataFrame:
         (F.col("sog") / 10).alias("sog"),
         (F.col("lon") / 600000).alias("lon"),
         (F.col("lat") / 600000).alias("lat"),
-        F.when(F.col("cog") < 3600, F.col("cog") / 10).alias("cog"),
-        F.when(F.col("heading") < 360, F.col("heading").cast("double")).alias("heading"),
+        F.when(F.lit(wrap), geo.wrap360(F.col("cog") / 10)).when(F.col("cog") < 3600, F.col("cog") / 10).alias("cog"),
+        F.when(F.lit(wrap), geo.wrap360(F.col("heading").cast("double")))
+        .when(F.col("heading") < 360, F.col("heading").cast("double")).alias("heading"),
     )
 
 

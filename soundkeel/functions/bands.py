@@ -24,16 +24,27 @@ def bands(spark: SparkSession, lo: float, hi: float, n: int, log: bool = False)
     )
 
 
+def _highest(lo: float, hi: float, n: int, nfft: int, fs: float) -> float:
+    hi = min(hi, fs / 2)
+    narrowest = lo ** (1 - 1 / n) * hi ** (1 / n) - 1
+    if fs / nfft > narrowest:
+        raise ValueError(f"bin width {fs / nfft} Hz exceeds {narrowest} Hz: raise nfft or the lower limit")
+    return hi
+
+
+def geo_bin_edges(lo: float, hi: float, n: int, nfft: int, fs: float) -> list[int]:
+    """The n + 1 bins at or above the edges of ``geo_bands``, as numbers for the plan."""
+    hi = _highest(lo, hi, n, nfft, fs)
+    return [math.ceil(round(lo ** (1 - i / n) * hi ** (i / n) * nfft / fs, 9)) for i in range(n + 1)]
+
+
 def geo_bands(spark: SparkSession, lo: float, hi: float, n: int, nfft: int, fs: float) -> DataFrame:
     """Geometric bands with the index of the first bin at or above each edge.
 
     The upper limit is lowered to the Nyquist frequency; bins wider than the
     first band are refused.
     """
-    hi = min(hi, fs / 2)
-    narrowest = lo ** (1 - 1 / n) * hi ** (1 / n) - 1
-    if fs / nfft > narrowest:
-        raise ValueError(f"bin width {fs / nfft} Hz exceeds {narrowest} Hz: raise nfft or the lower limit")
+    hi = _highest(lo, hi, n, nfft, fs)
     edge = lambda i: F.pow(F.lit(float(lo)), 1 - i / n) * F.pow(F.lit(float(hi)), i / n)
     first = lambda f: F.ceil(F.round(f * nfft / fs, 9)).cast("int")
     b = F.col("id")

@@ -28,6 +28,7 @@ def safediv(x: Column, y: Column) -> Column:
 
 
 def wrap360(x: Column) -> Column:
+    """Degrees above 360 less a full turn."""
     return F.when(x > 360, x - 360).otherwise(x)
 
 
@@ -59,4 +60,5 @@ def lane_minutes(lat: Column, lon: Column, sog: Column, cog: Column) -> Column:
 
 
 def pitch_scale(semitones: Column) -> Column:
+    """Frequency ratio of a shift in semitones."""
     return F.pow(F.lit(2.0), semitones / 12)

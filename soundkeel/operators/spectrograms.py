@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.bands import geo_bands
-from ..functions.geo import db
+from ..functions.bands import geo_bin_edges
+from ..functions.geo import db, pitch_scale
 from ..plans.sizes import join_small
 from ..session import shared_dir
 from . import kernels
@@ -180,8 +180,7 @@ def label_spectrogram(
     raw = kernels.strided_spectra(clips, "clip_id", "samples", fs, nfft, step, reach, n_raw, (first, last))
     edges = None
     if log:
-        table = geo_bands(chunks.sparkSession, lo, hi, n_bands, nfft, fs).orderBy("band").collect()  # n_bands rows
-        edges = [min(max(r["bin_lo"] - first, 0), n_bins) for r in table] + [min(table[-1]["bin_hi"] - first, n_bins)]
+        edges = [min(max(b - first, 0), n_bins) for b in geo_bin_edges(lo, hi, n_bands, nfft, fs)]
     cells = compress(minmax(raw, bounded=True), n_bands, n_slices, n_raw, edges, per_row_division=per_row_division)
     small = packed_form(cells, ["clip_id", "slice"])
     return display_curve(small, "square" if log else "root4", bounded=True)
@@ -235,7 +234,7 @@ def training_windows(
     shift = F.floor((2 * draw("p") - 1) * semitones).cast("double") if semitones else F.lit(0.0)
     shift = shift + (2 * draw("j") - 1) * jitter if jitter else shift
     centres = centres.withColumn("s", s).withColumn("shift", shift)
-    centres = centres.withColumn("scale", F.pow(F.lit(2.0), F.col("shift") / 12))
+    centres = centres.withColumn("scale", pitch_scale(F.col("shift")))
     half = F.floor(F.floor(F.col("scale") * window) / 2).cast("long")
     centres = centres.withColumns(
         {"lo": F.col("s") - half, "hi": F.col("s") + half,

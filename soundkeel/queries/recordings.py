@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import tracks as T
+from ..operators.spectra import long_form, packed_form
 from ..session import shared_dir
-from ..sources import tables, wav
-from .common import r, table
+from ..sources import sinks, tables, wav
+from ..sources.files import relative_to
+from .common import CELLS_SQL, r, spectrogram, table
+from .vessels import _full_specs
 
 PER_FILE = 50  # vectors of a recording
 RATE = 8000
@@ -65,6 +69,46 @@ def wav_segments(spark, sf):
     )
 
 
+def segment_inventory(spark, sf):
+    """Segment objects, one for each supplier, written below a folder and listed; other files are passed over."""
+    path = shared_dir(spark, "segments")
+    e = F.col("s_suppkey")
+    other = F.when(e % 5 == 0, "/live.m3u8").otherwise(F.concat(F.lit("/live"), e, F.lit(".ts")))
+    key = F.concat(F.lit("rpi_node_"), e % 3, F.lit("/hls/"), 1_600_000_000 + F.floor(e / 10) * 21_600, other)
+    rows = table(spark, sf, "supplier").groupBy(key.alias("key")).agg(F.min(F.col("s_name")).alias("content"))
+    sinks.write_objects(rows, path).write.parquet(f"{path}-list")
+    return tables.read_segments_inventory(spark, path).select("node", F.unix_seconds("folder_ts").alias("folder"), "seq")
+
+
+def photo_index(spark, sf):
+    """Photo keys listed from a folder, and the photo of each ship."""
+    path = shared_dir(spark, "photos")
+    ships = table(spark, sf, "customer").select(F.col("c_custkey").alias("mmsi"))
+    key = F.concat(F.lit("album_"), F.char(97 + F.col("s_suppkey") % 7), F.lit("/ship_"), F.col("s_suppkey"), F.lit(".jpg"))
+    photos = table(spark, sf, "supplier").select(key.alias("key"), F.col("s_name").alias("content"))
+    sinks.write_objects(photos, path).write.parquet(f"{path}-list")
+    index = tables.read_photo_index(spark, path).select(relative_to(F.col("key"), path).alias("key"))
+    return T.photo_for(ships, index)
+
+
+def spec_table(spark, sf):
+    """Specification rows written and read back with their fixed columns."""
+    path = shared_dir(spark, "specs")
+    _full_specs(spark, sf).select(*[F.col(c).cast(t) for c, t in (x.split() for x in tables.SHIP_SPECS.split(", "))]).write.parquet(path)
+    return tables.read_ship_specs(spark, path).select("id", "mmsi", "shiptype", "yearbuild", "maxspeed", "imo", "photo")
+
+
+def spectrogram_sink(spark, sf):
+    """Arrays written to the folder that names their parameters, and read back."""
+    spec = packed_form(long_form(spectrogram(spark, sf)), ["clip_id", "slice"])
+    path = shared_dir(spark, "spectrograms")
+    where = sinks.write_spectrograms(spec, path, n_bands=64, n_slices=50, f_low=400, f_high=10000, delta_t=3, log=True)
+    got = spark.read.parquet(where).withColumn("folder", F.lit(where.rsplit("/", 1)[1]))
+    return got.groupBy("clip_id", "folder").agg(
+        F.count(F.lit(1)).alias("n_slices"), r(F.sum(F.aggregate("x", F.lit(0.0), lambda s, v: s + v * v)), 5).alias("energy")
+    )
+
+
 _REC = f"""e AS (SELECT vec_id // {PER_FILE} AS k, vec_id, embedding FROM embeddings),
 f AS (SELECT k, 'site_' || (k % 3) || '/rec_' || (k // 3) || CASE WHEN k % 5 = 0 THEN '.WAV' ELSE '.wav' END AS file, count(*) * 64 AS n_samples,
   CASE WHEN k % 2 = 0 THEN 1 ELSE 2 END AS channels, CASE WHEN k % 4 < 2 THEN 'PCM_16' ELSE 'FLOAT' END AS subtype FROM e GROUP BY 1),
@@ -80,6 +124,16 @@ SELECT file, 44 + n_samples * channels * CASE subtype WHEN 'PCM_16' THEN 2 ELSE
     "wav_chunks": (wav_chunks, f"""WITH {_REC}
 SELECT file, {RATE} AS sample_rate, channels, subtype, (n_samples + 999) // 1000 AS n_chunks, n_samples, round(sum(a * a), 5) AS a, round(sum(b * b), 5) AS b
 FROM x JOIN f USING (file) GROUP BY ALL"""),
+    "segment_inventory": (segment_inventory, """SELECT 'node_' || (s_suppkey % 3) AS node, 1600000000 + s_suppkey // 10 * 21600 AS folder, s_suppkey AS seq
+FROM supplier WHERE s_suppkey % 5 <> 0"""),
+    "photo_index": (photo_index, """SELECT c_custkey AS mmsi, 'album_' || chr((97 + s_suppkey % 7)::INT) || '/ship_' || s_suppkey || '.jpg' AS photo
+FROM customer LEFT JOIN supplier ON s_suppkey = c_custkey"""),
+    "spec_table": (spec_table, """WITH c AS (SELECT c_custkey AS k, c_mktsegment AS s, c_acctbal AS a FROM customer WHERE c_acctbal > 0),
+u AS (SELECT k AS id, * FROM c UNION ALL SELECT k + 1000000, k, 'REFIT', a FROM c WHERE k % 5 = 0)
+SELECT id, k AS mmsi, s AS shiptype, CASE WHEN k % 7 <> 0 THEN 1950 + k % 70 END AS yearbuild, a / 100 AS maxspeed,
+  CASE WHEN k % 13 <> 0 THEN k + 9000000 END AS imo, 'ship_' || k || '.jpg' AS photo FROM u"""),
+    "spectrogram_sink": (spectrogram_sink, f"""WITH {CELLS_SQL} SELECT clip_id, '64x50_400to10000_3.0sec_logF' AS folder, count(DISTINCT slice) AS n_slices,
+  round(sum(v * v), 5) AS energy FROM cell GROUP BY 1"""),
     "wav_segments": (wav_segments, f"""WITH {_REC},
 q AS (SELECT file, channels, n_samples, i, trunc(i * 0.0925::DOUBLE * {RATE})::BIGINT AS lo, i * 100 + 7 AS n FROM f, range(5) t(i))
 SELECT q.file, round(i * 0.0925::DOUBLE, 4) AS start_s, n, {RATE} AS sample_rate, channels, count(a) AS n_read, round(coalesce(sum(a * a), 0), 5) AS energy

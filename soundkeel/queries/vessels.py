@@ -67,6 +67,12 @@ def ais_decode(spark, sf):
     return out.withColumns({c: r(c) for c in ("lon", "lat")})
 
 
+def ais_wrapped(spark, sf):
+    """Courses and headings as sent, wrapped above a full turn."""
+    out = ais.decode_ais(feed(spark, sf).select("event_id", "line"), wrap=True)
+    return out.select("event_id", r("cog", 1).alias("cog"), "heading")
+
+
 def ship_geometry(spark, sf):
     pos = ais.with_geometry(ais.decode_ais(sentences(spark, sf).select("event_id", "line")))
     return pos.select("event_id", *[r(c, 4).alias(c) for c in ("range_m", "bearing_deg", "lane_range_m", "lane_minutes")])
@@ -148,6 +154,8 @@ QUERIES = {
     "ais_decode": (ais_decode, f"""WITH {RAW_SQL}
 SELECT event_id, mmsi, msg_type, {NAV_SQL} AS nav_status, sog, round(lon, 6) AS lon, round(lat, 6) AS lat, cog, heading FROM raw
 WHERE {HEARD_SQL}"""),
+    "ais_wrapped": (ais_wrapped, f"""WITH w AS (SELECT event_id, (event_id * 37) % 3700 / 10.0::DOUBLE AS c, ((event_id * 13) % 512)::DOUBLE AS h FROM events WHERE {HEARD_SQL})
+SELECT event_id, round(CASE WHEN c > 360 THEN c - 360 ELSE c END, 1) AS cog, CASE WHEN h > 360 THEN h - 360 ELSE h END AS heading FROM w"""),
     "ship_geometry": (ship_geometry, f"""WITH {RAW_SQL}, {GEO_SQL}
 SELECT event_id, round(range_m, 4) AS range_m, round(bearing_deg, 4) AS bearing_deg, round(lane_range_m, 4) AS lane_range_m,
        round(lane_minutes, 4) AS lane_minutes FROM pos"""),

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .files import file_system
+
 CALL_COLUMNS = ("filename", "startidx", "stopidx", "lencall", "f0", "sigma_f0", "mean_peak", "sigma_peak")
 REPORT_COLUMNS = (
     "mmsi", "time_of_day", "range_m", "bearing_deg", "sog", "nav_status", "lane_range_m", "lane_minutes",
@@ -62,3 +67,20 @@ def write_range_snapshot(ships: DataFrame, path: str) -> bool:
         ships.write.mode("overwrite").csv(path, header=True)
     ships.unpersist()
     return some
+
+
+def write_objects(rows: DataFrame, path: str) -> DataFrame:
+    """Writes each row's ``content`` under its ``key`` below ``path``; returns (key, n_bytes)."""
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, root = file_system(path)
+        for batch in batches:
+            sizes = []
+            for key, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                at = f"{root.rstrip('/')}/{key}"
+                system.create_dir(at.rsplit("/", 1)[0], recursive=True)
+                with system.open_output_stream(at, compression=None) as out:
+                    sizes.append(out.write(content or b""))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64())], ["key", "n_bytes"])
+
+    return rows.select("key", F.col("content").cast("binary").alias("content")).mapInArrow(write, "key string, n_bytes long")
