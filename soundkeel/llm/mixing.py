@@ -19,7 +19,7 @@ from .common import stored
 
 WEIGHTS = (1.0, 2.0, 3.0)
 MAX_EPOCHS = 3
-RANGE_ROWS = 20_000
+RANGE_ROWS = 4_000
 _WORD = r"[^\x20\x09-\x0D]+"
 
 

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import components, raw, stored
+from .common import components, content_keys, mixed, raw, split_by, stored
 
 BITS = 64
 _LANES = np.uint64(0x0101010101010101)
@@ -56,14 +56,6 @@ def shingle_hashes(text: bytes, k: int) -> list[int]:
     return [digest(line[s:e], 42) for s, e in zip(starts, ends[k - 1 :].tolist())]
 
 
-def _mixed(h: np.ndarray, gap: int) -> np.ndarray:
-    """Another 64-bit hash of each hash."""
-    x = h + np.uint64(gap)
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 def majority(h: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """One word per segment of ``h``: bits set in over half of its hashes.
 
@@ -94,7 +86,7 @@ def signatures(texts: Sequence[bytes | None], k: int, words: int = 1) -> np.ndar
             n = np.array(counts, np.int64)
             starts = np.cumsum(n) - n
             for w in range(words):
-                out[rows, w] = majority(h if w == 0 else _mixed(h, _GAPS[w - 1]), starts, n)
+                out[rows, w] = majority(h if w == 0 else mixed(h + np.uint64(_GAPS[w - 1])), starts, n)
         hashes.clear(), rows.clear(), counts.clear()
 
     for i, text in enumerate(texts):
@@ -179,7 +171,7 @@ def _pairs_by_part(fps: DataFrame, masks: Sequence[int]) -> np.ndarray:
         for batch in batches:
             v = batch.column(0).to_numpy().view(np.uint64)
             for i, m in enumerate(masks):
-                h = _mixed(v & np.uint64(m), _GAPS[1])
+                h = mixed((v & np.uint64(m)) + np.uint64(_GAPS[1]))
                 sign = np.where(h >> np.uint64(63), 1, -1)
                 total[i] += np.bincount((h % np.uint64(_SKETCH)).astype(np.int64), sign, _SKETCH).astype(np.int64)
         at = np.arange(total.size, dtype=np.int32)
@@ -396,24 +388,25 @@ def first_of_groups(df: DataFrame, text: str = "text", id_col: str = "doc_id", k
 
     A link needs fingerprints within 12 bits and 256 further SimHash bits that put
     the similarity of five-word shingles at 0.8 or more.  Of each group the row
-    with the smallest id stays (null ids last, then the smaller text hash, then
-    the row met first).  Rows without a word are one group.
+    with the smallest id stays (null ids last, then the smaller hash of the text, then of
+    the row; of equal rows one).  Rows without a word are one group.  Texts are not
+    stored: rows that a Bloom filter takes for removed ones are shuffled, the others stay in the scan.
     """
     keep = df.columns
-    own = df.select(
-        F.struct(*[F.col(c) for c in keep]).alias("_row"),
-        F.col(text).alias("_text"),
-        F.struct(
-            F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), F.xxhash64(text).alias("hash"),
-            F.monotonically_increasing_id().alias("row"),
-        ).alias("_rank"),
-    )
-    docs = stored(with_signature(own, "_text", k, STAGE_WORDS).drop("_text"), "simhash-stage")
-    # equal signatures are one node, named by the row that stays
+    rows = df.select(F.struct(*[F.col(c) for c in keep]).alias("_row"), F.col(id_col).alias("_id"), F.col(text).alias("_text"))
+    rows = rows.select("*", *content_keys(["_row"]))
+    rank = F.struct(F.col("_id").isNull().alias("no_id"), F.col("_id").alias("id"), F.xxhash64("_text").alias("hash"), "_k1", "_k2")
+    docs = stored(with_signature(rows.select(rank.alias("_rank"), "_text"), "_text", k, STAGE_WORDS).drop("_text"), "simhash-stage")
+    # equal signatures are one node
     sig = [F.element_at("_sig", i + 1).alias(f"w{i}") for i in range(STAGE_WORDS)]
     first = docs.groupBy("_sig").agg(F.min("_rank").alias("_rank"))
-    first = stored(first.select(F.col("_rank.row").alias("node"), "_rank", *sig), "simhash-nodes")
+    first = stored(first.select(F.monotonically_increasing_id().alias("node"), "_rank", *sig), "simhash-nodes")
     roots = components(links(first.drop("_rank"), STAGE_TAU, STAGE_WIDE, STAGE_WORDS), "simhash-stage")
     member = first.select("node", "_rank").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    stay = member.groupBy("root").agg(F.min("_rank").alias("_rank")).select(F.col("_rank.row").alias("_stay"))
-    return docs.join(stay, F.col("_rank.row") == F.col("_stay"), "left_semi").select("_row.*")
+    stay = stored(member.groupBy("root").agg(F.min("_rank").alias("_rank")).select("_rank._k1", "_rank._k2"), "simhash-stay")
+    every = docs.groupBy("_rank._k1", "_rank._k2").agg(F.count(F.lit(1)).alias("n")).toDF("_k1", "_k2", "n")
+    gone = stored(every.join(stay, ["_k1", "_k2"], "left_anti").select("_k1", "_k2"), "simhash-gone")
+    twice = every.filter("n > 1").select("_k1")  # of equal rows one stays
+    some, none = split_by(rows.select("_row", "_k1", "_k2"), "_k1", gone.select("_k1").union(twice))
+    some = some.dropDuplicates(["_k1", "_k2"]).join(gone, ["_k1", "_k2"], "left_anti")
+    return none.select("_row.*").unionByName(some.select("_row.*"))

@@ -31,7 +31,7 @@ from pyspark.sql.window import Window
 from tokenizers import Tokenizer
 
 from ..session import shared_dir
-from .common import raw, stored
+from .common import mixed, raw, stored
 from .warc import file_system
 
 KEYS_PER_PARTITION = 200_000
@@ -105,12 +105,6 @@ def shard_table(directory: DataFrame) -> DataFrame:
     return by.withColumn("base", F.coalesce(F.sum("ids").over(before), F.lit(0)))
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 def hashes(keys: Sequence[bytes]) -> np.ndarray:
     """(n, 2) 64-bit hashes of each key: one for the slots, one for the fingerprint."""
     out = np.frombuffer(b"".join(xxhash.xxh3_128_digest(k) for k in keys), ">u8").reshape(-1, 2)
@@ -118,7 +112,7 @@ def hashes(keys: Sequence[bytes]) -> np.ndarray:
 
 
 def _place(h: np.ndarray, level: int, bits: int) -> np.ndarray:
-    return (_mix(h[:, 0] + np.uint64((level + 1) * int(_STEP) & (1 << 64) - 1)) % np.uint64(bits)).astype(np.int64)
+    return (mixed(h[:, 0] + np.uint64((level + 1) * int(_STEP) & (1 << 64) - 1)) % np.uint64(bits)).astype(np.int64)
 
 
 class PerfectHash:

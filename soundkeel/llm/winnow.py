@@ -27,17 +27,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import UID, raw, stored
+from .common import UID, bloom, content_keys, may_hold, mixed, raw, split_by, stored
 
 K, W = 5, 6
 WINDOW = K + W - 1
-#: The Bloom filter has 16 bits a fingerprint, but never more than this many.
-MAX_BLOOM_BITS = 1 << 27
-_PROBES = 4
 _WORDS = re.compile(rb"[0-9a-z\x80-\xff]+")
 _CACHE = 500_000  # distinct words whose hashes a task remembers
 _STEP = np.uint64(0x9E3779B97F4A7C15)
-_STEPS = np.arange(1, _PROBES + 1, dtype=np.uint64) * _STEP
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -45,12 +41,6 @@ def words_of(text: bytes) -> list[bytes]:
     return _WORDS.findall(text.lower())
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 class _Hashes(dict):
     def __missing__(self, word: bytes) -> int:
         if len(self) >= _CACHE:
@@ -65,7 +55,7 @@ def grams(hashes: np.ndarray, k: int) -> np.ndarray:
     total = np.full(n, k, np.uint64)
     for i in range(k):
         total = total * _STEP + hashes[i : i + n]
-    return _mix(total)
+    return mixed(total)
 
 
 def window_prints(hashes: np.ndarray, length: int) -> np.ndarray:
@@ -86,18 +76,13 @@ def window_prints(hashes: np.ndarray, length: int) -> np.ndarray:
     return least
 
 
-def _spot(prints: np.ndarray, i: int, bits: int) -> np.ndarray:
-    """The i-th bit of each fingerprint in a Bloom filter."""
-    return _mix(prints + _STEPS[i]) & np.uint64(bits - 1)
-
-
 _WINDOW_ROW = T.ArrayType(T.StructType([
     T.StructField("at", T.IntegerType()), T.StructField("len", T.IntegerType()),
     T.StructField("gram", T.LongType()), T.StructField("words", T.StringType()),
 ]))
 
 
-def _windows(lengths: Sequence[int], bloom: np.ndarray | None):
+def _windows(lengths: Sequence[int], held: np.ndarray | None):
     """UDF: number of words, and the windows (those that the filter may hold, if there is one)."""
 
     @F.arrow_udf(T.StructType([T.StructField("n_words", T.LongType()), T.StructField("windows", _WINDOW_ROW)]))
@@ -110,11 +95,12 @@ def _windows(lengths: Sequence[int], bloom: np.ndarray | None):
             found = 0
             if words:
                 h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-                for length in [min(WINDOW, len(words))] if bloom is None else lengths:
+                for length in [min(WINDOW, len(words))] if held is None else lengths:
                     p = window_prints(h, length)
                     at = np.arange(len(p))
-                    if bloom is not None:
-                        at, p = _held(at, p, bloom)
+                    if held is not None:
+                        at = may_hold(held, p)
+                        p = p[at]
                     for a, g in zip(at.tolist(), p.view(np.int64).tolist()):
                         rows.append((a, length, g, b" ".join(words[a : a + length])))
                     found += len(at)
@@ -131,36 +117,6 @@ def _windows(lengths: Sequence[int], bloom: np.ndarray | None):
     return udf
 
 
-def _held(at: np.ndarray, p: np.ndarray, bloom: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and fingerprints that the filter may hold."""
-    for i in range(_PROBES):
-        spot = _spot(p, i, len(bloom) * 64)
-        hit = (bloom[(spot >> np.uint64(6)).astype(np.int64)] >> (spot & np.uint64(63))) & np.uint64(1) == 1
-        at, p = at[hit], p[hit]
-    return at, p
-
-
-def _bloom(grams_df: DataFrame) -> np.ndarray:
-    """Filter of the distinct fingerprints; at most MAX_BLOOM_BITS bits reach the driver."""
-    n = grams_df.count()
-    bits = 1024
-    while bits < min(16 * n, MAX_BLOOM_BITS):
-        bits *= 2
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            p = batch.column(0).to_numpy().view(np.uint64)
-            spots = np.unique(np.concatenate([_spot(p, i, bits) for i in range(_PROBES)]))
-            mask = (np.uint64(1) << (spots & np.uint64(63))).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array((spots >> np.uint64(6)).view(np.int64)), pa.array(mask)], ["word", "mask"])
-
-    words = grams_df.mapInArrow(run, "word long, mask long").groupBy("word").agg(F.bit_or("mask").alias("mask"))
-    out = np.zeros(bits // 64, np.uint64)
-    got = words.toArrow()
-    out[got.column("word").to_numpy()] = got.column("mask").to_numpy().view(np.uint64)
-    return out
-
-
 def benchmark_windows(items: DataFrame, id_col: str = "item_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """Distinct windows (gram, words, len, class_id), and classes (class_id, items sorted as strings)."""
     made = items.select(F.col(id_col).cast("string").alias("item"), _windows((), None)(F.col(text)).alias("w"))
@@ -174,8 +130,8 @@ def benchmark_windows(items: DataFrame, id_col: str = "item_id", text: str = "te
 def scanned(df: DataFrame, windows: DataFrame, text: str) -> DataFrame:
     """Adds _w: the number of words of ``text`` and its candidate windows."""
     lengths = sorted(r[0] for r in windows.select("len").distinct().collect())  # at most WINDOW rows
-    bloom = _bloom(windows.select("gram").distinct())
-    return df.withColumn("_w", _windows(lengths, bloom)(F.col(text)))
+    held = bloom(windows.select("gram").distinct())
+    return df.withColumn("_w", _windows(lengths, held)(F.col(text)))
 
 
 def matched(found: DataFrame, windows: DataFrame) -> DataFrame:
@@ -237,14 +193,15 @@ def clean_rows(df: DataFrame, items: DataFrame, text: str = "text", item_id: str
     """The rows of ``df`` without any benchmark window, with its columns.
 
     Whether a text is contaminated depends on the text alone, so rows are removed by
-    a digest of the text; null texts stay.
+    128 bits of the text's hash; only rows that a Bloom filter of those takes for
+    contaminated are shuffled.  Null texts stay.
     """
     windows, _ = benchmark_windows(items, item_id, item_text)
     keep = df.columns
-    digest = F.sha2(F.col("_text"), 256)
     named = df.select(F.struct(*[F.col(c) for c in keep]).alias("_row"), F.col(text).alias("_text"))
     found = scanned(named.drop("_row"), windows, "_text").filter(F.size("_w.windows") > 0)
-    found = stored(found.select(F.monotonically_increasing_id().alias(UID), digest.alias("_digest"), "_w"), "winnow-found")
-    bad = found.join(matched(found, windows).select(UID).distinct(), UID, "left_semi").select("_digest").distinct()
+    found = stored(found.select(F.monotonically_increasing_id().alias(UID), *content_keys(["_text"]), "_w"), "winnow-found")
+    bad = found.join(matched(found, windows).select(UID).distinct(), UID, "left_semi").select("_k1", "_k2").distinct()
     bad = stored(bad, "winnow-bad")
-    return named.withColumn("_digest", digest).join(bad, "_digest", "left_anti").select("_row.*")
+    some, none = split_by(named.select("_row", *content_keys(["_text"])), "_k1", bad.select("_k1"))
+    return none.select("_row.*").unionByName(some.join(bad, ["_k1", "_k2"], "left_anti").select("_row.*"))
