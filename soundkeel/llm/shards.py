@@ -19,7 +19,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
@@ -54,10 +54,16 @@ def _coordinates(values: Sequence[Column]) -> Column:
     return F.array(*[F.shiftleft(F.least(v, F.lit((1 << 32) - 1)), _ROW_BITS).bitwiseOR(tie) for v in values])
 
 
-def _inline(spark: SparkSession, rows: Sequence[tuple], names: str) -> DataFrame:
-    """A small table of numbers; its rows are bounded by the number of shards."""
+def _with_nodes(df: DataFrame, rows: Sequence[tuple], names: Sequence[str], how: str = "inner") -> DataFrame:
+    """``df`` joined by node with a small table of numbers (at, ...); its rows are bounded by the number of shards."""
+    if len(rows) == 1:  # the root: its values are constants
+        here = F.col("node") == rows[0][0]
+        out = df.filter(here) if how == "inner" else df
+        return out.withColumns({n: F.when(here, F.lit(v if isinstance(v, float) else int(v)).cast(
+            "double" if isinstance(v, float) else "long")) for n, v in zip(names, rows[0])})
     values = ", ".join("(" + ", ".join(repr(x) if isinstance(x, float) else f"{x}L" for x in r) + ")" for r in rows)
-    return F.broadcast(spark.sql(f"SELECT * FROM VALUES {values} AS t({names})"))
+    table = df.sparkSession.sql(f"SELECT * FROM VALUES {values} AS t({', '.join(names)})")
+    return df.join(F.broadcast(table), F.col("node") == F.col("at"), how)
 
 
 def _at(dim: Column) -> Column:
@@ -68,8 +74,7 @@ def _placed(rows: DataFrame, splits: list[tuple]) -> DataFrame:
     """Adds node: where the splits so far lead a row, level by level."""
     out = rows.withColumn("node", F.lit(1).cast("long"))
     for level in sorted({t[0] for t in splits}):
-        here = _inline(rows.sparkSession, [t[1:] for t in splits if t[0] == level], "at, dim, cut")
-        out = out.join(here, F.col("node") == F.col("at"), "left")
+        out = _with_nodes(out, [t[1:] for t in splits if t[0] == level], ("at", "dim", "cut"), "left")
         right = (_at(F.col("dim")) > F.col("cut")).cast("long")
         out = out.withColumn("node", F.when(F.col("at").isNull(), F.col("node")).otherwise(F.col("node") * 2 + right))
         out = out.drop("at", "dim", "cut")
@@ -90,10 +95,10 @@ def _cut(placed: DataFrame, state: dict[int, list], tolerance: float) -> dict[in
     Each pass looks at cells of the nodes' present ranges and moves into the cell that
     holds the wanted quantile, down to the values that occur in it.
     """
-    spark, out = placed.sparkSession, {}
+    out = {}
     while state:
         cells = [(n, d, lo, -(-(hi - lo + 1) // CELLS), float(goal)) for n, (d, lo, hi, goal, _) in state.items()]
-        live = placed.join(_inline(spark, cells, "at, dim, lo, width, goal"), F.col("node") == F.col("at"))
+        live = _with_nodes(placed, cells, ("at", "dim", "lo", "width", "goal"))
         live = live.withColumn("x", _at(F.col("dim")))
         cell = F.when(F.col("x") < F.col("lo"), -1).otherwise(F.least(F.expr("(x - lo) div width"), F.lit(CELLS)))
         sums = live.groupBy("node", "goal", cell.alias("cell")).agg(
@@ -144,9 +149,8 @@ def tree(rows: DataFrame, dims: int, shards: int = SHARDS, tolerance: float = TO
 def sharded(rows: DataFrame, dims: int, shards: int = SHARDS) -> DataFrame:
     """Adds shard to stored rows with p, size and the row id."""
     splits, leaf = tree(rows.select("p", "size"), dims, shards)
-    names = _inline(rows.sparkSession, list(leaf.items()), "leaf, _shard")
-    out = _placed(rows, splits).join(names, F.col("node") == F.col("leaf"))
-    return out.withColumn("shard", F.col("_shard").cast("int")).drop("node", "leaf", "p", "_shard")
+    out = _with_nodes(_placed(rows, splits), list(leaf.items()), ("at", "_shard"))
+    return out.withColumn("shard", F.col("_shard").cast("int")).drop("node", "at", "p", "_shard")
 
 
 def with_slots(out: DataFrame) -> DataFrame:
