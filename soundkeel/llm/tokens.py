@@ -39,9 +39,73 @@ _GAMMA = 2.0
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _tokenizer(path: str):
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
-    return Tokenizer.from_file(path)
+#: Space-separated words whose ids a worker remembers.
+MEMO_WORDS = 1_000_000
+_MARKS = ".,;:!?"
+
+
+class Encoder:
+    """Ids of texts, with a memory of the words met.
+
+    A byte-level tokenizer cuts a text before every single space that follows no other space, and
+    never looks across a cut.  So the ids of a text are those of its words, each with the
+    space before it.  New words are encoded together; texts with special tokens or
+    consecutive spaces are encoded whole.
+    """
+
+    def __init__(self, path: str, dtype: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
+        self.tokenizer = Tokenizer.from_file(path)
+        self.dtype = dtype
+        self.special = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
+        self.known: dict[str, bytes] = {}
+        self.heads: dict[str, bytes] = {}
+        self.marks = dict(zip(_MARKS, self._whole(list(_MARKS))))
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, words: list[str]) -> None:
+        """Ids of words that follow a space: one text of them all, cut where each begins."""
+        e = self.tokenizer.encode(" " + " ".join(words), add_special_tokens=False)
+        ids = np.array(e.ids, self.dtype)
+        begins = np.cumsum([0, *(len(w) + 1 for w in words)])
+        first = np.array([s for s, _ in e.offsets], np.int64)
+        cuts = (np.searchsorted(first, begins) * ids.itemsize).tolist()
+        data = ids.tobytes()
+        for i, w in enumerate(words):
+            self.known[w] = data[cuts[i] : cuts[i + 1]]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        if len(self.known) + len(self.heads) > MEMO_WORDS:
+            self.known, self.heads = {}, {}
+        odd = [i for i, t in enumerate(texts) if "  " in t or any(s in t for s in self.special)]
+        out: list[bytes | list[str]] = [t.split(" ") for t in texts]
+        for i, ids in zip(odd, self._whole([texts[i] for i in odd])):
+            out[i] = ids
+        split = [w for w in out if isinstance(w, list)]
+        heads = list({w[0] for w in split}.difference(self.heads))
+        self.heads.update(zip(heads, self._whole(heads)))
+        fresh = {x for w in split for x in w[1:]}.difference(self.known)
+        # a mark after letters is a piece of its own
+        marked = [x for x in fresh if x and x[-1] in _MARKS and x[:-1].isalpha()]
+        plain = list(fresh.difference(marked).union(x[:-1] for x in marked).difference(self.known))
+        for i in range(0, len(plain), 20_000):
+            self._learn(plain[i : i + 20_000])
+        for x in marked:
+            self.known[x] = self.known[x[:-1]] + self.marks[x[-1]]
+        word = self.known.__getitem__
+        return [w if isinstance(w, bytes) else self.heads[w[0]] + b"".join(map(word, w[1:])) for w in out]
+
+
+_ENCODERS: dict[tuple[str, str], Encoder] = {}
+
+
+def encoder(path: str, dtype: str) -> Encoder:
+    """One encoder a worker, whose memory lasts over its tasks."""
+    if (path, dtype) not in _ENCODERS:
+        _ENCODERS[path, dtype] = Encoder(path, dtype)
+    return _ENCODERS[path, dtype]
 
 
 def key_text(key: Column) -> Column:
@@ -68,21 +132,20 @@ def write(
     key_type = df.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok, shard = _tokenizer(tokenizer), TaskContext.get().partitionId()
+        enc, shard = encoder(tokenizer, kind), TaskContext.get().partitionId()
         system, base = file_system(folder)
         system.create_dir(base, recursive=True)
         name = f"shard-{shard:06d}-{uuid.uuid4().hex}.ids"  # a retry writes another file; the directory names one
         out, row, offset = None, 0, 0
+        end = np.array([end_id], dtype=kind).tobytes()
         for batch in batches:
             out = out or system.open_output_stream(f"{base}/{name}", compression=None)
             counts: list[int] = []
             texts = batch.column(1).to_pylist()
-            for at in range(0, len(texts), 64):
-                for e in tok.encode_batch_fast([x or "" for x in texts[at : at + 64]], add_special_tokens=False):
-                    ids = np.array(e.ids, dtype=kind)
-                    out.write(ids.tobytes())
-                    out.write(np.array([end_id], dtype=kind).tobytes())
-                    counts.append(len(ids) + 1)
+            for at in range(0, len(texts), 256):
+                for ids in enc.encode([x or "" for x in texts[at : at + 256]]):
+                    out.write(ids + end)
+                    counts.append(len(ids) // len(end) + 1)
             n = np.array(counts, np.int64)
             before = np.cumsum(n) - n + offset
             yield pa.RecordBatch.from_arrays(

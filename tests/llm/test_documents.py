@@ -384,3 +384,17 @@ def test_empty_benchmark_and_labels_keep_all(spark):
     assert winnow.clean_rows(docs, none).count() == docs.count()
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert quality_cnn.score_documents(docs, labels).count() == docs.count()
+
+
+def test_words_remembered_give_the_same_ids():
+    """Texts of awkward white space, marks, special tokens and several scripts."""
+    import random
+
+    path = str(public_tokenizers.path("byte_bpe_50k.json"))
+    tok, enc, rng = Tokenizer.from_file(path), tokens.Encoder(path, "<u2"), random.Random(1)
+    bits = [" ", " ", " ", "  ", "\n", "\t", "a", "b", "é", "\U0001f600", "'s", "'", "1", "23", ".", ",", "<|endoftext|>", "<|", "word",
+            "\r\n", "漢", "\x85", " ", " ", "!", "Ab,"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 25))) for _ in range(5000)]
+    for i in range(0, len(texts), 256):
+        for text, ids in zip(texts[i : i + 256], enc.encode(texts[i : i + 256])):
+            assert np.frombuffer(ids, "<u2").tolist() == tok.encode(text, add_special_tokens=False).ids, text
