@@ -15,21 +15,30 @@ sum(t_i + 1) = tau + 1, they differ in at most t_i bits within some part i.  So
 Links leave a task as a spanning forest (star edges), never as all pairs.  Parts'
 values with more than ``cap`` rows are cut into blocks, and pairs of blocks meet in
 different tasks, which is exact.
+
+The stage of the corpus pipeline takes such pairs for candidates only.  Its scan writes the
+set of distinct shingles of every text to files of the shared folder; a node's number says
+where its set lies.  A task reads the sets of its candidates and links them by their
+exact Jaccard index; pairs that it has already joined over others are not read again.
 """
 
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterator, Sequence
+from collections import OrderedDict
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import shared_dir
 from .common import components, content_keys, mixed, raw, split_by, stored
+from .warc import file_system
 
 BITS = 64
 _LANES = np.uint64(0x0101010101010101)
@@ -77,28 +86,40 @@ def majority(h: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarra
 
 def signatures(texts: Sequence[bytes | None], k: int, words: int = 1) -> np.ndarray:
     """(len(texts), words) array: the fingerprint, then further words of 64 bits."""
-    out = np.zeros((len(texts), words), np.uint64)
-    hashes: list[int] = []
+    return _signed_bags((shingle_hashes(text, k) if text else [] for text in texts), len(texts), words)
+
+
+def shingle_set(text: bytes | None, k: int) -> np.ndarray:
+    """The distinct shingle hashes, ascending."""
+    return np.unique(np.array(shingle_hashes(text, k) if text else [], np.uint64))
+
+
+def _signed_bags(bags: Iterable[Sequence[int] | np.ndarray], size: int, words: int) -> np.ndarray:
+    """Signatures of bags of shingle hashes; those of empty bags are zeros."""
+    out = np.zeros((size, words), np.uint64)
+    hashes: list[np.ndarray] = []
     rows: list[int] = []
     counts: list[int] = []
 
     def flush() -> None:
         if hashes:
-            h = np.array(hashes, np.uint64)
+            h = np.concatenate(hashes)
             n = np.array(counts, np.int64)
             starts = np.cumsum(n) - n
             for w in range(words):
                 out[rows, w] = majority(h if w == 0 else mixed(h + np.uint64(_GAPS[w - 1])), starts, n)
         hashes.clear(), rows.clear(), counts.clear()
 
-    for i, text in enumerate(texts):
-        got = shingle_hashes(text, k) if text else []
-        if got:
-            hashes += got
+    held = 0
+    for i, got in enumerate(bags):
+        if len(got):
+            hashes.append(np.asarray(got, np.uint64))
             rows.append(i)
             counts.append(len(got))
-        if len(hashes) > 200_000:
+            held += len(got)
+        if held > 200_000:
             flush()
+            held = 0
     flush()
     return out
 
@@ -246,16 +267,159 @@ def _far(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x ^ y)
 
 
+#: A node's number is the attempt of the task that wrote its set, and the place in that task's file.
+_PLACE_BITS = 33
+_CACHE_BYTES, _OPEN_FILES = 64 << 20, 64
+
+
+def _set_file(folder: str, attempt: int) -> str:
+    return f"{folder}/{attempt}.sets"
+
+
+def shingled(rows: DataFrame, folder: str, k: int, words: int) -> DataFrame:
+    """rank, hash of the set (s1, s2), node, size and w0.. of every row (rank, text); the sets go to ``folder``.
+
+    Signatures are those of the distinct shingles.  Attempts of a task write different files,
+    and node names the one whose rows count.
+    """
+    none = np.zeros(1, np.uint64)  # an empty set takes a place as well, so that nodes differ
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        attempt = TaskContext.get().taskAttemptId()
+        out, at, seen = None, 0, {}
+        for batch in batches:
+            if out is None:
+                system, base = file_system(folder)
+                system.create_dir(base, recursive=True)
+                out = system.open_output_stream(_set_file(base, attempt), compression=None)
+            sets = [shingle_set(text, k) for text in raw(batch.column(1))]
+            keys = [xxhash.xxh3_128_digest(x.tobytes()) for x in sets]
+            nodes = []
+            for key, x in zip(keys, sets):
+                if key not in seen:
+                    if len(seen) > 200_000:
+                        seen.clear()
+                    seen[key] = at
+                    out.write((x if len(x) else none).tobytes())
+                    at += max(len(x), 1)
+                nodes.append(attempt << _PLACE_BITS | seen[key])
+            sig = _signed_bags(sets, len(sets), words).view(np.int64)
+            both = np.frombuffer(b"".join(keys), "<i8").reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy()), pa.array(nodes, pa.int64()),
+                 pa.array([len(x) for x in sets], pa.int64()), *[pa.array(sig[:, i].copy()) for i in range(words)]],
+                ["_rank", "s1", "s2", "node", "size", *[f"w{i}" for i in range(words)]],
+            )
+        if out is not None:
+            out.close()
+
+    longs = ["s1", "s2", "node", "size", *[f"w{i}" for i in range(words)]]
+    schema = T.StructType([rows.schema[0], *[T.StructField(c, T.LongType()) for c in longs]])
+    return rows.mapInArrow(run, schema)
+
+
+class _Sets:
+    """Joins candidates whose shingle sets have a Jaccard index of at least 4/5."""
+
+    def __init__(self, folder: str, parts: Sequence[tuple[int, int]]):
+        self.folder, self.parts = folder, parts
+        self.root: dict[int, int] = {}
+        self.left: list[int] = []
+        self.right: list[int] = []
+        self.files: dict = {}
+        self.cache: OrderedDict[int, np.ndarray] = OrderedDict()
+        self.bytes = 0
+
+    def read(self, node: int, size: int) -> np.ndarray:
+        got = self.cache.get(node)
+        if got is not None:
+            self.cache.move_to_end(node)
+            return got
+        attempt, place = node >> _PLACE_BITS, node & (1 << _PLACE_BITS) - 1
+        if attempt not in self.files:
+            if len(self.files) >= _OPEN_FILES:
+                self.close()
+            system, base = file_system(self.folder)
+            self.files[attempt] = system.open_input_file(_set_file(base, attempt))
+        got = np.frombuffer(self.files[attempt].read_at(8 * size, 8 * place), np.uint64)
+        self.cache[node] = got
+        self.bytes += got.nbytes
+        while self.bytes > _CACHE_BYTES and len(self.cache) > 2:
+            self.bytes -= self.cache.popitem(last=False)[1].nbytes
+        return got
+
+    def close(self) -> None:
+        for f in self.files.values():
+            f.close()
+        self.files = {}
+
+    def find(self, x: int) -> int:
+        root = self.root
+        while (up := root.get(x, x)) != x:
+            root[x] = x = root.get(up, up)
+        return x
+
+    def join(self, a: int, a_size: int, b: int, b_size: int) -> bool:
+        """Whether a and b are in one component now."""
+        ra, rb = self.find(a), self.find(b)
+        if ra == rb:
+            return True
+        x, y = self.read(a, a_size), self.read(b, b_size)
+        at = np.searchsorted(x, y)
+        at[at == len(x)] = 0
+        common = int(np.count_nonzero(x[at] == y)) if len(x) else 0
+        if 9 * common < 4 * (a_size + b_size):
+            return False
+        self.root[ra] = rb
+        self.left.append(a)
+        self.right.append(b)
+        return True
+
+    def open_pairs(self, part: np.ndarray, fp: np.ndarray, size: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Pairs whose sizes allow a link and that meet in no earlier part, where they are judged."""
+        a, b = size[i], size[j]
+        out = 5 * np.minimum(a, b) >= 4 * np.maximum(a, b)
+        differ = fp[i] ^ fp[j]
+        for n, (mask, t) in enumerate(self.parts):
+            out &= (part[i] <= n) | (np.bitwise_count(differ & np.uint64(mask)) > t)
+        return out
+
+    def settle(self, node: np.ndarray, size: np.ndarray, label: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
+        """Judges pairs sorted by i; equal labels are of rows that are joined already."""
+        while len(i):
+            x, n = int(i[0]), int(np.searchsorted(i, i[0], "right"))
+            mine = {int(label[x])}
+            for y in j[:n].tolist():
+                other = int(label[y])
+                if other not in mine and self.join(int(node[x]), int(size[x]), int(node[y]), int(size[y])):
+                    mine.add(other)
+            if len(mine) > 1:
+                label[np.isin(label, list(mine))] = label[x]
+            i, j = i[n:], j[n:]
+            apart = label[i] != label[j]
+            i, j = i[apart], j[apart]
+
+
 class _Bucket:
-    """Verifies rows (node, own, words...) of consecutive buckets."""
+    """Verifies rows (node, own, words...) of consecutive buckets; with ``sets`` also by their shingles."""
 
-    def __init__(self, tau: int, wide: int):
+    def __init__(self, tau: int, wide: int, sets: _Sets | None = None):
         self.tau, self.wide, self.left, self.right, self.held = tau, wide, [], [], 0
-
-    def keep(self, node: np.ndarray, words: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
+        self.sets = sets
+
+    def keep(
+        self, node: np.ndarray, words: np.ndarray, i: np.ndarray, j: np.ndarray, part: np.ndarray, size: np.ndarray | None, label: np.ndarray
+    ) -> None:
+        if self.sets is not None and len(i):
+            apart = label[i] != label[j]
+            i, j = i[apart], j[apart]
         if words.shape[1] > 1 and len(i):
             near = _far(words[i, 1:], words[j, 1:]).sum(axis=1) <= self.wide
             i, j = i[near], j[near]
+        if self.sets is not None:
+            judged = self.sets.open_pairs(part, words[:, 0], size, i, j)
+            self.sets.settle(node, size, label, i[judged], j[judged])
+            return
         if len(i):
             self.left.append(node[i])
             self.right.append(node[j])
@@ -264,16 +428,31 @@ class _Bucket:
             a, b = _stars(np.concatenate(self.left), np.concatenate(self.right))
             self.left, self.right, self.held = [a], [b], len(a)
 
-    def small(self, bucket: np.ndarray, node: np.ndarray, own: np.ndarray, words: np.ndarray, longest: int) -> None:
+    def small(
+        self, bucket: np.ndarray, node: np.ndarray, own: np.ndarray, words: np.ndarray, part: np.ndarray, size: np.ndarray | None, longest: int
+    ) -> None:
         fp = words[:, 0]
+        found = []
         for lag in range(1, longest):
             i = np.flatnonzero((bucket[lag:] == bucket[:-lag]) & (own[lag:] | own[:-lag]))
             i = i[_far(fp[i], fp[i + lag]) <= self.tau]
-            self.keep(node, words, i, i + lag)
+            if self.sets is None:
+                self.keep(node, words, i, i + lag, part, size, node)
+            else:
+                found.append((i, i + lag))
+        if found:
+            i, j = (np.concatenate(x) for x in zip(*found))
+            near = _far(words[i, 1:], words[j, 1:]).sum(axis=1) <= self.wide
+            i, j = i[near], j[near]
+            judged = self.sets.open_pairs(part, fp, size, i, j)
+            for x, y in zip(i[judged].tolist(), j[judged].tolist()):
+                self.sets.join(int(node[x]), int(size[x]), int(node[y]), int(size[y]))
 
-    def large(self, node: np.ndarray, own: np.ndarray, words: np.ndarray) -> None:
+    def large(self, node: np.ndarray, own: np.ndarray, words: np.ndarray, part: np.ndarray, size: np.ndarray | None) -> None:
         order = np.argsort(~own, kind="stable")
-        node, words = node[order], words[order]
+        node, words, part = node[order], words[order], part[order]
+        size = size if size is None else size[order]
+        _, label = np.unique(node, return_inverse=True)
         fp, n_own = words[:, 0], int(own.sum())
         step = max(1, _CELLS // len(fp))
         room = step * len(fp)
@@ -287,19 +466,23 @@ class _Bucket:
             np.less_equal(counts[: k * m], self.tau, out=near[: k * m])
             i, j = np.divmod(np.flatnonzero(near[: k * m]), max(m, 1))
             i, j = i + at, j + at + 1
-            self.keep(node, words, i[j > i], j[j > i])
+            self.keep(node, words, i[j > i], j[j > i], part, size, label)
 
     def edges(self) -> pa.RecordBatch:
+        if self.sets is not None:
+            self.sets.close()
+            a, b = (pa.array(x, pa.int64()) for x in (self.sets.left, self.sets.right))  # joins only: a forest
+            return pa.RecordBatch.from_arrays([a, b], ["a", "b"])
         a, b = (np.concatenate(self.left), np.concatenate(self.right)) if self.left else (np.zeros(0, np.int64),) * 2
         a, b = _stars(a, b)
         return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
 
-def _verify(tau: int, wide: int, words: int):
+def _verify(tau: int, wide: int, words: int, folder: str | None, parts: Sequence[tuple[int, int]]):
     """Rows sorted by bucket: bucket columns, node, own, words.  Buckets are bounded by the cap."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        work = _Bucket(tau, wide)
+        work = _Bucket(tau, wide, _Sets(folder, parts) if folder else None)
         held: list[pa.RecordBatch] = []
 
         def handle(t: pa.Table, last: bool) -> pa.Table | None:
@@ -313,12 +496,16 @@ def _verify(tau: int, wide: int, words: int):
                 node = t.column("node").to_numpy()[:end]
                 own = t.column("own").to_numpy()[:end]
                 sig = np.stack([t.column(f"w{i}").to_numpy()[:end].view(np.uint64) for i in range(words)], axis=1)
+                part = cols[0][:end]
+                size = t.column("size").to_numpy()[:end] if folder else None
                 bucket = np.repeat(np.arange(len(starts)), sizes)
                 few = np.repeat((sizes > 1) & (sizes <= 24), sizes)
                 if few.any():
-                    work.small(bucket[few], node[few], own[few], sig[few], int(sizes[sizes <= 24].max()))
+                    some = size[few] if folder else None
+                    work.small(bucket[few], node[few], own[few], sig[few], part[few], some, int(sizes[sizes <= 24].max()))
                 for s, n in zip(starts[sizes > 24], sizes[sizes > 24]):
-                    work.large(node[s : s + n], own[s : s + n], sig[s : s + n])
+                    some = size[s : s + n] if folder else None
+                    work.large(node[s : s + n], own[s : s + n], sig[s : s + n], part[s : s + n], some)
             return t.slice(end) if end < t.num_rows else None
 
         rest = 0
@@ -336,11 +523,13 @@ def _verify(tau: int, wide: int, words: int):
     return run
 
 
-def links(nodes: DataFrame, tau: int, wide: int = 0, words: int = 1, cap: int = CAP) -> DataFrame:
+def links(nodes: DataFrame, tau: int, wide: int = 0, words: int = 1, cap: int = CAP, folder: str | None = None) -> DataFrame:
     """Edges (a, b) whose components are those of all links between nodes.
 
     ``nodes``: node (long, unique), w0 (fingerprint), and with ``words`` > 1 also
-    w1.. that must differ in at most ``wide`` bits together.
+    w1.. that must differ in at most ``wide`` bits together.  With ``folder``, where
+    ``shingled`` wrote the nodes' sets, such pairs are linked if these have a Jaccard index of
+    at least 4/5; ``nodes`` then has size too.
     """
     parts = plan(nodes.select("w0").distinct(), tau)
     probes: list[Column] = []
@@ -350,7 +539,7 @@ def links(nodes: DataFrame, tau: int, wide: int = 0, words: int = 1, cap: int =
             for flip in itertools.combinations(bits, d):
                 value = F.col("w0").bitwiseXOR(F.lit(_signed(_mask(flip)))).bitwiseAND(F.lit(_signed(mask)))
                 probes.append(F.struct(F.lit(i).alias("part"), value.alias("value"), F.lit(d == 0).alias("own")))
-    sig = [f"w{i}" for i in range(words)]
+    sig = [f"w{i}" for i in range(words)] + (["size"] if folder else [])
     rows = nodes.select("node", *sig, F.explode(F.array(*probes)).alias("p")).select("p.*", "node", *sig)
     # counted on the distinct fingerprints' values, combined in the map tasks
     hot = rows.groupBy("part", "value").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > cap)
@@ -364,7 +553,7 @@ def links(nodes: DataFrame, tau: int, wide: int = 0, words: int = 1, cap: int =
     )
     key = ["part", "value", "lo", "hi"]
     dealt = rows.repartition(*key).sortWithinPartitions(*key)
-    return dealt.mapInArrow(_verify(tau, wide, words), "a long, b long")
+    return dealt.mapInArrow(_verify(tau, wide, words, folder, [(_mask(bits), t) for bits, t in parts]), "a long, b long")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = 3, tau: int = 2) -> DataFrame:
@@ -389,15 +578,15 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", k
 
 #: Similarity 0.8 of shingle sets is a cosine of 2 * 0.8 / 1.8, an angle of 0.1516 half turns.
 STAGE_TAU = 14
-STAGE_WORDS = 5  # the fingerprint, and 256 bits more that estimate the similarity
+STAGE_WORDS = 5  # the fingerprint, and 256 bits more that spare the reading of most other sets
 STAGE_WIDE = 43
 
 
 def first_of_groups(df: DataFrame, text: str = "text", id_col: str = "doc_id", k: int = 5) -> DataFrame:
     """One row of each group of near copies, with the columns of ``df``.
 
-    A link needs fingerprints within 14 bits and 256 further SimHash bits that put
-    the similarity of five-word shingles at 0.8 or more.  Of each group the row
+    A link needs an exact Jaccard index of 0.8 or more of the distinct ``k``-word shingles; SimHash
+    bits of these only find the candidates.  Of each group the row
     with the smallest id stays (null ids last, then the smaller hash of the text, then of
     the row; of equal rows one).  Rows without a word are one group.  Texts are not
     stored: rows that a Bloom filter takes for removed ones are shuffled, the others stay in the scan.
@@ -406,12 +595,13 @@ def first_of_groups(df: DataFrame, text: str = "text", id_col: str = "doc_id", k
     rows = df.select(F.struct(*[F.col(c) for c in keep]).alias("_row"), F.col(id_col).alias("_id"), F.col(text).alias("_text"))
     rows = rows.select("*", *content_keys(["_row"]))
     rank = F.struct(F.col("_id").isNull().alias("no_id"), F.col("_id").alias("id"), F.xxhash64("_text").alias("hash"), "_k1", "_k2")
-    docs = stored(with_signature(rows.select(rank.alias("_rank"), "_text"), "_text", k, STAGE_WORDS).drop("_text"), "simhash-stage")
-    # equal signatures are one node
-    sig = [F.element_at("_sig", i + 1).alias(f"w{i}") for i in range(STAGE_WORDS)]
-    first = docs.groupBy("_sig").agg(F.min("_rank").alias("_rank"))
-    first = stored(first.select(F.monotonically_increasing_id().alias("node"), "_rank", *sig), "simhash-nodes")
-    roots = components(links(first.drop("_rank"), STAGE_TAU, STAGE_WIDE, STAGE_WORDS), "simhash-stage")
+    folder = shared_dir(df.sparkSession, "simhash-sets")
+    docs = stored(shingled(rows.select(rank.alias("_rank"), "_text"), folder, k, STAGE_WORDS), "simhash-stage")
+    # equal sets are one node
+    place = F.min(F.struct("node", "size", *[f"w{i}" for i in range(STAGE_WORDS)])).alias("place")
+    first = docs.groupBy("s1", "s2").agg(F.min("_rank").alias("_rank"), place)
+    first = stored(first.select("place.*", "_rank"), "simhash-nodes")
+    roots = components(links(first.drop("_rank"), STAGE_TAU, STAGE_WIDE, STAGE_WORDS, folder=folder), "simhash-stage")
     member = first.select("node", "_rank").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     stay = stored(member.groupBy("root").agg(F.min("_rank").alias("_rank")).select("_rank._k1", "_rank._k2"), "simhash-stay")
     every = docs.groupBy("_rank._k1", "_rank._k2").agg(F.count(F.lit(1)).alias("n")).toDF("_k1", "_k2", "n")

@@ -110,6 +110,45 @@ def test_first_of_groups_keeps_clean_rows(spark):
     assert sorted(r.doc_id for r in got.collect()) == list(range(30))
 
 
+def jaccard_groups(texts: list[str]) -> list[int]:
+    """The first row of each row's group, by the exact similarity of distinct five-word shingles."""
+    sets = []
+    for t in texts:
+        w = SPACED.findall(low(t))
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    root = list(range(len(texts)))
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, x in enumerate(sets):
+        for j in range(i):
+            same = len(x & sets[j])
+            if 5 * same >= 4 * (len(x) + len(sets[j]) - same):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    return [find(i) for i in range(len(texts))]
+
+
+@pytest.mark.parametrize("cap", [8, 16_384])
+def test_first_of_groups_is_not_misled_by_repeats(spark, monkeypatch, cap):
+    """A sentence repeated inside clean texts is no link; copies of them are, in blocks of any size."""
+    monkeypatch.setattr(simhash.links, "__defaults__", (*simhash.links.__defaults__[:2], cap, simhash.links.__defaults__[3]))
+    rng = np.random.default_rng(8)
+    sentence = " ".join(f"said{i}" for i in range(10))
+    texts = ["", " \n", "one", "ONE", "two words"]
+    for n, times in ((400, 20), (300, 15), (1200, 60)):
+        texts += [" ".join([*(f"w{x}" for x in rng.integers(0, 10**6, n)), *[sentence] * times]) for _ in range(8)]
+    texts += [texts[7] + " end", "start " + texts[14], texts[20]]
+    big = [f"g{x}" for x in rng.integers(0, 10**6, 400)]
+    for i in range(40):  # one large group of near copies
+        texts.append(" ".join([*big[:i], f"x{i}", *big[i + 1 :]]))
+    got = simhash.first_of_groups(frame(spark, [(i, t, "en", "a") for i, t in enumerate(texts)])).collect()
+    assert sorted(r.doc_id for r in got) == sorted(set(jaccard_groups(texts))) and len(got) == 3 + 24 + 1
+
+
 def test_tokens_round_trip(spark):
     rows = awkward()
     path = str(public_tokenizers.path("byte_bpe_50k.json"))
