@@ -149,6 +149,20 @@ def test_first_of_groups_is_not_misled_by_repeats(spark, monkeypatch, cap):
     assert sorted(r.doc_id for r in got) == sorted(set(jaccard_groups(texts))) and len(got) == 3 + 24 + 1
 
 
+def test_first_of_groups_at_the_bound(spark):
+    """Pairs just above 0.8 go but for the stated share, pairs below it all stay."""
+    rng = np.random.default_rng(12)
+    rows, above = [], 300
+    for i in range(2 * above):
+        core = 179 if i < above else int(rng.choice([150, 160, 170, 178]))  # 0.806, or 0.59 to 0.798
+        w = [f"w{x}" for x in rng.integers(0, 10**9, core + 2 * (200 - core))]
+        rows += [(2 * i, " ".join(w[:200]), "en", "a"), (2 * i + 1, " ".join(w[:core] + w[200:]), "en", "a")]
+    assert [len(set(jaccard_groups([t for _, t, *_ in x]))) for x in (rows[:20], rows[-20:])] == [10, 20]
+    got = {r.doc_id for r in simhash.first_of_groups(frame(spark, rows)).collect()}
+    assert {2 * i for i in range(2 * above)} <= got and set(range(2 * above + 1, 4 * above, 2)) <= got
+    assert len(got & set(range(1, 2 * above, 2))) <= 0.02 * above
+
+
 def test_tokens_round_trip(spark):
     rows = awkward()
     path = str(public_tokenizers.path("byte_bpe_50k.json"))
