@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import io
 import os
+import re
 import uuid
 import zlib
 from collections.abc import Iterator, Sequence
@@ -42,15 +43,17 @@ _STEP = np.uint64(0x9E3779B97F4A7C15)
 #: Space-separated words whose ids a worker remembers.
 MEMO_WORDS = 1_000_000
 _MARKS = ".,;:!?"
+#: A space beside another white-space character: a token may reach over both.
+_RUN = re.compile(r" (?:\s|(?<=\s ))")
 
 
 class Encoder:
     """Ids of texts, with a memory of the words met.
 
-    A byte-level tokenizer cuts a text before every single space that follows no other space, and
-    never looks across a cut.  So the ids of a text are those of its words, each with the
-    space before it.  New words are encoded together; texts with special tokens or
-    consecutive spaces are encoded whole.
+    A byte-level tokenizer cuts a text before every space between two characters that are no white
+    space, and never looks across such a cut.  So the ids of a text are those of its words, each with
+    the space before it.  New words are encoded together, those with white space in them alone; texts
+    with special tokens or a space beside other white space are encoded whole.
     """
 
     def __init__(self, path: str, dtype: str):
@@ -66,7 +69,7 @@ class Encoder:
         return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, words: list[str]) -> None:
-        """Ids of words that follow a space: one text of them all, cut where each begins."""
+        """Ids of words without white space that follow a space: one text of them all, cut where each begins."""
         e = self.tokenizer.encode(" " + " ".join(words), add_special_tokens=False)
         ids = np.array(e.ids, self.dtype)
         begins = np.cumsum([0, *(len(w) + 1 for w in words)])
@@ -79,7 +82,7 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.known) + len(self.heads) > MEMO_WORDS:
             self.known, self.heads = {}, {}
-        odd = [i for i, t in enumerate(texts) if "  " in t or any(s in t for s in self.special)]
+        odd = [i for i, t in enumerate(texts) if _RUN.search(t) or any(s in t for s in self.special)]
         out: list[bytes | list[str]] = [t.split(" ") for t in texts]
         for i, ids in zip(odd, self._whole([texts[i] for i in odd])):
             out[i] = ids
@@ -90,6 +93,9 @@ class Encoder:
         # a mark after letters is a piece of its own
         marked = [x for x in fresh if x and x[-1] in _MARKS and x[:-1].isalpha()]
         plain = list(fresh.difference(marked).union(x[:-1] for x in marked).difference(self.known))
+        alone = [x for x in plain if x.split() != [x]]  # with white space, or the empty word of a space at the end
+        self.known.update(zip(alone, self._whole([" " + x for x in alone])))
+        plain = list(set(plain).difference(alone))
         for i in range(0, len(plain), 20_000):
             self._learn(plain[i : i + 20_000])
         for x in marked:

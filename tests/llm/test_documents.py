@@ -451,3 +451,17 @@ def test_words_remembered_give_the_same_ids():
     for i in range(0, len(texts), 256):
         for text, ids in zip(texts[i : i + 256], enc.encode(texts[i : i + 256])):
             assert np.frombuffer(ids, "<u2").tolist() == tok.encode(text, add_special_tokens=False).ids, text
+
+
+def test_words_beside_other_white_space_give_the_same_ids():
+    """Runs of spaces and no-break spaces, and words that begin or end in white space."""
+    import random
+
+    path = str(public_tokenizers.path("byte_bpe_50k.json"))
+    tok, enc, rng = Tokenizer.from_file(path), tokens.Encoder(path, "<u2"), random.Random(4)
+    bits = [" ", " ", "\u00a0", "\u00a0 \u00a0", "\u00a0\r\n", ".", "Home", "About", "\n", "\t", "\u3000", "\u2003", "\x1c", "a", "b,"]
+    texts = ["Home \u00a0 \u00a0 About", "\u00a0", "x \u00a0", "x \u00a0\r\n.", "end\u00a0", "a end\u00a0", "b \u00a0", "a ", " a", " "]
+    texts += ["".join(rng.choice(bits) for _ in range(rng.randint(0, 20))) for _ in range(5000)]
+    for i in range(0, len(texts), 256):
+        for text, ids in zip(texts[i : i + 256], enc.encode(texts[i : i + 256])):
+            assert np.frombuffer(ids, "<u2").tolist() == tok.encode(text, add_special_tokens=False).ids, text
