@@ -3,8 +3,8 @@
 Every whole text is scanned once for base patterns and for candidates: long tokens of
 mixed letters and digits with a high entropy.  Values leave the scan as 128-bit hashes.  Over
 the whole corpus the distinct owners and repositories of each hash are counted: a
-value that many owners have is a copied example, one that few owners have is
-live-looking.  Live-looking candidates become spans beside the base ones, which always stay.
+value that many owners or many repositories have is a copied example, one that few of both have is
+live-looking.  Equal texts count as one repository.  Live-looking candidates become spans beside the base ones, which always stay.
 """
 
 from __future__ import annotations
@@ -19,12 +19,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import UID, stored
+from .common import UID, content_keys, stored
 
 #: Kinds in the order of equal starts; the last one is the method's.
 KINDS = ("assign", "access", "hex", "owned")
 #: A value with more owners than this is a copied example.
 MAX_OWNERS = 2
+#: And so is one that is in more repositories, however few their owners are.
+MAX_REPOS = 10
 MIN_LENGTH, MIN_ENTROPY = 20, 3.5
 
 _NAMES = ("password", "passwd", "secret", "token", "api_?key")
@@ -93,10 +95,14 @@ def _scan(column: pa.Array) -> pa.Array:
 
 
 def ownership(found: DataFrame) -> DataFrame:
-    """(value, n_owners, n_repos) of every value; distinct owners and repositories are combined in the map tasks."""
-    flat = found.select("_owner", "_repo", F.explode("_found.value").alias("value"))
+    """(value, n_owners, n_repos) of every value; distinct owners and repositories are combined in the map tasks.
+
+    Equal texts (128 bits of them, _k1 and _k2) are in one repository, the least of theirs.
+    """
+    flat = found.select("_owner", "_repo", "_k1", "_k2", F.explode("_found.value").alias("value"))
     owners = flat.groupBy("value", "_owner").agg(F.lit(1).alias("one")).groupBy("value").agg(F.sum("one").alias("n_owners"))
-    repos = flat.groupBy("value", "_repo").agg(F.lit(1).alias("one")).groupBy("value").agg(F.sum("one").alias("n_repos"))
+    texts = flat.groupBy("value", "_k1", "_k2").agg(F.min("_repo").alias("_repo"))
+    repos = texts.groupBy("value", "_repo").agg(F.lit(1).alias("one")).groupBy("value").agg(F.sum("one").alias("n_repos"))
     return owners.join(repos, "value")
 
 
@@ -110,27 +116,29 @@ def _listed(spans: Column) -> Column:
 
 
 def scan(df: DataFrame, id_col: str = "doc_id", text: str = "text", owner: str = "source", repo: str = "doc_id") -> tuple[DataFrame, DataFrame]:
-    """(rows, ownership).  Rows, stored: _uid, _id, _owner, _repo and _found, the spans sorted by start and kind."""
+    """(rows, ownership).  Rows, stored: _uid, _id, _owner, _repo, _k1, _k2 and _found, the spans sorted by start and kind."""
     docs = df.select(
         F.monotonically_increasing_id().alias(UID), F.col(id_col).alias("_id"), F.col(owner).cast("string").alias("_owner"),
-        F.col(repo).cast("string").alias("_repo"), _scan(F.col(text)).alias("_found"),
+        F.col(repo).cast("string").alias("_repo"), *content_keys([text]), _scan(F.col(text)).alias("_found"),
     )
     found = stored(docs, "secrets-found")
     return found, stored(ownership(found), "secrets-owners")
 
 
 def find_secrets(
-    df: DataFrame, id_col: str = "doc_id", text: str = "text", owner: str = "source", repo: str = "doc_id", max_owners: int = MAX_OWNERS
+    df: DataFrame, id_col: str = "doc_id", text: str = "text", owner: str = "source", repo: str = "doc_id",
+    max_owners: int = MAX_OWNERS, max_repos: int = MAX_REPOS,
 ) -> DataFrame:
     """id, n_assign, n_access, n_hex, base_sha256, spans, n_owned and n_live of every row.
 
     spans: kind:start:end in code points.  n_owned: spans that the method adds;
-    n_live: base spans whose value no more than ``max_owners`` owners have.  Null and empty
+    n_live: base spans whose value no more than ``max_owners`` owners and ``max_repos``
+    repositories have.  Null and empty
     texts have none; a null owner or repository is one of its own; repeated rows are reported each.
     """
     found, owners = scan(df, id_col, text, owner, repo)
     flat = found.filter(F.size("_found") > 0).select(UID, F.explode("_found").alias("x")).select(UID, "x.*")
-    few = flat.join(owners.filter(F.col("n_owners") <= max_owners), "value")
+    few = flat.join(owners.filter((F.col("n_owners") <= max_owners) & (F.col("n_repos") <= max_repos)), "value")
     few = few.groupBy(UID).agg(  # as many as the text has spans
         F.collect_list(F.when(F.col("kind") == len(KINDS) - 1, F.struct("start", "kind", "end"))).alias("owned"),
         F.sum((F.col("kind") < len(KINDS) - 1).cast("long")).alias("n_live"),

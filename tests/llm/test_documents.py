@@ -258,6 +258,18 @@ def test_secrets_match_brute_force(spark):
     assert got[15].n_owned == 0, "no entropy"
 
 
+def test_secrets_in_many_repositories_are_copied(spark):
+    """One owner of thousands of documents; equal texts are one repository, however many rows they are."""
+    rng = np.random.default_rng(6)
+    many, same, few, base = ("".join(rng.choice(list("ABCDEFGHabcdefgh0123456789+/"), 32)) for _ in range(4))
+    rows = [(i, f"key {many} of page {i} password={base}", "en", "hot") for i in range(3000)]
+    rows += [(5000 + i, f"key {same} end", "en", "hot") for i in range(3000)]
+    rows += [(9000 + i, f"key {few} of page {i}", "en", "hot") for i in range(secrets.MAX_REPOS)]
+    got = {r.doc_id: r for r in secrets.find_secrets(frame(spark, rows)).collect()}
+    assert {(got[i].n_owned, got[i].n_live, got[i].n_assign) for i in range(3000)} == {(0, 0, 1)}
+    assert {got[i].n_owned for i in range(5000, 8000)} == {1} and {got[9000 + i].n_owned for i in range(secrets.MAX_REPOS)} == {1}
+
+
 def test_cnn_learns_and_scores_every_row(spark):
     rng = np.random.default_rng(9)
     rows, marks = [], []
