@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, quality_cnn, rules, secrets, shards, simhash, sql, token_counts, tokens, urls, warc, winnow
+from . import merkle, mixing, quality_cnn, rules, secrets, shards, simhash, sql, token_counts, tokens, urls, warc, winnow
 from .common import table
 
 
@@ -54,6 +54,10 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_documents(table(spark, sf_dir, "documents"))
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verify_documents(table(spark, sf_dir, "documents"))
+
+
 def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("word_bpe_49k.json")
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), str(path))
@@ -70,5 +74,6 @@ QUERIES = {
     "op8_rules": (op8_rules, sql.RULES),
     "op9_winnow": (op9_winnow, sql.WINNOW),
     "op10_mix": (op10_mix, sql.MIX),
+    "op11_merkle": (op11_merkle, sql.MERKLE),
     "op12_token_counts": (op12_token_counts, None),
 }

@@ -149,3 +149,29 @@ o AS (SELECT d.*, source_size, target, round(target)::BIGINT AS budget,
   FROM d JOIN g ON g.source IS NOT DISTINCT FROM d.source)
 SELECT doc_id, size, source_size, coalesce(target, 0) AS target, CASE WHEN source_size = 0 THEN 0 ELSE
   budget // source_size * size + greatest(0, least(size, budget - budget // source_size * source_size - ahead)) END AS taken FROM o"""
+
+
+def _part(c: str) -> str:
+    return f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen({c}::VARCHAR) || ':' || {c} END"
+
+
+_CRC = """list_reduce(list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT),
+  lambda c, b: list_reduce(range(8), lambda x, i: xor(x >> 1, (x & 1) * 3988292384), xor(c, b)), 4294967295::BIGINT)"""
+_HEAD = " || ".join(_part(c) for c in ("doc_id", "source", "lang", "n_chars"))
+# the last xor of a CRC-32 turns its lowest bit over
+MERKLE = f"""WITH RECURSIVE d AS (SELECT *, {_HEAD} AS head, CASE WHEN coalesce({_CRC} & 1 = 1, false) THEN replace(text, chr(10), '') ELSE text END AS bad FROM documents),
+lf AS (SELECT doc_id, coalesce('=' || source, '') AS g, sha256(head || {_part("text")}) AS leaf, sha256(head || {_part("bad")}) AS tampered, row_number() OVER () AS uid FROM d),
+base AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY g) AS n FROM lf),
+up AS (SELECT g, 0 AS lvl, pos, n, leaf AS node FROM base UNION ALL
+  SELECT g, lvl + 1, pos // 3, (max(n) + 2) // 3, sha256(string_agg(node, '' ORDER BY pos)) FROM up WHERE n > 1 GROUP BY g, lvl, pos // 3),
+sub AS (SELECT g, lvl AS depth, node AS subroot, row_number() OVER (ORDER BY g) - 1 AS spot, count(*) OVER () AS n FROM up WHERE n = 1),
+top AS (SELECT 0 AS lvl, spot AS pos, n, subroot AS node FROM sub UNION ALL
+  SELECT lvl + 1, pos // 3, (max(n) + 2) // 3, sha256(string_agg(node, '' ORDER BY pos)) FROM top WHERE n > 1 GROUP BY lvl, pos // 3),
+nodes AS (SELECT g, lvl, pos, n, node FROM up UNION ALL SELECT s.g, s.depth + t.lvl, t.pos, t.n, t.node FROM sub s, top t),
+walk AS (SELECT uid, b.g, 0 AS lvl, CASE WHEN depth = 0 THEN spot ELSE pos END AS pos, depth, spot, tampered AS h, '' AS sibs FROM base b JOIN sub USING (g) UNION ALL
+  SELECT uid, w.g, w.lvl + 1, CASE WHEN w.lvl + 1 = depth THEN spot ELSE w.pos // 3 END, depth, spot,
+    sha256(string_agg(CASE WHEN n.pos = w.pos THEN h ELSE n.node END, '' ORDER BY n.pos)), any_value(sibs) || coalesce(string_agg(n.node, '' ORDER BY n.pos) FILTER (n.pos <> w.pos), '')
+  FROM walk w JOIN nodes n ON n.g = w.g AND n.lvl = w.lvl AND n.pos // 3 = w.pos // 3 AND n.n > 1 GROUP BY uid, w.g, w.lvl, w.pos, depth, spot, h)
+SELECT doc_id, leaf, subroot, (SELECT node FROM top WHERE n = 1) AS root, sha256(sibs) AS proof_sha256, h AS folded_root,
+       h = (SELECT node FROM top WHERE n = 1) AS verified
+FROM base JOIN sub USING (g) JOIN (SELECT uid, max_by(h, lvl) AS h, max_by(sibs, lvl) AS sibs FROM walk GROUP BY uid) USING (uid)"""
