@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import merkle, mixing, quality_cnn, rules, secrets, shards, simhash, sql, token_counts, tokens, urls, warc, winnow
+from . import hard_negatives, merkle, mixing, quality_cnn, rules, secrets, shards, simhash, sql, token_counts, tokens, urls, warc, winnow
 from .common import table
 
 
@@ -63,6 +63,10 @@ def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), str(path))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mine_embeddings(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_warc": (op1_warc, sql.WARC),
     "op2_simhash": (op2_simhash, None),
@@ -76,4 +80,5 @@ QUERIES = {
     "op10_mix": (op10_mix, sql.MIX),
     "op11_merkle": (op11_merkle, sql.MERKLE),
     "op12_token_counts": (op12_token_counts, None),
+    "op13_hard_negatives": (op13_hard_negatives, sql.NEGATIVES),
 }

@@ -175,3 +175,16 @@ walk AS (SELECT uid, b.g, 0 AS lvl, CASE WHEN depth = 0 THEN spot ELSE pos END A
 SELECT doc_id, leaf, subroot, (SELECT node FROM top WHERE n = 1) AS root, sha256(sibs) AS proof_sha256, h AS folded_root,
        h = (SELECT node FROM top WHERE n = 1) AS verified
 FROM base JOIN sub USING (g) JOIN (SELECT uid, max_by(h, lvl) AS h, max_by(sibs, lvl) AS sibs FROM walk GROUP BY uid) USING (uid)"""
+
+NEGATIVES = """WITH e AS (SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, list_dot_product(a.q, b.q)::BIGINT AS score
+  FROM e a JOIN e b ON a.vec_id % 100 = 0 AND (a.label <> b.label OR a.vec_id <> b.vec_id)),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)::INT AS rank,
+       vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+QUALIFY rank <= 10"""
