@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def micros(duration: str) -> int:
+    """Microseconds of a duration as Spark's windows take it, such as ``30 minutes``."""
+    return pd.Timedelta(duration).value // 1000
+
+
 def hms_to_s(h: Column, m: Column, s: Column) -> Column:
     return h * 3600 + m * 60 + s
 

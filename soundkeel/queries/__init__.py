@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import audio, bouts, feeds, labelling, matrices, naming, recordings, scoring, vessels
+from . import audio, bouts, feeds, labelling, matrices, naming, recordings, scoring, streams, vessels
 
-MODULES = (bouts, labelling, vessels, audio, matrices, scoring, naming, feeds, recordings)
+MODULES = (bouts, labelling, vessels, audio, matrices, scoring, naming, feeds, recordings, streams)
 
 
 def registry() -> dict:
