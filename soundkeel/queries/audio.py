@@ -9,6 +9,7 @@ from ..operators import detect as D
 from ..operators import framing as FR
 from ..operators import levels as LV
 from ..operators import sampling
+from ..operators import table_functions as TF
 from ..operators import spectrograms as SG
 from ..operators.declick import declick as remove_clicks
 from ..operators.spectra import long_form
@@ -97,6 +98,29 @@ def frames_chunked(spark, sf):
     )
 
 
+def _framed_rows(out):
+    return out.select(
+        "file", "frame", "start_sample",
+        r(F.aggregate(F.col("x"), F.lit(0.0), lambda a, v: a + v)).alias("total"), r(F.get("x", F.lit(99)).cast("double")).alias("last"),
+    )
+
+
+def frames_table_function(spark, sf):
+    """The same frames by a table function over the chunks of each recording."""
+    TF.register(spark, 100, 32)
+    chunks(spark, sf).withColumn("samples", F.col("samples").cast("array<float>")).createOrReplaceTempView("_frame_chunks")
+    return _framed_rows(spark.sql("SELECT * FROM frames_of(TABLE(_frame_chunks) PARTITION BY file ORDER BY chunk_no)"))
+
+
+def frames_lateral(spark, sf):
+    """The same frames by a table function of each chunk with its tail."""
+    TF.register(spark, 100, 32)
+    FR.with_tail(chunks(spark, sf), 99, CHUNK).createOrReplaceTempView("_tail_chunks")
+    found = spark.sql("""SELECT c.file, f.frame, f.frame_start AS start_sample, f.x
+        FROM _tail_chunks c, LATERAL chunk_frames(c.samples, c.start_sample, c.n_own) f""")
+    return _framed_rows(found)
+
+
 def frames_short_tail(spark, sf):
     """As above, keeping cut frames of at least 32 samples."""
     out = FR.frames_from_chunks(chunks(spark, sf), 100, 32, CHUNK, min_len=32)
@@ -321,6 +345,10 @@ d2 AS (SELECT clip_id, slice, band, {scale} AS v FROM d1 WINDOW w AS (PARTITION
 SELECT clip_id, slice, band, round({curve}, 4) AS v FROM d2"""
 
 
+_FRAMES_SQL = f"""{_FRAMED}, {_frames_cte(100, 32)}
+SELECT fr.file, f AS frame, st AS start_sample, round(sum(x), 6) + 0.0 AS total, round(max(x) FILTER (idx = st + 99), 6) + 0.0 AS last
+FROM fr JOIN smp ON smp.file = fr.file AND idx >= st AND idx < st + 100 GROUP BY ALL"""
+
 QUERIES = {
     "level_db": (level_db, """SELECT l_suppkey AS file, count(*) AS n, round(10 * log10(avg(l_quantity * l_quantity)) + 20, 6) AS level_db,
 round(stddev_pop(10 * log10(l_quantity * l_quantity + 1)), 6) AS spread_db FROM lineitem GROUP BY 1"""),
@@ -341,9 +369,9 @@ l AS (SELECT file, CASE WHEN avg(abs(x)) FILTER (idx % 2 = 0) > avg(abs(x)) FILT
 SELECT file, channel, count(*) AS n, round(sum(x), 6) + 0.0 AS total FROM smp JOIN l USING (file) WHERE idx % 2 = channel GROUP BY 1, 2"""),
     "peak_norm": (peak_norm, f"""WITH {SAMPLES_SQL} SELECT file, round(max(x) / (2 * max(x)), 6) AS hi, round(min(x) / (2 * max(x)), 6) AS lo FROM smp GROUP BY 1"""),
     "value_range": (value_range, f"WITH {SAMPLES_SQL} SELECT round(min(x), 6) AS lo, round(max(x), 6) AS hi, round(avg(x), 6) + 0.0 AS mean FROM smp"),
-    "frames_chunked": (frames_chunked, f"""{_FRAMED}, {_frames_cte(100, 32)}
-SELECT fr.file, f AS frame, st AS start_sample, round(sum(x), 6) + 0.0 AS total, round(max(x) FILTER (idx = st + 99), 6) + 0.0 AS last
-FROM fr JOIN smp ON smp.file = fr.file AND idx >= st AND idx < st + 100 GROUP BY ALL"""),
+    "frames_chunked": (frames_chunked, _FRAMES_SQL),
+    "frames_table_function": (frames_table_function, _FRAMES_SQL),
+    "frames_lateral": (frames_lateral, _FRAMES_SQL),
     "frames_short_tail": (frames_short_tail, f"""{_FRAMED}, fr AS (SELECT file, f, f * 32 AS st FROM len, range(0, 100000) t(f) WHERE f * 32 + 32 <= n)
 SELECT fr.file, f AS frame, count(*) AS n, round(sum(x), 6) + 0.0 AS total FROM fr JOIN smp ON smp.file = fr.file AND idx >= st AND idx < st + 100 GROUP BY 1, 2"""),
     "cut_clips": (cut_clips, f"""WITH {SAMPLES_SQL}, {_CLIP_SQL}

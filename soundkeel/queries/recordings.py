@@ -14,11 +14,12 @@ from .vessels import _full_specs
 
 PER_FILE = 50  # vectors of a recording
 RATE = 8000
+FILTERED = ["site_0/rec_0.WAV", "site_1/rec_0.wav"]
 
 
-def _written(spark, sf) -> str:
+def _written(spark, sf, where: str = "true", path: str | None = None) -> str:
     """Vectors as recordings in folders that share base names: mono and stereo, 16 bits and float."""
-    path = shared_dir(spark, "recordings")
+    path = path or shared_dir(spark, "recordings")
     v, x = F.col("vec_id"), F.col("embedding").cast("array<float>")
     k = F.floor(v / PER_FILE)
     rows = table(spark, sf, "embeddings").select(
@@ -26,8 +27,9 @@ def _written(spark, sf) -> str:
         F.lit(RATE).alias("sample_rate"), F.when(k % 4 < 2, "PCM_16").otherwise("FLOAT").alias("subtype"), (v % PER_FILE).alias("chunk_no"),
         F.when(k % 2 == 0, F.array(x)).otherwise(F.array(x, F.transform(x, lambda a: (-a / 2).cast("float")))).alias("ch"),
     )
+    rows = rows.filter(where)
     lengths = rows.groupBy("file").agg(F.sum(F.size(F.get("ch", F.lit(0)))).alias("n_samples"))
-    wav.write_recordings(rows.join(lengths, "file"), path).write.parquet(f"{path}-list")
+    wav.write_recordings(rows.join(lengths, "file"), path).write.mode("append").parquet(f"{path}-list")
     return path
 
 
@@ -41,10 +43,30 @@ def audio_headers(spark, sf):
     return wav.read_headers(tables.list_audio(spark, path), path)
 
 
+def wav_filtered(spark, sf):
+    """Chunks of some recordings and a stretch of each, by filters that reach the reader."""
+    c = wav.select_wav(spark, _written(spark, sf), FILTERED, 500, 2500, 250)
+    own = F.slice(F.get("ch", F.lit(0)), F.lit(1), F.col("n_own"))
+    return c.select("file", "chunk_no", "start_sample", "n_own", r(F.aggregate(own, F.lit(0.0), lambda s, v: s + v * v), 5).alias("energy"))
+
+
 def wav_chunks(spark, sf):
     """Whole recordings through the chunk source: lengths and sums of each channel."""
-    c = wav.read_wav(spark, _written(spark, sf), 1000, tail=10)
+    return _summed(wav.read_wav(spark, _written(spark, sf), 1000, tail=10))
+
+
+def wav_stream(spark, sf):
+    """The same recordings, added to a folder in two steps and followed by a stream."""
+    path, out, state = shared_dir(spark, "growing"), shared_dir(spark, "growing-out"), shared_dir(spark, "growing-state")
+    for where in ("file LIKE 'site_0/%'", "file NOT LIKE 'site_0/%'"):
+        _written(spark, sf, where, path)
+        stream = wav.follow_wav(spark, path, 1000, tail=10)
+        q = stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start()
+        q.awaitTermination()
+    return _summed(spark.read.schema(wav.SCHEMA).parquet(out))
 
+
+def _summed(c):
     def total(k: int):
         own = F.slice(F.get("ch", F.lit(k)), F.lit(1), F.col("n_own"))
         return F.sum(F.aggregate(own, F.lit(0.0), lambda s, v: s + v * v))
@@ -117,13 +139,19 @@ x AS (SELECT file, idx, CASE WHEN subtype = 'PCM_16' THEN round_even((x0 * 32767
   CASE WHEN channels = 1 THEN NULL WHEN subtype = 'PCM_16' THEN round_even((x1 * 32767::FLOAT)::DOUBLE, 0) / 32768 ELSE x1::DOUBLE END AS b
   FROM raw JOIN f USING (k))"""
 
+_SUMS = f"""WITH {_REC}
+SELECT file, {RATE} AS sample_rate, channels, subtype, (n_samples + 999) // 1000 AS n_chunks, n_samples, round(sum(a * a), 5) AS a, round(sum(b * b), 5) AS b
+FROM x JOIN f USING (file) GROUP BY ALL"""
+
 QUERIES = {
     "audio_listing": (audio_listing, f"""WITH {_REC}
 SELECT file, 44 + n_samples * channels * CASE subtype WHEN 'PCM_16' THEN 2 ELSE 4 END AS n_bytes FROM f"""),
     "audio_headers": (audio_headers, f"WITH {_REC} SELECT file, {RATE} AS sample_rate, channels, subtype, n_samples FROM f"),
-    "wav_chunks": (wav_chunks, f"""WITH {_REC}
-SELECT file, {RATE} AS sample_rate, channels, subtype, (n_samples + 999) // 1000 AS n_chunks, n_samples, round(sum(a * a), 5) AS a, round(sum(b * b), 5) AS b
-FROM x JOIN f USING (file) GROUP BY ALL"""),
+    "wav_chunks": (wav_chunks, _SUMS),
+    "wav_stream": (wav_stream, _SUMS),
+    "wav_filtered": (wav_filtered, f"""WITH {_REC}, c AS (SELECT file, idx // 250 AS chunk_no, a FROM x WHERE file IN {tuple(FILTERED)})
+SELECT file, chunk_no, chunk_no * 250 AS start_sample, count(*) AS n_own, round(sum(a * a), 5) AS energy FROM c
+WHERE chunk_no * 250 >= 500 AND chunk_no * 250 < 2500 GROUP BY 1, 2"""),
     "segment_inventory": (segment_inventory, """SELECT 'node_' || (s_suppkey % 3) AS node, 1600000000 + s_suppkey // 10 * 21600 AS folder, s_suppkey AS seq
 FROM supplier WHERE s_suppkey % 5 <> 0"""),
     "photo_index": (photo_index, """SELECT c_custkey AS mmsi, 'album_' || chr((97 + s_suppkey % 7)::INT) || '/ship_' || s_suppkey || '.jpg' AS photo

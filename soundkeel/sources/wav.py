@@ -4,9 +4,14 @@
 partition per byte range, so one long recording is read by many tasks.  With
 ``tail`` a chunk row also carries the samples that follow it, which lets frames
 be cut without a shuffle.  The options ``files``, ``fromSample`` and ``toSample``
-select byte ranges before anything is read.  (They are options, not pushed
-filters: Spark keeps pushed filters on the loaded relation, so two differently
-filtered branches of one DataFrame would see each other's.)
+select byte ranges before anything is read.
+
+Filters on ``file`` and ``start_sample`` are pushed to the reader by ``select_wav``, which binds them to the relation
+that it loads.  Spark keeps what a reader takes on the loaded relation, so two branches of one DataFrame with different filters
+would see each other's; a reader therefore takes only the filters that its relation is bound to, which hold in every branch.
+A relation that is not bound takes none.
+
+``spark.readStream.format("wav_chunks")`` follows a folder whose recordings grow: see ``WavStream``.
 
 Files are listed and read through Arrow's file systems, so a path may be local, in an
 object store or on HDFS.  A recording is named by its path below the folder.
@@ -14,9 +19,10 @@ object store or on HDFS.  A recording is named by its path below the folder.
 
 from __future__ import annotations
 
+import json
 import os
 import struct
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,7 +30,9 @@ import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import (
+    DataSource, DataSourceReader, DataSourceStreamReader, EqualTo, Filter, GreaterThanOrEqual, In, InputPartition, LessThan,
+)
 
 from .files import file_system, relative_name
 
@@ -47,10 +55,15 @@ class Header:
     subtype: str
     data_at: int
     n_samples: int
+    declared: int = 0
+    stored: int = 0
 
 
 def read_header(f) -> Header:
-    """Walk the RIFF chunks up to the data chunk."""
+    """Walk the RIFF chunks up to the data chunk.
+
+    ``n_samples`` is the lesser of the samples that the header declares and of those that the file holds.
+    """
     if f.read(4) != b"RIFF":
         raise ValueError("not a RIFF file")
     f.seek(8)
@@ -77,7 +90,7 @@ def read_header(f) -> Header:
             at = f.tell()
             end = f.seek(0, os.SEEK_END)
             width = channels * (2 if subtype == "PCM_16" else 4)
-            return Header(rate, channels, subtype, at, min(size, end - at) // width)
+            return Header(rate, channels, subtype, at, min(size, end - at) // width, size // width, (end - at) // width)
         else:
             f.seek(size + size % 2, os.SEEK_CUR)
 
@@ -130,6 +143,17 @@ class ChunkRange(InputPartition):
         self.path, self.name, self.first, self.last = path, name, first, last
 
 
+def _recordings(path: str) -> list[tuple[str, str, int]]:
+    """Path, name and bytes of the recordings: one listing, sizes included."""
+    system, root = file_system(path)
+    info = system.get_file_info(root)
+    if info.type == fs.FileType.Directory:
+        found = system.get_file_info(fs.FileSelector(root, recursive=True))
+    else:
+        found = [info]
+    return sorted((i.path, relative_name(i.path, root), i.size) for i in found if i.is_file and i.path.lower().endswith(".wav"))
+
+
 class WavReader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
         self.path = options["path"]
@@ -139,17 +163,24 @@ class WavReader(DataSourceReader):
         self.files = set(options["files"].split("|")) if "files" in options else None
         self.lo = int(options.get("fromsample", 0))
         self.hi = int(options["tosample"]) if "tosample" in options else None
+        self.bound = json.loads(options.get("bound", "{}"))
+
+    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
+        """Takes what the relation is bound to; Spark checks all filters again on the rows that remain."""
+        for f in filters:
+            column = getattr(f, "attribute", None)
+            if column == ("file",) and isinstance(f, (EqualTo, In)):
+                names = {f.value} if isinstance(f, EqualTo) else set(f.value)
+                if names == set(self.bound.get("files", ())):
+                    self.files = names
+            elif column == ("start_sample",) and isinstance(f, GreaterThanOrEqual) and f.value == self.bound.get("first"):
+                self.lo = max(self.lo, -(-f.value // self.chunk) * self.chunk)
+            elif column == ("start_sample",) and isinstance(f, LessThan) and f.value == self.bound.get("before"):
+                self.hi = max(f.value, 0)
+            yield f
 
     def _files(self) -> list[tuple[str, str, int]]:
-        """Path, name and bytes of the recordings: one listing, sizes included."""
-        system, root = file_system(self.path)
-        info = system.get_file_info(root)
-        if info.type == fs.FileType.Directory:
-            found = system.get_file_info(fs.FileSelector(root, recursive=True))
-        else:
-            found = [info]
-        named = [(i.path, relative_name(i.path, root), i.size) for i in found if i.is_file and i.path.lower().endswith(".wav")]
-        return sorted(x for x in named if self.files is None or x[1] in self.files)
+        return [x for x in _recordings(self.path) if self.files is None or x[1] in self.files]
 
     def partitions(self):
         """Byte ranges from the file sizes; headers are read by the tasks."""
@@ -176,6 +207,59 @@ class WavReader(DataSourceReader):
                 yield _batch(name, h, [c], self.chunk, [read_block(f, h, start, self.chunk + self.tail)])
 
 
+class WavStream(DataSourceStreamReader):
+    """Chunks of recordings as they grow.
+
+    The offset says how many chunks of each recording are read.  A recording is closed when it holds what its
+    header declares; while it is not (recorders declare 0 or the greatest number until they are done), a chunk is
+    read when it and its tail are complete.  So every chunk is read once, and is the same as in a
+    batch over the closed files.  Only headers of recordings that are not closed are read to plan a trigger.
+    """
+
+    def __init__(self, options: dict[str, str]):
+        self.path = options["path"]
+        self.chunk = int(options.get("chunksamples", CHUNK_SAMPLES))
+        self.tail = int(options.get("tail", 0))
+        self.per_partition = int(options.get("chunksperpartition", CHUNKS_PER_PARTITION))
+        self.closed: dict[str, int] = {}
+
+    def initialOffset(self) -> dict:
+        return {}
+
+    def latestOffset(self) -> dict:
+        system, _ = file_system(self.path)
+        ready = {}
+        for path, name, _ in _recordings(self.path):
+            if name not in self.closed:
+                try:
+                    with system.open_input_file(path) as f:
+                        h = read_header(f)
+                except (ValueError, struct.error):  # the header is not written yet
+                    continue
+                if 0 < h.declared <= h.stored:
+                    self.closed[name] = -(-h.declared // self.chunk)
+                else:
+                    ready[name] = max(0, (h.stored - self.tail) // self.chunk)
+            ready[name] = self.closed.get(name, ready.get(name, 0))
+        return {name: n for name, n in ready.items() if n}
+
+    def partitions(self, start: dict, end: dict) -> Sequence[InputPartition]:
+        _, root = file_system(self.path)
+        parts = []
+        for name, upto in sorted(end.items()):
+            for first in range(start.get(name, 0), upto, self.per_partition):
+                parts.append(ChunkRange(f"{root.rstrip('/')}/{name}", name, first, min(first + self.per_partition, upto)))
+        return parts
+
+    def read(self, partition: ChunkRange) -> Iterator[pa.RecordBatch]:
+        with file_system(self.path)[0].open_input_file(partition.path) as f:
+            h = read_header(f)
+            if not 0 < h.declared <= h.stored:
+                h.n_samples = h.stored
+            for c in range(partition.first, partition.last):
+                yield _batch(partition.name, h, [c], self.chunk, [read_block(f, h, c * self.chunk, self.chunk + self.tail)])
+
+
 class WavChunks(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -187,8 +271,12 @@ class WavChunks(DataSource):
     def reader(self, schema) -> WavReader:
         return WavReader({k.lower(): v for k, v in self.options.items()})
 
+    def streamReader(self, schema) -> WavStream:
+        return WavStream({k.lower(): v for k, v in self.options.items()})
+
 
 def register(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(WavChunks)
 
 
@@ -212,6 +300,34 @@ def read_wav(
     return reader.load(path)
 
 
+def select_wav(
+    spark: SparkSession, path: str, files: Sequence[str] | None = None, first: int | None = None, before: int | None = None,
+    chunk_samples: int = CHUNK_SAMPLES, tail: int = 0,
+) -> DataFrame:
+    """Chunks of the recordings ``files`` that start in [first, before), by filters that reach the reader.
+
+    Only the partitions that may hold such chunks are planned.  The relation is loaded anew for these filters, so that
+    further filters in any branch of the result are safe.
+    """
+    register(spark)
+    bound = {k: v for k, v in (("files", files and list(files)), ("first", first), ("before", before)) if v is not None}
+    reader = spark.read.format("wav_chunks").option("chunkSamples", chunk_samples).option("tail", tail)
+    out = reader.option("bound", json.dumps(bound)).load(path)
+    if files is not None:
+        out = out.filter(F.col("file").isin(*files))
+    if first is not None:
+        out = out.filter(F.col("start_sample") >= first)
+    if before is not None:
+        out = out.filter(F.col("start_sample") < before)
+    return out
+
+
+def follow_wav(spark: SparkSession, path: str, chunk_samples: int = CHUNK_SAMPLES, tail: int = 0) -> DataFrame:
+    """A stream of the chunks of the recordings under ``path``, those to come and those that grow included."""
+    register(spark)
+    return spark.readStream.format("wav_chunks").option("chunkSamples", chunk_samples).option("tail", tail).load(path)
+
+
 def _opened(root: str, name: str):
     system, at = file_system(root)
     return system.open_input_file(f"{at.rstrip('/')}/{name}")

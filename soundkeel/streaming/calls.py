@@ -16,10 +16,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from ..operators.detect import Gate
+from ..operators import kernels
+from ..operators.detect import BACKGROUND_FROM, BACKGROUND_TO, HOP, SEGMENT, WIN, Gate
+from ..operators.spectra import HIGHPASS_BIN
+from ..sources.wav import first_channel, follow_wav
 
 OUTPUT = (
     "file string, startidx long, stopidx long, lencall long, n_frames long, f0 double, sigma_f0 double, "
@@ -106,3 +110,34 @@ def streaming_calls(spectra: DataFrame, bin_hz: float, adaptive: bool = False) -
     return spectra.groupBy("file").transformWithStateInPandas(
         statefulProcessor=CallDetector(bin_hz, adaptive), outputStructType=OUTPUT, outputMode="append", timeMode="None"
     )
+
+
+def spectra_of(chunks: DataFrame, fs: float) -> DataFrame:
+    """``file, frame, start_sample, psd`` of chunks that carry a tail of ``WIN - 1`` samples, row by row.
+
+    The first chunk of a recording gives its starting background as frame -1; it must hold
+    ``BACKGROUND_TO`` samples, so that a recording without them drops out, as in a batch.
+    """
+    start, own = F.col("start_sample"), F.col("n_own")
+    first = F.ceil(start / HOP).cast("long")
+    last = F.least(F.floor((start + own - 1) / HOP), F.floor((start + F.size("samples") - HOP) / HOP)).cast("long")
+
+    def frame(i):
+        return F.struct(i.alias("frame"), (i * HOP).alias("at"), F.slice("samples", (i * HOP - start + 1).cast("int"), F.lit(WIN)).alias("x"))
+
+    none = F.lit(-1).cast("long")
+    head = F.struct(none.alias("frame"), none.alias("at"), F.slice("samples", BACKGROUND_FROM + 1, BACKGROUND_TO - BACKGROUND_FROM).alias("x"))
+    heads = F.when((start == 0) & (own >= BACKGROUND_TO), F.array(head)).otherwise(F.array())
+    framed = F.when(last >= first, F.transform(F.sequence(first, F.greatest(first, last)), frame)).otherwise(F.array())
+    rows = chunks.select("file", F.explode(F.concat(heads, framed)).alias("f"))
+    spectra = rows.select("file", "f.frame", F.col("f.at").alias("start_sample"), kernels.welch(F.col("f.x"), fs, SEGMENT).alias("psd"))
+    quiet = F.transform("psd", lambda v, i: F.when((i > 0) & (i < HIGHPASS_BIN), 0.0).otherwise(v))
+    return spectra.withColumn("psd", F.when(F.col("frame") < 0, quiet).otherwise(F.col("psd")))
+
+
+def follow_calls(spark: SparkSession, path: str, fs: float, chunk_samples: int = 1 << 16, adaptive: bool = False) -> DataFrame:
+    """Closed calls in the recordings of a folder, as they are recorded: those that a scan of the finished folder finds."""
+    if chunk_samples < BACKGROUND_TO:
+        raise ValueError(f"a chunk must hold the {BACKGROUND_TO} samples of the starting background")
+    chunks = first_channel(follow_wav(spark, path, chunk_samples, WIN - 1))
+    return streaming_calls(spectra_of(chunks, fs), fs / SEGMENT, adaptive)

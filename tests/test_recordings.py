@@ -84,6 +84,84 @@ def test_branches_with_other_filters_do_not_mix(spark, folder):
     assert both.count() == 10 + 51
 
 
+def test_filters_reach_the_reader(spark, folder):
+    """Fewer partitions are planned, and branches with other filters keep their rows."""
+    name, chunk = "b_mono.wav", 32
+    whole = wav.read_wav(spark, str(folder), chunk)
+    some = wav.select_wav(spark, str(folder), [name], 2048, 4200, chunk)
+    assert some.rdd.getNumPartitions() < whole.rdd.getNumPartitions()
+    assert sorted(r["start_sample"] for r in some.select("start_sample").collect()) == list(range(2048, 4200, chunk))
+    a, b = some.filter("start_sample < 3000"), some.filter("start_sample >= 3000 AND start_sample < 4000")
+    both = a.unionByName(b).unionByName(some.filter("file = 'c_short.wav'")).select("start_sample").collect()
+    assert sorted(r[0] for r in both) == list(range(2048, 4000, chunk))
+    assert some.count() == len(range(2048, 4200, chunk)), "what a branch has pushed does not stay"
+    c, d = (whole.filter(F.col("file") == n).select("chunk_no") for n in (name, "c_short.wav"))
+    assert c.unionByName(d).count() == -(-5001 // chunk) + 1, "a relation that is not bound takes no filter"
+    two = wav.select_wav(spark, str(folder), ["c_short.wav", "a_stereo.WAV"], chunk_samples=chunk)
+    assert {r["file"] for r in two.select("file").collect()} == {"c_short.wav", "a_stereo.WAV"}
+    assert wav.select_wav(spark, str(folder), first=10**9).count() == 0 == wav.select_wav(spark, str(folder), before=0).count()
+
+
+def noise_with_tones(rng, n: int) -> np.ndarray:
+    """Noise with tones of several peaks now and then."""
+    t, x = np.arange(n) / FS, rng.normal(0, 30, n)
+    for at in range(20_000, n - 8000, 30_000):
+        for hz in (1500, 3000, 4500):
+            x[at : at + 8000] += 4000 * np.sin(2 * np.pi * hz * t[:8000])
+    return x.clip(-32000, 32000)
+
+
+def test_recordings_that_grow(spark, tmp_path):
+    """Several triggers over recordings that are added and grow find the calls of one scan of the finished folder."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    rng = np.random.default_rng(3)
+    done, live = tmp_path / "done", tmp_path / "live"
+    done.mkdir()
+    live.mkdir()
+    for name, n in (("a.wav", 150_000), ("b.wav", 97_000), ("short.wav", 6_000)):
+        write_wav(done / name, noise_with_tones(rng, n))
+    full = {p.name: p.read_bytes() for p in done.iterdir()}
+
+    def run() -> list[int]:
+        q = stream_calls.follow_calls(spark, str(live), FS, 16_384)
+        q = q.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state"))
+        q = q.trigger(availableNow=True).start()
+        q.awaitTermination()
+        return [p["numInputRows"] for p in q.recentProgress if p["numInputRows"]]
+
+    def recording(name: str, n_bytes: int) -> bytes:
+        return full[name][:40] + b"\xff\xff\xff\xff" + full[name][44 : 44 + n_bytes]
+
+    (live / "a.wav").write_bytes(recording("a.wav", 100_001))
+    (live / "b.wav").write_bytes(full["b.wav"][:30])  # not even a header
+    first = run()
+    (live / "a.wav").write_bytes(recording("a.wav", 220_000))
+    (live / "short.wav").write_bytes(full["short.wav"])
+    run()
+    for name, data in full.items():
+        (live / name).write_bytes(data)
+    run()
+    assert first and not run(), "what was read is not read again"
+    key = ["file", "startidx", "stopidx", "n_frames"]
+    want = sorted(map(tuple, detect.scan_folder(spark, str(done), FS, 16_384).select(*key).collect()))
+    got = spark.read.schema(stream_calls.OUTPUT).parquet(str(tmp_path / "out"))
+    assert sorted(map(tuple, got.select(*key).collect())) == want and len({w[0] for w in want}) == 2
+
+
+def test_table_functions_cut_like_frames(spark, folder):
+    from soundkeel.operators import table_functions as tf
+
+    for win, hop, need in ((300, 70, 100), (64, 64, 64), (50, 200, 20)):
+        tf.register(spark, win, hop, need)
+        wav.first_channel(wav.read_wav(spark, str(folder), 333)).createOrReplaceTempView("plain_chunks")
+        tails = wav.first_channel(wav.read_wav(spark, str(folder), 333, tail=win - 1))
+        tails.createOrReplaceTempView("tail_chunks")
+        want = sorted((r.file, r.frame, r.start_sample, r.x) for r in framing.frames(tails, win, hop, need).collect())
+        a = spark.sql("SELECT * FROM frames_of(TABLE(plain_chunks) PARTITION BY file ORDER BY chunk_no)").collect()
+        b = spark.sql("SELECT c.file, f.frame, f.frame_start, f.x FROM tail_chunks c, LATERAL chunk_frames(c.samples, c.start_sample, c.n_own) f").collect()
+        assert sorted(map(tuple, a)) == want == sorted(map(tuple, b)) and want
+
+
 def test_segment_requests(spark, folder):
     req = spark.createDataFrame([("b_mono.wav", 0.01, 50), ("b_mono.wav", 0.11, 500), ("a_stereo.WAV", 0.0, 3)], "file string, start_s double, n long")
     got = {(r["file"], r["start_s"]): r["ch"] for r in wav.read_segments(req, str(folder)).collect()}
