@@ -203,3 +203,13 @@ def annotation_summary(annotations: DataFrame, keys: Sequence[str] = ("code",))
         F.avg(F.col("t_hi") - F.col("t_lo")).alias("mean_width"),
         F.avg(F.col("f_hi") - F.col("f_lo")).alias("mean_band"),
     )
+
+
+def annotation_cube(annotations: DataFrame, file: str = "file", code: str = "code") -> DataFrame:
+    """The summary by file and code, by each alone and over all; ``level`` is the grouping id: 1 sums over codes, 2 over files, 3 over both."""
+    return annotations.cube(file, code).agg(
+        F.grouping_id().cast("int").alias("level"),
+        F.count(F.lit(1)).alias("n"),
+        F.avg(F.col("t_hi") - F.col("t_lo")).alias("mean_width"),
+        F.avg(F.col("f_hi") - F.col("f_lo")).alias("mean_band"),
+    )

@@ -157,6 +157,22 @@ def band_levels(spectra: DataFrame, keys: Sequence[str], bin_hz: float, edges: S
     return total.withColumn("band", F.col("band") - 1)
 
 
+def band_totals(bands: DataFrame, recording: str, frame: str = "frame", band: str = "band", power: str = "power") -> DataFrame:
+    """Band rows, the broadband of each frame, the mean of each band and the mean broadband of each recording in one pass.
+
+    Grouping sets over rows of single bands: ``level`` is Spark's grouping id, 0 for (recording, frame, band), 1 for (recording, frame),
+    2 for (recording, band) and 3 for the recording; what is summed over is null.  ``power`` is the
+    sum over bands, averaged over frames; ``peak`` the greatest single value.  Every frame has its bands from 0 on.
+    """
+    sets = [[recording, frame, band], [recording, frame], [recording, band], [recording]]
+    out = bands.groupingSets([[F.col(c) for c in x] for x in sets], recording, frame, band).agg(
+        F.grouping_id().cast("int").alias("level"), F.sum(power).alias("_sum"), F.max(power).alias("peak"), F.count(F.lit(1)).alias("cells"),
+        F.count_if(F.col(band) == 0).alias("_frames"),
+    )
+    frames = F.when(F.col("level") == 2, F.col("cells")).when(F.col("level") == 3, F.col("_frames")).otherwise(F.lit(1))
+    return out.select(recording, frame, band, "level", (F.col("_sum") / frames).alias("power"), "peak", "cells")
+
+
 def compress(
     spec: DataFrame, n_bands: int, n_slices: int, in_slices: Column | int, edges: Sequence[int] | None = None,
     keys: Sequence[str] = ("clip_id",), per_row_division: bool = False,

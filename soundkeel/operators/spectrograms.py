@@ -20,11 +20,7 @@ from .spectra import (
     CLIP_FLOOR,
     band_power,
     clip_bins,
-    compress,
     frame_peak_norm,
-    display_curve,
-    minmax,
-    packed_form,
     with_broadband,
 )
 
@@ -157,12 +153,12 @@ def label_windows(
     )
 
 
-def label_spectrogram(
+def label_matrices(
     chunks: DataFrame, labels: DataFrame, fs: int, chunk_len: int, n_bands: int = 80, n_slices: int = 80,
     lo: float = 400.0, hi: float = 10000.0, delta_t: float = 3.0, nfft: int = 512, log: bool = False,
     per_row_division: bool = False, lengths: DataFrame | None = None,
 ) -> DataFrame:
-    """Scaled ``n_bands x n_slices`` spectrogram per label (``clip_id``).
+    """Scaled ``n_bands x n_slices`` spectrogram per label (``clip_id, spectrogram``).
 
     Ten overlapping frames per output slice, clipped to [lo, hi), min-max scaled,
     compressed on equal index ranges or (``log``) geometric bands, then passed
@@ -176,20 +172,23 @@ def label_spectrogram(
     clips = label_windows(chunks, labels, fs, delta_t, chunk_len, reach, lengths)
     first, last = -int(-lo * nfft // fs), -int(-hi * nfft // fs)
     n_bins = last - first
-
-    raw = kernels.strided_spectra(clips, "clip_id", "samples", fs, nfft, step, reach, n_raw, (first, last))
-    edges = None
     if log:
         edges = [min(max(b - first, 0), n_bins) for b in geo_bin_edges(lo, hi, n_bands, nfft, fs)]
-    cells = compress(minmax(raw, bounded=True), n_bands, n_slices, n_raw, edges, per_row_division=per_row_division)
-    small = packed_form(cells, ["clip_id", "slice"])
-    return display_curve(small, "square" if log else "root4", bounded=True)
+    else:
+        edges = [i * n_bins // n_bands for i in range(n_bands + 1)]
+    return kernels.clip_matrices(
+        clips, "clip_id", "samples", fs, nfft, step, reach, n_raw, (first, last), edges, n_slices, "square" if log else "root4",
+        per_row_division,
+    )
+
+
+def label_spectrogram(chunks: DataFrame, labels: DataFrame, *args, **kwargs) -> DataFrame:
+    """The matrices of ``label_matrices`` as rows ``clip_id, slice, x``."""
+    return label_matrices(chunks, labels, *args, **kwargs).select("clip_id", F.posexplode("spectrogram").alias("slice", "x"))
 
 
-def spectrogram_records(spec: DataFrame, labels: DataFrame, fs: int, **params) -> DataFrame:
+def spectrogram_records(matrices: DataFrame, labels: DataFrame, fs: int, **params) -> DataFrame:
     """One row per clip: the matrix and the metadata of its label (by clip_id)."""
-    rows = F.array_sort(F.collect_list(F.struct("slice", "x")))
-    matrix = spec.groupBy("clip_id").agg(F.transform(rows, lambda r: r["x"]).alias("spectrogram"))
     meta = centred_windows(labels, fs, params["delta_t"]).select(
         "clip_id",
         F.struct(
@@ -203,7 +202,7 @@ def spectrogram_records(spec: DataFrame, labels: DataFrame, fs: int, **params) -
             *[F.lit(v).alias(k) for k, v in params.items()],
         ).alias("record"),
     )
-    return matrix.join(meta, "clip_id")
+    return matrices.join(meta, "clip_id")
 
 
 def training_windows(

@@ -208,8 +208,7 @@ def label_spectrogram_log(spark, sf):
 def tone_levels(spark, sf):
     """Calibrated level of a recording per supplier: a tone near 1 kHz from its
     balance, then its order quantities as the measured part."""
-    # Few rows with much work in each: a fixed number of tasks, not merged again.
-    sup = table(spark, sf, "supplier").repartition(spark.sparkContext.defaultParallelism, "s_suppkey")
+    sup = table(spark, sf, "supplier")
     hz = 930 + F.abs(F.col("s_acctbal")) % 140
     i = F.sequence(F.lit(0), F.lit(19199))
     tone = sup.select(
@@ -245,10 +244,15 @@ def spectrogram_records(spark, sf):
         "clip_id", -F.col("clip_id") - 1
     )
     lab = calls.unionByName(back)
-    spec = SG.label_spectrogram(chunks(spark, sf), lab, FS, CHUNK, 8, 8, 100.0, 1500.0, 0.5, 256, log=False)
-    out = SG.spectrogram_records(spec, lab, FS, delta_t=0.5, n_bands=8, n_slices=8, f_low=100.0, f_high=1500.0)
+    matrices = SG.label_matrices(chunks(spark, sf), lab, FS, CHUNK, 8, 8, 100.0, 1500.0, 0.5, 256, log=False)
+    out = SG.spectrogram_records(matrices, lab, FS, delta_t=0.5, n_bands=8, n_slices=8, f_low=100.0, f_high=1500.0)
+    # a sum of the rows and one of the columns, each weighted by its place
+    rows = F.transform("spectrogram", lambda x: F.aggregate(x, F.lit(0.0), lambda a, v: a + v))
+    bands = F.transform("spectrogram", lambda x: F.aggregate(F.transform(x, lambda v, i: v * (i + 1)), F.lit(0.0), lambda a, v: a + v))
     return out.select(
-        "clip_id", F.size("spectrogram").alias("n_slices"), "record.object_class", "record.window_start_idx", "record.window_stop_idx"
+        "clip_id", r(F.aggregate(F.transform(rows, lambda v, i: v * (i + 1)), F.lit(0.0), lambda a, v: a + v), 3).alias("by_slice"),
+        r(F.aggregate(bands, F.lit(0.0), lambda a, v: a + v), 3).alias("by_band"), r(F.get(F.get("spectrogram", F.lit(2)), F.lit(3)), 4).alias("cell"),
+        "record.object_class", "record.window_start_idx", "record.window_stop_idx",
     )
 
 
@@ -270,7 +274,11 @@ def augmented_windows(spark, sf):
     out = SG.training_windows(
         chunks(spark, sf), lab, 256, 512, CHUNK, classes=1, translate=True, semitones=2, jitter=0.5, seed=3
     )
-    return out.select("file", "example", "s", r("shift").alias("shift"), F.size("x").alias("n"), F.get("y", F.lit(0)).cast("int").alias("y"))
+    return out.select(
+        "file", "example", "s", r("shift").alias("shift"), *[r(F.get("x", F.lit(k))).alias(f"x{k}") for k in (0, 100, 255)],
+        r(F.aggregate(F.transform("x", lambda v, i: v * (i + 1)), F.lit(0.0), lambda a, v: a + v), 5).alias("weighted"),
+        F.get("y", F.lit(0)).cast("int").alias("y"),
+    )
 
 
 def declick(spark, sf):
@@ -349,6 +357,27 @@ _FRAMES_SQL = f"""{_FRAMED}, {_frames_cte(100, 32)}
 SELECT fr.file, f AS frame, st AS start_sample, round(sum(x), 6) + 0.0 AS total, round(max(x) FILTER (idx = st + 99), 6) + 0.0 AS last
 FROM fr JOIN smp ON smp.file = fr.file AND idx >= st AND idx < st + 100 GROUP BY ALL"""
 
+# A sine under a Hamming taper is six complex exponentials, so each bin of its transform is six geometric sums.
+_TONE_SQL = """sup AS (SELECT s_suppkey::VARCHAR AS file, 2 * 3.141592653589793 * (930 + abs(s_acctbal) % 140) / 96000 AS phi FROM supplier),
+six AS (SELECT * FROM (VALUES (1, 0, 0.54::DOUBLE), (1, 1, -0.23::DOUBLE), (1, -1, -0.23::DOUBLE), (-1, 0, -0.54::DOUBLE), (-1, 1, 0.23::DOUBLE), (-1, -1, 0.23::DOUBLE)) t(s, j, w)),
+th AS (SELECT file, b, w, (s * phi + j * 2 * pi() / 19199 - 2 * pi() * b / 16384) / 2 AS h FROM sup, range(0, 8193) r(b), six),
+geo AS (SELECT *, w * CASE WHEN abs(sin(h)) < 1e-14 THEN 16384 ELSE sin(16384 * h) / sin(h) END AS m FROM th),
+spec AS MATERIALIZED (SELECT file, b, 500 * sqrt(pow(sum(m * cos(16383 * h)), 2) + pow(sum(m * sin(16383 * h)), 2)) AS v FROM geo GROUP BY 1, 2),
+pk AS MATERIALIZED (SELECT file, b AS p, v AS top FROM (SELECT *, lag(v) OVER o AS l, lead(v) OVER o AS n FROM spec WINDOW o AS (PARTITION BY file ORDER BY b)) WHERE v > l AND v > n),
+rng AS MATERIALIZED (SELECT pk.file, p, top, coalesce(max(b) FILTER (b < p AND v > top) + 1, 0) AS lo, coalesce(min(b) FILTER (b > p AND v > top), 8193) AS hi
+  FROM pk JOIN spec USING (file) GROUP BY ALL),
+prm AS MATERIALIZED (SELECT rng.file, p, top, lo, hi, top - greatest(min(v) FILTER (b <= p), min(v) FILTER (b >= p)) AS prom
+  FROM rng JOIN spec ON spec.file = rng.file AND b >= lo AND b < hi GROUP BY rng.file, p, top, lo, hi),
+crs AS MATERIALIZED (SELECT prm.file, p, prom, top - prom / 2 AS lev, greatest(lo, coalesce(max(b) FILTER (b < p AND v <= top - prom / 2), lo)) AS a,
+    least(hi - 1, coalesce(min(b) FILTER (b > p AND v <= top - prom / 2), hi - 1)) AS z
+  FROM prm JOIN spec ON spec.file = prm.file AND b >= lo AND b < hi GROUP BY prm.file, p, prom, top, lo, hi),
+wid AS MATERIALIZED (SELECT file, p, prom, z - CASE WHEN r0 < lev THEN (lev - r0) / (r1 - r0) ELSE 0 END - a - CASE WHEN l0 < lev THEN (lev - l0) / (l1 - l0) ELSE 0 END AS w
+  FROM (SELECT crs.file, p, prom, lev, a, z, max(v) FILTER (b = a) AS l0, max(v) FILTER (b = a + 1) AS l1, max(v) FILTER (b = z) AS r0, max(v) FILTER (b = z - 1) AS r1
+    FROM crs JOIN spec ON spec.file = crs.file AND b >= a AND b <= z GROUP BY crs.file, p, prom, lev, a, z)),
+hz AS (SELECT file, (min(p) FILTER (w BETWEEN 1 AND 2) + min(p) FILTER (prom >= 2)) / 2 * 96000 / 16384 AS tone_hz FROM wid GROUP BY 1),
+pow_ AS (SELECT file, avg(pow(1000 * sin(phi * k) * (0.54::DOUBLE - 0.46::DOUBLE * cos(2 * pi() * k / 19199)), 2)) AS ms FROM sup, range(0, 19200) r(k) GROUP BY 1),
+lev AS (SELECT l_suppkey::VARCHAR AS file, 10 * log10(avg(l_quantity * l_quantity)) AS level_db, stddev_pop(10 * log10(l_quantity * l_quantity + 1)) AS spread_db FROM lineitem GROUP BY 1)"""
+
 QUERIES = {
     "level_db": (level_db, """SELECT l_suppkey AS file, count(*) AS n, round(10 * log10(avg(l_quantity * l_quantity)) + 20, 6) AS level_db,
 round(stddev_pop(10 * log10(l_quantity * l_quantity + 1)), 6) AS spread_db FROM lineitem GROUP BY 1"""),
@@ -419,12 +448,26 @@ FROM (SELECT *, max(v) FILTER (band = 0) OVER (PARTITION BY file, f, s) AS v0 FR
 SELECT file, count(*) AS n_arrays, min(st / 400.0::DOUBLE) AS first_s, max(st / 400.0::DOUBLE + 3) AS last_s FROM fr GROUP BY 1"""),
     "label_spectrogram": (label_spectrogram, _label_sql([0, 6, 12, 18, 24], "sqrt(sqrt(v))")),
     "label_spectrogram_log": (label_spectrogram_log, _label_sql([0, 4, 8, 15, 24], "v * v")),
-    "spectrogram_records": (spectrogram_records, f"""WITH {_CLIP_SQL},
-u AS (SELECT clip_id, 'KW' AS object_class, lo / {FS}.0::DOUBLE AS s, (hi - lo) / {FS}.0::DOUBLE AS d FROM clip
-  UNION ALL SELECT -clip_id - 1, 'Background', lo / {FS}.0::DOUBLE + 0.2::DOUBLE, (hi - lo) / {FS}.0::DOUBLE FROM clip),
-w AS (SELECT *, greatest(trunc((s + d / 2) * {FS})::BIGINT - 800, 0) AS st FROM u)
-SELECT clip_id, 8 AS n_slices, object_class, st AS window_start_idx, st + 1600 AS window_stop_idx FROM w"""),
-    "tone_levels": (tone_levels, None),
+    "spectrogram_records": (spectrogram_records, f"""WITH {SAMPLES_SQL}, {_CLIP_SQL},
+u AS (SELECT file, clip_id, 'KW' AS object_class, lo / {FS}.0::DOUBLE AS s, (hi - lo) / {FS}.0::DOUBLE AS d FROM clip
+  UNION ALL SELECT file, -clip_id - 1, 'Background', lo / {FS}.0::DOUBLE + 0.2::DOUBLE, (hi - lo) / {FS}.0::DOUBLE FROM clip),
+w AS (SELECT *, greatest(trunc((s + d / 2) * {FS})::BIGINT - 800, 0) AS st FROM u),
+xs AS (SELECT file, list(x ORDER BY idx) AS xs FROM smp GROUP BY 1),
+fr AS (SELECT DISTINCT file, st + f * 20 AS st FROM w, range(0, 80) t(f)),
+y AS (SELECT file, st, xs[st + 1:st + 256] AS x FROM fr JOIN xs USING (file)),
+z AS (SELECT file, st, list_transform(x, lambda v, i: (v - m) * (0.5 - 0.5 * cos(2 * pi() * (i - 1) / 256))) AS v FROM (SELECT *, list_avg(x) AS m FROM y WHERE len(x) = 256)),
+tw AS (SELECT k, list_transform(range(256), lambda i: cos(2 * pi() * k * i / 256)) AS c, list_transform(range(256), lambda i: sin(2 * pi() * k * i / 256)) AS d FROM range(8, 120) a(k)),
+p AS (SELECT file, st, k, (pow(list_dot_product(v, c), 2) + pow(list_dot_product(v, d), 2)) * 2 / 16384 AS v FROM z, tw),
+r AS (SELECT clip_id, f // 10 AS slice, (k - 8) // 14 AS band, v FROM (SELECT w.file, clip_id, f, st + f * 20 AS at_ FROM w, range(0, 80) t(f)) q JOIN p ON p.file = q.file AND p.st = at_),
+m AS (SELECT clip_id, slice, band, (v - min(v) OVER c) / (max(v) OVER c - min(v) OVER c) + 0.01::DOUBLE AS v FROM r WINDOW c AS (PARTITION BY clip_id)),
+b AS (SELECT clip_id, slice, band, sum(v) / 10 AS v FROM m GROUP BY 1, 2, 3),
+d1 AS (SELECT clip_id, slice, band, 10 * log10((v - min(v) OVER c) / (max(v) OVER c - min(v) OVER c) + 0.01::DOUBLE) AS v FROM b WINDOW c AS (PARTITION BY clip_id)),
+d2 AS (SELECT clip_id, slice, band, sqrt(sqrt((v - min(v) OVER c) / (max(v) OVER c - min(v) OVER c) + 0.01::DOUBLE)) AS v FROM d1 WINDOW c AS (PARTITION BY clip_id))
+SELECT clip_id, round(sum(v * (slice + 1)), 3) AS by_slice, round(sum(v * (band + 1)), 3) AS by_band, round(max(v) FILTER (slice = 2 AND band = 3), 4) AS cell,
+  any_value(object_class) AS object_class, any_value(st) AS window_start_idx, any_value(st) + 1600 AS window_stop_idx FROM d2 JOIN w USING (clip_id) GROUP BY 1"""),
+    "tone_levels": (tone_levels, f"""WITH {_TONE_SQL}
+SELECT file, round(tone_hz, 3) AS tone_hz, round(135.5::DOUBLE - 10 * log10(ms), 3) AS cal_db, round(level_db + 135.5::DOUBLE - 10 * log10(ms), 3) AS level_db,
+  round(spread_db, 3) AS spread_db FROM hz JOIN pow_ USING (file) JOIN lev USING (file) WHERE tone_hz BETWEEN 950 AND 1050"""),
     "blob_classes": (blob_classes, """WITH o AS (SELECT l_orderkey, count(*) FILTER (l_returnflag <> 'R') AS good, count(*) AS n, count(DISTINCT l_suppkey) AS c, max(l_quantity) AS a
   FROM lineitem GROUP BY 1) SELECT l_orderkey, good > 0 AND good / n > 0.5 AND c < 6 AND a > 30 AS signal, good > 0 AND good / n < 0.6::DOUBLE AND c > 3 AS background FROM o"""),
     "training_windows": (training_windows, f"""WITH {SAMPLES_SQL}, {_CLIP_SQL}, len AS (SELECT file, max(idx) + 1 AS n FROM smp GROUP BY 1),
@@ -438,9 +481,16 @@ FROM ex JOIN nr USING (file, e) JOIN y USING (file, e) LEFT JOIN smp a ON a.file
     "augmented_windows": (augmented_windows, f"""WITH {SAMPLES_SQL}, {_CLIP_SQL}, len AS (SELECT file, max(idx) + 1 AS n FROM smp GROUP BY 1),
 ex AS (SELECT file, e, e * 512 + floor({draw_sql("file || '|' || e", "3s")} * 512)::BIGINT AS s,
   floor((2 * {draw_sql("file || '|' || e", "3p")} - 1) * 2) + (2 * {draw_sql("file || '|' || e", "3j")} - 1) * 0.5 AS shift
-  FROM len, range(0, 1000) t(e) WHERE e < n // 512)
-SELECT file, e AS example, s, round(shift, 6) + 0.0 AS shift, 256 AS n,
-  EXISTS (SELECT 1 FROM clip WHERE clip.file = ex.file AND lo <= s AND s < hi)::INT AS y FROM ex"""),
+  FROM len, range(0, 1000) t(e) WHERE e < n // 512),
+sc AS (SELECT ex.*, pow(2, shift / 12) AS scale, floor(floor(pow(2, shift / 12) * 256) / 2)::BIGINT AS half, n FROM ex JOIN len USING (file)),
+nr AS (SELECT sc.file, e, sqrt(sum(x * x)) + 1e-7::DOUBLE AS nr FROM sc JOIN smp ON smp.file = sc.file AND idx >= s - half AND idx < s + half GROUP BY 1, 2),
+tt AS (SELECT file, e, s, half, i, least(i * scale, 2 * half - 1)::DOUBLE AS t FROM sc, range(0, 256) r(i)),
+v AS (SELECT tt.file, tt.e, i, (coalesce(a.x, 0) + (t - floor(t)) * (coalesce(CASE WHEN floor(t) + 1 < 2 * half THEN coalesce(b.x, 0) END, coalesce(a.x, 0)) - coalesce(a.x, 0))) / nr AS v
+  FROM tt JOIN nr USING (file, e) LEFT JOIN smp a ON a.file = tt.file AND a.idx = s - half + floor(t)::BIGINT
+  LEFT JOIN smp b ON b.file = tt.file AND b.idx = s - half + floor(t)::BIGINT + 1),
+w AS (SELECT file, e, max(v) FILTER (i = 0) AS x0, max(v) FILTER (i = 100) AS x100, max(v) FILTER (i = 255) AS x255, sum(v * (i + 1)) AS weighted FROM v GROUP BY 1, 2)
+SELECT file, e AS example, s, round(shift, 6) + 0.0 AS shift, round(x0, 6) + 0.0 AS x0, round(x100, 6) + 0.0 AS x100, round(x255, 6) + 0.0 AS x255, round(weighted, 5) + 0.0 AS weighted,
+  EXISTS (SELECT 1 FROM clip WHERE clip.file = sc.file AND lo <= s AND s < hi)::INT AS y FROM sc JOIN w USING (file, e)"""),
     "declick": (declick, """WITH s AS (SELECT user_id, event_id AS i, value - 50 AS x, abs(value - 50) AS a FROM events),
 t AS (SELECT *, avg(a) OVER u AS ave, stddev_pop(a) OVER u AS sd, lag(a) OVER o AS l, lead(a) OVER o AS n FROM s
       WINDOW u AS (PARTITION BY user_id), o AS (PARTITION BY user_id ORDER BY i)),

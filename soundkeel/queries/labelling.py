@@ -145,6 +145,11 @@ def annotation_summary(spark, sf):
     return out.withColumns({c: r(c) for c in ("mean_width", "mean_band")})
 
 
+def annotation_cube(spark, sf):
+    out = L.annotation_cube(L.drop_uncoded(_boxes(spark, sf)))
+    return out.withColumns({c: r(c) for c in ("mean_width", "mean_band")})
+
+
 def label_classes(spark, sf):
     docs = table(spark, sf, "conversations")
     cls = X.label_class(F.col("text"))
@@ -223,6 +228,9 @@ SELECT point_id, round(CASE WHEN EXISTS (SELECT 1 FROM lab l WHERE l.user_id = p
     "annotation_summary": (annotation_summary, f"""WITH {BOXES_SQL}, d AS (SELECT DISTINCT * FROM box WHERE code <> 'None')
 SELECT file, substr(code, 3) AS contour, count(*) AS n, round(avg(t_hi - t_lo), 6) AS mean_width, round(avg(f_hi - f_lo), 6) AS mean_band
 FROM d GROUP BY 1, 2"""),
+    "annotation_cube": (annotation_cube, f"""WITH {BOXES_SQL}, d AS (SELECT DISTINCT * FROM box WHERE code <> 'None')
+SELECT file, code, grouping(file, code) AS level, count(*) AS n, round(avg(t_hi - t_lo), 6) AS mean_width, round(avg(f_hi - f_lo), 6) AS mean_band
+FROM d GROUP BY CUBE (file, code)"""),
     "label_classes": (label_classes, f"""WITH t AS (SELECT role, replace(trim(text), ' ', '') AS q FROM conversations)
 SELECT role, {CLASS_SQL} AS label, count(*) AS n FROM t GROUP BY 1, 2"""),
     "unknown_labels": (unknown_labels, f"""WITH t AS (SELECT replace(trim(text), ' ', '') AS q FROM documents), c AS (SELECT {CLASS_SQL} AS label FROM t)

@@ -67,6 +67,16 @@ def band_power(spark, sf):
     return out.withColumn("power", r("power", 9))
 
 
+def band_totals(spark, sf):
+    """Bands, broadband and means of recordings of 50 frames in one pass."""
+    bands = _squared(spark, sf).select(
+        F.floor(F.col("vec_id") / 50).alias("file"), (F.col("vec_id") % 50).alias("frame"),
+        F.posexplode(S.band_power(F.col("psd"), BIN_HZ, EDGES)).alias("band", "power"),
+    )
+    out = S.band_totals(bands, "file")
+    return out.withColumns({"power": r("power", 9), "peak": r("peak", 9)})
+
+
 def integrate_bands(spark, sf):
     out = _squared(spark, sf).select("vec_id", F.posexplode(S.integrate_bands(F.col("psd"), [0, 5, 11, 20, 40, 64])).alias("band", "power"))
     return out.withColumn("power", r("power", 9))
@@ -216,6 +226,13 @@ SELECT clip_id, slice, band, round(sum(v / pow(w, k)), 6) + 0.0 AS v FROM h GROU
     "band_power": (band_power, f"""WITH b AS (SELECT vec_id, b AS band, sum(v * v * greatest(least(band + 0.5, hi / {BIN_HZ}) - greatest(band - 0.5, lo / {BIN_HZ}), 0)) AS power
   FROM {_V}, {_EDGE_SQL} GROUP BY 1, 2)
 SELECT vec_id, band, round(power, 9) AS power FROM b UNION ALL SELECT vec_id, -1, round(sum(power), 9) FROM b GROUP BY 1"""),
+    "band_totals": (band_totals, f"""WITH b AS (SELECT vec_id // 50 AS file, vec_id % 50 AS frame, b AS band,
+  sum(v * v * greatest(least(band + 0.5, hi / {BIN_HZ}) - greatest(band - 0.5, lo / {BIN_HZ}), 0)) AS power FROM {_V}, {_EDGE_SQL} GROUP BY 1, 2, 3),
+f AS (SELECT file, frame, sum(power) AS power, max(power) AS peak, count(*) AS cells FROM b GROUP BY 1, 2)
+SELECT file, frame, band, 0 AS level, round(power, 9) AS power, round(power, 9) AS peak, 1 AS cells FROM b
+UNION ALL SELECT file, frame, NULL, 1, round(power, 9), round(peak, 9), cells FROM f
+UNION ALL SELECT file, NULL, band, 2, round(avg(power), 9), round(max(power), 9), count(*) FROM b GROUP BY file, band
+UNION ALL SELECT file, NULL, NULL, 3, round(avg(power), 9), round(max(peak), 9), sum(cells) FROM f GROUP BY file"""),
     "integrate_bands": (integrate_bands, f"""SELECT vec_id, CASE WHEN band < 5 THEN 0 WHEN band < 11 THEN 1 WHEN band < 20 THEN 2 WHEN band < 40 THEN 3 ELSE 4 END AS band,
 round(sum(v * v), 9) AS power FROM {_V} GROUP BY ALL"""),
     "running_levels": (running_levels, """WITH b AS (SELECT vec_id // 128 AS file, vec_id % 128 AS frame, CASE WHEN i <= 8 THEN 0 WHEN i <= 24 THEN 1 ELSE 2 END AS band,

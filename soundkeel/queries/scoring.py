@@ -83,6 +83,18 @@ def fit_linear(spark, sf):
     return S.score_windows(model, v, "x").select("id", "y", r("yhat").alias("yhat"))
 
 
+def fit_linear_weights(spark, sf):
+    """Weights of a scorer of two features, against Newton's method."""
+    halves = [F.aggregate(F.slice("x", a, 32), F.lit(0.0), lambda s, v: s + v) for a in (1, 33)]
+    v = _vectors(spark, sf).select(F.array(*halves).alias("x"), (F.col("label") % 3 == 0).cast("int").alias("y"))
+    model = S.fit_linear(v, "x", "y", max_iter=100)
+    weights = [("bias", model.intercept), *zip(("first", "second"), model.coefficients.tolist())]
+    n = v.agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("positive"))
+    return n.select(F.explode(F.array(*[F.struct(F.lit(k).alias("name"), F.lit(float(w)).alias("w")) for k, w in weights])).alias("f"), "n", "positive").select(
+        "f.name", r("f.w", 4).alias("weight"), "n", "positive"
+    )
+
+
 def _classified(spark, sf):
     """Every vector against labelled vectors other than itself."""
     v = _vectors(spark, sf)
@@ -151,6 +163,19 @@ SELECT "offset", is_pos, bin, round(c / sum(c) OVER (PARTITION BY "offset", is_p
     "linear_score": (linear_score, """SELECT vec_id AS id, round(1 / (1 + exp(-(0.1::DOUBLE + sum(embedding[i]::DOUBLE * (i - 32.5::DOUBLE) / 8)))), 6) AS yhat
 FROM embeddings, range(1, 65) t(i) GROUP BY 1"""),
     "fit_linear": (fit_linear, None),
+    "fit_linear_weights": (fit_linear_weights, """WITH RECURSIVE d AS (SELECT list_sum(embedding[1:32]::DOUBLE[]) AS a, list_sum(embedding[33:64]::DOUBLE[]) AS b, (label % 3 = 0)::INT AS y FROM embeddings),
+v AS (SELECT count(*) AS n, sum(y) AS positive, 0.01::DOUBLE * var_samp(a) AS ra, 0.01::DOUBLE * var_samp(b) AS rb FROM d),
+it AS (SELECT 0 AS i, 0.0::DOUBLE AS w0, 0.0::DOUBLE AS w1, 0.0::DOUBLE AS w2 UNION ALL
+  SELECT i + 1, w0 - (g0 * (h11 * h22 - h12 * h12) - h01 * (g1 * h22 - h12 * g2) + h02 * (g1 * h12 - h11 * g2)) / det,
+    w1 - (h00 * (g1 * h22 - g2 * h12) - g0 * (h01 * h22 - h12 * h02) + h02 * (h01 * g2 - g1 * h02)) / det,
+    w2 - (h00 * (h11 * g2 - h12 * g1) - h01 * (h01 * g2 - g1 * h02) + g0 * (h01 * h12 - h11 * h02)) / det
+  FROM (SELECT *, h00 * (h11 * h22 - h12 * h12) - h01 * (h01 * h22 - h12 * h02) + h02 * (h01 * h12 - h11 * h02) AS det
+    FROM (SELECT i, w0, w1, w2, avg(p - y) AS g0, avg((p - y) * a) + max(ra) * w1 AS g1, avg((p - y) * b) + max(rb) * w2 AS g2,
+        avg(p * (1 - p)) AS h00, avg(p * (1 - p) * a) AS h01, avg(p * (1 - p) * b) AS h02,
+        avg(p * (1 - p) * a * a) + max(ra) AS h11, avg(p * (1 - p) * a * b) AS h12, avg(p * (1 - p) * b * b) + max(rb) AS h22
+      FROM (SELECT it.*, d.*, ra, rb, 1 / (1 + exp(-(w0 + w1 * a + w2 * b))) AS p FROM it, d, v WHERE i < 12) GROUP BY i, w0, w1, w2)))
+SELECT name, round(CASE name WHEN 'bias' THEN w0 WHEN 'first' THEN w1 ELSE w2 END, 4) AS weight, n, positive
+FROM it, v, (VALUES ('bias'), ('first'), ('second')) t(name) WHERE i = 12"""),
     "knn_classify": (knn_classify, f"WITH {_KNN} SELECT vec_id AS query_id, label, round(nearest, 6) AS nearest FROM knn"),
     "segment_classify": (segment_classify, f"""WITH {_KNN},
 a AS (SELECT vec_id // 256 AS file, vec_id % 256 AS win, label FROM knn),

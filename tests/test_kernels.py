@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import time
+
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from soundkeel.functions import arrays as A
 from soundkeel.operators import kernels as K
+from soundkeel.operators import levels
 from soundkeel.operators import spectra as S
 
 
@@ -120,3 +125,54 @@ def test_tone_measure(spark):
     r = column(spark, [tone]).select(K.tone_measure(F.col("x"), 16384)).head()[0]
     assert abs(r["by_prominence"] * fs / 16384 - 1000) < 10
     assert r["mean_square"] == pytest.approx(np.mean((tone * np.hamming(n)) ** 2))
+
+
+def plain_peaks(spec, prominence, widths):
+    """The two first peaks by walking outwards from each."""
+    found = [-1, -1]
+    for p in range(1, len(spec) - 1):
+        if not spec[p - 1] < spec[p] > spec[p + 1]:
+            continue
+        lo = hi = p
+        while lo > 0 and spec[lo - 1] <= spec[p]:
+            lo -= 1
+        while hi < len(spec) - 1 and spec[hi + 1] <= spec[p]:
+            hi += 1
+        prom = spec[p] - max(min(spec[lo : p + 1]), min(spec[p : hi + 1]))
+        level, a, b = spec[p] - prom / 2, p, p
+        while a > lo and spec[a] > level:
+            a -= 1
+        while b < hi and spec[b] > level:
+            b += 1
+        left = a + (level - spec[a]) / (spec[a + 1] - spec[a]) if spec[a] < level else a
+        right = b - (level - spec[b]) / (spec[b - 1] - spec[b]) if spec[b] < level else b
+        if found[0] < 0 and widths[0] <= right - left <= widths[1]:
+            found[0] = p
+        if found[1] < 0 and prom >= prominence:
+            found[1] = p
+    return tuple(found)
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.sampled_from([0.0, 1.0, 2.0, 3.0, 5.0, 8.0, 2.5]), min_size=3, max_size=60), st.sampled_from([0.5, 2.0, 6.0]), st.sampled_from([(0.0, 1.5), (1.0, 2.0), (2.0, 9.0)]))
+def test_first_peaks_by_walking(values, prominence, widths):
+    assert K.first_peaks(np.array(values), prominence, widths) == plain_peaks(values, prominence, widths)
+
+
+def test_first_peaks_of_a_long_spectrum():
+    rng = np.random.default_rng(1)
+    spec = rng.random(1 << 16)
+    start = time.perf_counter()
+    assert K.first_peaks(spec, 2.0, (50.0, 60.0)) == (-1, -1)
+    assert time.perf_counter() - start < 0.5
+
+
+def test_only_tones_near_the_calibration_frequency(spark):
+    """A tone outside 5 % of 1 kHz is rejected, by the spectrum of its samples."""
+    rate, rows = 96000, []
+    for hz in (900.0, 949.0, 960.0, 1000.0, 1040.0, 1053.0, 1100.0):
+        rows.append((f"{hz:.0f}", rate, (1000 * np.sin(2 * np.pi * hz * np.arange(19200) / rate)).tolist()))
+    tone = spark.createDataFrame(rows, "file string, sample_rate int, x array<double>")
+    measured = spark.createDataFrame([(r[0], [1.0, -1.0]) for r in rows], "file string, samples array<double>")
+    got = {r.file: r.tone_hz for r in levels.calibrated_recordings(tone, measured).collect()}
+    assert set(got) <= {"960", "1000", "1040"} and len(got) >= 2 and all(abs(hz - float(f)) < 6 for f, hz in got.items())
