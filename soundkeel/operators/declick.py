@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.ordered import Running, cut, following, previous, scan
+from ..plans.ordered import Running, cut, fixed, following, previous, scan
 from ..plans.sizes import join_small
 
 # Fixed value: standard deviations above the mean that start a click.
@@ -42,7 +42,8 @@ def declick(
             "is_trigger": F.col("_a") > F.col("_ave") + sigmas * F.col("_std"),
         }
     ).drop("_l", "_r", "_ave", "_std")
-    rows = scan(rows, [i], {"_region": Running(F.col("_quiet").cast("long"))})
+    # read again for the regions and their join
+    rows = fixed(scan(rows, [i], {"_region": Running(F.col("_quiet").cast("long"))}))
     # A region starts at a quiet peak (inclusive) and ends before the next one.
     regions = (
         rows.groupBy(*keys, "_region")

@@ -1,21 +1,25 @@
 """Call detection over recordings.
 
-Framing and spectra run in parallel over chunks.  Only the gate is sequential:
-the subtracted background follows the quiet frames, and whether a frame is quiet
-depends on the background.  It therefore runs per recording, in frame order, one
-batch at a time (never a whole recording in memory).  A recording is one audio
-file, and the file format limits a file to 4 GiB.
+Framing and spectra run in parallel over chunks.  The gate has a feedback: the subtracted background follows the quiet frames,
+and whether a frame is quiet depends on the background.  It runs in parallel all the same, over blocks of
+frames of a recording.  A first pass runs every block from the recording's starting background.  Which frames it finds quiet
+makes a block an affine map from the background before it to the one after it, so the true starts of all
+blocks follow by composing one small map per block.  Blocks are then run again from their new starts; only where that
+changes which frames are quiet do later starts change, and only blocks whose start changed are
+run again.  When no start changes, every block has run from what the frames before it left, and its frames
+are those of a run through the whole recording.  Every pass settles at least one block more; two are the rule.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import hashlib
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import shared_dir
 from . import kernels
 from .bouts import segment_calls
 from .framing import frames
@@ -28,10 +32,13 @@ KEEP = 0.99
 GATE_SIGMAS = 4.0
 SEGMENT = 1024
 WIN, HOP = 4096, 1024
+#: Frames of a recording that one task runs through: some 8 MB of spectra.
+BLOCK_FRAMES = 2048
 
 FRAME_SCHEMA = (
     "file string, frame long, start_sample long, n_peaks int, f0 double, f0_std double, peak double"
 )
+_RUN_SCHEMA = FRAME_SCHEMA + ", block long, quiet long, carried array<double>, choices string, used array<double>"
 
 
 def initial_background(chunks: DataFrame, fs: float, lo: int = BACKGROUND_FROM, hi: int = BACKGROUND_TO,
@@ -82,32 +89,98 @@ class Gate:
         return len(kept), float(gaps[wide].mean()), float(gaps[wide].std()), float(d[kept].max())
 
 
-def gate_frames(spectra: DataFrame, background: DataFrame, bin_hz: float, adaptive: bool = False) -> DataFrame:
-    """Peaks per frame of each recording; the background row comes first."""
-    first = background.select(
-        "file", F.lit(-1).cast("long").alias("frame"), F.lit(-1).cast("long").alias("start_sample"), "psd"
-    )
-    rows = spectra.select("file", "frame", "start_sample", "psd").unionByName(first)
-    ordered = rows.repartition("file").sortWithinPartitions("file", "frame")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        gate = None
-        for pdf in batches:
-            out = []
-            for file, frame, start, psd in zip(pdf["file"], pdf["frame"], pdf["start_sample"], pdf["psd"], strict=True):
-                psd = np.array(psd, dtype=float)
-                if frame < 0:
-                    gate = Gate(psd, bin_hz, adaptive=adaptive)
-                elif gate is not None:
-                    out.append((file, frame, start, *gate.step(psd)))
-            yield pd.DataFrame(out, columns=["file", "frame", "start_sample", "n_peaks", "f0", "f0_std", "peak"])
-
-    found = ordered.groupBy("file").applyInPandas(run, FRAME_SCHEMA)
+def _stored(df: DataFrame) -> DataFrame:
+    path = shared_dir(df.sparkSession, "gate")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _after(background: np.ndarray, quiet: int, carried: np.ndarray) -> np.ndarray:
+    """The background after ``quiet`` quiet frames whose weighted sum is ``carried``."""
+    if quiet:
+        background = KEEP**quiet * background + carried
+        background[:HIGHPASS_BIN] = 0
+    return background
+
+
+def _run_blocks(spectra: DataFrame, starts: DataFrame, bin_hz: float, adaptive: bool) -> DataFrame:
+    """Frames of the blocks in ``starts`` (file, block, psd, threshold), run from there.
+
+    The last frame of a block carries its affine map (quiet, carried), a digest of which frames were quiet, and the start.
+    """
+    ends = {"frame": F.lit(-1).cast("long"), "start_sample": F.lit(-1).cast("long")}
+    mine = spectra.join(starts.select("file", "block"), ["file", "block"], "left_semi").withColumn("threshold", F.lit(None).cast("double"))
+    rows = mine.unionByName(starts.withColumns(ends))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("frame", kind="stable")
+        start, threshold = np.array(pdf["psd"].iloc[0], dtype=float), pdf["threshold"].iloc[0]
+        gate = Gate(start, bin_hz, None if pd.isna(threshold) else threshold, adaptive)
+        carried, quiet, found = np.zeros(len(start)), [], []
+        for frame, at, psd in zip(pdf["frame"].iloc[1:], pdf["start_sample"].iloc[1:], pdf["psd"].iloc[1:], strict=True):
+            psd = np.array(psd, dtype=float)
+            found.append((frame, at, *gate.step(psd)))
+            quiet.append(found[-1][2] == 0)
+            if quiet[-1]:
+                carried = KEEP * carried + (1 - KEEP) * psd
+        out = pd.DataFrame(found, columns=["frame", "start_sample", "n_peaks", "f0", "f0_std", "peak"])
+        out.insert(0, "file", pdf["file"].iloc[0])
+        out["block"], last = pdf["block"].iloc[0], len(out) - 1
+        carried[:HIGHPASS_BIN] = 0
+        digest = hashlib.sha1(np.packbits(quiet).tobytes()).hexdigest()
+        for name, value in (("quiet", sum(quiet)), ("carried", carried), ("choices", digest), ("used", start)):
+            out[name] = [None] * last + [value] if last >= 0 else []
+        return out
+
+    return rows.groupBy("file", "block").applyInPandas(run, _RUN_SCHEMA)
+
+
+def _composed(maps: DataFrame, background: DataFrame, adaptive: bool) -> DataFrame:
+    """The start (file, block, psd, threshold) of every block, from the maps of the blocks before it; a recording has one small map per block."""
+    first = background.select("file", F.lit(-1).cast("long").alias("block"), F.lit(0).cast("long").alias("quiet"), F.col("psd").alias("carried"))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("block", kind="stable")
+        now = np.array(pdf["carried"].iloc[0], dtype=float)
+        threshold, out = None if adaptive else Gate(now, 1.0).threshold, []
+        for block, quiet, carried in zip(pdf["block"].iloc[1:], pdf["quiet"].iloc[1:], pdf["carried"].iloc[1:], strict=True):
+            out.append((pdf["file"].iloc[0], block, now, threshold))
+            now = _after(now, int(quiet), np.array(carried, dtype=float))
+        return pd.DataFrame(out, columns=["file", "block", "psd", "threshold"])
+
+    rows = maps.select("file", "block", "quiet", "carried").unionByName(first)
+    return rows.groupBy("file").applyInPandas(run, "file string, block long, psd array<double>, threshold double")
+
+
+def gate_frames(spectra: DataFrame, background: DataFrame, bin_hz: float, adaptive: bool = False, block_frames: int = BLOCK_FRAMES) -> DataFrame:
+    """Peaks per frame of each recording that has a starting background; see the module for how blocks of frames run in parallel."""
+    background = _stored(background.select("file", "psd"))
+    blocked = spectra.join(background.select("file"), "file", "left_semi")
+    spectra = _stored(blocked.select("file", F.floor(F.col("frame") / block_frames).cast("long").alias("block"), "frame", "start_sample", "psd"))
+    blocks = spectra.select("file", "block").distinct()
+    starts = blocks.join(background, "file").withColumn("threshold", F.lit(None).cast("double"))
+    passes, settled = [], None
+    while settled is None or not starts.isEmpty():
+        ran = _stored(_run_blocks(spectra, starts, bin_hz, adaptive))
+        turn = F.lit(len(passes)).alias("turn")
+        passes.append(ran.select("*", turn))
+        maps = ran.filter("quiet IS NOT NULL").select("file", "block", "quiet", "carried", "choices", "used", turn)
+        if settled is not None:
+            maps = maps.unionByName(settled.join(maps.select("file", "block"), ["file", "block"], "left_anti"))
+        settled = _stored(maps)
+        due = _composed(settled, background, adaptive).join(settled.select("file", "block", "used"), ["file", "block"])
+        starts = _stored(due.filter(F.col("psd") != F.col("used")).drop("used"))
+    rows = passes[0]
+    for more in passes[1:]:
+        rows = rows.unionByName(more)
+    names = [x.split()[0] for x in FRAME_SCHEMA.split(", ")]
+    found = rows.join(settled.select("file", "block", "turn"), ["file", "block", "turn"]).select(*names)
     return found.withColumn("peak", F.when(~F.isnan("peak"), F.col("peak")))
 
 
 def detector_frames(
-    chunks: DataFrame, fs: float, adaptive: bool = False, smooth: bool = False, heads: DataFrame | None = None
+    chunks: DataFrame, fs: float, adaptive: bool = False, smooth: bool = False, heads: DataFrame | None = None,
+    block_frames: int = BLOCK_FRAMES,
 ) -> DataFrame:
     """Gated frames of chunks that carry a tail of ``WIN - 1`` samples.
 
@@ -120,12 +193,12 @@ def detector_frames(
     framed = frames(chunks, WIN, HOP, min_len=HOP)
     psd = kernels.welch(F.col("x"), fs, SEGMENT)
     spectra = framed.select("file", "frame", "start_sample", (smooth_spectrum(psd) if smooth else psd).alias("psd"))
-    return gate_frames(spectra, initial_background(chunks if heads is None else heads, fs), fs / SEGMENT, adaptive)
+    return gate_frames(spectra, initial_background(chunks if heads is None else heads, fs), fs / SEGMENT, adaptive, block_frames)
 
 
 def detect_calls(chunks: DataFrame, fs: float, adaptive: bool = False, smooth: bool = False,
-                 keep_open: bool = False, heads: DataFrame | None = None) -> DataFrame:
-    return segment_calls(detector_frames(chunks, fs, adaptive, smooth, heads), keep_open=keep_open)
+                 keep_open: bool = False, heads: DataFrame | None = None, block_frames: int = BLOCK_FRAMES) -> DataFrame:
+    return segment_calls(detector_frames(chunks, fs, adaptive, smooth, heads, block_frames), keep_open=keep_open)
 
 
 def scan_folder(spark, path: str, fs: float, chunk_samples: int = 1 << 16, **options) -> DataFrame:

@@ -80,7 +80,9 @@ def scan(rows: DataFrame, order: Sequence[Column], running: Mapping[str, Running
     """Add running values per key to cut rows; the chunk stays for further scans.
 
     ``order`` has to be unique per key for results that do not depend on row arrival.
-    Rows may have been added columns since the cut, but none may be new.
+    Rows may have been added columns since the cut, but none may be new.  The rows are read twice, for
+    the totals and for the windows.  A chained scan reads the first one's windows again for its totals, with the
+    columns that they need, and puts its own on the same partitions: a shuffle for each scan.
     """
     part = [KEY, CHUNK]
     local = rows.withColumns({n: _local(s, part, order) for n, s in running.items()})
@@ -106,6 +108,13 @@ def scan(rows: DataFrame, order: Sequence[Column], running: Mapping[str, Running
     return out.withColumns(combined).drop("_c_key", "_c_chunk", *[f"_c_{n}" for n in running])
 
 
+def fixed(rows: DataFrame) -> DataFrame:
+    """Scanned rows, stored, where both statistics of them and the rows themselves are needed: the scans run once."""
+    path = shared_dir(rows.sparkSession, "scanned")
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def uncut(rows: DataFrame) -> DataFrame:
     return rows.drop(KEY, CHUNK)
 

@@ -296,7 +296,7 @@ def _bursts(spark, sf):
 
 def detector_frames(spark, sf):
     c = _bursts(spark, sf)
-    out = D.detector_frames(c, 44100.0)
+    out = D.detector_frames(c, 44100.0, block_frames=4)  # several blocks of a recording of 16 frames
     return out.select("file", "frame", "n_peaks", r("f0").alias("f0"))
 
 

@@ -14,6 +14,7 @@ from .vessels import _full_specs
 
 PER_FILE = 50  # vectors of a recording
 RATE = 8000
+OTHERS = [".flac", ".v2.wav", ".txt", ".wav.part", ".FLAC"]
 FILTERED = ["site_0/rec_0.WAV", "site_1/rec_0.wav"]
 
 
@@ -34,8 +35,12 @@ def _written(spark, sf, where: str = "true", path: str | None = None) -> str:
 
 
 def audio_listing(spark, sf):
-    """Recordings by their name below the folder, with their bytes."""
-    return tables.list_audio(spark, _written(spark, sf)).select("file", F.col("length").alias("n_bytes"))
+    """Recordings by their name below the folder, with their bytes; other files and names with several dots are passed over."""
+    path, n = _written(spark, sf), F.col("r_regionkey")
+    other = F.element_at(F.array(*[F.lit(x) for x in OTHERS]), (n % len(OTHERS) + 1).cast("int"))
+    rows = table(spark, sf, "region").select(F.concat(F.lit("site_0/other_"), n, other).alias("key"), F.col("r_name").alias("content"))
+    sinks.write_objects(rows, path).write.parquet(f"{path}-others")
+    return tables.list_audio(spark, path).select("file", F.col("length").alias("n_bytes"))
 
 
 def audio_headers(spark, sf):
@@ -145,7 +150,8 @@ FROM x JOIN f USING (file) GROUP BY ALL"""
 
 QUERIES = {
     "audio_listing": (audio_listing, f"""WITH {_REC}
-SELECT file, 44 + n_samples * channels * CASE subtype WHEN 'PCM_16' THEN 2 ELSE 4 END AS n_bytes FROM f"""),
+SELECT file, 44 + n_samples * channels * CASE subtype WHEN 'PCM_16' THEN 2 ELSE 4 END AS n_bytes FROM f
+UNION ALL SELECT 'site_0/other_' || r_regionkey || CASE r_regionkey % 5 WHEN 0 THEN '.flac' ELSE '.FLAC' END, strlen(r_name) FROM region WHERE r_regionkey % 5 IN (0, 4)"""),
     "audio_headers": (audio_headers, f"WITH {_REC} SELECT file, {RATE} AS sample_rate, channels, subtype, n_samples FROM f"),
     "wav_chunks": (wav_chunks, _SUMS),
     "wav_stream": (wav_stream, _SUMS),

@@ -359,3 +359,33 @@ def test_equal_base_names_in_folders_stay_apart(spark, tmp_path):
     want = samples(tmp_path, "b/deep/x.wav")[:9, 0]
     read = {r["file"]: r["ch"][0] for r in wav.read_segments(req, str(tmp_path)).collect()}
     assert np.array_equal(np.array(read["b/deep/x.wav"], np.float32), want) and len(read["a/x.wav"]) == 9
+
+
+@pytest.mark.parametrize("adaptive", [False, True])
+def test_blocks_of_frames_settle_to_one_run(spark, adaptive, monkeypatch):
+    """Spectra whose level drifts, so that the guessed backgrounds are wrong and blocks run several times."""
+    rng = np.random.default_rng(8)
+    rows, heads, want = [], [], {}
+    for file in range(3):
+        first = np.concatenate([np.zeros(25), rng.random(40)]) * 3
+        heads.append((f"f{file}", first.tolist()))
+        gate = detect.Gate(first, 43.0, adaptive=adaptive)
+        for k in range(120):
+            psd = rng.random(65) * (1 + 9 * (k // 20)) + np.where(np.arange(65) % 9 == 3, 40.0 * (rng.random() < 0.4), 0.0)
+            rows.append((f"f{file}", k, k * 1024, psd.tolist()))
+            want[f"f{file}", k] = gate.step(psd)
+    rows.append(("no start", 0, 0, [1.0] * 65))
+    spectra = spark.createDataFrame(rows, "file string, frame long, start_sample long, psd array<double>").repartition(5)
+    background = spark.createDataFrame(heads, "file string, psd array<double>")
+    assert 20 < sum(w[0] > 0 for w in want.values()) < 350
+    runs = []
+    plain = detect._run_blocks
+    monkeypatch.setattr(detect, "_run_blocks", lambda *a: runs.append(1) or plain(*a))
+    for block in (5, 50, 2048):
+        runs.clear()
+        got = detect.gate_frames(spectra, background, 43.0, adaptive, block).collect()
+        assert len(got) == len(want) and (len(runs) == 1) == (block == 2048)
+        for r in got:
+            n, f0, sd, peak = want[r.file, r.frame]
+            assert r.n_peaks == n and r.start_sample == r.frame * 1024
+            assert (r.f0, r.f0_std) == pytest.approx((f0, sd)) and (r.peak is None if n == 0 else r.peak == pytest.approx(peak))
