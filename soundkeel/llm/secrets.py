@@ -60,13 +60,15 @@ def base_spans(text: str) -> list[tuple[int, int, int, str]]:
 
 
 def candidates(text: str, taken: list[tuple[int, int, int, str]]) -> list[tuple[int, int, int, str]]:
-    """Tokens that look like credentials and touch no base span."""
-    out = []
+    """Tokens that look like credentials and touch no base span: one walk along the tokens and the spans by start."""
+    out, spans, at, reach = [], sorted(taken), 0, 0
     for m in _TOKEN.finditer(text):
+        # reach: the furthest end of the spans that start before the token ends
+        while at < len(spans) and spans[at][0] < m.end():
+            reach = max(reach, spans[at][2])
+            at += 1
         v = m[0]
-        if not (_DIGIT.search(v) and _LETTER.search(v)) or entropy(v) < MIN_ENTROPY:
-            continue
-        if all(m.end() <= s or m.start() >= e for s, _, e, _ in taken):
+        if reach <= m.start() and _DIGIT.search(v) and _LETTER.search(v) and entropy(v) >= MIN_ENTROPY:
             out.append((m.start(), 3, m.end(), v))
     return out
 

@@ -47,25 +47,25 @@ def _rules() -> tuple[str, str]:
 _RULE, _VERDICT = _rules()
 _TYPED = """CASE WHEN regexp_full_match(s, '[0-9a-fA-F]{8,}') OR regexp_full_match(s, '[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}') THEN '<hex>'
   WHEN length(s) > 32 OR len(string_split(s, '-')) > 4 THEN '<slug>' ELSE regexp_replace(s, '[0-9]+', '<n>', 'g') END"""
-URLS = f"""WITH r AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+URLS = f"""WITH RECURSIVE r AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
 p AS (SELECT page_id, {_low("regexp_extract(coalesce(rest, ''), '^[^/?#]*')")} AS host, regexp_extract(coalesce(rest, ''), '^[^/?#]*([^?#]*)', 1) AS path FROM r),
 q AS (SELECT *, list_filter(string_split(path, '/'), lambda s: s <> '') AS parts FROM p),
 named AS (SELECT page_id, host, path, array_to_string(list_transform(
     CASE WHEN len(parts) > {urls.MAX_DEPTH} THEN list_append(parts[1:{urls.MAX_DEPTH}], '<deep>') ELSE parts END, lambda s: {_TYPED}), '/') AS form FROM q),
 marks AS (SELECT doc_id, max(1 - quality) AS bad FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY 1),
 forms AS (SELECT host, form, count(*) AS n, count(bad) AS labelled, coalesce(sum(bad), 0) AS bad FROM named LEFT JOIN marks ON doc_id = page_id GROUP BY 1, 2),
-steps AS (SELECT host, form, n, labelled, bad, i AS pos, string_split(form, '/')[i] AS seg, array_to_string(string_split(form, '/')[1:i - 1], '/') AS above
-  FROM forms, range(1, {urls.MAX_DEPTH + 2}) t(i) WHERE i <= len(string_split(form, '/'))),
-nodes AS (SELECT host, pos, above, seg, sum(n) AS n, sum(labelled) AS labelled, sum(bad) AS bad FROM steps GROUP BY 1, 2, 3, 4),
-fam AS (SELECT *, count(*) OVER w AS children, sum(n) OVER w AS p_n, sum(labelled) OVER w AS p_labelled, sum(bad) OVER w AS p_bad
-  FROM nodes WINDOW w AS (PARTITION BY host, pos, above)),
-two AS (SELECT *, CASE WHEN children > {urls.CHILDREN} AND n < p_n * {urls.RARE}::DOUBLE THEN '*' ELSE seg END AS seg2 FROM fam),
-br AS (SELECT host, pos, above, seg2, sum(labelled) AS labelled, sum(bad) AS bad, max(p_bad)::DOUBLE / nullif(max(p_labelled), 0)::DOUBLE AS rate
-  FROM two GROUP BY 1, 2, 3, 4),
-three AS (SELECT host, pos, above, seg2, CASE WHEN abs(bad - labelled * coalesce(rate, 0)) <=
-    sqrt(labelled * coalesce(rate, 0) * (1 - coalesce(rate, 0))) * {urls.ALIKE}::DOUBLE + 0.5::DOUBLE THEN '*' ELSE seg2 END AS seg3 FROM br),
-tmpl AS (SELECT s.host, s.form, string_agg(seg3, '/' ORDER BY s.pos) AS template FROM steps s JOIN two USING (host, pos, above, seg)
-  JOIN three USING (host, pos, above, seg2) GROUP BY 1, 2),
+tree AS (SELECT host, form, n, labelled, bad, 1 AS lvl, '' AS template, len(string_split(form, '/')) AS depth FROM forms UNION ALL
+  SELECT host, form, n, labelled, bad, lvl + 1, CASE WHEN lvl > 1 THEN template || '/' ELSE '' END ||
+    CASE WHEN abs(b_bad - b_labelled * rate) <= sqrt(b_labelled * rate * (1 - rate)) * {urls.ALIKE}::DOUBLE + 0.5::DOUBLE THEN '*' ELSE branch END, depth
+  FROM (SELECT *, sum(labelled) OVER br AS b_labelled, sum(bad) OVER br AS b_bad FROM (
+    SELECT *, CASE WHEN children > {urls.CHILDREN} AND s_n < p_n * {urls.RARE}::DOUBLE THEN '*' ELSE seg END AS branch FROM (
+      SELECT *, sum(n) OVER nd AS s_n, sum(n) OVER pa AS p_n, coalesce(sum(bad) OVER pa::DOUBLE / nullif(sum(labelled) OVER pa, 0), 0) AS rate,
+        sum(fresh) OVER pa AS children FROM (
+        SELECT *, (row_number() OVER (PARTITION BY host, template, seg) = 1)::INT AS fresh
+        FROM (SELECT *, string_split(form, '/')[lvl] AS seg FROM tree WHERE lvl <= depth))
+      WINDOW nd AS (PARTITION BY host, template, seg), pa AS (PARTITION BY host, template)))
+    WINDOW br AS (PARTITION BY host, template, branch))),
+tmpl AS (SELECT host, form, template FROM tree WHERE lvl = depth + 1),
 full_ AS (SELECT f.*, template FROM forms f JOIN tmpl USING (host, form)),
 corpus AS (SELECT sum(bad)::DOUBLE / greatest(sum(labelled), 1)::DOUBLE AS c FROM forms),
 hosts AS (SELECT host, (sum(bad) + {urls.PRIOR}::DOUBLE * max(c)) / (sum(labelled) + {urls.PRIOR}::DOUBLE) AS host_rate FROM full_, corpus GROUP BY 1),

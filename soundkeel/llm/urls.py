@@ -8,7 +8,9 @@ are counted per form.  The forms of a host are a tree:
 * children whose rate of bad labels does not differ from that of their siblings
   together (a binomial test) are merged into the wildcard as well;
 
-what remains is the template of a form.  A template is rejected if its rate of bad labels,
+and what is below merged nodes is one subtree: the tree is merged level by level, and the counts of a level are
+added up under the merged level above before its own children are compared.  What remains is the template of a
+form.  A template is rejected if its rate of bad labels,
 smoothed by its host's rate, which the corpus's rate smooths, reaches the threshold.
 
 Counts combine in the map tasks; nodes, forms and templates are joined by their keys, never
@@ -28,7 +30,7 @@ from .common import lower_ascii, stored
 RULES = (
     ("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"),
 )
-#: Segments at this depth and below are one variable segment.
+#: Default of ``max_depth``: segments beyond this number are one variable segment, so that a tree has so many levels.
 MAX_DEPTH = 12
 #: A node may have this many children before those with a smaller share than RARE become a wildcard.
 CHILDREN, RARE = 16, 0.05
@@ -57,8 +59,8 @@ def rule_for(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -> tu
     return rule, verdict
 
 
-def form(path: Column) -> Column:
-    """The path's segments, variable ones by their type, joined by slashes."""
+def form(path: Column, max_depth: int = MAX_DEPTH) -> Column:
+    """The path's segments, variable ones by their type, joined by slashes; those beyond ``max_depth`` as one."""
     parts = F.filter(F.split(path, "/"), lambda s: s != "")
 
     def typed(s: Column) -> Column:
@@ -66,7 +68,7 @@ def form(path: Column) -> Column:
         slug = (F.length(s) > 32) | (F.size(F.split(s, "-")) > 4)
         return F.when(hexes, "<hex>").when(slug, "<slug>").otherwise(F.regexp_replace(s, "[0-9]+", "<n>"))
 
-    deep = F.when(F.size(parts) > MAX_DEPTH, F.concat(F.slice(parts, 1, MAX_DEPTH), F.array(F.lit("<deep>")))).otherwise(parts)
+    deep = F.when(F.size(parts) > max_depth, F.concat(F.slice(parts, 1, max_depth), F.array(F.lit("<deep>")))).otherwise(parts)
     return F.array_join(F.transform(deep, typed), "/")
 
 
@@ -74,30 +76,44 @@ def _sums(*by: str):
     return lambda df: df.groupBy(*by).agg(F.sum("n").alias("n"), F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"))
 
 
-def templates(forms: DataFrame) -> DataFrame:
-    """(host, form, template) of stored forms with n, labelled and bad."""
-    parts = F.split("form", "/")
-    steps = forms.select("host", "form", "n", "labelled", "bad", F.posexplode(parts).alias("pos", "seg"))
-    steps = steps.withColumn("above", F.array_join(F.slice(F.split("form", "/"), F.lit(1), F.col("pos")), "/"))
-    nodes = stored(_sums("host", "pos", "above", "seg")(steps), "urls-nodes")
-    parents = nodes.groupBy("host", "pos", "above").agg(
+def _merged(nodes: DataFrame) -> DataFrame:
+    """(host, template, seg, name) of one level's nodes (with n, labelled, bad): what each child of ``template`` is called."""
+    on = ["host", "template"]
+    parents = nodes.groupBy(*on).agg(
         F.count(F.lit(1)).alias("children"), F.sum("n").alias("p_n"), F.sum("labelled").alias("p_labelled"), F.sum("bad").alias("p_bad")
     )
-    on = ["host", "pos", "above"]
     nodes = nodes.join(parents, on)
     many = (F.col("children") > CHILDREN) & (F.col("n") < F.col("p_n") * RARE)
-    nodes = nodes.withColumn("seg2", F.when(many, ANY).otherwise(F.col("seg")))
-    branches = nodes.groupBy(*on, "seg2").agg(
+    nodes = nodes.withColumn("branch", F.when(many, ANY).otherwise(F.col("seg")))
+    branches = nodes.groupBy(*on, "branch").agg(
         F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"), F.max("p_labelled").alias("p_labelled"), F.max("p_bad").alias("p_bad")
     )
     rate = F.coalesce(F.col("p_bad") / F.nullif(F.col("p_labelled"), F.lit(0)), F.lit(0.0))
     expected = F.col("labelled") * rate
     alike = F.abs(F.col("bad") - expected) <= F.sqrt(expected * (1 - rate)) * ALIKE + 0.5
-    branches = branches.select(*on, "seg2", F.when(alike, ANY).otherwise(F.col("seg2")).alias("seg3"))
-    names = nodes.select(*on, "seg", "seg2").join(branches, [*on, "seg2"]).select(*on, "seg", "seg3")
-    named = steps.select("host", "form", *on[1:], "seg").join(names, [*on, "seg"])
-    ordered = F.array_sort(F.collect_list(F.struct("pos", "seg3")))  # at most MAX_DEPTH + 1 of each form
-    return named.groupBy("host", "form").agg(F.array_join(F.transform(ordered, lambda x: x["seg3"]), "/").alias("template"))
+    branches = branches.select(*on, "branch", F.when(alike, ANY).otherwise(F.col("branch")).alias("name"))
+    return nodes.select(*on, "seg", "branch").join(branches, [*on, "branch"]).select(*on, "seg", "name")
+
+
+def templates(forms: DataFrame) -> DataFrame:
+    """(host, form, template) of stored forms with n, labelled and bad.
+
+    A round per level: ``template`` holds the merged names of the levels above, so the level's counts are those
+    of the merged tree.
+    """
+    now = forms.select("host", "form", "n", "labelled", "bad", F.split("form", "/").alias("parts"), F.lit("").alias("template"))
+    depth = now.agg(F.max(F.size("parts"))).first()[0] or 0
+    for level in range(depth):
+        seg = F.get("parts", F.lit(level))
+        nodes = _sums("host", "template", "seg")(now.select("host", "template", seg.alias("seg"), "n", "labelled", "bad").filter("seg IS NOT NULL"))
+        names = _merged(stored(nodes, "urls-nodes")).select(
+            F.col("host").alias("_h"), F.col("template").alias("_t"), F.col("seg").alias("_s"), "name"
+        )
+        here = (F.col("host") == F.col("_h")) & (F.col("template") == F.col("_t")) & (seg == F.col("_s"))
+        longer = F.col("name") if not level else F.concat("template", F.lit("/"), "name")
+        now = now.join(names, here, "left").withColumn("template", F.coalesce(longer, F.col("template")))
+        now = stored(now.drop("_h", "_t", "_s", "name"), "urls-level")
+    return now.select("host", "form", "template")
 
 
 def judged_forms(forms: DataFrame) -> DataFrame:
@@ -113,17 +129,19 @@ def judged_forms(forms: DataFrame) -> DataFrame:
 
 
 def judge(
-    pages: DataFrame, labels: DataFrame, rules: Sequence[tuple[str, str]] = RULES, id_col: str = "page_id", url: str = "url"
+    pages: DataFrame, labels: DataFrame, rules: Sequence[tuple[str, str]] = RULES, id_col: str = "page_id", url: str = "url",
+    max_depth: int = MAX_DEPTH,
 ) -> DataFrame:
     """id, host, path, rule, verdict, template and rate of every row.
 
     ``labels``: id (as in ``pages``) and bad (0 or 1); null ids or marks are no labels, of
     several marks of an id the worst holds.  Null urls and urls without ``://`` have empty host
-    and path and are allowed unless a rule fits; repeated rows are judged each.
+    and path and are allowed unless a rule fits; repeated rows are judged each.  Paths that differ only
+    beyond ``max_depth`` segments are judged together.
     """
     host, path = host_path(F.col(url))
     named = pages.select(F.col(id_col).alias("_id"), host.alias("host"), path.alias("path"))
-    named = stored(named.withColumn("form", form(F.col("path"))), "urls-pages")
+    named = stored(named.withColumn("form", form(F.col("path"), max_depth)), "urls-pages")
     marks = labels.select(F.col("id").alias("_m"), F.col("bad")).filter("_m IS NOT NULL AND bad IS NOT NULL")
     marks = marks.groupBy("_m").agg(F.max("bad").cast("long").alias("bad"))
     counted = named.join(marks, F.col("_id") == F.col("_m"), "left").groupBy("host", "form").agg(

@@ -34,8 +34,6 @@ RANGE_BYTES = 32 << 20
 FILE_BYTES = 1 << 30
 DATE = "1970-01-01T00:00:00Z"
 _HEAD_END = b"\r\n\r\n"
-#: Longest header that a candidate may have.
-_MAX_HEAD = 1 << 16
 
 
 def base32(sha1: bytes) -> str:
@@ -162,30 +160,23 @@ def _next_magic(window: _Window, at: int, end: int) -> int | None:
 
 
 def _member(window: _Window, at: int) -> tuple[bytes, int] | None:
-    """The whole member at ``at`` and where it ends; None unless it decodes to a WARC record."""
-    packer, out, pos, checked = zlib.decompressobj(31), [], at, False
-    total = 0
+    """The whole member at ``at`` and where it ends; None unless it decodes to a WARC record.
+
+    A member that begins as a record is decoded to its end, however long its header is.
+    """
+    packer, out, pos = zlib.decompressobj(31), bytearray(), at
     try:
         while not packer.eof:
             data = window.get(pos, BLOCK // 4)
             if not data:
                 return None
-            piece = packer.decompress(data)
+            out += packer.decompress(data)
             pos += len(data)
-            out.append(piece)
-            total += len(piece)
-            if not checked and (total >= 5 or packer.eof):
-                start = b"".join(out)
-                if not start.startswith(b"WARC/"):
-                    return None
-                if _HEAD_END in start:
-                    checked = True
-                elif total > _MAX_HEAD:
-                    return None
-        pos -= len(packer.unused_data)
-        return (b"".join(out), pos) if checked else None
+            if not b"WARC/".startswith(out[:5]):
+                return None
     except zlib.error:
         return None
+    return (bytes(out), pos - len(packer.unused_data)) if _HEAD_END in out else None
 
 
 def records(path: str, start: int, end: int, size: int) -> Iterator[dict]:

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 import sys
+import time
 import zlib
 from collections import Counter, defaultdict
 from pathlib import Path
@@ -258,6 +260,25 @@ def test_secrets_match_brute_force(spark):
     assert got[15].n_owned == 0, "no entropy"
 
 
+def test_secrets_of_very_long_texts():
+    """10 MB with tens of thousands of base spans and candidates; small texts against all pairs."""
+    rng = random.Random(2)
+    for size in (60, 400):
+        alphabet = ["secret=", "0123456789abcdef" * 2, "AKIAABCDEFGHIJKL", " ", "aB3" * 8, "zQ9x", "'", "\n", "token: "]
+        for _ in range(200):
+            text = "".join(rng.choice(alphabet) for _ in range(size // 8))
+            base = secrets.base_spans(text)
+            plain = [m for m in re.finditer("[A-Za-z0-9+/_=-]{20,}", text) if all(m.end() <= s or m.start() >= e for s, _, e, _ in base)]
+            plain = [m for m in plain if re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0]) and secrets.entropy(m[0]) >= secrets.MIN_ENTROPY]
+            assert [(m.start(), 3, m.end(), m[0]) for m in plain] == secrets.candidates(text, base)
+    parts = [f"{rng.getrandbits(160):040x} x{i}Qz7Lm2Kp9Rt4Vw8Yb3 filler words in between to make it long" for i in range(100_000)]
+    text = " ".join(parts)
+    start = time.perf_counter()
+    base = secrets.base_spans(text)
+    assert len(text) > 9_000_000 and len(base) == 100_000 and len(secrets.candidates(text, base)) > 90_000
+    assert time.perf_counter() - start < 30
+
+
 def test_secrets_in_many_repositories_are_copied(spark):
     """One owner of thousands of documents; equal texts are one repository, however many rows they are."""
     rng = np.random.default_rng(6)

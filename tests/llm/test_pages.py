@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import itertools
+import math
+import random
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 
 import pytest
 
@@ -115,3 +118,71 @@ def test_templates_of_bad_labels_are_rejected(spark):
     by = {r.page_id: r for r in got}
     assert all(by[i].verdict == ("block" if i % 4 == 0 else "allow") for i in range(400))
     assert by[0].template.startswith("spam/") and len({by[1000 + i].template for i in range(100)}) == 1
+
+
+def test_long_headers_are_records(spark):
+    rng = random.Random(5)
+    url = "http://h/" + "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789-_") for _ in range(500_000))
+    got = warc.round_trip(pages(spark, [(1, url, "long"), (2, "http://h/", "short")]), range_bytes=200).collect()
+    assert sorted((r.page_id, r.uri, r.intact) for r in got) == [(1, url, True), (2, "http://h/", True)]
+
+
+def plain_templates(forms: dict) -> dict:
+    """{(host, form): template} from {(host, form): (n, labelled, bad)}, a level at a time."""
+    names = {key: [] for key in forms}
+    for level in range(max((len(f.split("/")) for _, f in forms), default=0)):
+        families = defaultdict(lambda: defaultdict(list))
+        for (host, form), above in names.items():
+            parts = form.split("/")
+            if level < len(parts):
+                families[host, tuple(above)][parts[level]].append((host, form))
+        for children in families.values():
+            def total(keys, i):
+                return sum(forms[k][i] for k in keys)
+
+            every = [k for keys in children.values() for k in keys]
+            n, labelled, bad = (total(every, i) for i in range(3))
+            rate = bad / labelled if labelled else 0.0
+            branches = defaultdict(list)
+            for seg, keys in children.items():
+                branches["*" if len(children) > urls.CHILDREN and total(keys, 0) < n * urls.RARE else seg] += keys
+            for name, keys in branches.items():
+                expected = total(keys, 1) * rate
+                alike = abs(total(keys, 2) - expected) <= math.sqrt(expected * (1 - rate)) * urls.ALIKE + 0.5
+                for k in keys:
+                    names[k].append("*" if alike else name)
+    return {k: "/".join(v) for k, v in names.items()}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_tree_by_plain_loops(spark, seed):
+    rng = random.Random(seed)
+    forms = {}
+    for host in ("a", "b"):
+        for _ in range(150):
+            form = "/".join(rng.choice([["x", "y", "z"], [f"u{rng.randint(0, 60)}"], ["spam", "blog"]][min(d, 2)]) for d in range(rng.randint(1, 4)))
+            n = rng.randint(1, 9)
+            labelled = rng.randint(0, n)
+            forms[host, form] = (n, labelled, labelled if "spam" in form else rng.randint(0, labelled) // 3)
+    forms["c", ""] = (3, 1, 1)
+    df = spark.createDataFrame([(*k, *v) for k, v in forms.items()], "host string, form string, n long, labelled long, bad long")
+    got = {(r.host, r.form): r.template for r in urls.templates(df).collect()}
+    assert got == plain_templates(forms) and len(set(got.values())) < len(got)
+
+
+@pytest.mark.parametrize("spam,blog", [(3, 7), (2, 2)])
+def test_branches_below_a_wildcard_are_one_tree(spark, spam, blog):
+    """Users with few pages each: what tells good from bad is the segment below."""
+    kinds = [("spam", i) for i in range(spam)] + [("blog", i) for i in range(blog)]
+    names = ["".join(p) for p in itertools.product("abcdefghij", repeat=2)]
+    rows = [(k, f"http://h.net/{name}/{kind}/page", "x") for k, (name, (kind, _)) in enumerate(itertools.product(names, kinds))]
+    marks = [(k, int("/spam/" in url)) for k, url, _ in rows]
+    got = urls.judge(pages(spark, rows), spark.createDataFrame(marks, "id long, bad int")).collect()
+    assert Counter((r.template, r.verdict) for r in got) == {("*/spam/*", "block"): 100 * spam, ("*/blog/*", "allow"): 100 * blog}
+
+
+def test_depth_is_a_parameter(spark):
+    rows = [(i, "http://h.net/a/b/" + ("good" if i % 2 else "bad"), "x") for i in range(100)]
+    marks = spark.createDataFrame([(i, 1 - i % 2) for i in range(100)], "id long, bad int")
+    assert Counter(r.verdict for r in urls.judge(pages(spark, rows), marks).collect()) == {"allow": 50, "block": 50}
+    assert len({r.template for r in urls.judge(pages(spark, rows), marks, max_depth=2).collect()}) == 1
