@@ -16,10 +16,12 @@ Links leave a task as a spanning forest (star edges), never as all pairs.  Parts
 values with more than ``cap`` rows are cut into blocks, and pairs of blocks meet in
 different tasks, which is exact.
 
-The stage of the corpus pipeline takes such pairs for candidates only.  Its scan writes the
-set of distinct shingles of every text to files of the shared folder; a node's number says
-where its set lies.  A task reads the sets of its candidates and links them by their
-exact Jaccard index; pairs that it has already joined over others are not read again.
+The stage of the corpus pipeline takes such pairs for candidates only.  A Jaccard index of 4/5 needs set sizes within 4/5,
+so a row is listed in the band of its size, and in the next one if it is near its edge: exact, and pairs of
+very different length never meet.  The distinct shingle sets are signed first.  Only the texts whose bits have a candidate, mostly few,
+are read again, and their sets are written to files of the shared folder; a node's number says where its
+set lies.  A task reads the sets of its candidates and links them by their exact Jaccard index; pairs
+that it has already joined over others are not read again.  The files go when all links are known.
 """
 
 from __future__ import annotations
@@ -31,6 +33,7 @@ from collections.abc import Iterable, Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyarrow import fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -187,14 +190,15 @@ def _signed(x: int) -> int:
 
 
 def _pairs_by_part(fps: DataFrame, masks: Sequence[int]) -> np.ndarray:
-    """Estimated ordered pairs with equal values of each mask, by a signed sketch of all fingerprints."""
+    """Estimated ordered pairs with equal values of each mask (and of the band, if there is one), by a signed sketch of all fingerprints."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((len(masks), _SKETCH), np.int64)
         for batch in batches:
             v = batch.column(0).to_numpy().view(np.uint64)
+            band = mixed(batch.column(1).to_numpy().view(np.uint64)) if batch.num_columns > 1 else np.uint64(0)
             for i, m in enumerate(masks):
-                h = mixed((v & np.uint64(m)) + np.uint64(_GAPS[1]))
+                h = mixed(((v & np.uint64(m)) ^ band) + np.uint64(_GAPS[1]))
                 sign = np.where(h >> np.uint64(63), 1, -1)
                 total[i] += np.bincount((h % np.uint64(_SKETCH)).astype(np.int64), sign, _SKETCH).astype(np.int64)
         at = np.arange(total.size, dtype=np.int32)
@@ -221,14 +225,24 @@ def allot(cost: Sequence[Sequence[float]], tau: int) -> tuple[float, list[int]]:
     return best[-1]
 
 
-def plan(fps: DataFrame, tau: int, deepest: int = 2) -> list[tuple[list[int], int]]:
-    """The cheapest (bits, threshold) list; ``fps``: one long column of distinct fingerprints."""
+def plan(fps: DataFrame, tau: int, deepest: int = 2, cap: int = CAP) -> list[tuple[list[int], int]]:
+    """The cheapest (bits, threshold) list; ``fps``: distinct fingerprints, a long column, and their bands where there are any.
+
+    With bands, comparing all rows of a band is a plan as well: one part of no bits.  It is the cheapest for small tables.
+    """
+    banded = len(fps.columns) > 1
     n, together = _co_occurrence(fps)
     p = np.diag(together) / max(n, 1)
     odds = np.maximum(2 * p * (1 - p), 1e-6) / np.maximum(1 - 2 * p * (1 - p), 1e-6)
     options = [grouped_bits(n, together, m) for m in range(max(1, (tau + 1) // (deepest + 1)), min(tau + 2, 16) + 1)]
     parts = [part for option in options for part in option]
-    same = iter(_pairs_by_part(fps, [_mask(x) for x in parts]))
+    pairs = _pairs_by_part(fps, [_mask(x) for x in parts] + [0] * banded)
+    same = iter(pairs)
+
+    def listed(equal: float, rows: float) -> float:
+        # rows of a value with more than cap of them are listed once for each block
+        return ROW_COST * rows * max(1.0, equal / max(n, 1) / cap)
+
     found = []
     for option in options:
         cost = []
@@ -238,14 +252,31 @@ def plan(fps: DataFrame, tau: int, deepest: int = 2) -> list[tuple[list[int], in
             for t in range(deepest + 1):
                 ball = sum(1 for d in range(t + 1) for _ in itertools.combinations(part, d))
                 reach = sum(np.prod(odds[list(x)]) for d in range(t + 1) for x in itertools.combinations(part, d))
-                row.append(ROW_COST * n * ball + PAIR_COST * equal * reach)
+                row.append((listed(equal * reach, n * ball) if banded else ROW_COST * n * ball) + PAIR_COST * equal * reach)
             cost.append(row)
         total, ts = allot(cost, tau)
         if ts:
             found.append((total, [(b, t) for b, t in zip(option, ts) if t >= 0]))
+    if banded:
+        equal = max(pairs[-1], n)
+        found.append((listed(equal, n) + PAIR_COST * equal, [([], 0)]))
     return min(found, key=lambda x: x[0])[1]
 
 
+#: A band holds sizes within (5/4)**BAND of its least; a row within one 5/4 of the upper edge is listed in the next one too.
+BAND = 2
+
+
+def _banded(size: Column) -> Column:
+    """(band, high) under which a row is listed; two rows meet if their sizes are within 4/5, and are judged where one is high."""
+    place = F.log(F.greatest(size, F.lit(1)).cast("double")) / F.lit(float(np.log(1.25)))
+    band = F.when(size > 0, F.floor(place / BAND)).otherwise(F.lit(-1)).cast("long")
+    own = F.struct(band.alias("band"), F.lit(True).alias("high"))
+    over = F.struct((band + 1).alias("band"), F.lit(False).alias("high"))
+    # a little more than 5/4, for the rounding of the logarithm
+    return F.when((size > 0) & (place >= BAND * (band + 1) - 1 - 1e-6), F.array(own, over)).otherwise(F.array(own))
+
+
 def _stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Edges (root, node) with the same components as the links a-b."""
     nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
@@ -276,46 +307,51 @@ def _set_file(folder: str, attempt: int) -> str:
     return f"{folder}/{attempt}.sets"
 
 
-def shingled(rows: DataFrame, folder: str, k: int, words: int) -> DataFrame:
-    """rank, hash of the set (s1, s2), node, size and w0.. of every row (rank, text); the sets go to ``folder``.
+def signed(rows: DataFrame, k: int, words: int) -> DataFrame:
+    """_rank, hash of the set (s1, s2), its size and w0.. of every row (_rank, text); signatures are those of the distinct shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(text, k) for text in raw(batch.column(1))]
+            both = np.frombuffer(b"".join(xxhash.xxh3_128_digest(x.tobytes()) for x in sets), "<i8").reshape(-1, 2)
+            sig = _signed_bags(sets, len(sets), words).view(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy()), pa.array([len(x) for x in sets], pa.int64()),
+                 *[pa.array(sig[:, i].copy()) for i in range(words)]],
+                ["_rank", "s1", "s2", "size", *[f"w{i}" for i in range(words)]],
+            )
+
+    longs = ["s1", "s2", "size", *[f"w{i}" for i in range(words)]]
+    schema = T.StructType([rows.schema[0], *[T.StructField(c, T.LongType()) for c in longs]])
+    return rows.mapInArrow(run, schema)
 
-    Signatures are those of the distinct shingles.  Attempts of a task write different files,
-    and node names the one whose rows count.
+
+def written_sets(rows: DataFrame, folder: str, k: int) -> DataFrame:
+    """(id, node) of rows (id long, text), whose sets of distinct shingles go to ``folder``.
+
+    Attempts of a task write different files, and node names the one whose rows count.
     """
     none = np.zeros(1, np.uint64)  # an empty set takes a place as well, so that nodes differ
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         attempt = TaskContext.get().taskAttemptId()
-        out, at, seen = None, 0, {}
+        out, at = None, 0
         for batch in batches:
             if out is None:
                 system, base = file_system(folder)
                 system.create_dir(base, recursive=True)
                 out = system.open_output_stream(_set_file(base, attempt), compression=None)
-            sets = [shingle_set(text, k) for text in raw(batch.column(1))]
-            keys = [xxhash.xxh3_128_digest(x.tobytes()) for x in sets]
             nodes = []
-            for key, x in zip(keys, sets):
-                if key not in seen:
-                    if len(seen) > 200_000:
-                        seen.clear()
-                    seen[key] = at
-                    out.write((x if len(x) else none).tobytes())
-                    at += max(len(x), 1)
-                nodes.append(attempt << _PLACE_BITS | seen[key])
-            sig = _signed_bags(sets, len(sets), words).view(np.int64)
-            both = np.frombuffer(b"".join(keys), "<i8").reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy()), pa.array(nodes, pa.int64()),
-                 pa.array([len(x) for x in sets], pa.int64()), *[pa.array(sig[:, i].copy()) for i in range(words)]],
-                ["_rank", "s1", "s2", "node", "size", *[f"w{i}" for i in range(words)]],
-            )
+            for text in raw(batch.column(1)):
+                x = shingle_set(text, k)
+                out.write((x if len(x) else none).tobytes())
+                nodes.append(attempt << _PLACE_BITS | at)
+                at += max(len(x), 1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.int64())], ["id", "node"])
         if out is not None:
             out.close()
 
-    longs = ["s1", "s2", "node", "size", *[f"w{i}" for i in range(words)]]
-    schema = T.StructType([rows.schema[0], *[T.StructField(c, T.LongType()) for c in longs]])
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(run, "id long, node long")
 
 
 class _Sets:
@@ -401,15 +437,23 @@ class _Sets:
 
 
 class _Bucket:
-    """Verifies rows (node, own, words...) of consecutive buckets; with ``sets`` also by their shingles."""
+    """Verifies rows (node, own, words...) of consecutive buckets; with ``sets`` also by their shingles.
 
-    def __init__(self, tau: int, wide: int, sets: _Sets | None = None):
+    ``sized``: whether rows have sizes, which must be within 4/5, and a flag, which one of a pair must have.
+    """
+
+    def __init__(self, tau: int, wide: int, sets: _Sets | None = None, sized: bool = False):
         self.tau, self.wide, self.left, self.right, self.held = tau, wide, [], [], 0
-        self.sets = sets
+        self.sets, self.sized = sets, sized
 
     def keep(
-        self, node: np.ndarray, words: np.ndarray, i: np.ndarray, j: np.ndarray, part: np.ndarray, size: np.ndarray | None, label: np.ndarray
+        self, node: np.ndarray, words: np.ndarray, i: np.ndarray, j: np.ndarray, part: np.ndarray, size: np.ndarray | None, high: np.ndarray | None,
+        label: np.ndarray,
     ) -> None:
+        if self.sized and len(i):
+            a, b = size[i], size[j]
+            fit = (high[i] | high[j]) & (5 * np.minimum(a, b) >= 4 * np.maximum(a, b))
+            i, j = i[fit], j[fit]
         if self.sets is not None and len(i):
             apart = label[i] != label[j]
             i, j = i[apart], j[apart]
@@ -429,7 +473,8 @@ class _Bucket:
             self.left, self.right, self.held = [a], [b], len(a)
 
     def small(
-        self, bucket: np.ndarray, node: np.ndarray, own: np.ndarray, words: np.ndarray, part: np.ndarray, size: np.ndarray | None, longest: int
+        self, bucket: np.ndarray, node: np.ndarray, own: np.ndarray, words: np.ndarray, part: np.ndarray, size: np.ndarray | None,
+        high: np.ndarray | None, longest: int,
     ) -> None:
         fp = words[:, 0]
         found = []
@@ -437,21 +482,24 @@ class _Bucket:
             i = np.flatnonzero((bucket[lag:] == bucket[:-lag]) & (own[lag:] | own[:-lag]))
             i = i[_far(fp[i], fp[i + lag]) <= self.tau]
             if self.sets is None:
-                self.keep(node, words, i, i + lag, part, size, node)
+                self.keep(node, words, i, i + lag, part, size, high, node)
             else:
                 found.append((i, i + lag))
         if found:
             i, j = (np.concatenate(x) for x in zip(*found))
-            near = _far(words[i, 1:], words[j, 1:]).sum(axis=1) <= self.wide
+            near = (high[i] | high[j]) & (_far(words[i, 1:], words[j, 1:]).sum(axis=1) <= self.wide)
             i, j = i[near], j[near]
             judged = self.sets.open_pairs(part, fp, size, i, j)
             for x, y in zip(i[judged].tolist(), j[judged].tolist()):
                 self.sets.join(int(node[x]), int(size[x]), int(node[y]), int(size[y]))
 
-    def large(self, node: np.ndarray, own: np.ndarray, words: np.ndarray, part: np.ndarray, size: np.ndarray | None) -> None:
+    def large(
+        self, node: np.ndarray, own: np.ndarray, words: np.ndarray, part: np.ndarray, size: np.ndarray | None, high: np.ndarray | None
+    ) -> None:
         order = np.argsort(~own, kind="stable")
         node, words, part = node[order], words[order], part[order]
-        size = size if size is None else size[order]
+        if self.sized:
+            size, high = size[order], high[order]
         _, label = np.unique(node, return_inverse=True)
         fp, n_own = words[:, 0], int(own.sum())
         step = max(1, _CELLS // len(fp))
@@ -466,7 +514,7 @@ class _Bucket:
             np.less_equal(counts[: k * m], self.tau, out=near[: k * m])
             i, j = np.divmod(np.flatnonzero(near[: k * m]), max(m, 1))
             i, j = i + at, j + at + 1
-            self.keep(node, words, i[j > i], j[j > i], part, size, label)
+            self.keep(node, words, i[j > i], j[j > i], part, size, high, label)
 
     def edges(self) -> pa.RecordBatch:
         if self.sets is not None:
@@ -478,15 +526,15 @@ class _Bucket:
         return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
 
-def _verify(tau: int, wide: int, words: int, folder: str | None, parts: Sequence[tuple[int, int]]):
+def _verify(tau: int, wide: int, words: int, folder: str | None, parts: Sequence[tuple[int, int]], key: list[str], sized: bool):
     """Rows sorted by bucket: bucket columns, node, own, words.  Buckets are bounded by the cap."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        work = _Bucket(tau, wide, _Sets(folder, parts) if folder else None)
+        work = _Bucket(tau, wide, _Sets(folder, parts) if folder else None, sized)
         held: list[pa.RecordBatch] = []
 
         def handle(t: pa.Table, last: bool) -> pa.Table | None:
-            cols = [t.column(i).to_numpy() for i in range(4)]
+            cols = [t.column(c).to_numpy() for c in key]
             new = np.concatenate([[True], np.any([c[1:] != c[:-1] for c in cols], axis=0)])
             starts = np.flatnonzero(new)
             end = t.num_rows if last else starts[-1]
@@ -497,15 +545,15 @@ def _verify(tau: int, wide: int, words: int, folder: str | None, parts: Sequence
                 own = t.column("own").to_numpy()[:end]
                 sig = np.stack([t.column(f"w{i}").to_numpy()[:end].view(np.uint64) for i in range(words)], axis=1)
                 part = cols[0][:end]
-                size = t.column("size").to_numpy()[:end] if folder else None
+                size, high = (t.column(c).to_numpy()[:end] if sized else None for c in ("size", "high"))
                 bucket = np.repeat(np.arange(len(starts)), sizes)
                 few = np.repeat((sizes > 1) & (sizes <= 24), sizes)
                 if few.any():
-                    some = size[few] if folder else None
-                    work.small(bucket[few], node[few], own[few], sig[few], part[few], some, int(sizes[sizes <= 24].max()))
+                    some, flag = (x[few] if sized else None for x in (size, high))
+                    work.small(bucket[few], node[few], own[few], sig[few], part[few], some, flag, int(sizes[sizes <= 24].max()))
                 for s, n in zip(starts[sizes > 24], sizes[sizes > 24]):
-                    some = size[s : s + n] if folder else None
-                    work.large(node[s : s + n], own[s : s + n], sig[s : s + n], part[s : s + n], some)
+                    some, flag = (x[s : s + n] if sized else None for x in (size, high))
+                    work.large(node[s : s + n], own[s : s + n], sig[s : s + n], part[s : s + n], some, flag)
             return t.slice(end) if end < t.num_rows else None
 
         rest = 0
@@ -527,11 +575,15 @@ def links(nodes: DataFrame, tau: int, wide: int = 0, words: int = 1, cap: int =
     """Edges (a, b) whose components are those of all links between nodes.
 
     ``nodes``: node (long, unique), w0 (fingerprint), and with ``words`` > 1 also
-    w1.. that must differ in at most ``wide`` bits together.  With ``folder``, where
-    ``shingled`` wrote the nodes' sets, such pairs are linked if these have a Jaccard index of
-    at least 4/5; ``nodes`` then has size too.
+    w1.. that must differ in at most ``wide`` bits together.  Where nodes have a size, sizes must
+    be within 4/5 as well.  With ``folder``, where ``written_sets`` wrote the nodes' sets, such pairs are linked if these have
+    a Jaccard index of at least 4/5.
     """
-    parts = plan(nodes.select("w0").distinct(), tau)
+    sized = "size" in nodes.columns
+    if sized:
+        nodes = nodes.select("*", F.explode(_banded(F.col("size"))).alias("_b")).select("*", "_b.*").drop("_b")
+    bands = ["band"] if sized else []
+    parts = plan(nodes.select("w0", *bands).distinct(), tau, cap=cap)
     probes: list[Column] = []
     for i, (bits, t) in enumerate(parts):
         mask = _mask(bits)
@@ -539,21 +591,21 @@ def links(nodes: DataFrame, tau: int, wide: int = 0, words: int = 1, cap: int =
             for flip in itertools.combinations(bits, d):
                 value = F.col("w0").bitwiseXOR(F.lit(_signed(_mask(flip)))).bitwiseAND(F.lit(_signed(mask)))
                 probes.append(F.struct(F.lit(i).alias("part"), value.alias("value"), F.lit(d == 0).alias("own")))
-    sig = [f"w{i}" for i in range(words)] + (["size"] if folder else [])
-    rows = nodes.select("node", *sig, F.explode(F.array(*probes)).alias("p")).select("p.*", "node", *sig)
+    sig = [f"w{i}" for i in range(words)] + (["size", "high"] if sized else [])
+    rows = nodes.select("node", *bands, *sig, F.explode(F.array(*probes)).alias("p")).select("p.*", "node", *bands, *sig)
     # counted on the distinct fingerprints' values, combined in the map tasks
-    hot = rows.groupBy("part", "value").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > cap)
-    hot = hot.select("part", "value", F.ceil(F.col("_n") / cap).cast("int").alias("_blocks"))
+    of = ["part", "value", *bands]
+    hot = rows.groupBy(*of).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > cap)
+    hot = hot.select(*of, F.ceil(F.col("_n") / cap).cast("int").alias("_blocks"))
     hot = stored(hot, "simhash-hot")
-    rows = rows.join(hot, ["part", "value"], "left").withColumn("_blocks", F.coalesce("_blocks", F.lit(1)))
+    rows = rows.join(hot, of, "left").withColumn("_blocks", F.coalesce("_blocks", F.lit(1)))
     mine = F.pmod(F.xxhash64("node"), F.col("_blocks")).cast("int")
     rows = rows.withColumn("_mine", mine).withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-    rows = rows.select(
-        "part", "value", F.least("_mine", "_other").alias("lo"), F.greatest("_mine", "_other").alias("hi"), "node", "own", *sig
-    )
-    key = ["part", "value", "lo", "hi"]
+    rows = rows.select(*of, F.least("_mine", "_other").alias("lo"), F.greatest("_mine", "_other").alias("hi"), "node", "own", *sig)
+    key = [*of, "lo", "hi"]
     dealt = rows.repartition(*key).sortWithinPartitions(*key)
-    return dealt.mapInArrow(_verify(tau, wide, words, folder, [(_mask(bits), t) for bits, t in parts]), "a long, b long")
+    masks = [] if parts == [([], 0)] else [(_mask(bits), t) for bits, t in parts]
+    return dealt.mapInArrow(_verify(tau, wide, words, folder, masks, key, sized), "a long, b long")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", k: int = 3, tau: int = 2) -> DataFrame:
@@ -583,26 +635,48 @@ STAGE_WORDS = 5  # the fingerprint, and 256 bits more that spare the reading of
 STAGE_WIDE = 64
 
 
+def _exact_roots(texts: DataFrame, first: DataFrame, k: int) -> DataFrame:
+    """(node, root) of the components of all links between ``first``, nodes with size, signature and the _rank of a row of ``texts``.
+
+    Sets are written for the nodes whose bits have a candidate alone.
+    """
+    signature = ["size", *[f"w{i}" for i in range(STAGE_WORDS)]]
+    near = stored(links(first.select("node", *signature), STAGE_TAU, STAGE_WIDE, STAGE_WORDS), "simhash-candidates")
+    near = near.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    some = stored(first.join(near, "node", "left_semi").select("node", *signature, "_rank._k1", "_rank._k2"), "simhash-some")
+    there, _ = split_by(texts, "_k1", some.select("_k1"))
+    there = there.join(some.select(F.col("node").alias("id"), "_k1", "_k2"), ["_k1", "_k2"]).dropDuplicates(["id"])
+    folder = shared_dir(first.sparkSession, "simhash-sets")
+    places = stored(written_sets(there.select("id", "_text"), folder, k), "simhash-places")
+    placed = some.withColumnRenamed("node", "id").join(places, "id").select("node", *signature)
+    found = components(links(placed, STAGE_TAU, STAGE_WIDE, STAGE_WORDS, folder=folder), "simhash-stage")
+    named = found.join(places, "node").select(F.col("id"), "root").join(places.toDF("top", "root"), "root")
+    named = stored(named.select(F.col("id").alias("node"), F.col("top").alias("root")), "simhash-roots")
+    system, base = file_system(folder)
+    if system.get_file_info(base).type == pafs.FileType.Directory:
+        system.delete_dir(base)
+    return named
+
+
 def first_of_groups(df: DataFrame, text: str = "text", id_col: str = "doc_id", k: int = 5) -> DataFrame:
     """One row of each group of near copies, with the columns of ``df``.
 
     A link needs an exact Jaccard index of 0.8 or more of the distinct ``k``-word shingles; SimHash
     bits of these only find the candidates.  Of each group the row
     with the smallest id stays (null ids last, then the smaller hash of the text, then of
-    the row; of equal rows one).  Rows without a word are one group.  Texts are not
+    the row; of equal rows one).  Null texts and rows without a word are one group.  Texts are not
     stored: rows that a Bloom filter takes for removed ones are shuffled, the others stay in the scan.
     """
     keep = df.columns
     rows = df.select(F.struct(*[F.col(c) for c in keep]).alias("_row"), F.col(id_col).alias("_id"), F.col(text).alias("_text"))
     rows = rows.select("*", *content_keys(["_row"]))
     rank = F.struct(F.col("_id").isNull().alias("no_id"), F.col("_id").alias("id"), F.xxhash64("_text").alias("hash"), "_k1", "_k2")
-    folder = shared_dir(df.sparkSession, "simhash-sets")
-    docs = stored(shingled(rows.select(rank.alias("_rank"), "_text"), folder, k, STAGE_WORDS), "simhash-stage")
+    docs = stored(signed(rows.select(rank.alias("_rank"), "_text"), k, STAGE_WORDS), "simhash-stage")
     # equal sets are one node
-    place = F.min(F.struct("node", "size", *[f"w{i}" for i in range(STAGE_WORDS)])).alias("place")
-    first = docs.groupBy("s1", "s2").agg(F.min("_rank").alias("_rank"), place)
-    first = stored(first.select("place.*", "_rank"), "simhash-nodes")
-    roots = components(links(first.drop("_rank"), STAGE_TAU, STAGE_WIDE, STAGE_WORDS, folder=folder), "simhash-stage")
+    sig = ["size", *[f"w{i}" for i in range(STAGE_WORDS)]]
+    first = docs.groupBy("s1", "s2").agg(F.min("_rank").alias("_rank"), F.min(F.struct(*sig)).alias("sig"))
+    first = stored(first.select(F.monotonically_increasing_id().alias("node"), "sig.*", "_rank"), "simhash-nodes")
+    roots = _exact_roots(rows.select("_k1", "_k2", "_text"), first, k)
     member = first.select("node", "_rank").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     stay = stored(member.groupBy("root").agg(F.min("_rank").alias("_rank")).select("_rank._k1", "_rank._k2"), "simhash-stay")
     every = docs.groupBy("_rank._k1", "_rank._k2").agg(F.count(F.lit(1)).alias("n")).toDF("_k1", "_k2", "n")
