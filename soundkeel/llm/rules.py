@@ -4,8 +4,10 @@ Every text is measured once.  Per language and source each metric has a quantile
 sketch: counts by logarithmic bucket, of relative error ``(GAMMA - 1) / 2``.  Such
 sketches merge by adding counts, so sums in the map tasks, in the shuffle and over
 all sources of a language are the same sketch whatever the order.  A metric's cutoff
-is its upper quartile plus a multiple of its quartile distance; the cutoffs, one row per
-language and source, are joined back and the texts above one of them rejected.
+is its median plus a multiple of the distance from the lower quartile to it, so that it is set by the better half of a group
+and junk up to half of the rows cannot move it.  The quantiles of a group are weighed with those of its language by its
+rows, a language's with the corpus's, without a switch at any size, and no group's cutoff is far above
+its language's.  The cutoffs, one row per language and source, are joined back and the texts above one of them rejected.
 """
 
 from __future__ import annotations
@@ -30,11 +32,12 @@ COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
 
 GAMMA = 1.05
 FLOOR = 1e-3  # smaller values share the lowest bucket
-MIN_ROWS = 100  # smaller groups take the cutoffs of their language, or of the corpus
+PRIOR_ROWS = 100  # rows that the quantiles of the language, or of the corpus, weigh beside a group's own
 SPREADS = 6.0
+ABOVE = 1.5  # a group's cutoff is at most so many times its language's
 MIN_WORDS, MAX_REPEAT = 50, 50  # the base rules: words at least, repeated words per cent at most
 
-#: Metric, numerator, denominator, and the least distance of a cutoff from the upper quartile.
+#: Metric, numerator, denominator, and the least distance of a cutoff from the median.
 METRICS = (
     ("symbols", "n_symbols", "n_words", 0.25),
     ("capitals", "n_upper", "word_chars", 0.15),
@@ -108,7 +111,7 @@ def sketches(counted: DataFrame, m: str = "_m") -> DataFrame:
 
 
 def _quartiles(sketch: DataFrame, by: list[str]) -> DataFrame:
-    """Rows and quartiles of every group's metrics; a window sees one row per bucket."""
+    """Rows, lower quartile and median of every group's metrics; a window sees one row per bucket."""
     merged = sketch.groupBy(*by, "metric", "bucket").agg(F.sum("n").alias("n"))
     w = Window.partitionBy(*by, "metric")
     merged = merged.withColumn("upto", F.sum("n").over(w.orderBy("bucket"))).withColumn("rows", F.sum("n").over(w))
@@ -119,32 +122,34 @@ def _quartiles(sketch: DataFrame, by: list[str]) -> DataFrame:
         return F.min(F.when(F.col("upto") * 100 >= F.col("rows") * percent, at))
 
     return merged.groupBy(*by, "metric").agg(
-        F.max("rows").alias("rows"), quantile(25).alias("q1"), quantile(75).alias("q3")
+        F.max("rows").alias("rows"), quantile(25).alias("q1"), quantile(50).alias("q2")
     )
 
 
 def cutoffs(counted: DataFrame, m: str = "_m") -> DataFrame:
-    """One row per language and source: a cutoff for each metric.
-
-    Groups below MIN_ROWS rows take their language's sketch, or the corpus's, by
-    merging the sketches.
-    """
+    """One row per language and source: a cutoff for each metric."""
     sketch = stored(sketches(counted, m), "rules-sketch")
     own = _quartiles(sketch, ["_lang", "_source"])
-    lang = _quartiles(sketch, ["_lang"]).select("_lang", "metric", *[F.col(c).alias(f"l_{c}") for c in ("rows", "q1", "q3")])
-    every = _quartiles(sketch, []).select("metric", *[F.col(c).alias(f"c_{c}") for c in ("q1", "q3")])
+    lang = _quartiles(sketch, ["_lang"]).select("_lang", "metric", *[F.col(c).alias(f"l_{c}") for c in ("rows", "q1", "q2")])
+    every = _quartiles(sketch, []).select("metric", *[F.col(c).alias(f"c_{c}") for c in ("q1", "q2")])
     lang = lang.withColumnsRenamed({"_lang": "l_lang", "metric": "l_metric"})
     every = every.withColumnRenamed("metric", "c_metric")
     joined = own.join(lang, F.col("_lang").eqNullSafe(F.col("l_lang")) & (F.col("metric") == F.col("l_metric")))
     joined = joined.join(every, F.col("metric") == F.col("c_metric"))
 
-    def pick(c: str) -> Column:
-        big = F.when(F.col("rows") >= MIN_ROWS, F.col(c)).when(F.col("l_rows") >= MIN_ROWS, F.col(f"l_{c}"))
-        return big.otherwise(F.col(f"c_{c}"))
+    def weighed(rows: str, mine: Column, prior: Column) -> Column:
+        return (F.col(rows) * mine + PRIOR_ROWS * prior) / (F.col(rows) + PRIOR_ROWS)
+
+    least = F.create_map(*[x for k, _, _, d in METRICS for x in (F.lit(k), F.lit(d))])[F.col("metric")]
+    for q in ("q1", "q2"):
+        joined = joined.withColumn(f"l_{q}", weighed("l_rows", F.col(f"l_{q}"), F.col(f"c_{q}")))
+        joined = joined.withColumn(q, weighed("rows", F.col(q), F.col(f"l_{q}")))
+
+    def cut(low: str, mid: str) -> Column:
+        return F.col(mid) + F.greatest((F.col(mid) - F.col(low)) * SPREADS, least)
 
-    least = F.create_map(*[x for k, _, _, d in METRICS for x in (F.lit(k), F.lit(d))])
-    cut = pick("q3") + F.greatest((pick("q3") - pick("q1")) * SPREADS, least[F.col("metric")])
-    wide = joined.select("_lang", "_source", "metric", cut.alias("cut")).groupBy("_lang", "_source")
+    bound = F.least(cut("q1", "q2"), cut("l_q1", "l_q2") * ABOVE)
+    wide = joined.select("_lang", "_source", "metric", bound.alias("cut")).groupBy("_lang", "_source")
     wide = wide.agg(*[F.max(F.when(F.col("metric") == k, F.col("cut"))).alias(f"cut_{k}") for k, *_ in METRICS])
     return stored(wide.withColumnsRenamed({"_lang": "_c_lang", "_source": "_c_source"}), "rules-cutoffs")
 
@@ -175,9 +180,10 @@ def judge(df: DataFrame, text: str = "text", lang: str = "lang", source: str = "
 
 
 def keep_good(df: DataFrame, text: str = "text", lang: str = "lang", source: str = "source") -> DataFrame:
-    """The rows that no rule rejects, with the columns of ``df``.
+    """The rows that no rule rejects, with the columns of ``df``, as ``judge`` keeps them.
 
-    Texts are measured for the sketches and once more for the filter, so that no
+    Null and empty texts, and texts without words, go; a null language or source is a group of its own; repeated rows are
+    judged alike and stay or go together; an empty table gives none.  Texts are measured for the sketches and once more for the filter, so that no
     text is shuffled or stored: the cutoffs are joined to the scan.
     """
     keep = df.columns

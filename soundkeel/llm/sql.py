@@ -82,7 +82,7 @@ def _quartiles(name: str, by: list[str]) -> str:
     keys = "".join(f"{k}, " for k in [*by, "metric"])
     part = ", ".join([*by, "metric"])
     at = f"CASE WHEN bucket <= {_LOW} THEN 0 ELSE pow({rules.GAMMA}::DOUBLE, bucket) END"
-    return f"""{name} AS (SELECT {keys}max(total) AS total, min({at}) FILTER (upto * 100 >= total * 25) AS q1, min({at}) FILTER (upto * 100 >= total * 75) AS q3
+    return f"""{name} AS (SELECT {keys}max(total) AS total, min({at}) FILTER (upto * 100 >= total * 25) AS q1, min({at}) FILTER (upto * 100 >= total * 50) AS q2
   FROM (SELECT {keys}bucket, sum(n) OVER (PARTITION BY {part} ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY {part}) AS total
         FROM (SELECT {keys}bucket, sum(n) AS n FROM sketch GROUP BY {keys}bucket)) GROUP BY {part})"""
 
@@ -103,8 +103,12 @@ _FLAT = " UNION ALL ".join(f"SELECT lang, source, '{k}' AS metric, v_{k} AS v FR
 _LEAST = "CASE o.metric " + " ".join(f"WHEN '{k}' THEN {d}::DOUBLE" for k, *_, d in rules.METRICS) + " END"
 
 
-def _pick(c: str) -> str:
-    return f"CASE WHEN o.total >= {rules.MIN_ROWS} THEN o.{c} WHEN l.total >= {rules.MIN_ROWS} THEN l.{c} ELSE c.{c} END"
+def _weighed(rows: str, mine: str, prior: str) -> str:
+    return f"({rows} * {mine} + {rules.PRIOR_ROWS} * {prior}) / ({rows} + {rules.PRIOR_ROWS})"
+
+
+def _cut(q: str) -> str:
+    return f"{q}2 + greatest(({q}2 - {q}1) * {rules.SPREADS}::DOUBLE, {_LEAST})"
 
 
 RULES = f"""WITH {_COUNTED},
@@ -114,8 +118,10 @@ sketch AS (SELECT lang, source, metric, CASE WHEN v <= {rules.FLOOR}::DOUBLE THE
 {_quartiles("own", ["lang", "source"])},
 {_quartiles("lng", ["lang"])},
 {_quartiles("crp", [])},
-cuts AS (SELECT o.lang, o.source, o.metric, {_pick("q3")} + greatest(({_pick("q3")} - {_pick("q1")}) * {rules.SPREADS}::DOUBLE, {_LEAST}) AS cut
-  FROM own o JOIN lng l ON l.lang IS NOT DISTINCT FROM o.lang AND l.metric = o.metric JOIN crp c ON c.metric = o.metric),
+lq AS (SELECT l.lang, l.metric, {_weighed("l.total", "l.q1", "c.q1")} AS l1, {_weighed("l.total", "l.q2", "c.q2")} AS l2 FROM lng l JOIN crp c ON c.metric = l.metric),
+oq AS (SELECT o.lang, o.source, o.metric, l1, l2, {_weighed("o.total", "o.q1", "l1")} AS o1, {_weighed("o.total", "o.q2", "l2")} AS o2
+  FROM own o JOIN lq l ON l.lang IS NOT DISTINCT FROM o.lang AND l.metric = o.metric),
+cuts AS (SELECT lang, source, metric, least({_cut("o")}, ({_cut("l")}) * {rules.ABOVE}::DOUBLE) AS cut FROM oq o),
 over_ AS (SELECT v.doc_id, {" OR ".join(f"bool_or(c.metric = '{k}' AND v_{k} > cut)" for k, *_ in rules.METRICS)} AS rejected
   FROM val v JOIN cuts c ON c.lang IS NOT DISTINCT FROM v.lang AND c.source IS NOT DISTINCT FROM v.source GROUP BY 1),
 base AS (SELECT *, n_words < {rules.MIN_WORDS} OR 100 * n_repeat_words > {rules.MAX_REPEAT} * n_words AS base_failed FROM counted)

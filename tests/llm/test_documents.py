@@ -498,3 +498,53 @@ def test_words_beside_other_white_space_give_the_same_ids():
     for i in range(0, len(texts), 256):
         for text, ids in zip(texts[i : i + 256], enc.encode(texts[i : i + 256])):
             assert np.frombuffer(ids, "<u2").tolist() == tok.encode(text, add_special_tokens=False).ids, text
+
+
+def plain_score(net: quality_cnn.Network, text: bytes) -> float:
+    """The network's definition, window by window."""
+    tops = []
+    for start in range(0, max(1, len(text) - (quality_cnn.CHUNK - quality_cnn.HOP)), quality_cnn.HOP):
+        values = list(text[start : start + quality_cnn.CHUNK])
+        values += [256] * (quality_cnn.CHUNK - len(values))
+        best = [0.0] * quality_cnn.FILTERS
+        for at in range(quality_cnn.CHUNK - quality_cnn.WIDTH + 1):
+            window = np.concatenate([net.embed[v] for v in values[at : at + quality_cnn.WIDTH]])
+            for f in range(quality_cnn.FILTERS):
+                best[f] = max(best[f], float(window @ net.filters[:, f] + net.bias[f]))
+        tops.append(best)
+    pooled = np.concatenate([np.max(tops, axis=0), np.mean(tops, axis=0)])
+    return 1 / (1 + np.exp(-(pooled @ net.out[:-1] + net.out[-1])))
+
+
+def test_cnn_by_plain_loops():
+    net = quality_cnn.Network.new(3)
+    texts = [b"", b"a", b"odd offset", bytes(range(256)) * 2, "é😀 wide".encode() * 60, b"x" * 224, b"y" * 257, b"z" * 481]
+    assert net.score(texts) == pytest.approx([plain_score(net, t) for t in texts], abs=1e-4)
+    assert net.score([b"b" + t for t in texts]) == pytest.approx([plain_score(net, b"b" + t) for t in texts], abs=1e-4)
+
+
+def test_rules_hold_in_a_source_full_of_junk(spark):
+    """Junk that fills two fifths of a source, or most of a small one, does not raise its own cutoff."""
+    rng = np.random.default_rng(6)
+
+    def text(bad: bool) -> str:
+        return " ".join(x + ("%" if bad and i % 2 else "") for i, x in enumerate(rng.choice(WORDS, 120)))
+
+    rows = [(i, text(i % 5 < 2), "en", "junk") for i in range(500)] + [(1000 + i, text(False), "en", f"s{i % 9}") for i in range(500)]
+    rows += [(2000 + i, text(i % 10 < 7), "en", "worse") for i in range(120)]
+    got = {r.doc_id: r.kept for r in rules.judge(frame(spark, rows)).collect()}
+    assert all(got[i] == (i % 5 >= 2) for i in range(500)) and all(got[1000 + i] for i in range(500))
+    assert all(got[2000 + i] == (i % 10 >= 7) for i in range(120))
+
+
+def test_cutoffs_do_not_jump_with_a_row(spark):
+    rng = np.random.default_rng(7)
+
+    def cut(n: int) -> float:
+        rows = [(i, " ".join(x + "!" * (i % 3 == 0) for x in rng.choice(WORDS, 60)), "en", "a") for i in range(n)]
+        rows += [(5000 + i, " ".join(rng.choice(WORDS, 60)), "en", "b") for i in range(400)]
+        named = frame(spark, rows).selectExpr("lang AS _lang", "source AS _source", "text AS _text")
+        return rules.cutoffs(rules.with_counts(named, "_text")).filter("_c_source = 'a'").first().cut_marks
+
+    near = [cut(n) for n in (99, 100, 101)]
+    assert max(near) - min(near) < 0.02
