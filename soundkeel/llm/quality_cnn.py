@@ -6,7 +6,7 @@ filter's response is max-pooled over its chunk.  The greatest and the mean respo
 all chunks give one probability by a logistic layer.
 
 Training uses a bounded sample of labelled rows (``TRAIN_ROWS`` ids of least hash and at most
-``TRAIN_CHUNKS`` chunks of a text); scoring runs in the scan of the documents, over every byte.
+``TRAIN_CHUNKS`` chunks of a text); scoring runs in the scan of the documents, over every window of bytes (``STRIDE`` 1).
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 from .common import raw
 
 CHUNK, HOP = 256, 224  # bytes of a chunk, and from one chunk to the next
-WIDTH, STRIDE, DIM, FILTERS = 8, 2, 4, 12
+WIDTH, STRIDE, DIM, FILTERS = 8, 1, 4, 12
 #: Bounds of the sample that the network is fitted on.
 TRAIN_ROWS, TRAIN_CHUNKS = 4096, 16
 EPOCHS, BATCH, RATE, SEED = 12, 64, 0.01, 7
