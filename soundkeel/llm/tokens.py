@@ -17,8 +17,10 @@ from __future__ import annotations
 import io
 import os
 import re
+import sys
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -45,6 +47,46 @@ MEMO_WORDS = 1_000_000
 _MARKS = ".,;:!?"
 #: A space beside another white-space character: a token may reach over both.
 _RUN = re.compile(r" (?:\s|(?<=\s ))")
+#: Words of Latin letters, and at most one mark behind them.
+_PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([.,;:!?]?)")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter that a byte-level vocabulary writes for each byte: the byte's own where it is printable, else one from 256 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = iter(range(256, 512))
+    return {b: chr(b if b in own else next(rest)) for b in range(256)}
+
+
+class Words(dict):
+    """Ids (bytes) of words, each with the space before it, found as they are asked for.
+
+    A byte-level pre-tokenizer takes a space and the letters behind it for one piece, and a mark behind letters for
+    another.  Such words go to the merges alone; the rest through the whole library.
+    """
+
+    def __init__(self, tokenizer: Tokenizer, code: str):
+        self.tokenizer, self.code, self.letters = tokenizer, code, _byte_letters()
+        self.marks = {m: self._packed(self._ids(m)) for m in _MARKS} | {"": b""}
+        # the whole library agrees that a word and its mark are pieces of their own
+        self.alone = all(self._piece("Été") + self.marks[m] == self._packed(self._ids(f" Été{m}")) for m in self.marks)
+
+    def _ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def _packed(self, ids: list[int]) -> bytes:
+        return array(self.code, ids).tobytes()
+
+    def _piece(self, letters: str) -> bytes:
+        text = " " + letters
+        text = text.encode().decode("latin-1").translate(self.letters)
+        return self._packed([t.id for t in self.tokenizer.model.tokenize(text)])
+
+    def __missing__(self, word: str) -> bytes:
+        plain = _PLAIN.fullmatch(word) if self.alone else None
+        ids = self._piece(plain[1]) + self.marks[plain[2]] if plain else self._packed(self._ids(" " + word))
+        self[word] = ids
+        return ids
 
 
 class Encoder:
@@ -52,56 +94,31 @@ class Encoder:
 
     A byte-level tokenizer cuts a text before every space between two characters that are no white
     space, and never looks across such a cut.  So the ids of a text are those of its words, each with
-    the space before it.  New words are encoded together, those with white space in them alone; texts
-    with special tokens or a space beside other white space are encoded whole.
+    the space before it; texts with special tokens or a space beside other white space are encoded whole.
     """
 
     def __init__(self, path: str, dtype: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
+        if sys.byteorder != "little":
+            raise RuntimeError("token files are little-endian")
         self.tokenizer = Tokenizer.from_file(path)
-        self.dtype = dtype
         self.special = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
-        self.known: dict[str, bytes] = {}
-        self.heads: dict[str, bytes] = {}
-        self.marks = dict(zip(_MARKS, self._whole(list(_MARKS))))
-
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, words: list[str]) -> None:
-        """Ids of words without white space that follow a space: one text of them all, cut where each begins."""
-        e = self.tokenizer.encode(" " + " ".join(words), add_special_tokens=False)
-        ids = np.array(e.ids, self.dtype)
-        begins = np.cumsum([0, *(len(w) + 1 for w in words)])
-        first = np.array([s for s, _ in e.offsets], np.int64)
-        cuts = (np.searchsorted(first, begins) * ids.itemsize).tolist()
-        data = ids.tobytes()
-        for i, w in enumerate(words):
-            self.known[w] = data[cuts[i] : cuts[i + 1]]
+        self.words = Words(self.tokenizer, {"<u2": "H", "<u4": "I"}[dtype])
+
+    def _whole(self, text: str) -> bytes:
+        return self.words._packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) + len(self.heads) > MEMO_WORDS:
-            self.known, self.heads = {}, {}
-        odd = [i for i, t in enumerate(texts) if _RUN.search(t) or any(s in t for s in self.special)]
-        out: list[bytes | list[str]] = [t.split(" ") for t in texts]
-        for i, ids in zip(odd, self._whole([texts[i] for i in odd])):
-            out[i] = ids
-        split = [w for w in out if isinstance(w, list)]
-        heads = list({w[0] for w in split}.difference(self.heads))
-        self.heads.update(zip(heads, self._whole(heads)))
-        fresh = {x for w in split for x in w[1:]}.difference(self.known)
-        # a mark after letters is a piece of its own
-        marked = [x for x in fresh if x and x[-1] in _MARKS and x[:-1].isalpha()]
-        plain = list(fresh.difference(marked).union(x[:-1] for x in marked).difference(self.known))
-        alone = [x for x in plain if x.split() != [x]]  # with white space, or the empty word of a space at the end
-        self.known.update(zip(alone, self._whole([" " + x for x in alone])))
-        plain = list(set(plain).difference(alone))
-        for i in range(0, len(plain), 20_000):
-            self._learn(plain[i : i + 20_000])
-        for x in marked:
-            self.known[x] = self.known[x[:-1]] + self.marks[x[-1]]
-        word = self.known.__getitem__
-        return [w if isinstance(w, bytes) else self.heads[w[0]] + b"".join(map(word, w[1:])) for w in out]
+        if len(self.words) > MEMO_WORDS:
+            self.words.clear()
+        out, ids_of = [], self.words.__getitem__
+        for t in texts:
+            if _RUN.search(t) or any(s in t for s in self.special):
+                out.append(self._whole(t))
+            else:
+                head, *rest = t.split(" ")
+                out.append(self._whole(head) + b"".join(map(ids_of, rest)))
+        return out
 
 
 _ENCODERS: dict[tuple[str, str], Encoder] = {}
