@@ -30,11 +30,13 @@ def pin_utc(spark: SparkSession) -> SparkSession:
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A new folder under the cluster's shared checkpoint folder, in one folder per application.
 
-    Where ``spark.checkpoint.dir`` is unset, as in tests, the folder lies below the
-    session's warehouse, which every executor shares as well.
+    Where ``spark.checkpoint.dir`` is unset, as in tests, a local master takes the session's warehouse; on a cluster that
+    would be a disk of the driver's own, so it is refused.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/checkpoints"
     application = spark.sparkContext.applicationId
     return f"{base.rstrip('/')}/soundkeel/{application}/{purpose}-{uuid.uuid4().hex}"

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import re
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyarrow import fs
 from pyspark.sql import Column
@@ -20,6 +23,25 @@ def file_system(path: str) -> tuple[fs.FileSystem, str]:
     return fs.LocalFileSystem(), path
 
 
+@contextmanager
+def new_file(system: fs.FileSystem, path: str) -> Iterator[fs.NativeFile]:
+    """A stream to a file that has its name only once it is whole.
+
+    Attempts of a task, and speculative copies of it, write to names of their own; the file system's move puts the
+    last one that ends in place.
+    """
+    system.create_dir(path.rsplit("/", 1)[0], recursive=True)
+    mine = f"{path}.{uuid.uuid4().hex}.part"
+    try:
+        with system.open_output_stream(mine, compression=None) as out:
+            yield out
+        system.move(mine, path)
+    except BaseException:
+        if system.get_file_info(mine).type == fs.FileType.File:
+            system.delete_file(mine)
+        raise
+
+
 def relative_name(path: str, root: str) -> str:
     """The name below ``root``; of the root itself, its last part."""
     root = root.rstrip("/")

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .files import file_system
+from .files import file_system, new_file
 
 CALL_COLUMNS = ("filename", "startidx", "stopidx", "lencall", "f0", "sigma_f0", "mean_peak", "sigma_peak")
 REPORT_COLUMNS = (
@@ -77,9 +77,7 @@ def write_objects(rows: DataFrame, path: str) -> DataFrame:
         for batch in batches:
             sizes = []
             for key, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                at = f"{root.rstrip('/')}/{key}"
-                system.create_dir(at.rsplit("/", 1)[0], recursive=True)
-                with system.open_output_stream(at, compression=None) as out:
+                with new_file(system, f"{root.rstrip('/')}/{key}") as out:
                     sizes.append(out.write(content or b""))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64())], ["key", "n_bytes"])
 

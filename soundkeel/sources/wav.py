@@ -23,6 +23,7 @@ import json
 import os
 import struct
 from collections.abc import Iterable, Iterator, Sequence
+from contextlib import ExitStack
 from dataclasses import dataclass
 
 import numpy as np
@@ -34,7 +35,7 @@ from pyspark.sql.datasource import (
     DataSource, DataSourceReader, DataSourceStreamReader, EqualTo, Filter, GreaterThanOrEqual, In, InputPartition, LessThan,
 )
 
-from .files import file_system, relative_name
+from .files import file_system, new_file, relative_name
 
 CHUNK_SAMPLES = 1 << 16
 CHUNKS_PER_PARTITION = 64
@@ -415,29 +416,30 @@ def write_recordings(chunks: DataFrame, path: str) -> DataFrame:
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, root = file_system(path)
-        name, out, done, size = None, None, [], 0
-        for b in batches:
-            for r in b.to_pylist():
-                x = np.array(r["ch"], np.float32).T
-                if r["file"] != name:
-                    if out is not None:
-                        out.close()
-                        done.append({"file": name, "n_bytes": size})
-                    name = r["file"]
-                    at = f"{root.rstrip('/')}/{name}"
-                    system.create_dir(at.rsplit("/", 1)[0], recursive=True)
-                    out, size = system.open_output_stream(at, compression=None), 0
-                    pcm = r["subtype"] == "PCM_16"
-                    width = (2 if pcm else 4) * x.shape[1]
-                    fmt = struct.pack("<HHIIHH", 1 if pcm else 3, x.shape[1], r["sample_rate"], r["sample_rate"] * width, width, 16 if pcm else 32)
-                    data = r["n_samples"] * width
-                    head = b"RIFF" + struct.pack("<I", 36 + data) + b"WAVEfmt " + struct.pack("<I", 16) + fmt + b"data" + struct.pack("<I", data)
-                    size += out.write(head)
-                block = np.round(x * 32767).clip(-32768, 32767).astype("<i2") if r["subtype"] == "PCM_16" else x.astype("<f4")
-                size += out.write(block.tobytes())
-        if out is not None:
+        name, out, done, size = None, ExitStack(), [], 0
+
+        def end() -> None:
             out.close()
-            done.append({"file": name, "n_bytes": size})
+            if name is not None:
+                done.append({"file": name, "n_bytes": size})
+
+        with out:
+            for b in batches:
+                for r in b.to_pylist():
+                    x = np.array(r["ch"], np.float32).T
+                    if r["file"] != name:
+                        end()
+                        name, size = r["file"], 0
+                        stream = out.enter_context(new_file(system, f"{root.rstrip('/')}/{name}"))
+                        pcm = r["subtype"] == "PCM_16"
+                        width = (2 if pcm else 4) * x.shape[1]
+                        fmt = struct.pack("<HHIIHH", 1 if pcm else 3, x.shape[1], r["sample_rate"], r["sample_rate"] * width, width, 16 if pcm else 32)
+                        data = r["n_samples"] * width
+                        head = b"RIFF" + struct.pack("<I", 36 + data) + b"WAVEfmt " + struct.pack("<I", 16) + fmt + b"data" + struct.pack("<I", data)
+                        size += stream.write(head)
+                    block = np.round(x * 32767).clip(-32768, 32767).astype("<i2") if r["subtype"] == "PCM_16" else x.astype("<f4")
+                    size += stream.write(block.tobytes())
+            end()
         yield pa.RecordBatch.from_pylist(done, pa.schema([("file", pa.string()), ("n_bytes", pa.int64())]))
 
     return ordered.mapInArrow(write, "file string, n_bytes long")

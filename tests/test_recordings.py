@@ -389,3 +389,31 @@ def test_blocks_of_frames_settle_to_one_run(spark, adaptive, monkeypatch):
             n, f0, sd, peak = want[r.file, r.frame]
             assert r.n_peaks == n and r.start_sample == r.frame * 1024
             assert (r.f0, r.f0_std) == pytest.approx((f0, sd)) and (r.peak is None if n == 0 else r.peak == pytest.approx(peak))
+
+
+def test_files_have_their_name_when_they_are_whole(tmp_path):
+    from pyarrow import fs
+
+    from soundkeel.sources.files import new_file
+
+    system, at = fs.LocalFileSystem(), str(tmp_path / "a" / "x.wav")
+    with new_file(system, at) as first, new_file(system, at) as second:  # two attempts at once
+        first.write(b"same")
+        second.write(b"same")
+        assert not (tmp_path / "a" / "x.wav").exists()
+    with pytest.raises(RuntimeError), new_file(system, at) as third:
+        third.write(b"half")
+        raise RuntimeError
+    assert [p.name for p in (tmp_path / "a").iterdir()] == ["x.wav"] and (tmp_path / "a" / "x.wav").read_bytes() == b"same"
+
+
+def test_a_cluster_needs_a_shared_folder():
+    class Conf:
+        get = staticmethod(lambda key, default=None: default)
+
+    class Session:
+        conf = Conf
+        sparkContext = type("Context", (), {"master": "spark://host:7077", "applicationId": "app"})
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(Session, "x")
