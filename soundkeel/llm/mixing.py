@@ -111,7 +111,8 @@ def mixed_rows(
 
     A document taken n times its size is there n times; the document that a budget cuts is
     there if the cut leaves it at least half, and so are rows of the same id and text.
-    Texts without words are not taken.  The cut of each source is one key in its
+    Null texts and texts without words are not taken; a null source is a source of its own, the last in order; an
+    empty table gives no rows.  The cut of each source is one key in its
     random order, so the texts are only scanned: keys of few bytes are shuffled.
     """
     keep = df.columns

@@ -190,7 +190,11 @@ def shard_documents(df: DataFrame, shards: int = SHARDS, text: str = "text", id_
 
 
 def shard_rows(df: DataFrame, shards: int = SHARDS, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """The rows of ``df`` with a column shard (an existing one is replaced)."""
+    """The rows of ``df`` with a column shard (an existing one is replaced).
+
+    Null and empty texts have size 8; null languages, sources and ids count as 0; repeated rows are placed each, not
+    always together; a text longer than a shard's share is in one shard; an empty table gives no rows.
+    """
     keep = [c for c in df.columns if c != "shard"]
     size = text_bytes(F.col(text)) + 8
     dims = [magnitude(size), *[category(F.col(c)) for c in ("lang", "source") if c in df.columns], category(F.col(id_col))]
