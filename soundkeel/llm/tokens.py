@@ -44,11 +44,12 @@ _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 #: Space-separated words whose ids a worker remembers.
 MEMO_WORDS = 1_000_000
-_MARKS = ".,;:!?"
 #: A space beside another white-space character: a token may reach over both.
 _RUN = re.compile(r" (?:\s|(?<=\s ))")
-#: Words of Latin letters, and at most one mark behind them.
-_PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([.,;:!?]?)")
+#: Latin letters with ASCII marks behind them; and such words on lines of their own.
+_PART = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+"
+_PLAIN = re.compile(f"({_PART})([!-/:-@\\[-`{{-~]*)")
+_LINES = re.compile(f"(?:{_PLAIN.pattern}\n)+{_PLAIN.pattern}")
 
 
 def _byte_letters() -> dict[int, str]:
@@ -61,15 +62,19 @@ def _byte_letters() -> dict[int, str]:
 class Words(dict):
     """Ids (bytes) of words, each with the space before it, found as they are asked for.
 
-    A byte-level pre-tokenizer takes a space and the letters behind it for one piece, and a mark behind letters for
-    another.  Such words go to the merges alone; the rest through the whole library.
+    A byte-level pre-tokenizer takes a space and the letters behind it for one piece, marks behind letters for
+    another, and a line feed between words for one.  Such words go to the merges alone, piece by piece; the rest through the
+    whole library.
     """
 
     def __init__(self, tokenizer: Tokenizer, code: str):
         self.tokenizer, self.code, self.letters = tokenizer, code, _byte_letters()
-        self.marks = {m: self._packed(self._ids(m)) for m in _MARKS} | {"": b""}
-        # the whole library agrees that a word and its mark are pieces of their own
-        self.alone = all(self._piece("Été") + self.marks[m] == self._packed(self._ids(f" Été{m}")) for m in self.marks)
+        self.space, self.merges = self.letters[32], tokenizer.model.tokenize
+        self.marks: dict[str, bytes] = {"": b""}
+        # the whole library agrees that these are the pieces
+        self.alone = True
+        tried = ["été", "Wort.", "it's", "a'", "x###", "end.\nNext,", "a\nb\nc"]
+        self.alone = all(self._split(x) in (None, self._packed(self._ids(" " + x))) for x in tried)
 
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -77,17 +82,38 @@ class Words(dict):
     def _packed(self, ids: list[int]) -> bytes:
         return array(self.code, ids).tobytes()
 
-    def _piece(self, letters: str) -> bytes:
-        text = " " + letters
-        text = text.encode().decode("latin-1").translate(self.letters)
-        return self._packed([t.id for t in self.tokenizer.model.tokenize(text)])
+    def _piece(self, text: str) -> bytes:
+        written = text if text.isascii() and " " < text[0] else text.encode().decode("latin-1").translate(self.letters)
+        return self._packed([t.id for t in self.merges(written)])
+
+    def _mark(self, text: str) -> bytes:
+        if text not in self.marks:
+            self.marks[text] = self._piece(text)
+        return self.marks[text]
+
+    def _split(self, word: str) -> bytes | None:
+        """Ids of a word of the known kinds."""
+        if m := _PLAIN.fullmatch(word):
+            return self[m[1]] + self._mark(m[2]) if m[2] else self._piece(" " + word)
+        if "\n" in word and _LINES.fullmatch(word):
+            first, *rest = word.split("\n")
+            parts = [_PLAIN.fullmatch(x) for x in rest]
+            return self[first] + b"".join(self._mark("\n") + self._piece(m[1]) + self._mark(m[2]) for m in parts)
+        return None
 
     def __missing__(self, word: str) -> bytes:
-        plain = _PLAIN.fullmatch(word) if self.alone else None
-        ids = self._piece(plain[1]) + self.marks[plain[2]] if plain else self._packed(self._ids(" " + word))
+        if self.alone and word.isascii() and word.isalpha():
+            ids = array(self.code, [t.id for t in self.merges(self.space + word)]).tobytes()
+        else:
+            ids = self._split(word) if self.alone else None
+            ids = self._packed(self._ids(" " + word)) if ids is None else ids
         self[word] = ids
         return ids
 
+    def clear(self) -> None:
+        super().clear()
+        self.marks = {"": b""}
+
 
 class Encoder:
     """Ids of texts, with a memory of the words met.
