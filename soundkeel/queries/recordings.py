@@ -44,8 +44,10 @@ def audio_listing(spark, sf):
 
 
 def audio_headers(spark, sf):
+    """Headers of the recordings of a folder that is named by its URI."""
     path = _written(spark, sf)
-    return wav.read_headers(tables.list_audio(spark, path), path)
+    uri = path if ":/" in path else f"file://{path}"
+    return wav.read_headers(tables.list_audio(spark, uri), uri)
 
 
 def wav_filtered(spark, sf):
