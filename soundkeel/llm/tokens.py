@@ -42,7 +42,7 @@ _GAMMA = 2.0
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
-#: Space-separated words whose ids a worker remembers.
+#: Space-separated words whose ids a worker remembers: half of them are those met last, the others those before.
 MEMO_WORDS = 1_000_000
 #: A space beside another white-space character: a token may reach over both.
 _RUN = re.compile(r" (?:\s|(?<=\s ))")
@@ -71,6 +71,7 @@ class Words(dict):
         self.tokenizer, self.code, self.letters = tokenizer, code, _byte_letters()
         self.space, self.merges = self.letters[32], tokenizer.model.tokenize
         self.marks: dict[str, bytes] = {"": b""}
+        self.before: dict[str, bytes] = {}
         # the whole library agrees that these are the pieces
         self.alone = True
         tried = ["été", "Wort.", "it's", "a'", "x###", "end.\nNext,", "a\nb\nc"]
@@ -102,7 +103,9 @@ class Words(dict):
         return None
 
     def __missing__(self, word: str) -> bytes:
-        if self.alone and word.isascii() and word.isalpha():
+        if (ids := self.before.get(word)) is not None:
+            pass
+        elif self.alone and word.isascii() and word.isalpha():
             ids = array(self.code, [t.id for t in self.merges(self.space + word)]).tobytes()
         else:
             ids = self._split(word) if self.alone else None
@@ -110,9 +113,10 @@ class Words(dict):
         self[word] = ids
         return ids
 
-    def clear(self) -> None:
-        super().clear()
-        self.marks = {"": b""}
+    def turn(self) -> None:
+        """The words met so far become those before; what is met again is taken from there."""
+        self.before, self.marks = dict(self), {"": b""}
+        self.clear()
 
 
 class Encoder:
@@ -135,8 +139,8 @@ class Encoder:
         return self.words._packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.words) > MEMO_WORDS:
-            self.words.clear()
+        if len(self.words) > MEMO_WORDS // 2:
+            self.words.turn()
         out, ids_of = [], self.words.__getitem__
         for t in texts:
             if _RUN.search(t) or any(s in t for s in self.special):

@@ -54,7 +54,7 @@ def roots(prints: list[int], tau: int) -> list[int]:
 
 
 def test_simhash_matches_brute_force(spark):
-    rows = [r for r in awkward() if r[1] is None or len(r[1]) < 5000]
+    rows = awkward()
     prints = [fingerprint(t) for _, t, _, _ in rows]
     of = roots(prints, 2)
     least = {}
@@ -210,7 +210,6 @@ def test_index_keeps_runs_over_shards(spark):
 
 def test_shards(spark):
     rows = awkward(n=400)
-    rows = [r for r in rows if r[1] is None or len(r[1]) < 5000]
     got = shards.shard_documents(frame(spark, rows), shards=6).collect()
     want = [(i, len((t or "").encode()) + 8, zlib.crc32((t or "").encode())) for i, t, *_ in rows]
     assert ids_first((r.doc_id, r["size"], r.text_crc32) for r in got) == ids_first(want)
@@ -260,6 +259,23 @@ def test_secrets_match_brute_force(spark):
     assert got[15].n_owned == 0, "no entropy"
 
 
+def test_secrets_of_awkward_rows(spark):
+    """Null ids and texts, repeated rows, long texts: each row is reported with its own base spans."""
+    rows = awkward() + [(None, "secret=abcdefgh1", None, None), (7, "token: 12345678 " * 9000, "en", "a"), (7, "token: 12345678 " * 9000, "en", "a")]
+    rows += [(8, "a1" * 200_000, "en", "a"), (9, "0" * 100_000 + " AKIA" + "B" * 5000, "en", None)]
+
+    def line(t):
+        t = t or ""
+        spans = [(m.start(), 0, m.end()) for m in re.finditer(r"(?:secret|token)[=:] ?[A-Za-z0-9]{8,}", t)]
+        spans += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]{12,}", t)]
+        spans += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]{32,}", t)]
+        text = ",".join(f"{secrets.KINDS[k]}:{s}:{e}" for s, k, e in sorted(spans))
+        return *(sum(k == x for _, k, _ in spans) for x in range(3)), hashlib.sha256(text.encode()).hexdigest()
+
+    got = secrets.find_secrets(frame(spark, rows)).collect()
+    assert ids_first((r.doc_id, r.n_assign, r.n_access, r.n_hex, r.base_sha256) for r in got) == ids_first((i, *line(t)) for i, t, *_ in rows)
+
+
 def test_secrets_of_very_long_texts():
     """10 MB with tens of thousands of base spans and candidates; small texts against all pairs."""
     rng = random.Random(2)
@@ -420,7 +436,7 @@ def brute_targets(sizes: dict, weights=(1, 2, 3), most=3) -> dict:
 
 
 def test_mix_reaches_targets(spark):
-    rows = [r for r in awkward(n=80) if r[1] is None or len(r[1]) < 5000] + [(900, "few words", "en", "tiny"), (901, None, "en", "void")]
+    rows = awkward(n=80) + [(900, "few words", "en", "tiny"), (901, None, "en", "void")]
     rows += [(910 + i, "many words " * 40, "en", "z") for i in range(30)]
     docs = frame(spark, rows)
     got = mixing.mix_documents(docs).collect()
@@ -548,3 +564,15 @@ def test_cutoffs_do_not_jump_with_a_row(spark):
 
     near = [cut(n) for n in (99, 100, 101)]
     assert max(near) - min(near) < 0.02
+
+
+def test_words_of_the_generation_before_are_found(monkeypatch):
+    monkeypatch.setattr(tokens, "MEMO_WORDS", 40)
+    path = str(public_tokenizers.path("byte_bpe_50k.json"))
+    tok, enc, rng = Tokenizer.from_file(path), tokens.Encoder(path, "<u4"), random.Random(9)
+    for _ in range(60):
+        texts = [" ".join(f"{rng.choice(WORDS)}{rng.choice(['', '.', '###', chr(10) + 'Next,'])}" for _ in range(12)) for _ in range(3)]
+        want = [e.ids for e in tok.encode_batch(texts, add_special_tokens=False)]
+        assert [np.frombuffer(x, "<u4").tolist() for x in enc.encode(texts)] == want
+        assert len(enc.words) <= 20 + 2 * 36 and len(enc.words.before) <= 20 + 2 * 36
+    assert enc.words.before
