@@ -34,6 +34,8 @@ SEGMENT = 1024
 WIN, HOP = 4096, 1024
 #: Frames of a recording that one task runs through: some 8 MB of spectra.
 BLOCK_FRAMES = 2048
+#: Most frames that are tried as quiet at once.
+STRETCH = 64
 
 FRAME_SCHEMA = (
     "file string, frame long, start_sample long, n_peaks int, f0 double, f0_std double, peak double"
@@ -70,21 +72,56 @@ class Gate:
         return float(self.background.mean() + GATE_SIGMAS * self.background.std())
 
     def step(self, psd: np.ndarray) -> tuple[int, float, float, float]:
-        d = psd - self.background
-        d[:HIGHPASS_BIN] = 0
-        d[d < self.threshold] = 0
-        mid = d[1:-1]
-        at = np.flatnonzero((mid > d[:-2]) & (mid > d[2:]) & (mid >= d.std())) + 1
-        gaps = np.diff(at) * self.bin_hz
-        wide = gaps > MIN_SPACING_HZ
+        return self.run(psd[None, :])[0]
+
+    def run(self, psds: np.ndarray) -> list[tuple[int, float, float, float]]:
+        """Peaks, spacing, its spread and the highest peak of each spectrum, in order.
+
+        A stretch is tried as if all of its frames were quiet, which gives the background before each of them; up to the first
+        that is not, this was right.  Stretches grow while frames are quiet.
+        """
+        out: list[tuple[int, float, float, float]] = []
+        length = 1
+        while len(out) < len(psds):
+            block = psds[len(out) : len(out) + length]
+            before = np.empty((len(block) + 1, block.shape[1]))
+            before[0] = self.background
+            for k, psd in enumerate(block):
+                before[k + 1] = KEEP * before[k] + (1 - KEEP) * psd
+                before[k + 1, :HIGHPASS_BIN] = 0
+            d = block - before[:-1]
+            d[:, :HIGHPASS_BIN] = 0
+            if self.adaptive:
+                levels = before.mean(axis=1) + GATE_SIGMAS * before.std(axis=1)
+                levels[0] = self.threshold
+                d[d < levels[:-1, None]] = 0
+            else:
+                d[d < self.threshold] = 0
+            mid = d[:, 1:-1]
+            high = (mid > d[:, :-2]) & (mid > d[:, 2:]) & (mid >= d.std(axis=1)[:, None])
+            quiet, loud = len(block), None
+            for k in np.flatnonzero(high.any(axis=1)):
+                loud = self._peaks(d[k], np.flatnonzero(high[k]) + 1)
+                if loud:
+                    quiet = int(k)
+                    break
+            out += [(0, 0.0, 0.0, float("nan"))] * quiet
+            self.background = before[quiet].copy()
+            if self.adaptive and quiet:
+                self.threshold = float(levels[quiet])
+            if loud:
+                out.append(loud)
+            length = 1 if loud else min(2 * length, STRETCH)
+        return out
+
+    def _peaks(self, d: np.ndarray, at: np.ndarray) -> tuple[int, float, float, float] | None:
+        """What a frame with peaks at these bins gives; None where they make it a quiet one."""
         if len(at) == 1:
             return 1, 0.0, 0.0, float(d[at[0]])
+        gaps = np.diff(at) * self.bin_hz
+        wide = gaps > MIN_SPACING_HZ
         if not wide.any():
-            self.background = KEEP * self.background + (1 - KEEP) * psd
-            self.background[:HIGHPASS_BIN] = 0
-            if self.adaptive:
-                self.threshold = self._level()
-            return 0, 0.0, 0.0, float("nan")
+            return None
         kept = np.append(at[1:][wide], at[np.flatnonzero(wide)[0]])
         return len(kept), float(gaps[wide].mean()), float(gaps[wide].std()), float(d[kept].max())
 
@@ -116,19 +153,20 @@ def _run_blocks(spectra: DataFrame, starts: DataFrame, bin_hz: float, adaptive:
         pdf = pdf.sort_values("frame", kind="stable")
         start, threshold = np.array(pdf["psd"].iloc[0], dtype=float), pdf["threshold"].iloc[0]
         gate = Gate(start, bin_hz, None if pd.isna(threshold) else threshold, adaptive)
-        carried, quiet, found = np.zeros(len(start)), [], []
-        for frame, at, psd in zip(pdf["frame"].iloc[1:], pdf["start_sample"].iloc[1:], pdf["psd"].iloc[1:], strict=True):
-            psd = np.array(psd, dtype=float)
-            found.append((frame, at, *gate.step(psd)))
-            quiet.append(found[-1][2] == 0)
-            if quiet[-1]:
-                carried = KEEP * carried + (1 - KEEP) * psd
-        out = pd.DataFrame(found, columns=["frame", "start_sample", "n_peaks", "f0", "f0_std", "peak"])
+        psds = np.array(pdf["psd"].iloc[1:].tolist(), dtype=float).reshape(len(pdf) - 1, len(start))
+        found = gate.run(psds)
+        quiet = np.array([x[0] == 0 for x in found], bool)
+        carried = np.zeros(len(start))
+        for psd in psds[quiet]:
+            carried = KEEP * carried + (1 - KEEP) * psd
+        out = pd.DataFrame(found, columns=["n_peaks", "f0", "f0_std", "peak"])
+        out.insert(0, "start_sample", pdf["start_sample"].iloc[1:].to_numpy())
+        out.insert(0, "frame", pdf["frame"].iloc[1:].to_numpy())
         out.insert(0, "file", pdf["file"].iloc[0])
         out["block"], last = pdf["block"].iloc[0], len(out) - 1
         carried[:HIGHPASS_BIN] = 0
         digest = hashlib.sha1(np.packbits(quiet).tobytes()).hexdigest()
-        for name, value in (("quiet", sum(quiet)), ("carried", carried), ("choices", digest), ("used", start)):
+        for name, value in (("quiet", int(quiet.sum())), ("carried", carried), ("choices", digest), ("used", start)):
             out[name] = [None] * last + [value] if last >= 0 else []
         return out
 

@@ -458,9 +458,9 @@ y AS (SELECT file, st, xs[st + 1:st + 256] AS x FROM fr JOIN xs USING (file)),
 z AS (SELECT file, st, list_transform(x, lambda v, i: (v - m) * (0.5 - 0.5 * cos(2 * pi() * (i - 1) / 256))) AS v FROM (SELECT *, list_avg(x) AS m FROM y WHERE len(x) = 256)),
 tw AS (SELECT k, list_transform(range(256), lambda i: cos(2 * pi() * k * i / 256)) AS c, list_transform(range(256), lambda i: sin(2 * pi() * k * i / 256)) AS d FROM range(8, 120) a(k)),
 p AS (SELECT file, st, k, (pow(list_dot_product(v, c), 2) + pow(list_dot_product(v, d), 2)) * 2 / 16384 AS v FROM z, tw),
-r AS (SELECT clip_id, f // 10 AS slice, (k - 8) // 14 AS band, v FROM (SELECT w.file, clip_id, f, st + f * 20 AS at_ FROM w, range(0, 80) t(f)) q JOIN p ON p.file = q.file AND p.st = at_),
-m AS (SELECT clip_id, slice, band, (v - min(v) OVER c) / (max(v) OVER c - min(v) OVER c) + 0.01::DOUBLE AS v FROM r WINDOW c AS (PARTITION BY clip_id)),
-b AS (SELECT clip_id, slice, band, sum(v) / 10 AS v FROM m GROUP BY 1, 2, 3),
+r AS MATERIALIZED (SELECT clip_id, f // 10 AS slice, (k - 8) // 14 AS band, v FROM (SELECT w.file, clip_id, f, st + f * 20 AS at_ FROM w, range(0, 80) t(f)) q JOIN p ON p.file = q.file AND p.st = at_),
+e AS (SELECT clip_id, min(v) AS lo, max(v) AS hi FROM r GROUP BY 1),
+b AS MATERIALIZED (SELECT clip_id, slice, band, sum((v - lo) / (hi - lo) + 0.01::DOUBLE) / 10 AS v FROM r JOIN e USING (clip_id) GROUP BY 1, 2, 3),
 d1 AS (SELECT clip_id, slice, band, 10 * log10((v - min(v) OVER c) / (max(v) OVER c - min(v) OVER c) + 0.01::DOUBLE) AS v FROM b WINDOW c AS (PARTITION BY clip_id)),
 d2 AS (SELECT clip_id, slice, band, sqrt(sqrt((v - min(v) OVER c) / (max(v) OVER c - min(v) OVER c) + 0.01::DOUBLE)) AS v FROM d1 WINDOW c AS (PARTITION BY clip_id))
 SELECT clip_id, round(sum(v * (slice + 1)), 3) AS by_slice, round(sum(v * (band + 1)), 3) AS by_band, round(max(v) FILTER (slice = 2 AND band = 3), 4) AS cell,

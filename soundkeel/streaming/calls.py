@@ -56,6 +56,18 @@ def _in_order(blocks: Iterator[pd.DataFrame], due: int) -> Iterator[tuple[int, i
         yield f, a, p
 
 
+def _stretches(frames: Iterator[tuple[int, int, np.ndarray]], most: int = 1024) -> Iterator[list[tuple[int, int, np.ndarray]]]:
+    """Frames in lists of bounded length; a starting background is alone."""
+    held: list[tuple[int, int, np.ndarray]] = []
+    for x in frames:
+        if held and (x[0] < 0 or held[0][0] < 0 or len(held) == most):
+            yield held
+            held = []
+        held.append(x)
+    if held:
+        yield held
+
+
 class CallDetector(StatefulProcessor):
     def __init__(self, bin_hz: float, adaptive: bool = False):
         self.bin_hz = bin_hz
@@ -71,26 +83,26 @@ class CallDetector(StatefulProcessor):
             gate = Gate(np.array(saved[0], dtype=float), self.bin_hz, saved[1], self.adaptive)
             start, n, f0, f0_sq, peak, peak_sq, due = saved[2:]
         out = []
-        for frame, at, psd in _in_order(rows, due):
-            due = max(due, frame + 1)
-            psd = np.array(psd, dtype=float)
-            if frame < 0:
-                gate = Gate(psd, self.bin_hz, adaptive=self.adaptive)
+        for stretch in _stretches(_in_order(rows, due)):
+            due = max(due, stretch[-1][0] + 1)
+            if stretch[0][0] < 0:
+                gate = Gate(np.array(stretch[0][2], dtype=float), self.bin_hz, adaptive=self.adaptive)
                 continue
             if gate is None:
                 continue
-            peaks, spacing, _, top = gate.step(psd)
-            if peaks > 0:
-                if n == 0:
-                    start = int(at)
-                n, f0, f0_sq = n + 1, f0 + spacing, f0_sq + spacing**2
-                peak, peak_sq = peak + top, peak_sq + top**2
-            elif n > 0:
-                mf, mp = f0 / n, peak / n
-                sd_f = math.sqrt(max(f0_sq / n - mf * mf, 0.0))
-                sd_p = math.sqrt(max(peak_sq / n - mp * mp, 0.0))
-                out.append((key[0], start, int(at), int(at) - start, n, mf, sd_f, _db(mp), 0.0 if n == 1 else _db(sd_p)))
-                start, n, f0, f0_sq, peak, peak_sq = -1, 0, 0.0, 0.0, 0.0, 0.0
+            found = gate.run(np.array([psd for *_, psd in stretch], dtype=float))
+            for (_, at, _), (peaks, spacing, _, top) in zip(stretch, found, strict=True):
+                if peaks > 0:
+                    if n == 0:
+                        start = int(at)
+                    n, f0, f0_sq = n + 1, f0 + spacing, f0_sq + spacing**2
+                    peak, peak_sq = peak + top, peak_sq + top**2
+                elif n > 0:
+                    mf, mp = f0 / n, peak / n
+                    sd_f = math.sqrt(max(f0_sq / n - mf * mf, 0.0))
+                    sd_p = math.sqrt(max(peak_sq / n - mp * mp, 0.0))
+                    out.append((key[0], start, int(at), int(at) - start, n, mf, sd_f, _db(mp), 0.0 if n == 1 else _db(sd_p)))
+                    start, n, f0, f0_sq, peak, peak_sq = -1, 0, 0.0, 0.0, 0.0, 0.0
         if gate is not None:
             self.state.update((gate.background.tolist(), gate.threshold, start, n, f0, f0_sq, peak, peak_sq, due))
         yield pd.DataFrame(

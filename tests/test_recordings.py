@@ -361,6 +361,44 @@ def test_equal_base_names_in_folders_stay_apart(spark, tmp_path):
     assert np.array_equal(np.array(read["b/deep/x.wav"], np.float32), want) and len(read["a/x.wav"]) == 9
 
 
+def plain_gate(first, psds, bin_hz, adaptive):
+    """The gate frame by frame."""
+    def level(b):
+        return b.mean() + detect.GATE_SIGMAS * b.std()
+
+    background, threshold, out = first.copy(), level(first), []
+    for psd in psds:
+        d = psd - background
+        d[: detect.HIGHPASS_BIN] = 0
+        d[d < threshold] = 0
+        at = [i for i in range(1, len(d) - 1) if d[i - 1] < d[i] > d[i + 1] and d[i] >= d.std()]
+        wide = [k for k in range(1, len(at)) if (at[k] - at[k - 1]) * bin_hz > detect.MIN_SPACING_HZ]
+        if len(at) == 1:
+            out.append((1, 0.0, 0.0, d[at[0]]))
+        elif wide:
+            gaps = np.array([(at[k] - at[k - 1]) * bin_hz for k in wide])
+            out.append((len(wide) + 1, gaps.mean(), gaps.std(), max(d[i] for i in [*(at[k] for k in wide), at[wide[0] - 1]])))
+        else:
+            out.append((0, 0.0, 0.0, np.nan))
+            background = detect.KEEP * background + (1 - detect.KEEP) * psd
+            background[: detect.HIGHPASS_BIN] = 0
+            threshold = level(background) if adaptive else threshold
+    return out, background
+
+
+@pytest.mark.parametrize("adaptive", [False, True])
+@pytest.mark.parametrize("loud", [0.0, 0.03, 0.5, 1.0])
+def test_quiet_stretches_are_frames_one_by_one(adaptive, loud):
+    rng = np.random.default_rng(int(100 * loud))
+    first = np.concatenate([np.zeros(25), rng.random(40)]) * 3
+    psds = rng.random((400, 65)) * (1 + np.arange(400)[:, None] / 60) + np.where(np.arange(65) % 9 == 3, 40.0, 0.0) * (rng.random((400, 1)) < loud)
+    gate = detect.Gate(first, 43.0, adaptive=adaptive)
+    got = [x for k in (1, 2, 7, 390) for x in gate.run(psds[len(psds) - 400 + {1: 0, 2: 1, 7: 3, 390: 10}[k] :][:k])]
+    want, background = plain_gate(first, psds, 43.0, adaptive)
+    assert [x[0] for x in got] == [x[0] for x in want] and len(got) == 400
+    assert np.allclose([x[1:] for x in got], [x[1:] for x in want], equal_nan=True) and np.allclose(gate.background, background)
+
+
 @pytest.mark.parametrize("adaptive", [False, True])
 def test_blocks_of_frames_settle_to_one_run(spark, adaptive, monkeypatch):
     """Spectra whose level drifts, so that the guessed backgrounds are wrong and blocks run several times."""
