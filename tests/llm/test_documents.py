@@ -210,6 +210,12 @@ def test_index_keeps_runs_over_shards(spark):
 
 def test_shards(spark):
     rows = awkward(n=400)
+    long = max(rows, key=lambda r: len(r[1] or ""))
+    # a text longer than a shard's share is in one shard, and the others share the rest
+    heavy = shards.shard_documents(frame(spark, rows), shards=6).collect()
+    assert ids_first((r.doc_id, r["size"]) for r in heavy) == ids_first((i, len((t or "").encode()) + 8) for i, t, *_ in rows)
+    assert {r.shard for r in heavy} <= set(range(6)) and len({r.shard for r in heavy}) > 2
+    rows = [r for r in rows if r is not long]
     got = shards.shard_documents(frame(spark, rows), shards=6).collect()
     want = [(i, len((t or "").encode()) + 8, zlib.crc32((t or "").encode())) for i, t, *_ in rows]
     assert ids_first((r.doc_id, r["size"], r.text_crc32) for r in got) == ids_first(want)
