@@ -179,3 +179,21 @@ def test_frames_wait_for_their_predecessors():
 
     got = [f for f, _, _ in _in_order(iter([block(2, -1, 0), block(1, 3), block(7, 5)]), -1)]
     assert got == [-1, 0, 1, 2, 3, 5, 7]
+
+
+def test_the_loss_is_flat_at_the_fitted_weights(spark):
+    """The gradient of the regularised loss, whose penalty is on standardised weights, is zero there and not beside."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(300, 6)) * np.array([1, 2, 0.5, 3, 1, 1])
+    y = (rng.random(300) < 1 / (1 + np.exp(-(x[:, 0] - 0.4 * x[:, 3] + 0.3)))).astype(int)
+    df = spark.createDataFrame([(i, x[i].tolist(), int(y[i])) for i in range(300)], "id long, x array<double>, y int")
+    model = scores.fit_linear(df, "x", "y", max_iter=200, reg=0.05)
+
+    def gradient(w, bias):
+        error = 1 / (1 + np.exp(-(x @ w + bias))) - y
+        return np.append(x.T @ error / 300 + 0.05 * x.var(axis=0, ddof=1) * w, error.mean())
+
+    w = model.coefficients.toArray()
+    assert np.abs(gradient(w, model.intercept)).max() < 1e-4 < np.abs(gradient(1.05 * w, model.intercept)).max()
+    got = {r.id: r.yhat for r in scores.score_windows(model, df, "x").collect()}
+    assert np.allclose([got[i] for i in range(300)], 1 / (1 + np.exp(-(x @ w + model.intercept))))
