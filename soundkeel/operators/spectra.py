@@ -9,7 +9,6 @@ neighbourhood window of bounded size.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -319,21 +318,20 @@ SMOOTH_WEIGHTS = (-36, 9, 44, 69, 84, 89, 84, 69, 44, 9, -36)
 SMOOTH_DIVISOR = 429
 
 
-@lru_cache(maxsize=8)
 def _edge_fit() -> np.ndarray:
     """The cubic fitted to 11 points, evaluated at them."""
     basis = np.vander(np.arange(11.0) - 5, 4)
     return basis @ np.linalg.pinv(basis)
 
 
-def _smooth(m: np.ndarray) -> np.ndarray:
+def _smooth(m: np.ndarray, fit: np.ndarray) -> np.ndarray:
     """Sliding weights; the first and last 5 bins evaluate the cubic of the 11 at that end."""
     n = m.shape[1]
     out = np.zeros_like(m)
     for i, w in enumerate(SMOOTH_WEIGHTS):
         out[:, 5 : n - 5] += w / SMOOTH_DIVISOR * m[:, i : n - 10 + i]
-    out[:, :5] = m[:, :11] @ _edge_fit()[:5].T
-    out[:, n - 5 :] = m[:, n - 11 :] @ _edge_fit()[6:].T
+    out[:, :5] = m[:, :11] @ fit[:5].T
+    out[:, n - 5 :] = m[:, n - 11 :] @ fit[6:].T
     return out
 
 
@@ -344,13 +342,14 @@ def _detrended(m: np.ndarray) -> np.ndarray:
 
 def smooth_spectrum(psd: Column) -> Column:
     """Smooth, remove the straight-line trend, smooth again (11 bins at least)."""
+    fit = _edge_fit()
 
     @arrow_udf("array<double>")
     def kernel(v: pa.Array) -> pa.Array:
         def fn(m: np.ndarray) -> np.ndarray:
             if m.shape[1] < 11:
                 raise ValueError("a spectrum needs 11 bins to be smoothed")
-            return _smooth(_detrended(_smooth(m)))
+            return _smooth(_detrended(_smooth(m, fit)), fit)
 
         return by_length(v, fn)
 
