@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.ordered import Running, cut, fixed, following, previous, scan
+from ..plans.ordered import CHUNK, Running, cut, fixed, following, previous, scan
 from ..plans.sizes import join_small
 
 # Fixed value: standard deviations above the mean that start a click.
@@ -53,12 +53,15 @@ def declick(
             (F.max(i) + 1).alias("_hi"),
             F.max("_a").alias("_top"),
             F.min_by(i, F.struct(-F.col("_a"), i)).alias("_at"),
+            F.sequence(F.min(CHUNK), F.max(CHUNK)).alias("_chunks"),
         )
         .filter("_click")
-        .drop("_click")
+        .withColumn(CHUNK, F.explode("_chunks"))
+        .drop("_click", "_chunks")
     )
-    # most regions hold no click, so the clicks are the small side
-    out = join_small(rows, regions, [*keys, "_region"], [i], "left")
+    # Most regions hold no click, so the clicks are the small side.  A region is there once for each chunk that it
+    # reaches into, and has no more rows there than the chunk, so that long regions need no salts.
+    out = join_small(rows, regions, [*keys, CHUNK, "_region"], how="left", salts=1)
     drop_ = F.col("_top") - F.col("_thresh")
     rising = F.col("_top") - (F.col("_at") - i) * F.try_divide(drop_, F.col("_at") - F.col("_lo"))
     falling = F.col("_top") + (i - F.col("_at")) * F.try_divide(drop_, F.col("_hi") - F.col("_at"))

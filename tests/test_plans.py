@@ -93,6 +93,17 @@ def test_join_with_statistics(spark, limit, how):
     assert ("_salt" in plan) == (limit == 0) and ("BroadcastHashJoin" in plan or limit == 0)
 
 
+@pytest.mark.parametrize("salts", [{}, {"salts": 1}])
+def test_statistics_over_the_limit_are_not_broadcast(spark, salts):
+    """Their file, or that of which copies are made, may be far smaller than their rows in memory."""
+    big = spark.range(300).select((F.col("id") % 7).alias("k"), "id")
+    small = big.groupBy("k").agg(F.max("id").alias("top"))
+    got = join_small(big, small, ["k"], limit=0, **salts)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, big.join(small, "k").collect()))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_halo_equals_plain_window(spark):
     n, before, after = 300, 3, 5
     df = spark.range(n).select("id", (F.col("id") * 7919 % 101).alias("v"), F.lit("f").alias("file"))

@@ -325,6 +325,24 @@ def test_declick_leaves_quiet_recordings_alone(spark):
     assert declick(calm, ["file"], "i", "x").filter("gain <> 1").count() == 0
 
 
+def test_declick_joins_clicks_by_chunk(spark, small_groups):
+    """A click that reaches through many chunks scales all of them; its region is not copied to salts, nor broadcast."""
+    n, top = 400, 150
+    x = [100.0 - abs(i - top) / 4 if i != top else 1000.0 for i in range(n)]  # rises, then falls: no quiet peak
+    rows = [("a", i, v) for i, v in enumerate(x)] + [("b", i, 1.0) for i in range(n)]
+    df = spark.createDataFrame(rows, "file string, i long, x double")
+    out = declick(df, ["file"], "i", "x")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "_salt" not in plan and "Broadcast" not in plan
+    r = {(q["file"], q["i"]): q for q in out.collect()}
+    assert len(r) == 2 * n
+    limit = np.mean(x) + np.std(x)
+    for i in range(n):
+        level = 1000 - (top - i) * (1000 - limit) / top if i < top else 1000 + (i - top) * (1000 - limit) / (n - top)
+        assert r["a", i]["gain"] == pytest.approx(limit / level) and r["b", i]["gain"] == 1.0
+        assert r["a", i]["is_trigger"] == (i == top) and r["a", i]["y"] == pytest.approx(x[i] * limit / level)
+
+
 def test_written_tables(spark, tmp_path):
     frames = spark.createDataFrame(
         [("f", i * 1024, int(3 <= i < 6), 100.0 * i, float(i)) for i in range(10)],
